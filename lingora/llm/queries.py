@@ -1,10 +1,13 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import substring
+from lingora.llm import bpe, chat, substring
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_substring_dedup": substring.op8_substring_dedup,
 }
 ORACLES = {
+    "op6_chat_format": chat.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,
 }
