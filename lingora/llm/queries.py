@@ -1,11 +1,13 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, substring
+from lingora.llm import bpe, chat, pu_quality, quality_rules, substring
 
 QUERIES = {
+    "op1_pu_quality": pu_quality.op1_pu_quality,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_chat_format": chat.op6_chat_format,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
     "op6_chat_format": chat.ORACLE_SQL,

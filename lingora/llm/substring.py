@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lingora.llm import packed
-from lingora.llm.common import WordCodes, batches, rolling, runs
+from lingora.llm.common import WordCodes, batches, covered, rolling, runs
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
@@ -155,14 +155,6 @@ def _next_level(memo: WordCodes, short: int, long: int, width: int, last: bool,
     return _reduced(rolling(codes, width)[starts], doc[row], tag[row], starts - offsets[row], False)
 
 
-def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Which of n items lie in a window of `width` that begins at one of the starts."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + width, n), -1)
-    return np.cumsum(change[:n]) > 0
-
-
 def _spans(gone: np.ndarray) -> list[dict]:
     edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
