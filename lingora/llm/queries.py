@@ -1,9 +1,10 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, pu_quality, quality_rules, substring
+from lingora.llm import bpe, chat, pu_quality, quality_rules, substring, toxicity
 
 QUERIES = {
     "op1_pu_quality": pu_quality.op1_pu_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_chat_format": chat.op6_chat_format,
     "op8_substring_dedup": substring.op8_substring_dedup,
