@@ -1,16 +1,18 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, pu_quality, quality_rules, substring, toxicity
+from lingora.llm import bpe, chat, line_dedup, pu_quality, quality_rules, substring, toxicity
 
 QUERIES = {
     "op1_pu_quality": pu_quality.op1_pu_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,
 }
