@@ -1,10 +1,11 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, decontaminate, line_dedup, pu_quality, quality_rules, substring, toxicity
+from lingora.llm import bpe, chat, decontaminate, jaccard, line_dedup, pu_quality, quality_rules, substring, toxicity
 
 QUERIES = {
     "op1_pu_quality": pu_quality.op1_pu_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_dedup": line_dedup.op5_line_dedup,
