@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 from lingora.llm.common import durable
 
 
+def _roots(parent: DataFrame) -> DataFrame:
+    """(a, up) with up followed to its end; each join doubles the steps that are followed."""
+    while True:
+        over = parent.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        jumped = durable(parent.join(over, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        parent = jumped.select("a", "up")
+        if jumped.where("moved").isEmpty():
+            return parent
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the least node that can be reached.
 
-    Each pass points every node to its least neighbour and contracts the edges to the nodes pointed to, which at least
-    halves the nodes that still have edges. Minima are pre-aggregated, so a node of very many edges is no hot spot there.
+    Each pass points every node to its least neighbour, follows the pointers to local minima, and contracts the edges to
+    these, which at least halves the nodes that still have edges. Minima are pre-aggregated, so a node of very many
+    edges is no hot spot there.
     """
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = edges.where("a <> b").select("a", "b")
+    flip = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = None
-    left = durable(both.distinct())
+    left = durable(flip(one))
     while not left.isEmpty():
-        parent = durable(left.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
-        up_a, up_b = parent.select("a", F.col("up").alias("x")), parent.select(F.col("a").alias("b"), F.col("up").alias("y"))
-        contracted = left.join(up_a, "a").join(up_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        chains = parent.join(parent.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select(F.col("up").alias("a"), F.col("top").alias("b"))
-        again = contracted.unionByName(chains).where("a <> b")
-        again = again.unionByName(again.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        step = parent.select(F.col("a").alias("label"), F.col("up").alias("next"))
+        root = _roots(left.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
+        to_a, to_b = root.select("a", F.col("up").alias("x")), root.select(F.col("a").alias("b"), F.col("up").alias("y"))
+        contracted = left.join(to_a, "a").join(to_b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         if labels is None:
-            labels = step.select(F.col("label").alias("node"), F.col("next").alias("label"))
+            labels = root.select(F.col("a").alias("node"), F.col("up").alias("label"))
         else:
-            labels = labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        labels = durable(labels)
-        left = durable(again)
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
+            step = root.select(F.col("a").alias("label"), F.col("up").alias("next"))
+            labels = durable(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        left = durable(contracted)
+    return labels if labels is not None else one.select(F.col("a").alias("node"), F.col("b").alias("label"))
