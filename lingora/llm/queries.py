@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, decontaminate, jaccard, line_dedup, pu_quality, quality_rules, substring, toxicity
+from lingora.llm import bpe, chat, decontaminate, jaccard, line_dedup, pu_quality, quality_rules, substring, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_pu_quality": pu_quality.op1_pu_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
