@@ -378,7 +378,11 @@ def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row."""
-    source = packed.keyed(docs)
+    return _membership(*_linked(packed.keyed(docs)))
+
+
+def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (doc, tag, cid, n), and the component (node, label) of each class that has a link."""
     described = durable(source.mapInArrow(_describe, "doc long, tag long, cid long, n long"))
     classes = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc", "tag")).alias("rep"), F.first("n").alias("n"))
     marks = packed.exchange(source, partial(_first_cut, WordCodes()), _in_two).select(F.col("doc").alias("cid"), (F.length("marks") / 4).cast("long").alias("shared"))
@@ -406,7 +410,7 @@ def similar(docs: DataFrame) -> DataFrame:
         if turn and found.where("b IS NULL").isEmpty():
             break
         turn += 1
-    return _membership(described, labels)
+    return described, labels
 
 
 def _membership(described: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -425,3 +429,24 @@ def _membership(described: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that are in a component with an earlier one.
+
+    Of rows that share both doc_id and text one stays; texts without words link with nothing and all stay.
+    """
+    from pyspark.sql import Window
+
+    source = packed.keyed(docs)
+    described, labels = _linked(source)
+    classes = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc", "tag")).alias("first"))
+    if labels is not None:
+        classes = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("label", "cid").alias("label")).agg(F.min("first").alias("first"))
+    stay = classes.select(F.col("first.doc").alias("__doc"), F.col("first.tag").alias("__tag"), F.lit(True).alias("__one"))
+    blank = described.where("n = 0").select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.lit(False).alias("__one")).distinct()
+    raw = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
+    rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.LAST)), "__tag": F.xxhash64(raw).bitwiseAND(F.lit(0xFFFFFFFF))})
+    kept = rows.join(stay.unionByName(blank), ["__doc", "__tag"])
+    nth = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy("__one"))
+    return kept.withColumn("__nth", nth).where("__nth = 1 OR NOT __one").select(*docs.columns)
