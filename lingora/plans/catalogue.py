@@ -1,4 +1,6 @@
 """All queries over the reference's operators, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from lingora.plans import language
+
+QUERIES = {**language.QUERIES}
+ORACLES = {**language.ORACLES}
