@@ -1,6 +1,6 @@
 """All queries over the reference's operators, by name."""
 
-from lingora.plans import language
+from lingora.plans import language, workflow
 
-QUERIES = {**language.QUERIES}
-ORACLES = {**language.ORACLES}
+QUERIES = {**language.QUERIES, **workflow.QUERIES}
+ORACLES = {**language.ORACLES, **workflow.ORACLES}
