@@ -306,7 +306,7 @@ SELECT path, count(*) FILTER (ok AND NOT approved) AS newly, count(*) FILTER (ok
     "key_uniqueness": f"""{_E} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
     "key_conflicts": f"{_E} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
     "locale_package": f"""{_E}, r AS (SELECT path, key, arg_max(translation, ord) AS t FROM stated WHERE status = 'ready' GROUP BY ALL)
-SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, '{{' || string_agg('"' || key || '":"' || replace(replace(t, '\\', '\\\\'), '"', '\\"') || '"', ',' ORDER BY key) || '}}' AS package, any_value(path) AS sources FROM r GROUP BY path""",
+SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, '{{' || string_agg('"' || key || '":' || to_json(t)::VARCHAR, ',' ORDER BY key) || '}}' AS package, any_value(path) AS sources FROM r GROUP BY path""",
     "merge_exact": f"""WITH {_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
     "deprecated_entries": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
