@@ -144,7 +144,7 @@ def escape_json(text: Column) -> Column:
 
 
 def escape_css(text: Column, quote: Column) -> Column:
-    text = F.regexp_replace(_replaced(text, ("\\", "\\\\")), r"\r\n|\r|\n", r"\\\\A ")
+    text = F.regexp_replace(_replaced(text, ("\\", "\\\\")), r"\r\n|\r|\n", r"\\A ")
     return F.replace(text, quote, F.concat(F.lit("\\"), quote))
 
 

@@ -13,7 +13,7 @@ from lingora.sources import dims
 HTML_TEXT = r"""<[^'">]*(?:'[^']*'[^'">]*|"[^"]*"[^'">]*)*>([^<]*)"""
 HTML_ATTR = r"""\s([\w-]+)=["']([^"']*)["']"""
 HTML_ATTRS = ["title", "alt", "placeholder", "aria-label", "label", "tab"]
-JSON_STRING = r'"((?:[^"\\]|\\.)*)"(?!\s{0,11}:)'
+JSON_STRING = r'"((?:[^"\\]|\\.)*)"(\s{0,11}:)?'
 QUOTED = r"""(["'`])((?:\\.|[^\\])*?)\1"""
 CSS_CONTENT = r"""content:\s*(["'])((?:\\.|[^\\])*?)\1"""
 SKIPPED_ATTR = r"^(?:class|style|id|key|ref|data-.*|aria-.*)\z"
@@ -63,7 +63,9 @@ def html_attrs(html: Column) -> Column:
 
 def json_values(text: Column) -> Column:
     """Strings of a JSON text that are not keys; none if it does not parse."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.regexp_extract_all(text, F.lit(JSON_STRING), 1))
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(JSON_STRING), 1), F.regexp_extract_all(text, F.lit(JSON_STRING), 2), lambda s, colon: F.struct(s.alias("s"), colon.alias("colon")))
+    values = F.transform(F.filter(found, lambda x: x["colon"] == ""), lambda x: x["s"])
+    return F.when(F.try_parse_json(text).isNotNull(), values)
 
 
 def quoted(text: Column) -> Column:
