@@ -14,6 +14,7 @@ def session(app: str = "lingora", cores: int | str = "*", partitions: int = 8) -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
