@@ -22,10 +22,12 @@ CLASSES = [
 CONNECTOR = ["specialCharacter", "number"]
 
 
-def char_class(ch: Column) -> Column:
-    """The class of one character; '' for none."""
+TRADITIONAL = "".join(c for c in dict.fromkeys(dims.TRADITIONAL) if c not in dims.SIMPLIFIED)
+
+
+def char_class(ch: Column, traditional: str = TRADITIONAL) -> Column:
+    """The class of one character; '' for none. traditional: the characters that count as traditional Chinese."""
     out = None
-    traditional = "".join(c for c in dict.fromkeys(dims.TRADITIONAL) if c not in dims.SIMPLIFIED)
     for name, pattern in CLASSES:
         value = F.when(F.contains(F.lit(traditional), ch), "chinese_traditional").otherwise("chinese_simplified") if name == "chinese" else F.lit(name)
         out = F.when(ch.rlike(f"^{pattern}"), value) if out is None else out.when(ch.rlike(f"^{pattern}"), value)

@@ -1,6 +1,6 @@
 """All queries over the reference's operators, by name."""
 
-from lingora.plans import language, page, workflow
+from lingora.plans import bundle, language, page, workflow
 
-QUERIES = {**language.QUERIES, **workflow.QUERIES, **page.QUERIES}
-ORACLES = {**language.ORACLES, **workflow.ORACLES, **page.ORACLES}
+QUERIES = {**language.QUERIES, **workflow.QUERIES, **page.QUERIES, **bundle.QUERIES}
+ORACLES = {**language.ORACLES, **workflow.ORACLES, **page.ORACLES, **bundle.ORACLES}
