@@ -42,8 +42,8 @@ def _detect_sql(source: str, key: str = "doc_id") -> str:
 
 
 def detect_language_docs(spark, sf_dir):
-    found = L.detect(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", found["lang"].alias("lang_detected"), found["confidence"].alias("confidence"))
+    found = F.inline(F.array(L.detect(F.col("text")))).alias("lang_detected", "confidence")
+    return table(spark, sf_dir, "documents").select("doc_id", found)
 
 
 FIXTURE = [
@@ -63,8 +63,8 @@ def detect_language_fixture(spark, sf_dir):
 
 
 def lang_confidence_summary(spark, sf_dir):
-    found = L.detect(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("lang", found.alias("d")).select("lang", F.col("d.lang").alias("from"), F.lit("zh").alias("to"), "d.confidence")
+    found = F.inline(F.array(L.detect(F.col("text")))).alias("from", "confidence")  # a generator is evaluated once for both columns
+    docs = table(spark, sf_dir, "documents").select("lang", found).withColumn("to", F.lit("zh"))
     small = docs.groupBy("lang", "from", "to").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
     routed = routing.route(small)
     return routed.select("lang", F.col("from").alias("lang_detected"), "model", "n", "avg_confidence")
