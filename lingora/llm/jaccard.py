@@ -14,9 +14,9 @@ summed per pair. Nothing of a set but the part in the fragment is ever in one pl
     once come first; a class that has that many of them has no link.
  4. Rounds. The classes with a common prefix code form a group. Comparing all pairs of a group would be quadratic for
     near copies, and is not needed for components: members are ranked, those with the fewest codes of their own first;
-    round r takes the ranks from 2^(r-1) - 1 to 2^r - 2 as pivots and compares them with the later members that are in
-    another component by now. A first round compares each class with its best-supported pivot alone, which joins most
-    near copies at once. Comparisons are verified exactly, by overlaps per fragment. Rounds end when the members not yet
+    a round takes the next ranks (4, then 16, 64, ...) as pivots and compares them with the later members that are in
+    another component by now; where the pairs across components are few for a group's size, all are compared at once.
+    A first round compares each class with its best-supported pivot alone, which joins most near copies at once. Comparisons are verified exactly, by overlaps per fragment. Rounds end when the members not yet
     compared with each other are in one component in every group: no link can be missing between components.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of one to four words has
@@ -27,7 +27,6 @@ than any other; repeated rows are members of one class; an empty table gives no
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from lingora.llm import packed
 from lingora.llm.common import WordCodes, batches, durable, mix, partitions, rolling, runs, spread_keys
 from lingora.llm.components import components
-from lingora.llm.substring import _in_two, _reduced
+from lingora.llm.substring import _in_two
 
 WIDTH = 5
 #: Two sets link when HUNDRED * overlap >= PERCENT * union.
@@ -63,37 +62,107 @@ def class_id(codes: np.ndarray) -> int:
     return int(mix(np.array([one ^ mix(np.array([two + np.uint64(len(codes))]))[0]], np.uint64)).view(np.int64)[0])
 
 
-def _describe(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordCodes()
-    for batch in batches(it):
-        sets = [shingles(raw, memo) for raw in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([class_id(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64())], ["doc", "tag", "cid", "n"])
-
-
 def _shared_head(n):
     """How many of the first codes two linked sets share, the smaller one having n."""
     return np.maximum(1, n // 8)
 
 
-def _first_cut(memo: WordCodes, batch: pa.RecordBatch) -> packed.Found:
-    """Codes at the head of each class's order; classes are the documents of this exchange."""
-    seen, code, cid, pos = set(), [], [], []
-    for raw in batch.column(1).to_pylist():
-        codes = shingles(raw, memo)
-        if not len(codes) or (c := class_id(codes)) in seen:
-            continue
-        seen.add(c)
-        n = len(codes)
-        head = codes[: n - least_overlap(n) + int(_shared_head(n))]
-        code.append(head)
-        cid.append(np.full(len(head), c, np.int64))
-        pos.append(np.arange(len(head)))
-    if not code:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, (none, none, none)
-    cids = np.concatenate(cid)
-    # Heads hold the least codes; mixed again, they spread over all buckets.
-    return _reduced(mix(np.concatenate(code)), cids, np.zeros(len(cids), np.uint32), np.concatenate(pos), True)
+def classes_of(source: DataFrame) -> DataFrame:
+    """Rows (doc, tag, cid, n, shared): a document's class; and, with shared not null, each class once.
+
+    The row of a class names its earliest document and counts the codes at its head that another class has too. Heads
+    and descriptions travel together, so all texts are read and cut into shingles just once.
+    """
+    spark = source.sparkSession
+    n_parts = partitions(spark)
+    keys = spread_keys(spark, n_parts)
+
+    def scatter(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs():
+            memo = WordCodes()
+            for batch in batches(it, 12 << 20):
+                seen, heads, owners, cids, sizes = set(), [], [], [], []
+                for raw in batch.column(1).to_pylist():
+                    codes = shingles(raw, memo)
+                    n = len(codes)
+                    cids.append(class_id(codes))
+                    sizes.append(n)
+                    if n and cids[-1] not in seen:
+                        seen.add(cids[-1])
+                        heads.append(codes[: n - least_overlap(n) + int(_shared_head(n))])
+                        owners.append(np.full(len(heads[-1]), cids[-1], np.int64))
+                doc, tag = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                cid = np.array(cids, np.int64)
+                for b, (c, d, t, n) in packed.deal(packed.chunk_of(cid, n_parts), cid, doc, tag, np.array(sizes, np.int32)):
+                    yield int(keys[b]), b"\1" + packed.pack(c, d, t, n)
+                if not heads:
+                    continue
+                # Heads hold the least codes; mixed again, they spread over all buckets.
+                code, owner = mix(np.concatenate(heads)), np.concatenate(owners)
+                order = np.argsort(code, kind="stable")
+                start, n = runs(code[order])
+                several = np.zeros(len(code), bool)
+                several[order] = np.repeat(n, n) > 1
+                ship = ~several
+                ship[order[start]] = ship[order[start + n - 1]] = True  # two of a repeated code tell the other batches
+                for b, (c, o) in packed.deal(packed.bucket_of(code[ship], n_parts), code[ship], owner[ship]):
+                    yield int(keys[b]), b"\0" + packed.pack_places(o, np.zeros(len(o), np.uint32), np.zeros(len(o), np.int32), c)
+                sure, count = np.unique(owner[several & ~ship], return_counts=True)
+                for b, (c, k) in packed.deal(packed.chunk_of(sure, n_parts), sure, count.astype(np.int32)):
+                    yield int(keys[b]), b"\2" + packed.pack(c, k)
+
+        return packed.rows(pairs())
+
+    def gather(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs():
+            parts = []
+            for batch in it:
+                for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if blob[0]:
+                        yield key, blob
+                    else:
+                        parts.append(packed.unpack_places(blob[1:]))
+            if not parts:
+                return
+            owner, _, _, code = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            order = packed.by_code(code, owner)
+            shared = np.zeros(len(code), bool)
+            shared[order] = _in_two(code[order], owner[order])
+            # Copies of a class in several batches count once for each code.
+            new = np.zeros(len(code), bool)
+            new[order] = np.r_[True, (code[order][1:] != code[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
+            found, count = np.unique(owner[shared & new], return_counts=True)
+            for b, (c, k) in packed.deal(packed.chunk_of(found, n_parts), found, count.astype(np.int32)):
+                yield int(keys[b]), b"\2" + packed.pack(c, k)
+
+        return packed.rows(pairs())
+
+    def settle(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        described, counted = [], []
+        for batch in it:
+            for blob in batch.column(1).to_pylist():
+                (described if blob[0] == 1 else counted).append(packed.unpack(blob[1:]))
+        if not described:
+            return
+        cid, doc, tag, n = (np.concatenate(x) for x in zip(*described))
+        order = np.lexsort((tag, doc, cid))
+        cid, doc, tag, n = cid[order], doc[order], tag[order], n[order].astype(np.int64)
+        first, _ = runs(cid)
+        shared = np.zeros(len(first), np.int64)
+        if counted:
+            of, count = (np.concatenate(x) for x in zip(*counted))
+            np.add.at(shared, np.searchsorted(cid[first], of), count)
+        names = ["doc", "tag", "cid", "n", "shared"]
+        for i in range(0, len(cid), 10000):
+            part = slice(i, i + 10000)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (doc, tag, cid, n)), pa.nulls(len(cid[part]), pa.int64())], names)
+        for i in range(0, len(first), 10000):
+            at = first[i : i + 10000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (doc, tag, cid, n)), pa.array(shared[i : i + 10000])], names)
+
+    dealt = source.mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
+    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "doc long, tag long, cid long, n long, shared long")
 
 
 def _sets(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +254,16 @@ def _third_back(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select([0, 2, 1, *range(3, batch.num_columns)])
 
 
+def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each count, in a row."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def first_rank(turn: int) -> int:
+    """Members of a lower rank have been compared with all others when a round begins: 0, 4, 20, 84, ..."""
+    return 0 if turn <= 1 else 4 * first_rank(turn - 1) + 4
+
+
 def _ranked_pairs(code, cid, n, own, label, turn: int) -> tuple[list[np.ndarray], bool]:
     """Pairs (later, pivot) of all groups for a round, and whether pairs are left for later rounds.
 
@@ -193,42 +272,59 @@ def _ranked_pairs(code, cid, n, own, label, turn: int) -> tuple[list[np.ndarray]
     order = np.lexsort((cid, own, code))
     code, cid, n, label = code[order], cid[order], n[order], label[order]
     starts, size = runs(code)
-    low, high = (0, 1) if turn == 0 else (2 ** (turn - 1) - 1, 2**turn - 1)
-
-    def mixed_from(rank: int) -> np.ndarray:
-        """Groups whose members of that rank or later are in several components."""
-        open_ = size > rank + 1
-        s, k = starts[open_], size[open_]
-        out = np.zeros(len(size), bool)
-        if len(s):
-            rest = np.repeat(s + rank, k - rank) + np.arange((k - rank).sum()) - np.repeat(np.cumsum(k - rank) - (k - rank), k - rank)
-            cuts = np.cumsum(k - rank) - (k - rank)
-            out[open_] = np.maximum.reduceat(label[rest], cuts) != np.minimum.reduceat(label[rest], cuts)
-        return out
-
-    active = mixed_from(low)
     b, c = [], []
-    for rank in range(low, high):
-        use = active & (size > rank + 1)
-        if not use.any():
-            break
-        s, k = starts[use] + rank, size[use] - rank - 1
-        pivot = np.repeat(s, k)
-        later = pivot + 1 + np.arange(len(pivot)) - np.repeat(np.cumsum(k) - k, k)
+
+    def pair(later: np.ndarray, pivot: np.ndarray) -> None:
         small, large = np.minimum(n[pivot], n[later]), np.maximum(n[pivot], n[later])
         ok = (label[pivot] != label[later]) & (HUNDRED * small >= PERCENT * large)
         b.append(later[ok])
         c.append(pivot[ok])
-    if not b:
-        return [np.zeros(0, np.int64)] * 5, False
-    b, c = np.concatenate(b), np.concatenate(c)
+
+    more = False
+    if turn == 0:
+        pivot = np.repeat(starts, size - 1)
+        pair(_expand(starts + 1, size - 1), pivot)
+    else:
+        low, high = first_rank(turn), first_rank(turn + 1)
+        left = size > low + 1
+        s, k = starts[left] + low, size[left] - low
+        member = _expand(s, k)
+        group = np.repeat(np.arange(len(s)), k)
+        by = np.lexsort((label[member], group))
+        member, group = member[by], group[by]
+        block, width = runs_of_pairs(group, label[member])
+        squares = np.bincount(group[block], width.astype(np.float64) ** 2, len(s))
+        across = (k.astype(np.float64) ** 2 - squares) / 2
+        # Few pairs for the group's size: all of them now. Else its next pivots against all later members.
+        few = across <= 8 * k + 120
+        ends = np.cumsum(k)
+        rest = np.where(few[group] & (across[group] > 0), ends[group] - np.repeat(block + width, width), 0)
+        one, two = np.repeat(np.arange(len(member)), rest), _expand(np.repeat(block + width, width), rest)
+        wide = np.repeat(width, width)
+        swap = wide[one] > wide[two]  # the pivot is the one of the smaller component
+        one, two = np.where(swap, two, one), np.where(swap, one, two)
+        pair(member[two], member[one])
+        for rank in range(low, high):
+            use = ~few & (k > rank - low + 1)
+            if not use.any():
+                break
+            at, count = s[use] + rank - low, k[use] - (rank - low) - 1
+            pair(_expand(at + 1, count), np.repeat(at, count))
+        more = bool((~few & (k > high - low + 1)).any())
+    b, c = np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)
     b_id, c_id = cid[b], cid[c]
     order = np.lexsort((c_id, b_id))
     b_id, c_id, nb, nc = b_id[order], c_id[order], n[b][order], n[c][order]
-    new = np.r_[True, (b_id[1:] != b_id[:-1]) | (c_id[1:] != c_id[:-1])] if len(b_id) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    support = np.diff(np.r_[at, len(b_id)])
-    return [b_id[at], c_id[at], nb[at], nc[at], support], bool(turn and mixed_from(high).any())
+    at, support = runs_of_pairs(b_id, c_id)
+    return [b_id[at], c_id[at], nb[at], nc[at], support], more
+
+
+def runs_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal pairs."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return at, np.diff(np.r_[at, len(a)])
 
 
 def candidates(prefix: DataFrame, turn: int) -> DataFrame:
@@ -383,15 +479,13 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows (doc, tag, cid, n), and the component (node, label) of each class that has a link."""
-    described = durable(source.mapInArrow(_describe, "doc long, tag long, cid long, n long"))
-    classes = described.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc", "tag")).alias("rep"), F.first("n").alias("n"))
-    marks = packed.exchange(source, partial(_first_cut, WordCodes()), _in_two).select(F.col("doc").alias("cid"), (F.length("marks") / 4).cast("long").alias("shared"))
+    rows = durable(classes_of(source))
+    described = rows.where("shared IS NULL").select("doc", "tag", "cid", "n")
     smaller = F.ceil(F.col("n") * PERCENT / HUNDRED)
-    left = marks.join(classes, "cid").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(smaller / 8)))
-    left = left.select(F.col("rep.doc").alias("doc"), F.col("rep.tag").alias("tag"), "cid").dropDuplicates(["doc", "tag"])
+    left = rows.where((F.col("n") > 0) & (F.col("shared") >= F.greatest(F.lit(1), F.floor(smaller / 8)))).select("doc", "tag", "cid")
     sets = durable(source.join(left, ["doc", "tag"]).select("doc", "raw", "cid").mapInArrow(_sets, "cid long, n long, codes binary"))
     prefix = durable(prefixes(sets))
-    labels, edges, turn = None, None, 0
+    labels, compared, turn = None, None, 0
     while True:
         if labels is None:
             known = prefix.withColumn("label", F.col("cid"))
@@ -399,12 +493,16 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             known = prefix.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         found = durable(candidates(known, turn))
         pairs = found.where("b IS NOT NULL")
+        either = [F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high")]
+        if compared is not None:
+            pairs = pairs.select("*", *either).join(compared, ["low", "high"], "left_anti").select("b", "c", "nb", "nc")
         if not pairs.isEmpty():
             new = durable(links(sets, pairs))
-            edges = new if edges is None else edges.unionByName(new)
             if not new.isEmpty():
-                joined = edges if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                joined = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
                 labels = components(joined)
+            this = found.where("b IS NOT NULL").select(*either)
+            compared = this if compared is None else compared.unionByName(this)
         elif turn == 0:
             break
         if turn and found.where("b IS NULL").isEmpty():

@@ -98,6 +98,17 @@ def rows(pairs: Iterable[tuple[int, bytes]], limit: int = 4 << 20) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["key", "blob"])
 
 
+def by_code(code: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by code, and among equal codes by the other keys; most codes occur once, and are sorted just once."""
+    order = np.argsort(code, kind="stable")
+    start, n = runs(code[order])
+    if (n > 1).any():
+        tied = np.flatnonzero(np.repeat(n, n) > 1)
+        part = order[tied]
+        order[tied] = part[np.lexsort((*(x[part] for x in then[::-1]), code[part]))]
+    return order
+
+
 #: What a map step finds in a batch: codes with their places, and places that are decided without any exchange.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -137,7 +148,7 @@ def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[...,
                 return
             doc, tag, pos, code = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
-            order = np.lexsort((doc, code))
+            order = by_code(code, doc)
             holds = np.zeros(len(order), bool)
             holds[order] = judge(code[order], doc[order])
             del order, code

@@ -79,7 +79,7 @@ def test_chains_edges_of_the_threshold_and_odd_rows(spark):
 
 def test_rounds_compare_all_pairs_that_matter():
     rng = np.random.default_rng(1)
-    for size in (2, 3, 7, 20):
+    for size in (2, 3, 7, 20, 60, 200):
         cid = np.arange(size)
         seen = set()
         turn = 1
