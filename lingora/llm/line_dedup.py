@@ -8,7 +8,8 @@ Each page's distinct lines are counted by 16-byte keys with partial sums before
 all pages share arrives as one row from each task. Lines under `least` go before any join. What is left is small: a page
 has L lines on average, so at most L / ratio lines of a host can exceed the ratio, whatever its size. They are kept as
 one array to a host and joined to the pages by host; Spark sends the arrays to all executors if their measured size is
-under spark.sql.autoBroadcastJoinThreshold, and otherwise shuffles, splitting a hot host's pages among tasks.
+under spark.sql.autoBroadcastJoinThreshold, and otherwise shuffles by host and a salt, which deals a hot host's pages
+to many tasks.
 
 Defined results: a line is what lies between line breaks, compared as it is; lines without a word never count and are
 never dropped; a null text stays null; a null host is the host ''; repeated rows are pages of their own; an empty table
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RATIO, LEAST = 0.08, 4
+#: A host's pages meet its lines in this many groups.
+SALTS = 32
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -48,8 +51,10 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
 def drop_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """The input's rows and columns with boilerplate lines gone from text, then n_lines and n_dropped."""
     site = F.coalesce(F.col(host), F.lit(""))
-    found = boilerplate(docs.select(site.alias("host"), "text"), ratio, least).select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
-    joined = docs.join(found, site == F.col("__host"), "left")
+    found = boilerplate(docs.select(site.alias("host"), "text"), ratio, least)
+    found = found.select(F.col("host").alias("__host"), F.col("keys").alias("__keys"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salt = F.pmod(F.xxhash64(*[c for c in docs.columns if c in ("doc_id", "text")]), F.lit(SALTS))
+    joined = docs.join(found, (site == F.col("__host")) & (salt == F.col("__salt")), "left")
     keep = F.when(
         F.col("__keys").isNotNull(),
         F.filter(_lines(F.col("text")), lambda line: ~_has_word(line) | ~F.array_contains(F.col("__keys"), _key(line))),
