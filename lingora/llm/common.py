@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -30,10 +31,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Computes df now and keeps it in the shared checkpoint folder, so a lost executor costs no recomputation."""
+def durable(df: DataFrame, small: bool = False) -> DataFrame:
+    """Computes df now and keeps it in the shared checkpoint folder, so a lost executor costs no recomputation.
+
+    small: few bytes in many partitions are likely; they are put together as their measured size allows.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.hint("rebalance") if small else df).checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of tables that are no longer in use.
+
+    Spark does so when the driver's collectors find them unreachable, which on a driver with free memory may be long
+    after an iterative job has filled the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,7 +65,7 @@ def spread_keys(spark: SparkSession, n: int) -> np.ndarray:
     return np.array([found.get(b, b) for b in range(n)], np.int64)
 
 
-def batches(source: Iterable[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the (binary) second column of each has about `limit` bytes at most."""
     for batch in source:
         start = 0
@@ -98,7 +112,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """64-bit codes of words, remembered for as many words as fit the bound."""
 
-    BOUND = 400_000
+    BOUND = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -12,7 +12,7 @@ def _roots(parent: DataFrame) -> DataFrame:
     """(a, up) with up followed to its end; each join doubles the steps that are followed."""
     while True:
         over = parent.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        jumped = durable(parent.join(over, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        jumped = durable(parent.join(over, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), small=True)
         parent = jumped.select("a", "up")
         if jumped.where("moved").isEmpty():
             return parent
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     one = edges.where("a <> b").select("a", "b")
     flip = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = None
-    left = durable(flip(one))
+    left = durable(flip(one), small=True)
     while not left.isEmpty():
         root = _roots(left.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
         to_a, to_b = root.select("a", F.col("up").alias("x")), root.select(F.col("a").alias("b"), F.col("up").alias("y"))
@@ -37,6 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             labels = root.select(F.col("a").alias("node"), F.col("up").alias("label"))
         else:
             step = root.select(F.col("a").alias("label"), F.col("up").alias("next"))
-            labels = durable(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
-        left = durable(contracted)
+            labels = durable(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), small=True)
+        left = durable(contracted, small=True)
     return labels if labels is not None else one.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingora.llm import packed
-from lingora.llm.common import WordCodes, batches, durable, mix, partitions, rolling, runs, spread_keys
+from lingora.llm.common import WordCodes, batches, durable, mix, partitions, release, rolling, runs, spread_keys
 from lingora.llm.components import components
 from lingora.llm.substring import _in_two
 
@@ -80,7 +80,7 @@ def classes_of(source: DataFrame) -> DataFrame:
     def scatter(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             memo = WordCodes()
-            for batch in batches(it, 12 << 20):
+            for batch in batches(it, 4 << 20):
                 seen, heads, owners, cids, sizes = set(), [], [], [], []
                 for raw in batch.column(1).to_pylist():
                     codes = shingles(raw, memo)
@@ -197,7 +197,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
     def scatter(it):
         def pairs():
-            for batch in batches(_third_first(it), 16 << 20):
+            for batch in batches(_third_first(it), 8 << 20):
                 code, cid, n, _ = _columns(_third_back(batch))
                 for b, (c, d, t) in packed.deal(packed.bucket_of(code, n_parts), code, cid, n):
                     yield int(keys[b]), packed.pack_places(d, t, np.zeros(len(d), np.int32), c)
@@ -335,7 +335,7 @@ def candidates(prefix: DataFrame, turn: int) -> DataFrame:
 
     def scatter(it):
         def pairs():
-            for batch in batches(_third_first(it), 16 << 20):
+            for batch in batches(_third_first(it), 8 << 20):
                 batch = _third_back(batch)
                 code, cid, n, row = _columns(batch)
                 code = mix(code)
@@ -419,23 +419,26 @@ def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     n_parts = partitions(spark)
     keys = spread_keys(spark, n_parts)
-    partners = pairs.groupBy(F.col("b").alias("cid")).agg(F.collect_list("c").alias("partners"))
-    pivots = pairs.select(F.col("c").alias("cid")).distinct().withColumn("partners", F.array().cast("array<long>"))
+    # PERCENT * (nb + nc) / (HUNDRED + PERCENT), rounded up: the overlap that makes a link.
+    need_ = F.ceil(F.lit(PERCENT) * (F.col("nb") + F.col("nc")) / (HUNDRED + PERCENT)).cast("long")
+    partner = F.struct(F.col("c").alias("c"), need_.alias("need"))
+    partners = pairs.groupBy(F.col("b").alias("cid")).agg(F.collect_list(partner).alias("partners"))
+    pivots = pairs.select(F.col("c").alias("cid")).distinct().withColumn("partners", F.array().cast("array<struct<c:long,need:long>>"))
     wanted = partners.unionByName(pivots).groupBy("cid").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     need = sets.join(wanted, "cid").select("cid", "n", "codes", "partners")
 
     def scatter(it):
         def pairs_():
-            for batch in batches(_third_first(it), 16 << 20):
+            for batch in batches(_third_first(it), 8 << 20):
                 batch = _third_back(batch)
                 code, cid, n, row = _columns(batch)
-                partners = [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
+                partners = [np.array([(y["c"], y["need"]) for y in x], np.int64).reshape(-1, 2) for x in batch.column(3).to_pylist()]
                 ids = batch.column(0).to_numpy()
                 for b, (c, d, r) in packed.deal(packed.bucket_of(code, n_parts), code, cid, row):
                     here = np.unique(r)
-                    pair_c = np.concatenate([partners[i] for i in here])
+                    pair_c, need_of = np.concatenate([partners[i] for i in here]).T
                     pair_b = np.repeat(ids[here], [len(partners[i]) for i in here])
-                    yield int(keys[b]), packed.pack(c, d, pair_b, pair_c)
+                    yield int(keys[b]), packed.pack(c, d, pair_b, pair_c, need_of)
 
         return packed.rows(pairs_())
 
@@ -444,12 +447,15 @@ def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             parts = [packed.unpack(blob) for batch in it for blob in batch.column(1).to_pylist()]
             if not parts:
                 return
-            code, cid, pair_b, pair_c = (np.concatenate(x) for x in zip(*parts))
+            code, cid, pair_b, pair_c, need_of = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
-            both = np.unique(np.stack([pair_b, pair_c]), axis=1) if len(pair_b) else np.zeros((2, 0), np.int64)
-            overlap = _partial_overlaps(code, cid, both[0], both[1])
+            order = np.lexsort((pair_c, pair_b))
+            at, _ = runs_of_pairs(pair_b[order], pair_c[order])
+            pair_b, pair_c, need_of = (x[order[at]] for x in (pair_b, pair_c, need_of))
+            overlap = _partial_overlaps(code, cid, pair_b, pair_c)
             some = overlap > 0
-            for b, out in packed.deal(packed.chunk_of(both[0][some], n_parts), both[0][some], both[1][some], overlap[some].astype(np.int32)):
+            found = (pair_b[some], pair_c[some], overlap[some].astype(np.int32), need_of[some].astype(np.int32))
+            for b, out in packed.deal(packed.chunk_of(found[0], n_parts), *found):
                 yield int(keys[b]), packed.pack(*out)
 
         return packed.rows(pairs_())
@@ -458,18 +464,17 @@ def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
         parts = [packed.unpack(blob) for batch in it for blob in batch.column(1).to_pylist()]
         if not parts:
             return
-        b, c, overlap = (np.concatenate(x) for x in zip(*parts))
+        b, c, overlap, need_of = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((c, b))
-        b, c, overlap = b[order], c[order], overlap[order]
-        at = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
-        total = np.add.reduceat(overlap.astype(np.int64), at)
+        b, c, overlap, need_of = b[order], c[order], overlap[order], need_of[order]
+        at, _ = runs_of_pairs(b, c)
+        if len(at):
+            at = at[np.add.reduceat(overlap.astype(np.int64), at) >= need_of[at]]
         for i in range(0, len(at), 10000):
-            yield pa.RecordBatch.from_arrays([pa.array(b[at[i : i + 10000]]), pa.array(c[at[i : i + 10000]]), pa.array(total[i : i + 10000])], ["b", "c", "overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(b[at[i : i + 10000]]), pa.array(c[at[i : i + 10000]])], ["a", "b"])
 
     dealt = need.mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
-    counted = dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "b long, c long, overlap long")
-    joined = counted.join(pairs, ["b", "c"])
-    return joined.where(HUNDRED * F.col("overlap") >= PERCENT * (F.col("nb") + F.col("nc") - F.col("overlap"))).select(F.col("b").alias("a"), F.col("c").alias("b"))
+    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "a long, b long")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -479,25 +484,26 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows (doc, tag, cid, n), and the component (node, label) of each class that has a link."""
-    rows = durable(classes_of(source))
+    spark = source.sparkSession
+    rows = durable(classes_of(source), small=True)
     described = rows.where("shared IS NULL").select("doc", "tag", "cid", "n")
     smaller = F.ceil(F.col("n") * PERCENT / HUNDRED)
     left = rows.where((F.col("n") > 0) & (F.col("shared") >= F.greatest(F.lit(1), F.floor(smaller / 8)))).select("doc", "tag", "cid")
     sets = durable(source.join(left, ["doc", "tag"]).select("doc", "raw", "cid").mapInArrow(_sets, "cid long, n long, codes binary"))
-    prefix = durable(prefixes(sets))
+    prefix = durable(prefixes(sets), small=True)
     labels, compared, turn = None, None, 0
     while True:
         if labels is None:
             known = prefix.withColumn("label", F.col("cid"))
         else:
             known = prefix.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        found = durable(candidates(known, turn))
+        found = durable(candidates(known, turn), small=True)
         pairs = found.where("b IS NOT NULL")
         either = [F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high")]
         if compared is not None:
             pairs = pairs.select("*", *either).join(compared, ["low", "high"], "left_anti").select("b", "c", "nb", "nc")
         if not pairs.isEmpty():
-            new = durable(links(sets, pairs))
+            new = durable(links(sets, pairs), small=True)
             if not new.isEmpty():
                 joined = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
                 labels = components(joined)
@@ -508,6 +514,7 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if turn and found.where("b IS NULL").isEmpty():
             break
         turn += 1
+        release(spark)
     return described, labels
 
 

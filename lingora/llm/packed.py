@@ -113,7 +113,7 @@ def by_code(code: np.ndarray, *then: np.ndarray) -> np.ndarray:
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[..., np.ndarray], batch_bytes: int = 12 << 20) -> DataFrame:
+def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[..., np.ndarray], batch_bytes: int = 6 << 20) -> DataFrame:
     """Marks of documents: (doc, tag, marks), marks being the int32 positions that were found to hold.
 
     source: doc, raw, tag and what else `find` needs. find(batch) gives codes with their document, tag and position,
