@@ -9,7 +9,7 @@ equal windows share; a maximal run of windows with one anchor is a fragment, and
  2. Anchors alone are exchanged (packed, reduced in each batch): most occur once, and end all their windows.
  3. Fragments of anchors that repeat go to their shards, each batch shipping a fragment once, whatever its copies.
     A shard keeps distinct fragments, each with its earliest place, and builds a suffix array over those whose anchor
-    code another fragment has. Neighbours that agree on `width` bytes are places of one string; its earliest place
+    code another fragment has, a few megabytes of whole code groups at a time. Neighbours that agree on `width` bytes are places of one string; its earliest place
     stays and all others are marked. Shards shrink as spark.sql.shuffle.partitions rises; the sorter's queue goes to
     disk beyond its memory limit.
 
@@ -157,12 +157,23 @@ def repeated_windows(text: list[bytes], doc: np.ndarray, start: np.ndarray, widt
     return fragment[later], within[later]
 
 
+def _shards(fragments: np.ndarray, code: np.ndarray, lengths: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Fragments, sorted by code, in parts of about `limit` bytes that keep those of one code together."""
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(fragments):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        stop = int(np.searchsorted(code[fragments], code[fragments[stop - 1]], "right"))
+        yield fragments[start:stop]
+        start = stop
+
+
 def _span_rows(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, count: np.ndarray):
     order = np.lexsort((first, tag, doc))
     return doc[order], tag[order], first[order], count[order].astype(np.int32)
 
 
-def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int) -> DataFrame:
+def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, shard: int) -> DataFrame:
     """(doc, tag, marks): runs of repeated windows as int32 pairs (first, number)."""
     spark = docs_with_anchors.sparkSession
     n_parts = partitions(spark)
@@ -170,7 +181,7 @@ def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int) ->
 
     def scatter(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
-            for batch in batches(it, 6 << 20):
+            for batch in batches(it, 4 << 20):
                 start, n, row, code, data, offsets = _fragments(batch, width, gram)
                 doc, tag = _ids(batch)
                 raw = data.tobytes()
@@ -227,8 +238,13 @@ def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int) ->
             code_of = code[lead]
             _, back, count = np.unique(code_of, return_inverse=True, return_counts=True)
             shared = np.flatnonzero(count[back] > 1)
-            hit, window = repeated_windows([texts[i] for i in shared], doc[lead[shared]], pos[lead[shared]], width, memory)
-            hit = shared[hit]
+            shared = shared[np.argsort(back[shared], kind="stable")]
+            hits, windows = [], []
+            for part in _shards(shared, back, np.fromiter((len(texts[i]) for i in shared), np.int64, len(shared)), shard):
+                h, w = repeated_windows([texts[i] for i in part], doc[lead[part]], pos[lead[part]], width, memory)
+                hits.append(part[h])
+                windows.append(w)
+            hit, window = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (hits, windows))
             by = np.lexsort((window, hit))
             hit, window = hit[by], window[by]
             begin = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | (window[1:] != window[:-1] + 1)]) if len(hit) else np.zeros(0, np.int64)
@@ -296,7 +312,7 @@ def _whole(width: int, it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], ["doc", "tag", "marks"])
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = 256 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = 64 << 20, shard: int = 2 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans are removed runs of bytes, by place."""
     if gram % 8 or not 8 <= gram <= width:
         raise ValueError("gram must be a multiple of 8, and width at least as large")
@@ -306,7 +322,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory
     copies = described.join(earliest, "digest").where("doc > least").select("doc", "tag", "size").distinct()
     anchors = packed.exchange(source, partial(_anchor_level, width, gram), _twice, 3 << 20)
     living = packed.with_marks(source, anchors.join(copies, ["doc", "tag"], "left_anti"), "inner")
-    marks = removed(living, width, gram, memory).unionByName(copies.mapInArrow(partial(_whole, width), packed.MARKED))
+    marks = removed(living, width, gram, memory, shard).unionByName(copies.mapInArrow(partial(_whole, width), packed.MARKED))
     return packed.with_marks(source, marks).mapInArrow(partial(_cut, width), RESULT)
 
 
