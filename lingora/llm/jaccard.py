@@ -189,11 +189,14 @@ def _gathered(it: Iterable[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [np.concatenate(x) for x in zip(*parts)] if parts else None
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
+def fragments(spark: SparkSession, codes: int) -> int:
+    """How many fragments a number of codes is cut into: some megabytes each, as many as the shuffle has at most."""
+    return max(1, min(partitions(spark), -(-codes * 16 // (4 << 20))))
+
+
+def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
     """(cid, n, codes, own): prefixes in the order of frequency, own being the share of codes that occur once, in 1/1000."""
-    spark = sets.sparkSession
-    n_parts = partitions(spark)
-    keys = spread_keys(spark, n_parts)
+    keys = spread_keys(sets.sparkSession, n_parts)
 
     def scatter(it):
         def pairs():
@@ -327,11 +330,9 @@ def runs_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.diff(np.r_[at, len(a)])
 
 
-def candidates(prefix: DataFrame, turn: int) -> DataFrame:
+def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
     """(b, c, nb, nc) to compare in a round, for prefixes with labels; a row (null, ...) says that more may follow."""
-    spark = prefix.sparkSession
-    n_parts = partitions(spark)
-    keys = spread_keys(spark, n_parts)
+    keys = spread_keys(prefix.sparkSession, n_parts)
 
     def scatter(it):
         def pairs():
@@ -414,11 +415,9 @@ def _partial_overlaps(code, cid, pair_b, pair_c, step: int = 4_000_000) -> np.nd
     return out
 
 
-def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def links(sets: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
     """Those pairs (a, b) of the given (b, c, nb, nc) whose sets link."""
-    spark = sets.sparkSession
-    n_parts = partitions(spark)
-    keys = spread_keys(spark, n_parts)
+    keys = spread_keys(sets.sparkSession, n_parts)
     # PERCENT * (nb + nc) / (HUNDRED + PERCENT), rounded up: the overlap that makes a link.
     need_ = F.ceil(F.lit(PERCENT) * (F.col("nb") + F.col("nc")) / (HUNDRED + PERCENT)).cast("long")
     partner = F.struct(F.col("c").alias("c"), need_.alias("need"))
@@ -434,17 +433,26 @@ def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 code, cid, n, row = _columns(batch)
                 partners = [np.array([(y["c"], y["need"]) for y in x], np.int64).reshape(-1, 2) for x in batch.column(3).to_pylist()]
                 ids = batch.column(0).to_numpy()
-                for b, (c, d, r) in packed.deal(packed.bucket_of(code, n_parts), code, cid, row):
-                    here = np.unique(r)
-                    pair_c, need_of = np.concatenate([partners[i] for i in here]).T
-                    pair_b = np.repeat(ids[here], [len(partners[i]) for i in here])
-                    yield int(keys[b]), packed.pack(c, d, pair_b, pair_c, need_of)
+                for b, (c, r) in packed.deal(packed.bucket_of(code, n_parts), code, row):
+                    # Sets by their place in the blob, pairs in the order of their pivots: little of a pair is left.
+                    at, count = runs(r)
+                    here = r[at]
+                    pivot, need_of = np.concatenate([partners[i] for i in here]).T
+                    of = np.repeat(np.arange(len(here)), [len(partners[i]) for i in here])
+                    table, index = np.unique(pivot, return_inverse=True)
+                    order = np.argsort(index, kind="stable")
+                    small = [np.diff(index[order], prepend=0).astype(np.int32), of[order].astype(np.int32), need_of[order].astype(np.int32)]
+                    yield int(keys[b]), packed.pack(c, ids[here], count.astype(np.int32), table, *small)
 
         return packed.rows(pairs_())
 
     def gather(it):
         def pairs_():
-            parts = [packed.unpack(blob) for batch in it for blob in batch.column(1).to_pylist()]
+            parts = []
+            for batch in it:
+                for blob in batch.column(1).to_pylist():
+                    c, ids, count, table, index, of, need = packed.unpack(blob)
+                    parts.append((c, np.repeat(ids, count), ids[of], table[np.cumsum(index)], need))
             if not parts:
                 return
             code, cid, pair_b, pair_c, need_of = (np.concatenate(x) for x in zip(*parts))
@@ -490,20 +498,22 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     smaller = F.ceil(F.col("n") * PERCENT / HUNDRED)
     left = rows.where((F.col("n") > 0) & (F.col("shared") >= F.greatest(F.lit(1), F.floor(smaller / 8)))).select("doc", "tag", "cid")
     sets = durable(source.join(left, ["doc", "tag"]).select("doc", "raw", "cid").mapInArrow(_sets, "cid long, n long, codes binary"))
-    prefix = durable(prefixes(sets), small=True)
+    cut = fragments(spark, sets.agg(F.sum("n")).first()[0] or 0)
+    prefix = durable(prefixes(sets, cut), small=True)
+    thin = fragments(spark, (prefix.agg(F.sum(F.length("codes"))).first()[0] or 0) // 4)
     labels, compared, turn = None, None, 0
     while True:
         if labels is None:
             known = prefix.withColumn("label", F.col("cid"))
         else:
             known = prefix.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        found = durable(candidates(known, turn), small=True)
+        found = durable(candidates(known, turn, thin), small=True)
         pairs = found.where("b IS NOT NULL")
         either = [F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high")]
         if compared is not None:
             pairs = pairs.select("*", *either).join(compared, ["low", "high"], "left_anti").select("b", "c", "nb", "nc")
         if not pairs.isEmpty():
-            new = durable(links(sets, pairs), small=True)
+            new = durable(links(sets, pairs, cut), small=True)
             if not new.isEmpty():
                 joined = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
                 labels = components(joined)
