@@ -2,7 +2,8 @@
 
 A corpus has far more windows than rows, so a row for each window would spend most of a shuffle on row headers.
 Here each map task packs the occurrences that one bucket gets into a single binary row: codes as they are, document
-ids as runs, positions as compressed differences. Buckets are ranges of the code, one to a shuffle partition, so the
+ids as runs, positions as compressed differences. Buckets are ranges of the mixed code (anchors are minima, so that
+their codes are not spread evenly by themselves), one to a shuffle partition, so the
 bytes of a bucket fall as the cluster's spark.sql.shuffle.partitions rises. Occurrences are reduced before they are
 shipped (a batch ships one document for each code), which bounds what a very common window costs: one entry for each
 batch of text, not one for each document.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingora.llm.common import batches, buffer_of, partitions, runs, spread_keys
+from lingora.llm.common import batches, buffer_of, mix, partitions, runs, spread_keys
 
 #: A document with a null id counts as later than all others.
 LAST = 2**63 - 1
@@ -68,8 +69,6 @@ def bucket_of(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def chunk_of(doc: np.ndarray, n: int) -> np.ndarray:
-    from lingora.llm.common import mix
-
     return bucket_of(mix(doc.astype(np.uint64)), n)
 
 
@@ -128,7 +127,7 @@ def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[...,
         def pairs():
             for batch in batches(it, batch_bytes):
                 code, doc, tag, pos, sure = find(batch)
-                for b, (c, d, t, p) in deal(bucket_of(code, n), code, doc, tag, pos):
+                for b, (c, d, t, p) in deal(bucket_of(mix(code), n), code, doc, tag, pos):
                     yield int(keys[b]), b"\0" + pack_places(d, t, p, c)
                 for b, (d, t, p) in deal(chunk_of(sure[0], n), *sure):
                     yield int(keys[b]), b"\1" + pack_places(d, t, p)

@@ -200,7 +200,7 @@ def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, sh
                     same = doc[row[i]] == doc[row[j]] and start[i] - offsets[row[i]] == start[j] - offsets[row[j]]
                     (first if same else sure).append(i)
                 f = np.array(sorted(first), np.int64)
-                for b, (i,) in packed.deal(packed.bucket_of(code[f], n_parts), f):
+                for b, (i,) in packed.deal(packed.bucket_of(mix(code[f]), n_parts), f):
                     texts = b"".join(raw[s : s + k + width - 1] for s, k in zip(start[i].tolist(), n[i].tolist()))
                     places = packed.pack_places(doc[row[i]], tag[row[i]], start[i] - offsets[row[i]], n[i].astype(np.int32), code[i], np.frombuffer(texts, np.uint8))
                     yield int(keys[b]), b"\0" + places
