@@ -13,8 +13,10 @@ summed per pair. Nothing of a set but the part in the fragment is ever in one pl
     code), the first n - ceil(t n) + 1 codes of two linked sets have one in common (the prefix filter). Codes that occur
     once come first; a class that has that many of them has no link.
  4. Rounds. The classes with a common prefix code form a group. Comparing all pairs of a group would be quadratic for
-    near copies, and is not needed for components: members are ranked, those with the fewest codes of their own first;
-    a round takes the next ranks (4, then 16, 64, ...) as pivots and compares them with the later members that are in
+    near copies, and is not needed for components: members are ranked, those with the fewest codes of their own first
+    (of two sets that have their first common code here, the codes before it and those that no other class has bound
+    the overlap from above, which rules out most pairs);
+    a round takes the next ranks (32, then 1024, ...) as pivots and compares them with the later members that are in
     another component by now; where the pairs across components are few for a group's size, all are compared at once.
     A first round compares each class with its best-supported pivot alone, which joins most near copies at once. Comparisons are verified exactly, by overlaps per fragment. Rounds end when the members not yet
     compared with each other are in one component in every group: no link can be missing between components.
@@ -195,7 +197,7 @@ def fragments(spark: SparkSession, codes: int) -> int:
 
 
 def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
-    """(cid, n, codes, own): prefixes in the order of frequency, own being the share of codes that occur once, in 1/1000."""
+    """(cid, n, codes, most): prefixes in the order of frequency, most being the codes that another class has too."""
     keys = spread_keys(sets.sparkSession, n_parts)
 
     def scatter(it):
@@ -238,13 +240,13 @@ def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
         starts, shared = runs(cid)
         size = n[starts]
         take = size - least_overlap(size) + 1 - (size - shared)
-        out = [(int(cid[s]), int(m), code[s : s + t].tobytes(), int(1000 * (m - k) // m)) for s, k, m, t in zip(starts, shared, size, take) if t > 0]
+        out = [(int(cid[s]), int(m), code[s : s + t].tobytes(), int(k)) for s, k, m, t in zip(starts, shared, size, take) if t > 0]
         for i in range(0, len(out), 2000):
             part = list(zip(*out[i : i + 2000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int64())], ["cid", "n", "codes", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int64())], ["cid", "n", "codes", "most"])
 
     dealt = sets.select("cid", "n", "codes").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
-    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "cid long, n long, codes binary, own long")
+    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "cid long, n long, codes binary, most long")
 
 
 def _third_first(it):
@@ -263,23 +265,40 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def first_rank(turn: int) -> int:
-    """Members of a lower rank have been compared with all others when a round begins: 0, 4, 20, 84, ..."""
-    return 0 if turn <= 1 else 4 * first_rank(turn - 1) + 4
+    """Members of a lower rank have been compared with all others when a round begins: 0, 32, 1056, ..."""
+    return 0 if turn <= 1 else 32 * first_rank(turn - 1) + 32
 
 
-def _ranked_pairs(code, cid, n, own, label, turn: int) -> tuple[list[np.ndarray], bool]:
+def needed(na, nb):
+    """The least overlap of two sets that link: the union is na + nb less the overlap."""
+    return -(-PERCENT * (na + nb) // (HUNDRED + PERCENT))
+
+
+def _able(code, n, most) -> np.ndarray:
+    """Entries of classes that can reach the overlap needed with the smallest set of the group that they may link with."""
+    order = np.argsort(code, kind="stable")
+    start, size = runs(code[order])
+    least = np.empty(len(code), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(n[order], start), size) if len(start) else 0
+    return most >= needed(n, np.maximum(least, least_overlap(n)))
+
+
+def _ranked_pairs(code, cid, n, most, label, turn: int) -> tuple[list[np.ndarray], bool]:
     """Pairs (later, pivot) of all groups for a round, and whether pairs are left for later rounds.
 
-    turn 0: every group's first member is the pivot, whatever the labels.
+    turn 0: every group's first member is the pivot, whatever the labels. most: the codes of a set, from this one on,
+    that others have too. If this is the first common code of a pair, its overlap is no larger; a pair that links meets
+    in the group of its first common code, so pairs and members that the bound rules out are left out of this group.
     """
-    order = np.lexsort((cid, own, code))
-    code, cid, n, label = code[order], cid[order], n[order], label[order]
+    able = _able(code, n, most)
+    code, cid, n, most, label = code[able], cid[able], n[able], most[able], label[able]
+    order = np.lexsort((cid, 1000 * (n - most) // n, code))
+    code, cid, n, most, label = code[order], cid[order], n[order], most[order], label[order]
     starts, size = runs(code)
     b, c = [], []
 
     def pair(later: np.ndarray, pivot: np.ndarray) -> None:
-        small, large = np.minimum(n[pivot], n[later]), np.maximum(n[pivot], n[later])
-        ok = (label[pivot] != label[later]) & (HUNDRED * small >= PERCENT * large)
+        ok = (label[pivot] != label[later]) & (np.minimum(most[pivot], most[later]) >= needed(n[pivot], n[later]))
         b.append(later[ok])
         c.append(pivot[ok])
 
@@ -340,8 +359,11 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
                 batch = _third_back(batch)
                 code, cid, n, row = _columns(batch)
                 code = mix(code)
-                own, label = batch.column(3).to_numpy()[row], batch.column(4).to_numpy()[row]
-                for b, (c, d, t, o, k) in packed.deal(packed.bucket_of(code, n_parts), code, cid, n, own, label):
+                # Of two sets' first common code, each set has just the codes from there on to share.
+                at, count = runs(row)
+                most = batch.column(3).to_numpy()[row] - (np.arange(len(row)) - np.repeat(at, count))
+                label = batch.column(4).to_numpy()[row]
+                for b, (c, d, t, o, k) in packed.deal(packed.bucket_of(code, n_parts), code, cid, n, most, label):
                     yield int(keys[b]), packed.pack_places(d, t, np.zeros(len(d), np.int32), c, o, k)
 
         return packed.rows(pairs())
@@ -351,8 +373,8 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
             got = _gathered(it)
             if got is None:
                 return
-            cid, n, _, code, own, label = got
-            found, more = _ranked_pairs(code, cid, n.astype(np.int64), own, label, turn)
+            cid, n, _, code, most, label = got
+            found, more = _ranked_pairs(code, cid, n.astype(np.int64), most, label, turn)
             for b, parts in packed.deal(packed.chunk_of(found[0], n_parts), *found):
                 yield int(keys[b]), b"\0" + packed.pack(*parts)
             if more:
@@ -385,7 +407,7 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
         if more:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4, names)
 
-    dealt = prefix.select("cid", "n", "codes", "own", "label").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
+    dealt = prefix.select("cid", "n", "codes", "most", "label").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
     return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "b long, c long, nb long, nc long")
 
 
@@ -418,7 +440,7 @@ def _partial_overlaps(code, cid, pair_b, pair_c, step: int = 4_000_000) -> np.nd
 def links(sets: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
     """Those pairs (a, b) of the given (b, c, nb, nc) whose sets link."""
     keys = spread_keys(sets.sparkSession, n_parts)
-    # PERCENT * (nb + nc) / (HUNDRED + PERCENT), rounded up: the overlap that makes a link.
+    # As needed() has it.
     need_ = F.ceil(F.lit(PERCENT) * (F.col("nb") + F.col("nc")) / (HUNDRED + PERCENT)).cast("long")
     partner = F.struct(F.col("c").alias("c"), need_.alias("need"))
     partners = pairs.groupBy(F.col("b").alias("cid")).agg(F.collect_list(partner).alias("partners"))
