@@ -40,7 +40,7 @@ from lingora.llm.common import WordCodes, batches, durable, mix, partitions, rel
 from lingora.llm.components import components
 from lingora.llm.substring import _in_two
 
-WIDTH = 5
+WIDTH, SALTS = 5, 16
 #: Two sets link when HUNDRED * overlap >= PERCENT * union.
 PERCENT, HUNDRED = 75, 100
 
@@ -95,8 +95,13 @@ def classes_of(source: DataFrame) -> DataFrame:
                         owners.append(np.full(len(heads[-1]), cids[-1], np.int64))
                 doc, tag = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 cid = np.array(cids, np.int64)
-                for b, (c, d, t, n) in packed.deal(packed.chunk_of(cid, n_parts), cid, doc, tag, np.array(sizes, np.int32)):
-                    yield int(keys[b]), b"\1" + packed.pack(c, d, t, n)
+                size = np.array(sizes, np.int32)
+                for b, x in packed.deal(packed.chunk_of(doc, n_parts), cid, doc, tag, size):
+                    yield int(keys[b]), b"\1" + packed.pack(*x)
+                order = np.lexsort((tag, doc, cid))
+                lead = order[runs(cid[order])[0]]  # of each class of the batch, its earliest document
+                for b, x in packed.deal(packed.chunk_of(cid[lead], n_parts), cid[lead], doc[lead], tag[lead], size[lead]):
+                    yield int(keys[b]), b"\3" + packed.pack(*x)
                 if not heads:
                     continue
                 # Heads hold the least codes; mixed again, they spread over all buckets.
@@ -141,27 +146,31 @@ def classes_of(source: DataFrame) -> DataFrame:
         return packed.rows(pairs())
 
     def settle(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        described, counted = [], []
+        leads, counted = [], []
+        names = ["doc", "tag", "cid", "n", "shared"]
+
+        def out(cid, doc, tag, n, shared=None) -> pa.RecordBatch:
+            last = pa.nulls(len(cid), pa.int64()) if shared is None else pa.array(shared)
+            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (doc, tag, cid, n)), last], names)
+
         for batch in it:
             for blob in batch.column(1).to_pylist():
-                (described if blob[0] == 1 else counted).append(packed.unpack(blob[1:]))
-        if not described:
+                if blob[0] == 1:
+                    yield out(*packed.unpack(blob[1:]))
+                else:
+                    (leads if blob[0] == 3 else counted).append(packed.unpack(blob[1:]))
+        if not leads:
             return
-        cid, doc, tag, n = (np.concatenate(x) for x in zip(*described))
+        cid, doc, tag, n = (np.concatenate(x) for x in zip(*leads))
         order = np.lexsort((tag, doc, cid))
-        cid, doc, tag, n = cid[order], doc[order], tag[order], n[order].astype(np.int64)
-        first, _ = runs(cid)
-        shared = np.zeros(len(first), np.int64)
+        first = order[runs(cid[order])[0]]
+        cid, doc, tag, n = cid[first], doc[first], tag[first], n[first]
+        shared = np.zeros(len(cid), np.int64)
         if counted:
             of, count = (np.concatenate(x) for x in zip(*counted))
-            np.add.at(shared, np.searchsorted(cid[first], of), count)
-        names = ["doc", "tag", "cid", "n", "shared"]
+            np.add.at(shared, np.searchsorted(cid, of), count)
         for i in range(0, len(cid), 10000):
-            part = slice(i, i + 10000)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (doc, tag, cid, n)), pa.nulls(len(cid[part]), pa.int64())], names)
-        for i in range(0, len(first), 10000):
-            at = first[i : i + 10000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (doc, tag, cid, n)), pa.array(shared[i : i + 10000])], names)
+            yield out(*(x[i : i + 10000] for x in (cid, doc, tag, n, shared)))
 
     dealt = source.mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
     return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "doc long, tag long, cid long, n long, shared long")
@@ -558,7 +567,9 @@ def _membership(described: DataFrame, labels: DataFrame | None) -> DataFrame:
         least = labelled.groupBy("label").agg(F.min("least").alias("of_label"))
         linked = labelled.join(least, "label").select("cid", "of_label")
         classes = classes.join(linked, "cid", "left").select("cid", F.coalesce("of_label", "least").alias("least"))
-    out = described.join(classes, "cid", "left")
+    # Copies of a text meet their class in SALTS groups.
+    salted = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = described.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).join(salted, ["cid", "salt"], "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
     late = F.lit(packed.LAST)
     return out.select(F.nullif("doc", late).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, late).alias("component_id"), F.col("cid").alias("class_id"))
