@@ -36,6 +36,8 @@ from lingora.llm import induced, packed
 from lingora.llm.common import batches, buffer_of, mix, partitions, runs, spread_keys
 
 WIDTH, GRAM = 100, 40
+#: Copies of a text meet the earliest of them in this many groups.
+SALTS = 16
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
 
@@ -319,7 +321,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory
     source = packed.keyed(docs)
     described = source.select("doc", "tag", F.md5("raw").alias("digest"), F.length("raw").alias("size")).where(F.col("size") >= width)
     earliest = described.groupBy("digest").agg(F.min("doc").alias("least"))
-    copies = described.join(earliest, "digest").where("doc > least").select("doc", "tag", "size").distinct()
+    salted = earliest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    described = described.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    copies = described.join(salted, ["digest", "salt"]).where("doc > least").select("doc", "tag", "size").distinct()
     anchors = packed.exchange(source, partial(_anchor_level, width, gram), _twice, 3 << 20)
     living = packed.with_marks(source, anchors.join(copies, ["doc", "tag"], "left_anti"), "inner")
     marks = removed(living, width, gram, memory, shard).unionByName(copies.mapInArrow(partial(_whole, width), packed.MARKED))
