@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding, with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each adjacent pair that has a rank waits in the bucket of that rank, as the
-list position of its left part. A three-level bitmap over the ranks names the buckets in use, so find-first-set gives
-the lowest rank in three steps whatever the length of the pre-token. Entries are never removed: one whose pair has
+list position of its left part. A two-level bitmap over the ranks names the buckets in use, so find-first-set gives the
+lowest rank in two steps whatever the length of the pre-token. Entries are never removed: one whose pair has
 changed since is stale, and is skipped when its turn comes. A pre-token of n bytes costs O(n log n), also where it is
 one run of a single letter over megabytes.
 
@@ -34,43 +34,51 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+WORD = 8  # a bitmap word covers 2 ** WORD ranks
+
+
 class RankQueue:
-    """Positions by rank; the lowest rank comes first and, within it, the leftmost position."""
+    """Positions by rank; the lowest rank comes first and, within it, the leftmost position.
 
-    __slots__ = ("buckets", "leaves", "middle", "root")
+    A bucket with one position is that number; more are a heap. Words are 256 bits wide, which Python's integers hold
+    as easily as 64, so that two levels cover vocabularies of hundreds of thousands.
+    """
+
+    __slots__ = ("buckets", "root", "words")
 
     def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
+        self.buckets: dict[int, int | list[int]] = {}
+        self.words: dict[int, int] = {}
         self.root = 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is None:
+            self.buckets[rank] = position
+            word = rank >> WORD
+            self.words[word] = self.words.get(word, 0) | 1 << (rank & 255)
+            self.root |= 1 << word
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.leaves[a] = self.leaves.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.root |= 1 << b
 
     def pop(self) -> tuple[int, int]:
         """The first (rank, position); the queue must not be empty."""
-        b = (self.root & -self.root).bit_length() - 1
-        word = self.middle[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        leaf = self.leaves[a]
-        rank = a << 6 | (leaf & -leaf).bit_length() - 1
+        word = (self.root & -self.root).bit_length() - 1
+        bits = self.words[word]
+        rank = word << WORD | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.leaves[a] = leaf = leaf & (leaf - 1)
-            if not leaf:
-                self.middle[b] = word = word & (word - 1)
-                if not word:
-                    self.root &= self.root - 1
+        if bucket.__class__ is not int:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        else:
+            position = bucket
+        del self.buckets[rank]
+        self.words[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.root &= self.root - 1
         return rank, position
 
     def __bool__(self) -> bool:
@@ -83,18 +91,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if whole is not None:
         return (whole,)
     n = len(piece)
+    find = ranks.get
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    waiting: list[int | None] = [None] * n  # the rank of the pair that begins here, as of now
-    find = ranks.get
+    waiting = [find(piece[i : i + 2]) for i in range(n - 1)]  # the rank of the pair that begins at a place, as of now
+    waiting.append(None)
     queue = RankQueue()
-    for i in range(n - 1):
-        r = find(piece[i : i + 2])
+    push, pop = queue.push, queue.pop
+    for i, r in enumerate(waiting):
         if r is not None:
-            waiting[i] = r
-            queue.push(r, i)
-    while queue:
-        r, i = queue.pop()
+            push(r, i)
+    while queue.root:
+        r, i = pop()
         if waiting[i] != r:
             continue
         gone = after[i]
@@ -103,10 +111,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         after[i] = end
         if end < n:
             before[end] = i
-            r = find(piece[i : after[end]])
-            waiting[i] = r
+            waiting[i] = r = find(piece[i : after[end]])
             if r is not None:
-                queue.push(r, i)
+                push(r, i)
         else:
             waiting[i] = None
         left = before[i]
@@ -115,19 +122,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
             if r != waiting[left]:
                 waiting[left] = r
                 if r is not None:
-                    queue.push(r, left)
+                    push(r, left)
     out = []
     i = 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        out.append(ranks[piece[i:end]])
+        i = end
     return tuple(out)
 
 
 class Encoder(dict):
     """Ids by pre-token. Holds at most BOUND pre-tokens of at most LONG characters."""
 
-    BOUND, LONG = 400_000, 48
+    BOUND, LONG = 300_000, 48
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
@@ -136,6 +144,7 @@ class Encoder(dict):
         self.ranks = ranks
         self.pieces = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.names = [str(i) for i in range(len(self.tokens))]
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
@@ -189,7 +198,7 @@ class _Digest:
     columns = (("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
 
     def __call__(self, encoder: Encoder, ids: list[int]):
-        return len(ids), {"ids_sha256": hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(encoder.decode(ids)).hexdigest()}
+        return len(ids), {"ids_sha256": hashlib.sha256(",".join(map(encoder.names.__getitem__, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(encoder.decode(ids)).hexdigest()}
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
