@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared in a normal form: lower case, with each run of ASCII white space and punctuation as one space. Items
-are cut into parts of PART bytes, one every half part (an item that is shorter is one part). A document leaks an item
+are cut into parts of PART bytes, one every STRIDE bytes (an item that is shorter is one part). A document leaks an item
 if some part of it aligns with a stretch of the document within the part's edit budget k, a sixteenth of its length.
 
 By the q-gram lemma such a stretch shares at least m - q + 1 - k * q of the part's q-grams, and since k edits shift the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lingora.llm.common import batches, mix
 
-Q, PART, LEAST, RATE = 12, 80, 24, 16
+Q, PART, STRIDE, LEAST, RATE = 12, 64, 16, 24, 16
 BLOCK = 4 << 20
 RESULT = "doc_id long, leaked boolean, item_ids array<long>, n_regions long"
 _FORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -82,7 +82,7 @@ def index(items: list[tuple[int, bytes]]) -> Index:
     for item, t in items:
         if len(t) < LEAST:
             continue
-        starts = [0] if len(t) <= PART else [*range(0, len(t) - PART, PART // 2), len(t) - PART]
+        starts = [0] if len(t) <= PART else [*range(0, len(t) - PART, STRIDE), len(t) - PART]
         owner += [item] * len(starts)
         text += [t[s : s + PART] for s in starts]
     each = [codes(np.frombuffer(t, np.uint8)) for t in text]
@@ -221,8 +221,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 here = [normal(x.encode()) if x else b"" for x in part.column(place).to_pylist()]
                 bad = np.zeros(len(here), bool)
                 for s in sent:

@@ -22,7 +22,7 @@ def brute(items, docs):
         for i, x in items:
             if len(x) < D.LEAST:
                 continue
-            starts = [0] if len(x) <= D.PART else [*range(0, len(x) - D.PART, D.PART // 2), len(x) - D.PART]
+            starts = [0] if len(x) <= D.PART else [*range(0, len(x) - D.PART, D.STRIDE), len(x) - D.PART]
             for s in starts:
                 part = x[s : s + D.PART]
                 if distance(part, t) <= D.budget(len(part)):
