@@ -216,15 +216,23 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(left, start, step), -1)
 
 
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table in the bits of one integer: each 0 is a step up."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
 def similarity(a: str, b: str) -> float:
     """Twice the common subsequence over both lengths."""
     if a == b:
         return 1.0 if a else 0.0
     if not a or not b:
         return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * lcs(a, b) / (len(a) + len(b))

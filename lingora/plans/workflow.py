@@ -170,13 +170,18 @@ def locale_package(spark, sf_dir):
     return M.packages(e, F.lit("de")).select("output", "package", F.array_join("sources", ",").alias("sources"))
 
 
-def _two_versions(spark, sf_dir):
-    """Turns of conversations as segments, and an earlier map that lacks every fifth and has some text of its own."""
+def _two_versions(spark, sf_dir, whole=True):
+    """Turns of conversations as segments, and an earlier map that lacks every fifth and has some text of its own.
+
+    whole: whole turns; without it only their first characters, as the SQL of merge_exact and deprecated_entries has them.
+    """
     c = table(spark, sf_dir, "conversations")
-    seg = c.select(F.concat(F.lit("chat/"), "conv_id").alias("source_path"), F.substr("text", F.lit(1), F.lit(40)).alias("text"), F.col("turn").cast("int").alias("ord"))
+    head = lambda n: F.col("text") if whole else F.substr("text", F.lit(1), F.lit(n))
+    path = F.concat(F.lit("chat/"), "conv_id").alias("source_path")
+    seg = c.select(path, head(40).alias("text"), F.col("turn").cast("int").alias("ord"))
     seg = seg.withColumn("id", T.segment_id(F.col("text"), F.col("source_path")))
-    old = c.where("(conv_id + turn) % 5 > 0").select(F.concat(F.lit("chat/"), "conv_id").alias("source_path"), F.substr("text", F.lit(1), F.lit(40)).alias("text"), F.col("turn").cast("int").alias("ord"), F.col("role").alias("translation"))
-    gone = c.where("turn % 2 = 0").select(F.concat(F.lit("chat/"), "conv_id").alias("source_path"), F.concat(F.lit("old "), F.substr("text", F.lit(1), F.lit(20))).alias("text"), (F.col("turn") + 1000).cast("int").alias("ord"), F.col("role").alias("translation"))
+    old = c.where("(conv_id + turn) % 5 > 0").select(path, head(40).alias("text"), F.col("turn").cast("int").alias("ord"), F.col("role").alias("translation"))
+    gone = c.where("turn % 2 = 0").select(path, F.concat(F.lit("old "), head(20)).alias("text"), (F.col("turn") + 1000).cast("int").alias("ord"), F.col("role").alias("translation"))
     both = old.unionByName(gone)
     return seg, both.groupBy("source_path", "text").agg(F.min_by("translation", "ord").alias("translation"), F.min("ord").alias("ord"))
 
@@ -188,14 +193,33 @@ both_ AS (SELECT 'chat/' || conv_id AS source_path, substr(text, 1, 40) AS text,
 prev AS (SELECT source_path, text, arg_min(translation, ord) AS translation, min(ord) AS ord FROM both_ GROUP BY ALL)"""
 
 
-def merge_exact(spark, sf_dir):
-    seg, old = _two_versions(spark, sf_dir)
+_WHOLE_VERSIONS = """
+seg AS (SELECT 'chat/' || conv_id AS source_path, text, turn::INT AS ord, substr(sha256(text || ':chat/' || conv_id), 1, 8) AS id FROM conversations),
+both_ AS (SELECT 'chat/' || conv_id AS source_path, text, turn::INT AS ord, role AS translation FROM conversations WHERE (conv_id + turn) % 5 > 0
+  UNION ALL SELECT 'chat/' || conv_id, 'old ' || text, (turn + 1000)::INT, role FROM conversations WHERE turn % 2 = 0),
+prev AS (SELECT source_path, text, arg_min(translation, ord) AS translation, min(ord) AS ord FROM both_ GROUP BY ALL)"""
+
+
+def _merge_exact(seg, old):
     return M.merge_exact(seg, old).select("source_path", "text", "id", "ord", F.col("p.translation").alias("translation"))
 
 
+def merge_exact(spark, sf_dir):
+    """By the first 40 characters, as its SQL; merge_exact_whole has whole turns."""
+    return _merge_exact(*_two_versions(spark, sf_dir, whole=False))
+
+
+def merge_exact_whole(spark, sf_dir):
+    return _merge_exact(*_two_versions(spark, sf_dir))
+
+
 def deprecated_entries(spark, sf_dir):
-    seg, old = _two_versions(spark, sf_dir)
-    return M.deprecated(seg, old).select("source_path", "text", "translation")
+    """By the first 40 characters, as its SQL; deprecated_whole has whole turns."""
+    return M.deprecated(*_two_versions(spark, sf_dir, whole=False)).select("source_path", "text", "translation")
+
+
+def deprecated_whole(spark, sf_dir):
+    return M.deprecated(*_two_versions(spark, sf_dir)).select("source_path", "text", "translation")
 
 
 def merge_fuzzy(spark, sf_dir):
@@ -279,7 +303,7 @@ QUERIES = {
     "key_generation": key_generation, "key_uniqueness": key_uniqueness, "key_conflicts": key_conflicts, "locale_package": locale_package, "merge_exact": merge_exact,
     "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "incremental_changes": incremental_changes, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
-    "nomenclature": nomenclature, "request_packing": request_packing,
+    "nomenclature": nomenclature, "request_packing": request_packing, "merge_exact_whole": merge_exact_whole, "deprecated_whole": deprecated_whole,
 }
 ORACLES = {
     "glossary_match": GLOSSARY_SQL,
@@ -310,6 +334,9 @@ SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output,
     "merge_exact": f"""WITH {_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
     "deprecated_entries": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
+    "merge_exact_whole": f"""WITH {_WHOLE_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
+SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
+    "deprecated_whole": f"WITH {_WHOLE_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
     "incremental_changes": """
 WITH d AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, sha256(text) AS hash FROM documents), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE hash END AS old FROM d WHERE doc_id % 13 > 0)
 SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM old""",
