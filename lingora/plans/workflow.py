@@ -102,8 +102,39 @@ _ENTRIES = """entries AS (
 )"""
 
 
-def _stated(spark, sf_dir):
-    e = _entries(spark, sf_dir)
+def _line_entries(spark, sf_dir):
+    """Map entries made of every line of every document, a file for each; those without a label are not approved.
+
+    Number and document decide what is not in the labels, by fixed rules.
+    """
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    lines = docs.select("doc_id", "source", "quality", "toxic", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
+    i = F.col("doc_id") + F.col("ord")
+    return lines.select(
+        F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".vue")).alias("path"), "ord", "text",
+        F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("t "), F.split_part("text", F.lit(" "), F.lit(1)))).alias("translation"),
+        F.when(i % 3 == 0, "glossary").when(i % 3 == 1, "machine").otherwise("manual").alias("translation_source"),
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("approved"), F.when(i % 5 > 0, i % 7 > 0).alias("translation_approved"), F.when(i % 4 > 0, True).alias("key_approved"),
+        F.when(i % 13 > 0, F.concat(F.lit("key"), (i % 50).cast("string"))).alias("key"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("skip"), F.when(i % 6 > 0, i % 17 == 0).alias("deprecated"),
+    )
+
+
+_LINE_ENTRIES = """said AS (
+  SELECT *, doc_id + ord AS i FROM (SELECT doc_id, source, quality, toxic, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INT AS ord FROM documents LEFT JOIN labels USING (doc_id))
+), entries AS (
+  SELECT 'src/' || source || '/' || doc_id || '.vue' AS path, ord, text, CASE WHEN i % 11 = 0 THEN '' ELSE 't ' || split_part(text, ' ', 1) END AS translation,
+    CASE i % 3 WHEN 0 THEN 'glossary' WHEN 1 THEN 'machine' ELSE 'manual' END AS translation_source, coalesce(quality = 1, false) AS approved,
+    CASE WHEN i % 5 > 0 THEN i % 7 > 0 END AS translation_approved, CASE WHEN i % 4 > 0 THEN true END AS key_approved,
+    CASE WHEN i % 13 > 0 THEN 'key' || (i % 50) END AS key, coalesce(toxic = 1, false) AS skip, CASE WHEN i % 6 > 0 THEN i % 17 = 0 END AS deprecated
+  FROM said
+), stated AS (
+  SELECT *, CASE WHEN coalesce(deprecated, false) THEN 'deprecated' WHEN skip THEN 'skipped' WHEN trim(translation) = '' THEN 'untranslated'
+    WHEN approved AND coalesce(translation_approved, true) AND coalesce(key_approved, true) AND coalesce(key, '') <> '' THEN 'ready' ELSE 'pending' END AS status FROM entries
+)"""
+
+
+def _stated(spark, sf_dir, entries=_entries):
+    e = entries(spark, sf_dir)
     return e.withColumn("status", M.status({c: F.col(c) for c in e.columns})).withColumn("source", F.col("translation_source"))
 
 
@@ -135,9 +166,18 @@ def approve_entries(spark, sf_dir):
 
 
 def key_generation(spark, sf_dir):
-    """Candidates and keys of the first lines of documents whose lines are ASCII (the others need decomposition)."""
+    """Candidates and keys of the first lines of labelled documents whose lines are ASCII, as its SQL; key_generation_lines has all."""
     e = _entries(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    key = M.base_key(F.col("text"), F.col("translation"), F.lit(None).cast("string"), F.lit(None).cast("string"), ascii_only=True)
+    return _keys(e, ascii_only=True)
+
+
+def key_generation_lines(spark, sf_dir):
+    """Candidates and keys of all lines of all documents; SQL has no decomposition."""
+    return _keys(_line_entries(spark, sf_dir))
+
+
+def _keys(e, ascii_only=False):
+    key = M.base_key(F.col("text"), F.col("translation"), F.lit(None).cast("string"), F.lit(None).cast("string"), ascii_only)
     return e.select("path", "ord", key.alias("base_key"), T.key_hash(F.col("text")).alias("key_hash"))
 
 
@@ -155,16 +195,24 @@ WITH {_ENTRIES}, k AS (SELECT path, ord, text, {_semantic_sql('translation')} AS
 SELECT path, ord, coalesce(nullif(lower(a[1]) || a[2:], ''), nullif(b, ''), 'message_' || substr(sha1(text), 1, 8)) AS base_key, substr(sha1(text), 1, 8) AS key_hash FROM k"""
 
 
-def key_uniqueness(spark, sf_dir):
-    e = _entries(spark, sf_dir).where("key IS NOT NULL").select("path", "ord", "text", F.col("key").alias("base_key"))
+def key_uniqueness(spark, sf_dir, entries=_entries):
+    e = entries(spark, sf_dir).where("key IS NOT NULL").select("path", "ord", "text", F.col("key").alias("base_key"))
     return M.unique_keys(e).select("path", "ord", "base_key", "key")
 
 
-def key_conflicts(spark, sf_dir):
-    e = _stated(spark, sf_dir).where("status = 'ready'").withColumn("output", T.locale_output_path(F.col("path"), F.lit("de")))
+def key_uniqueness_lines(spark, sf_dir):
+    return key_uniqueness(spark, sf_dir, _line_entries)
+
+
+def key_conflicts(spark, sf_dir, entries=_entries):
+    e = _stated(spark, sf_dir, entries).where("status = 'ready'").withColumn("output", T.locale_output_path(F.col("path"), F.lit("de")))
     return M.key_conflicts(e)
 
 
+def key_conflicts_lines(spark, sf_dir):
+    return key_conflicts(spark, sf_dir, _line_entries)
+
+
 def locale_package(spark, sf_dir):
     e = _stated(spark, sf_dir).where("status = 'ready'")
     return M.packages(e, F.lit("de")).select("output", "package", F.array_join("sources", ",").alias("sources"))
@@ -261,12 +309,17 @@ def line_diff(spark, sf_dir):
     return docs.select("doc_id", F.explode(S.line_diff(F.col("text"), F.lower("text"))).alias("line"))
 
 
-def translate_texts(spark, sf_dir):
+def translate_texts(spark, sf_dir, entries=_entries):
     """Distinct first lines through the echo backend, with tokens for what must not change."""
-    e = _entries(spark, sf_dir).select(T.protect(F.col("text")).alias("text"))
+    e = entries(spark, sf_dir).select(T.protect(F.col("text")).alias("text"))
     return M.translate(e, M.echo("de"))
 
 
+def translate_lines(spark, sf_dir):
+    """Distinct lines of all documents through the echo backend."""
+    return translate_texts(spark, sf_dir, _line_entries)
+
+
 def digit_insensitive_pairs(spark, sf_dir):
     """Customer names that are equal without their digits, counted."""
     return table(spark, sf_dir, "customer").groupBy(T.without_digits(F.col("c_name")).alias("name")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
@@ -304,6 +357,7 @@ QUERIES = {
     "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "incremental_changes": incremental_changes, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
     "nomenclature": nomenclature, "request_packing": request_packing, "merge_exact_whole": merge_exact_whole, "deprecated_whole": deprecated_whole,
+    "key_generation_lines": key_generation_lines, "key_uniqueness_lines": key_uniqueness_lines, "key_conflicts_lines": key_conflicts_lines, "translate_lines": translate_lines,
 }
 ORACLES = {
     "glossary_match": GLOSSARY_SQL,
@@ -346,6 +400,10 @@ SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM ol
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, unnest(string_split(lower(text), chr(10))) AS b FROM documents)
 SELECT doc_id, '-' || a AS line FROM l WHERE a <> b UNION ALL SELECT doc_id, '+' || b FROM l WHERE a <> b""",
     "translate_texts": f"{_E} SELECT DISTINCT text, '[de] ' || text AS translation FROM entries",
+    "key_uniqueness_lines": f"""WITH {_LINE_ENTRIES} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
+    "key_conflicts_lines": f"WITH {_LINE_ENTRIES} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
+    "translate_lines": rf"""WITH {_LINE_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
+SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
     "digit_insensitive_pairs": "SELECT regexp_replace(c_name, '[0-9]', '', 'g') AS name, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1",
     "romance_score": """
 WITH l AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT *, list_transform(range(1, length(t)), lambda i: t[i:i + 1]) AS two FROM l),

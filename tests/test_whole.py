@@ -1,9 +1,16 @@
 """Queries see whole tables and whole texts, held to brute force where SQL can't say it."""
 
+import hashlib
 import random
+import re
+import unicodedata
+
+import pytest
 
 from lingora.functions import text as T
+from lingora.plans import bundle
 from lingora.plans import workflow as W
+from lingora.sources import dims
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +58,57 @@ def test_merges_see_whole_turns(spark, tmp_path):
     assert got == want
     assert W.merge_exact_whole(spark, str(tmp_path)).count() == len({(c, t) for c, _, _, t in rows})
     assert all(r.text in ("old ", "old " + head + "one") or len(r.text) > 80 for r in W.deprecated_whole(spark, str(tmp_path)).collect())
+
+
+def plain(t):
+    t = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t)
+    return re.sub(r"[^A-Za-z0-9_$]+", " ", t).split()
+
+
+def camel(words):
+    words = [w for w in (x.strip("_$").lower() for x in words) if w]
+    return "".join(w if i == 0 else w[0].upper() + w[1:] for i, w in enumerate(words))
+
+
+def semantic(t):
+    n = iter(range(99))
+    t = re.sub(T.PLACEHOLDER, lambda m: f"__TM_{next(n)}__", t)
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f")
+    return camel([w for w in plain(t) if w.lower() not in dims.KEY_STOPS and not re.fullmatch(r"_*tm_*\d+_*", w, re.I)])
+
+
+def key_of(text, translation):
+    compact = re.sub("[^\u4e00-\u9fff]", "", re.sub(T.PLACEHOLDER, "", text))
+    chinese = compact and (dims.KEY_TEXTS.get(compact) or camel([v for k, v in dims.KEY_TERMS.items() if k in compact]))
+    keys = [camel(plain(k)) for k in (chinese, semantic(translation), semantic(text))]
+    return next((k for k in keys if k), "message_" + hashlib.sha1(text.encode()).hexdigest()[:8])
+
+
+LINES = {
+    0: "Café crème brûlée\nZweite Zeile über Größe\n\nEl niño pequeño", 1: "plain ASCII line\n保存 {{ n }}\nfi\ufb01x", 2: "no label éà\nÉcole d'été ${x}",
+    10: "Übersicht\nthird's camelCase_x $y_", 11: "", 22: "你好\nname ñ",
+}
+
+
+@pytest.fixture
+def lined(spark, tmp_path):
+    spark.createDataFrame([(d, t, f"s{d % 2}") for d, t in LINES.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 1), (10, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_keys_of_all_lines(spark, lined):
+    want = set()
+    for d, t in LINES.items():
+        for i, line in enumerate(t.split("\n")):
+            translation = "" if (d + i) % 11 == 0 else "t " + line.split(" ")[0]
+            want.add((f"src/s{d % 2}/{d}.vue", i, key_of(line, translation), hashlib.sha1(line.encode()).hexdigest()[:8]))
+    rows = W.key_generation_lines(spark, lined).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+def test_entries_of_all_lines(spark, lined):
+    every = [line for t in LINES.values() for line in t.split("\n")]
+    assert bundle.locale_fill_lines(spark, lined).count() == len(every)
+    assert W.key_uniqueness_lines(spark, lined).count() == sum((d + i) % 13 > 0 for d, t in LINES.items() for i, _ in enumerate(t.split("\n")))
+    assert {r.text for r in W.translate_lines(spark, lined).collect()} == {re.sub(T.PLACEHOLDER, "__TM_0__", x) for x in every}
