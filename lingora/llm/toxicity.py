@@ -4,7 +4,7 @@ A word is the sum of two inputs: the mean of learned vectors of its character n-
 end), and a learned vector of its own if it is frequent enough among the labelled texts. Both feed a gated recurrent
 network in either direction over a window of words; attention pools the states to one vector, and a logistic output
 scores the window. Windows overlap by half, every window of the whole text is scored, and a document has the score of
-its worst window.
+its worst window. A word is what stands between ASCII white space; longer ones enter the windows as overlapping pieces.
 
 Training sees only document labels. All windows of clean documents are clean; of a toxic document, the window that the
 network now finds worst is toxic. The network learns from at most `rows` labelled documents outside the held-out fold (a
@@ -37,6 +37,10 @@ VOCABULARY = 4096
 DROP = 0.1
 #: The share of clean windows that training shows as one of their words over and over, as some junk is written.
 REPEAT = 0.08
+#: Bytes of a word; text without white space is cut into pieces of so many.
+LONG = 64
+#: Words whose n-grams are worked out at once: a bound on memory where hardly a word is met twice.
+AT_ONCE = 8192
 THRESHOLD = 0.5
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 _ORDERS = (3, 4, 6)
@@ -52,13 +56,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(raw: bytes) -> list[bytes]:
-    """Words in lower case, without punctuation at their ends; what has nothing else is dropped."""
-    return [w for w in (x.strip(_EDGES) for x in raw.lower().split()) if w]
+    """Words in lower case, without punctuation at their ends; what has nothing else is dropped.
+
+    Of a word over LONG bytes its pieces of LONG bytes are words; they overlap so that each n-gram is whole in one.
+    """
+    words = [w for w in (x.strip(_EDGES) for x in raw.lower().split()) if w]
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    step = LONG - max(_ORDERS) + 1
+    return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - max(_ORDERS) + 1), step)]
 
 
 def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of all words in a row, and the word that each belongs to."""
-    marked = [b"^" + w[:64] + b"$" for w in words]
+    marked = [b"^" + w + b"$" for w in words]
     text = np.frombuffer(b"".join(marked) + b"\0" * max(_ORDERS), np.uint8).astype(np.uint32)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(marked)), lengths)
@@ -211,8 +222,12 @@ def learn(docs: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 256, r
     distinct = sorted(counts)
     number = {w: i + 1 for i, w in enumerate(distinct)}
     ids, owner = _layout([np.fromiter((number[w] for w in words), np.int64, len(words)) for words in said])
-    grams, whose = gram_ids(distinct)
-    first = np.searchsorted(whose, np.arange(len(distinct) + 1))
+    grams, sizes = [], [np.zeros(1, np.int64)]
+    for i in range(0, len(distinct), AT_ONCE):
+        found, whose = gram_ids(distinct[i : i + AT_ONCE])
+        grams.append(found.astype(np.int32))
+        sizes.append(np.bincount(whose, minlength=len(distinct[i : i + AT_ONCE])))
+    grams, first = np.concatenate(grams or [np.zeros(0, np.int32)]), np.cumsum(np.concatenate(sizes))
     vocabulary = np.array([net.vocabulary.get(w, len(frequent)) for w in distinct], np.int64)
     label = y[owner]
     _begin_with_odds(net, said, y, number, grams, first)
@@ -318,7 +333,7 @@ class Scorer:
                         row[i] = k
             out.append(np.array(row, np.int64))
         if fresh:
-            new = self.net.project(self.net.word_vectors(fresh))
+            new = self.net.project(np.concatenate([self.net.word_vectors(fresh[i : i + AT_ONCE]) for i in range(0, len(fresh), AT_ONCE)]))
             self.table = {d: np.concatenate([t, new[d]]) for d, t in self.table.items()}
         return out
 

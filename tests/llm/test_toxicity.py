@@ -79,3 +79,26 @@ def test_odd_tables(spark):
     rows = T.score(docs, net).collect()
     assert len(rows) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in rows)
     assert T.score(docs.where("false"), net).count() == 0
+
+
+def test_text_without_spaces_is_whole():
+    rng = np.random.default_rng(6)
+    for n in [0, 1, 63, 64, 65, 68, 69, 70, 123, 124, 1000]:
+        w = bytes(rng.integers(97, 123, n, np.uint8))
+        pieces = T.words_of(w)
+        assert all(len(p) <= T.LONG for p in pieces) and (len(pieces) == 1 if 0 < n <= T.LONG else True)
+        assert all(any(w[i : i + 6] in p for p in pieces) for i in range(n))
+    net = T.Network({}, seed=4)
+    clean = "这是一个没有空格的句子" * 20
+    ends = T.Scorer(net).score([(clean + x).encode() for x in ("", "坏话坏话坏话", "_moron_moron")])
+    assert len(set(ends.round(7))) == 3
+
+
+def test_words_at_once(monkeypatch):
+    raws = [b" ".join(b"w%d" % (i * k) for i in range(200)) for k in range(1, 9)]
+    y = np.array([0, 1] * 4)
+    a = T.learn(raws, y, epochs=3)
+    s = T.Scorer(a).score(raws)
+    monkeypatch.setattr(T, "AT_ONCE", 7)
+    b = T.learn(raws, y, epochs=3)
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p) and np.allclose(T.Scorer(b).score(raws), s, atol=1e-6)
