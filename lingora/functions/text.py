@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from lingora.functions.lang import lookup
 from lingora.sources import dims
@@ -236,3 +236,8 @@ def similarity(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     return 2 * lcs(a, b) / (len(a) + len(b))
+
+
+@F.pandas_udf(DoubleType())
+def similarity_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b)], dtype="float64")

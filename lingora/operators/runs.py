@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lingora.sources import dims
 
@@ -34,20 +38,49 @@ def char_class(ch: Column, traditional: str = TRADITIONAL) -> Column:
     return out.otherwise("")
 
 
+class _Tags(dict):
+    """One ASCII letter for the class of each character, by code point; what is met is remembered. Connectors are `!`."""
+
+    NAMES = ["", *[n for n, _ in CLASSES if n not in [*CONNECTOR, "chinese"]], "chinese_traditional", "chinese_simplified"]
+    TESTS = [(n, re.compile(p, re.A)) for n, p in CLASSES]
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        name = next((n for n, p in self.TESTS if p.match(ch)), "")
+        if name == "chinese":
+            name = "chinese_traditional" if ch in TRADITIONAL else "chinese_simplified"
+        self[code] = out = "!" if name in CONNECTOR else chr(65 + self.NAMES.index(name))
+        return out
+
+
+def _folded(text: str, tags: _Tags) -> list[tuple[str, str]]:
+    """(lang, text) of the runs of one text: a run begins where the class differs from that of the last that is no connector."""
+    t = np.frombuffer(text.translate(tags).encode("ascii"), np.uint8)
+    named = np.flatnonzero(t != ord("!"))
+    if not len(named):
+        return [("", text)] if text else []
+    own = t[named]
+    new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    at = [0, *named[new[1:]].tolist(), len(text)]
+    return [(tags.NAMES[k - 65], text[i:j]) for k, i, j in zip(own[new].tolist(), at, at[1:])]
+
+
 def language_runs(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, run_idx, lang, text): neighbours of one language; connectors (space, digits, marks) join the run before.
 
-    For short texts: a row for each character, and windows inside a text.
+    Each text is folded on its own in Arrow batches; null and empty texts have no runs.
     """
-    chars = texts.select(key, F.posexplode(F.filter(F.split(F.col(text), ""), lambda c: c != "")).alias("pos", "ch"))
-    chars = chars.withColumn("own", char_class(F.col("ch")))
-    in_text = Window.partitionBy(key).orderBy("pos")
-    named = F.when(~F.col("own").isin(CONNECTOR), F.col("own"))
-    chars = chars.withColumn("lang", F.coalesce(F.last(named, ignorenulls=True).over(in_text), F.first(named, ignorenulls=True).over(in_text.rowsBetween(0, Window.unboundedFollowing)), F.lit("")))
-    new = (F.coalesce(F.lag("lang").over(in_text), F.lit("\0")) != F.col("lang")).cast("int")
-    runs = chars.withColumn("run_idx", F.sum(new).over(in_text))
-    out = runs.groupBy(key, "run_idx").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("pos", "ch"))).alias("c"))
-    return out.select(key, "run_idx", "lang", F.array_join(F.transform("c", lambda x: x["ch"]), "").alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tags = _Tags()
+        for frame in frames:
+            for i in range(0, len(frame), 500):
+                part = frame.iloc[i : i + 500]
+                rows = [(k, n, lang, t) for k, whole in zip(part[key], part[text]) if whole is not None for n, (lang, t) in enumerate(_folded(whole, tags), 1)]
+                yield pd.DataFrame(rows, columns=[key, "run_idx", "lang", "text"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, run_idx long, lang string, text string")
 
 
 def romance_scores(text: Column) -> dict[str, Column]:

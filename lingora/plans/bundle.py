@@ -19,8 +19,13 @@ def recognize_language(spark, sf_dir):
     return B.recognized(R.language_runs(texts), texts)
 
 
+def recognize_documents(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return B.recognized(R.language_runs(texts), texts)
+
+
 def run_spacing(spark, sf_dir):
-    texts = spark.createDataFrame(TEXTS, "id int, text string")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return B.spaced(R.language_runs(texts), "chinese_simplified", "english").select("id", "run_idx", "lang", "text", "before", "after")
 
 
@@ -85,7 +90,7 @@ def object_strings(spark, sf_dir):
 _HASH = "(SELECT CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END FROM (SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split({t}, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h))::VARCHAR"
 QUERIES = {
     "recognize_language": recognize_language, "run_spacing": run_spacing, "node_queue": node_queue, "render_history": render_history, "wildcard_keys": wildcard_keys, "bundle_cache": bundle_cache,
-    "echo_results": echo_results, "locale_fill": locale_fill, "strided_batches": strided_batches, "pool_victims": pool_victims, "object_strings": object_strings, "locale_fill_lines": locale_fill_lines,
+    "echo_results": echo_results, "locale_fill": locale_fill, "strided_batches": strided_batches, "pool_victims": pool_victims, "object_strings": object_strings, "locale_fill_lines": locale_fill_lines, "recognize_documents": recognize_documents,
 }
 ORACLES = {
     "recognize_language": "SELECT id, language, chars::BIGINT AS chars FROM " + _values([(1, "english", 11), (2, "french", 19), (3, "japanese", 10), (4, "chinese_simplified", 8), (5, "chinese_traditional", 5), (6, "spanish", 23), (7, "russian", 10), (8, "japanese", 26)], "id, language, chars"),

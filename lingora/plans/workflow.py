@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lingora.functions import text as T
 from lingora.operators import glossary as G
@@ -330,11 +331,39 @@ def romance_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.romance(F.col("text")).alias("romance"), *[v.alias(k) for k, v in s.items()])
 
 
-RUNS = [(1, "Hello 你好 world"), (2, "123 abc"), (3, "ひらがなと漢字"), (4, "привет, 世界!"), (5, "國家 and 国家"), (6, "..."), (7, "école")]
+def language_runs(spark, sf_dir):
+    return R.language_runs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-def language_runs(spark, sf_dir):
-    return R.language_runs(spark.createDataFrame(RUNS, "id int, text string"))
+def turn_similarity(spark, sf_dir):
+    """Each turn beside the next of its conversation, by whole texts."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    pairs = c.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
+    score = F.round(T.similarity_of(F.col("a"), F.col("b")), 9)
+    return pairs.select("conv_id", "turn", score.alias("similarity"), (score >= M.FUZZY).alias("fuzzy"))
+
+
+def glossary_match_lines(spark, sf_dir):
+    """Every line of the documents asked in the glossary."""
+    return G.match(S.lines(table(spark, sf_dir, "documents"), _path()).select("path", "seg_idx", "text"), _glossary(spark)).select("path", "seg_idx", "glossary_value")
+
+
+def glossary_turns(spark, sf_dir):
+    """Whole turns composed of the glossary's terms, and with its terms enforced on their echo."""
+    c, terms = table(spark, sf_dir, "conversations"), [(k, v) for _, k, v in GLOSSARY]
+    return c.select("conv_id", "turn", G.compose_column(terms)(F.col("text")).alias("composed"), G.enforce(F.col("text"), F.col("text"), terms).alias("enforced"))
+
+
+def protect_documents(spark, sf_dir):
+    """Whole documents with tokens for their placeholders, and whether these bring the text back."""
+    shielded, holes = T.protect(F.col("text")), T.placeholders(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(shielded, 256).alias("protected"), F.size(holes).alias("holes"), (T.restore_exact(shielded, holes) == F.col("text")).alias("same"))
+
+
+def nomenclature_documents(spark, sf_dir):
+    """Whole documents with terms replaced, the longest first."""
+    parsed = R.nomenclature(F.lit("the=THE\nthe first=1st\nbad\nund=&\nand=&"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(R.apply_terms(F.col("text"), parsed), 256).alias("applied"))
 
 
 def nomenclature(spark, sf_dir):
@@ -358,6 +387,8 @@ QUERIES = {
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
     "nomenclature": nomenclature, "request_packing": request_packing, "merge_exact_whole": merge_exact_whole, "deprecated_whole": deprecated_whole,
     "key_generation_lines": key_generation_lines, "key_uniqueness_lines": key_uniqueness_lines, "key_conflicts_lines": key_conflicts_lines, "translate_lines": translate_lines,
+    "turn_similarity": turn_similarity, "glossary_match_lines": glossary_match_lines, "glossary_turns": glossary_turns, "protect_documents": protect_documents,
+    "nomenclature_documents": nomenclature_documents,
 }
 ORACLES = {
     "glossary_match": GLOSSARY_SQL,
@@ -404,6 +435,7 @@ SELECT doc_id, '-' || a AS line FROM l WHERE a <> b UNION ALL SELECT doc_id, '+'
     "key_conflicts_lines": f"WITH {_LINE_ENTRIES} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
     "translate_lines": rf"""WITH {_LINE_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
 SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
+    "nomenclature_documents": "SELECT doc_id, sha256(replace(replace(replace(replace(text, 'the first', '1st'), 'the', 'THE'), 'und', '&'), 'and', '&')) AS applied FROM documents",
     "digit_insensitive_pairs": "SELECT regexp_replace(c_name, '[0-9]', '', 'g') AS name, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1",
     "romance_score": """
 WITH l AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT *, list_transform(range(1, length(t)), lambda i: t[i:i + 1]) AS two FROM l),

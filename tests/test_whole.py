@@ -7,7 +7,10 @@ import unicodedata
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lingora.functions import text as T
+from lingora.operators import runs as R
 from lingora.plans import bundle
 from lingora.plans import workflow as W
 from lingora.sources import dims
@@ -112,3 +115,44 @@ def test_entries_of_all_lines(spark, lined):
     assert bundle.locale_fill_lines(spark, lined).count() == len(every)
     assert W.key_uniqueness_lines(spark, lined).count() == sum((d + i) % 13 > 0 for d, t in LINES.items() for i, _ in enumerate(t.split("\n")))
     assert {r.text for r in W.translate_lines(spark, lined).collect()} == {re.sub(T.PLACEHOLDER, "__TM_0__", x) for x in every}
+
+
+RUNS = [(1, "Hello 你好 world"), (2, "123 abc"), (3, "ひらがなと漢字"), (4, "привет, 世界!"), (5, "國家 and 国家"), (6, "..."), (7, "école"), (8, ""), (9, None), (10, "a😀b\u00a0ж\u000b한")]
+
+
+def by_character(spark, texts):
+    """Runs of texts, from the class of each character that Spark gives."""
+    every = sorted({c for _, t in texts for c in t or ""})
+    kinds = dict(map(tuple, spark.createDataFrame([(c,) for c in every], "c string").select("c", R.char_class(F.col("c"))).collect()))
+    out = set()
+    for k, t in texts:
+        langs = [kinds[c] for c in t or ""]
+        named = [x for x in langs if x not in R.CONNECTOR]
+        last, runs = named[0] if named else "", []
+        for c, x in zip(t or "", langs):
+            last = last if x in R.CONNECTOR else x
+            if runs and runs[-1][0] == last:
+                runs[-1][1].append(c)
+            else:
+                runs.append((last, [c]))
+        out |= {(k, i, lang, "".join(cs)) for i, (lang, cs) in enumerate(runs, 1)}
+    return out
+
+
+def test_runs_of_fixtures_and_documents(spark):
+    assert {tuple(r) for r in R.language_runs(spark.createDataFrame(RUNS, "id int, text string")).collect()} == by_character(spark, RUNS)
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert {tuple(r) for r in W.language_runs(spark, SF).collect()} == by_character(spark, docs)
+    assert bundle.run_spacing(spark, SF).count() == W.language_runs(spark, SF).count()
+    assert {r.id: r.chars for r in bundle.recognize_documents(spark, SF).collect()} == {k: len(t) for k, t in docs}
+
+
+def test_whole_texts_of_conversations_and_documents(spark):
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    for r in W.turn_similarity(spark, SF).collect():
+        a, b = turns[r.conv_id, r.turn], turns[min(k for k in turns if k[0] == r.conv_id and k[1] > r.turn)]
+        assert abs(r.similarity - 2 * table_lcs(a, b) / (len(a) + len(b))) < 1e-8 and r.fuzzy == (r.similarity >= 0.8)
+    assert W.glossary_turns(spark, SF).count() == len(turns)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert {(r.doc_id, r.holes, r.same) for r in W.protect_documents(spark, SF).collect()} == {(d.doc_id, len(re.findall(T.PLACEHOLDER, d.text)), True) for d in docs}
+    assert W.glossary_match_lines(spark, SF).count() == W.S.lines(spark.createDataFrame(docs), F.col("doc_id").cast("string")).count()
