@@ -29,11 +29,12 @@ def all_segments(files: DataFrame) -> DataFrame:
     return others.unionByName(marked).unionByName(coded)
 
 
-def scan(files: DataFrame, known: DataFrame, glossary: DataFrame, settings: dict, backend) -> DataFrame:
+def scan(files: DataFrame, known: DataFrame, glossary: DataFrame, settings: dict, backend, previous: DataFrame | None = None, clean_deprecated: bool = False) -> DataFrame:
     """Entries (source_path, ord, text, translation, translation_source, key, ...) of the files that changed.
 
     A glossary answers first, then terms compose, then the backend translates what is left: each distinct text once,
-    over all files, with its placeholders protected.
+    over all files, with its placeholders protected. Entries of `previous` (the map before) are merged before keys are
+    given: work by hand, approvals and keys stay, and what is gone from a changed file comes last, deprecated.
     """
     changed = M.changed_files(files.select("path", "hash"), known)
     segments = all_segments(files.join(changed.select("path"), "path", "left_semi"))
@@ -48,9 +49,23 @@ def scan(files: DataFrame, known: DataFrame, glossary: DataFrame, settings: dict
     put_right = G.enforce(F.col("text"), plain, terms)
     one = done.select("path", "text", "seg_idx", F.coalesce("known", put_right).alias("translation"), F.when(F.col("known").isNotNull(), "glossary").otherwise("machine").alias("translation_source"), "glossary_value")
     first = one.groupBy("path", "text").agg(F.min_by(F.struct("seg_idx", "translation", "translation_source", "glossary_value"), "seg_idx").alias("s")).select("path", "text", F.col("s.seg_idx").alias("ord"), "s.translation", "s.translation_source", "s.glossary_value")
-    keyed = first.withColumn("base_key", M.base_key(F.col("text"), F.col("translation"), F.col("glossary_value"), F.lit(None).cast("string")))
     approved = F.col("translation_source") == "glossary"
-    return M.unique_keys(keyed).select(F.col("path").alias("source_path"), "ord", "text", "translation", "translation_source", "key", approved.alias("approved"), T.segment_id(F.col("text"), F.col("path")).alias("id"))
+    candidate = F.try_element_at(T.key_candidates(F.col("text"), F.col("translation"), F.col("glossary_value")), F.lit(1))
+    fresh = first.withColumnRenamed("path", "source_path").withColumns({
+        "id": T.segment_id(F.col("text"), F.col("source_path")), "approved": approved, "translation_approved": approved, "key": candidate, "key_source": F.lit("generated"),
+        "key_approved": approved, "skip": F.lit(False), "deprecated": F.lit(False),
+    })
+    if previous is not None:
+        before = M.as_previous(previous).join(changed.select(F.col("path").alias("source_path")), "source_path", "left_semi")
+        fresh = M.merge_maps(fresh, before, clean_deprecated).withColumn("key", T.normalize_key(F.col("key")))
+    keyed = fresh.withColumn("own_key", F.col("key")).withColumn("path", F.col("source_path"))
+    keyed = M.unique_keys(keyed.withColumn("base_key", M.base_key(F.col("text"), F.col("translation"), F.col("glossary_value"), F.col("own_key"))))
+    yes = F.coalesce("translation_approved", "approved", F.lit(False)) & F.coalesce("key_approved", "approved", F.lit(False)) & F.col("key").eqNullSafe(F.col("own_key"))
+    manual = F.when(F.col("own_key").isNotNull() & (F.col("key_source") == "manual"), "manual").otherwise("generated")
+    return keyed.select(
+        "source_path", "ord", "text", "translation", "translation_source", "key", yes.alias("approved"), "id", "translation_approved", manual.alias("key_source"),
+        F.coalesce("key_approved", "approved").alias("key_approved"), "skip", "deprecated",
+    )
 
 
 def call(callee: Column, key: Column, params: Column) -> Column:

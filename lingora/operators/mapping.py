@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,6 +77,44 @@ def merged_entry(previous: Column, new: Column, fuzzy: Column) -> Column:
     )
 
 
+_KINDS = {
+    "id": "string", "translation": "string", "translation_source": "string", "approved": "boolean", "translation_approved": "boolean", "key": "string",
+    "key_source": "string", "key_approved": "boolean", "skip": "boolean", "deprecated": "boolean",
+}
+
+
+def as_previous(entries: DataFrame) -> DataFrame:
+    """(source_path, text, ord, fields of an entry) of a map, its fields named as in its file or with underscores."""
+    camel = lambda c: re.sub("_(.)", lambda m: m[1].upper(), c)
+    named = lambda c: next((F.col(x) for x in (c, camel(c)) if x in entries.columns), F.lit(None))
+    return entries.select("source_path", "text", F.col("ord").cast("int").alias("ord"), *[named(c).cast(k).alias(c) for c, k in _KINDS.items()])
+
+
+def merge_maps(new: DataFrame, previous: DataFrame, clean_deprecated: bool = False) -> DataFrame:
+    """New entries merged with the earlier ones of their files, and the earlier ones that are gone, as deprecated.
+
+    new: (source_path, text, ord, glossary_value, fields of an entry); both have each text of a path once.
+    """
+    claims = merge_fuzzy(new, previous).select("source_path", "text", "previous_text")
+    entry = lambda: F.struct(*_KINDS)
+    old = previous.select("source_path", F.col("text").alias("previous_text"), entry().alias("p"))
+    both = new.select("source_path", "text", "ord", "glossary_value", entry().alias("n")).join(claims, ["source_path", "text"], "left").join(old, ["source_path", "previous_text"], "left")
+    p, n = F.col("p"), F.col("n")
+    fuzzy = F.coalesce(F.col("previous_text") != F.col("text"), F.lit(False))
+    glossary = n["translation_source"] == "glossary"
+    stays = ~glossary & F.coalesce((p["translation_source"] == "manual") | p["approved"], F.lit(False))
+    kept = both.withColumn("e", merged_entry(p, n, fuzzy)).withColumn("id", F.when(fuzzy & ~glossary, F.coalesce(p["id"], n["id"])).otherwise(n["id"]))
+    kept = kept.withColumn("skip", F.coalesce(F.when(stays, p["skip"]).otherwise(n["skip"]), F.lit(False)))
+    now = kept.select("source_path", "text", "ord", "glossary_value", *[c if c in ("id", "skip") else F.col(f"e.{c}").alias(c) for c in _KINDS])
+    if clean_deprecated:
+        return now
+    claimed = claims.where("previous_text IS NOT NULL").select("source_path", F.col("previous_text").alias("text"))
+    gone = deprecated(claimed.unionByName(new.select("source_path", "text")), previous).withColumn("deprecated", F.lit(True)).withColumn("glossary_value", F.lit(None).cast("string"))
+    after = new.groupBy("source_path").agg((F.max("ord") + 1).alias("after"))
+    gone = gone.join(after, "source_path", "left").withColumn("ord", (F.coalesce("after", F.lit(0)) + F.col("ord")).cast("int"))
+    return now.unionByName(gone.select(now.columns))
+
+
 def base_key(text: Column, translation: Column, glossary_value: Column, existing: Column, ascii_only: bool = False) -> Column:
     candidates = key_candidates(text, translation, glossary_value, ascii_only)
     return F.coalesce(existing, F.try_element_at(candidates, F.lit(1)), F.concat(F.lit("message_"), key_hash(text)))

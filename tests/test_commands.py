@@ -101,3 +101,31 @@ def test_adapt_status(spark):
     entries = spark.createDataFrame([("p", "i", "k", True), ("q", "j", "l", True)], "source_path string, id string, key string, approved boolean")
     refs = spark.createDataFrame([("p", ["i:k"]), ("q", ["old:l"])], "source_path string, refs array<string>")
     assert {r.source_path: r.adapted for r in C.adapt_status(entries, refs).collect()} == {"p": True, "q": False}
+
+
+def test_scan_keeps_the_earlier_map(spark):
+    glossary = spark.createDataFrame([(0, "保存", "Save")], "ord int, key string, value string")
+    text = "const a = '保存', b = '请输入用户名称', c = '欢迎', d = '没有变化', e = '全新'\n"
+    files = spark.createDataFrame([("src/b.ts", text, "2"), ("src/same.ts", "'不变'", "1")], "path string, content string, hash string")
+    known = spark.createDataFrame([("src/b.ts", "1"), ("src/same.ts", "1")], "path string, hash string")
+    kind = "source_path string, ord int, text string, id string, translation string, translationSource string, approved boolean, translationApproved boolean, key string, keySource string, keyApproved boolean, skip boolean, deprecated boolean"
+    rows = [
+        ("src/b.ts", 0, "保存", "i0", "by hand", "manual", False, False, "mine", "manual", False, False, None), ("src/b.ts", 1, "请输入用户名", "i1", "Enter a name", "manual", True, True, "enterName", "generated", True, None, None),
+        ("src/b.ts", 2, "欢迎", "i2", "Welcome!", "manual", True, True, "hello", "manual", True, True, None), ("src/b.ts", 3, "没有变化", "i3", "old", "machine", False, False, "oldKey", "generated", None, None, None),
+        ("src/b.ts", 4, "已经删除的文本", "i4", "Gone", "manual", True, True, "gone", "manual", True, None, None), ("src/same.ts", 0, "不变", "i5", "Same", "manual", True, True, "same", "manual", True, None, None),
+    ]
+    before = spark.createDataFrame(rows, kind)
+    out = C.scan(files, known, glossary, S.config(), M.echo("en"), before).cache()
+    got = {r.text: r for r in out.collect()}
+    assert set(got) == {"保存", "请输入用户名称", "欢迎", "没有变化", "全新", "已经删除的文本"} and out.count() == 6
+    assert (got["保存"].translation, got["保存"].approved) == ("Save", True)
+    near = got["请输入用户名称"]
+    assert (near.translation, near.approved, near.translation_approved, near.key_approved, near.id) == ("Enter a name", False, False, False, "i1") and near.key != "enterName"
+    stays = got["欢迎"]
+    assert (stays.translation, stays.key, stays.key_source, stays.approved, stays.skip, stays.deprecated) == ("Welcome!", "hello", "manual", True, True, False)
+    # A machine's entry gives way to the new one, with its key.
+    assert (got["没有变化"].translation, got["没有变化"].approved) == ("[en] 没有变化", False)
+    gone = got["已经删除的文本"]
+    assert (gone.translation, gone.key, gone.deprecated, gone.ord) == ("Gone", "gone", True, max(r.ord for r in got.values()))
+    assert got["全新"].translation == "[en] 全新"
+    assert {r.text for r in C.scan(files, known, glossary, S.config(), M.echo("en"), before, True).collect()} == set(got) - {"已经删除的文本"}
