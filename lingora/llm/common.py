@@ -55,6 +55,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def looked_up(big: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """big with the columns that table, which has a row for each key, adds to it.
+
+    Rows are dealt into groups by `spread`, each group asks for a key once, and the answers meet the rows by key and
+    group. So a key of very many rows is neither joined in one task nor replicated to rows that do not ask for it.
+    """
+    n = partitions(big.sparkSession)
+    dealt = big.withColumn("__group", F.pmod(F.xxhash64(spread), F.lit(n)))
+    told = dealt.select("__group", key).distinct().join(table, key)
+    return dealt.join(told, ["__group", key], how).drop("__group")
+
+
 def spread_keys(spark: SparkSession, n: int) -> np.ndarray:
     """key[b] is an integer that Spark's hash partitioning over n partitions sends to partition b.
 

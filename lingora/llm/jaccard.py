@@ -18,12 +18,20 @@ summed per pair. Nothing of a set but the part in the fragment is ever in one pl
     the overlap from above, which rules out most pairs);
     a round takes the next ranks (32, then 1024, ...) as pivots and compares them with the later members that are in
     another component by now; where the pairs across components are few for a group's size, all are compared at once.
-    A first round compares each class with its best-supported pivot alone, which joins most near copies at once. Comparisons are verified exactly, by overlaps per fragment. Rounds end when the members not yet
-    compared with each other are in one component in every group: no link can be missing between components.
+    A first round compares each class with its best-supported pivot alone, which joins most near copies at once.
+    Comparisons are verified exactly, by overlaps per fragment. Rounds end when the members not yet compared with each
+    other are in one component in every group: no link can be missing between components.
+ 5. Large groups. A code of more than BLOCK classes has its members dealt into blocks, which are groups of their own in
+    the rounds, so no task holds more than a block. One in SAMPLED members is in a block of the next level too, and so
+    on, which joins the blocks of near copies. Codes whose members are then in one component are done; for others all
+    pairs of blocks go through the rounds, each a group of two blocks.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of one to four words has
 its whole sequence as one shingle; null and blank texts have an empty set and link with nothing; a null doc_id is later
 than any other; repeated rows are members of one class; an empty table gives no rows; other columns are ignored.
+
+Codes have 64 bits. Links are decided by overlaps of hundreds of codes, which one chance collision hardly moves; two
+texts with unlike sets share a class with a chance of 2**-64 for each pair of texts.
 """
 
 from __future__ import annotations
@@ -36,13 +44,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingora.llm import packed
-from lingora.llm.common import WordCodes, batches, durable, mix, partitions, release, rolling, runs, spread_keys
+from lingora.llm.common import WordCodes, batches, durable, looked_up, mix, partitions, release, rolling, runs, spread_keys
 from lingora.llm.components import components
 from lingora.llm.substring import _in_two
 
 WIDTH, SALTS = 5, 16
+PAIRS = "b long, c long, nb long, nc long, part long"
 #: Two sets link when HUNDRED * overlap >= PERCENT * union.
 PERCENT, HUNDRED = 75, 100
+#: Members of a group that one task holds at most, give or take chance; and how many of them go to the next level.
+BLOCK, SAMPLED = 4096, 128
+#: Pairs that a task has in hand at once, and partners that travel with a set.
+AT_ONCE, PARTNERS = 4_000_000, 4096
 
 
 def least_overlap(n):
@@ -206,7 +219,7 @@ def fragments(spark: SparkSession, codes: int) -> int:
 
 
 def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
-    """(cid, n, codes, most): prefixes in the order of frequency, most being the codes that another class has too."""
+    """(cid, n, codes, most, df): prefixes in the order of frequency, with it; most: the codes that others have too."""
     keys = spread_keys(sets.sparkSession, n_parts)
 
     def scatter(it):
@@ -229,7 +242,7 @@ def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
             new = np.r_[True, (code[1:] != code[:-1]) | (cid[1:] != cid[:-1])]
             cid, n, code = cid[new], n[new], code[new]
             _, size = runs(code)
-            df = np.minimum(np.repeat(size, size), 65535).astype(np.uint16)
+            df = np.minimum(np.repeat(size, size), 2**32 - 1).astype(np.uint32)
             shared = df > 1
             cid, n, code, df = cid[shared], n[shared], code[shared], df[shared]
             order = np.argsort(cid, kind="stable")
@@ -245,17 +258,17 @@ def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
             return
         cid, n, _, code, df = got
         order = np.lexsort((code, df, cid))
-        cid, n, code = cid[order], n[order].astype(np.int64), code[order]
+        cid, n, code, df = cid[order], n[order].astype(np.int64), code[order], df[order]
         starts, shared = runs(cid)
         size = n[starts]
         take = size - least_overlap(size) + 1 - (size - shared)
-        out = [(int(cid[s]), int(m), code[s : s + t].tobytes(), int(k)) for s, k, m, t in zip(starts, shared, size, take) if t > 0]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        out = [(int(cid[s]), int(m), code[s : s + t].tobytes(), int(k), df[s : s + t].tobytes()) for s, k, m, t in zip(starts, shared, size, take) if t > 0]
         for i in range(0, len(out), 2000):
-            part = list(zip(*out[i : i + 2000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int64())], ["cid", "n", "codes", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out[i : i + 2000]), kinds)], ["cid", "n", "codes", "most", "df"])
 
     dealt = sets.select("cid", "n", "codes").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
-    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "cid long, n long, codes binary, most long")
+    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "cid long, n long, codes binary, most long, df binary")
 
 
 def _third_first(it):
@@ -292,22 +305,24 @@ def _able(code, n, most) -> np.ndarray:
     return most >= needed(n, np.maximum(least, least_overlap(n)))
 
 
-def _ranked_pairs(code, cid, n, most, label, turn: int) -> tuple[list[np.ndarray], bool]:
+def _ranked_pairs(code, cid, n, most, label, turn: int, side=None) -> tuple[list[np.ndarray], bool]:
     """Pairs (later, pivot) of all groups for a round, and whether pairs are left for later rounds.
 
     turn 0: every group's first member is the pivot, whatever the labels. most: the codes of a set, from this one on,
     that others have too. If this is the first common code of a pair, its overlap is no larger; a pair that links meets
     in the group of its first common code, so pairs and members that the bound rules out are left out of this group.
+    side: if given, only members of unlike sides are paired.
     """
+    side = np.arange(len(code)) if side is None else side
     able = _able(code, n, most)
-    code, cid, n, most, label = code[able], cid[able], n[able], most[able], label[able]
+    code, cid, n, most, label, side = (x[able] for x in (code, cid, n, most, label, side))
     order = np.lexsort((cid, 1000 * (n - most) // n, code))
-    code, cid, n, most, label = code[order], cid[order], n[order], most[order], label[order]
+    code, cid, n, most, label, side = (x[order] for x in (code, cid, n, most, label, side))
     starts, size = runs(code)
     b, c = [], []
 
     def pair(later: np.ndarray, pivot: np.ndarray) -> None:
-        ok = (label[pivot] != label[later]) & (np.minimum(most[pivot], most[later]) >= needed(n[pivot], n[later]))
+        ok = (label[pivot] != label[later]) & (side[pivot] != side[later]) & (np.minimum(most[pivot], most[later]) >= needed(n[pivot], n[later]))
         b.append(later[ok])
         c.append(pivot[ok])
 
@@ -358,21 +373,68 @@ def runs_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.diff(np.r_[at, len(a)])
 
 
+def _entries(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Prefixes with labels as entries: mixed code, cid, n, most, label, df."""
+    code, cid, n, row = _columns(batch)
+    # Of two sets' first common code, each set has just the codes from there on to share.
+    at, count = runs(row)
+    most = batch.column(3).to_numpy()[row] - (np.arange(len(row)) - np.repeat(at, count))
+    df = np.concatenate([*(np.frombuffer(x, np.uint32) for x in batch.column(4).to_pylist()), np.zeros(0, np.uint32)]).astype(np.int64)
+    return [mix(code), cid, n, most, batch.column(5).to_numpy()[row], df]
+
+
+def _blocked(code: np.ndarray, cid: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, group): every entry's block of its code, and the blocks of the levels that it is sampled for."""
+    entry, group = np.arange(len(code)), code.copy()
+    chance = mix(code ^ mix(cid.view(np.uint64)))
+    entries, groups, level = [entry], [group], 0
+    here, of = np.flatnonzero(df > BLOCK), df
+    while len(here):
+        blocks = -(-of[here] // BLOCK)
+        block = block_of(code[here], cid[here], blocks, level)
+        named = mix(code[here] + (block + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+        if level == 0:
+            group[here] = named
+        else:
+            entries.append(here)
+            groups.append(named)
+        level += 1
+        above = here[blocks > 1]
+        here = above[chance[above] < np.uint64(2**64 // SAMPLED**level)]
+        of = -(-df // SAMPLED**level)
+    return np.concatenate(entries), np.concatenate(groups)
+
+
+def block_of(code: np.ndarray, cid: np.ndarray, blocks: np.ndarray, level: int = 0) -> np.ndarray:
+    """The block of each member, by a hash of its own."""
+    return mix(mix(cid.view(np.uint64) + np.uint64(level)) + code) % blocks.astype(np.uint64)
+
+
+def _slices(code: np.ndarray, turn: int) -> Iterator[np.ndarray]:
+    """Entries in parts of whole groups with about AT_ONCE pairs at most, or of one group."""
+    order = np.argsort(code, kind="stable")
+    start, size = runs(code[order])
+    cost = size if turn == 0 else np.minimum(size * size, size * (first_rank(turn + 1) - first_rank(turn)) + 8 * size + 120)
+    ends, stops, at = np.cumsum(cost), np.r_[start[1:], len(code)], 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield order[start[at] : stops[to - 1]]
+        at = to
+
+
 def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
-    """(b, c, nb, nc) to compare in a round, for prefixes with labels; a row (null, ...) says that more may follow."""
+    """(b, c, nb, nc, part) to compare in a round, for prefixes with labels; a row (null, ...) says that more may follow.
+
+    part numbers the partners of b in portions of PARTNERS.
+    """
     keys = spread_keys(prefix.sparkSession, n_parts)
 
     def scatter(it):
         def pairs():
             for batch in batches(_third_first(it), 8 << 20):
-                batch = _third_back(batch)
-                code, cid, n, row = _columns(batch)
-                code = mix(code)
-                # Of two sets' first common code, each set has just the codes from there on to share.
-                at, count = runs(row)
-                most = batch.column(3).to_numpy()[row] - (np.arange(len(row)) - np.repeat(at, count))
-                label = batch.column(4).to_numpy()[row]
-                for b, (c, d, t, o, k) in packed.deal(packed.bucket_of(code, n_parts), code, cid, n, most, label):
+                code, cid, n, most, label, df = _entries(_third_back(batch))
+                at, code = _blocked(code, cid, df)
+                for b, (c, d, t, o, k) in packed.deal(packed.bucket_of(code, n_parts), code, cid[at], n[at], most[at], label[at]):
                     yield int(keys[b]), packed.pack_places(d, t, np.zeros(len(d), np.int32), c, o, k)
 
         return packed.rows(pairs())
@@ -383,10 +445,13 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
             if got is None:
                 return
             cid, n, _, code, most, label = got
-            found, more = _ranked_pairs(code, cid, n.astype(np.int64), most, label, turn)
-            for b, parts in packed.deal(packed.chunk_of(found[0], n_parts), *found):
-                yield int(keys[b]), b"\0" + packed.pack(*parts)
-            if more:
+            left = False
+            for s in _slices(code, turn):
+                found, more = _ranked_pairs(code[s], cid[s], n[s].astype(np.int64), most[s], label[s], turn)
+                left |= more
+                for b, parts in packed.deal(packed.chunk_of(found[0], n_parts), *found):
+                    yield int(keys[b]), b"\0" + packed.pack(*parts)
+            if left:
                 yield int(keys[0]), b"\1"
 
         return packed.rows(pairs())
@@ -399,7 +464,7 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
                     more = True
                 else:
                     parts.append(packed.unpack(blob[1:]))
-        names = ["b", "c", "nb", "nc"]
+        names = ["b", "c", "nb", "nc", "part"]
         if parts:
             b, c, nb, nc, support = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((c, b))
@@ -411,13 +476,47 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
                 order = np.lexsort((c, -support, b))
                 first, _ = runs(b[order])
                 b, c, nb, nc = (x[order][first] for x in (b, c, nb, nc))
+            at, count = runs(b)
+            part = (np.arange(len(b)) - np.repeat(at, count)) // PARTNERS
             for i in range(0, len(b), 10000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 10000].astype(np.int64)) for x in (b, c, nb, nc)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 10000].astype(np.int64)) for x in (b, c, nb, nc, part)], names)
         if more:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4, names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 5, names)
+
+    dealt = prefix.select("cid", "n", "codes", "most", "df", "label").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
+    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, PAIRS)
+
+
+def _large(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (code, cid, n, most, label, blocks, block) of codes that have several blocks."""
+    for batch in batches(_third_first(it), 8 << 20):
+        code, cid, n, most, label, df = (x[df_ > BLOCK] for e in [_entries(_third_back(batch))] for df_ in [e[5]] for x in e)
+        blocks = -(-df // BLOCK)
+        arrays = (code.view(np.int64), cid, n, most, label, blocks, block_of(code, cid, blocks).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["code", "cid", "n", "most", "label", "blocks", "block"])
+
 
-    dealt = prefix.select("cid", "n", "codes", "most", "label").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
-    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "b long, c long, nb long, nc long")
+def open_members(prefix: DataFrame) -> DataFrame:
+    """Entries of large groups whose members are in several components, in each pair of blocks that they belong to."""
+    entries = prefix.select("cid", "n", "codes", "most", "df", "label").mapInArrow(_large, "code long, cid long, n long, most long, label long, blocks long, block long")
+    spread = entries.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("code")
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("other")
+    pairs = looked_up(entries, spread, "code", "cid").select("*", other)
+    return pairs.select("code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "cid", "n", "most", "label", (F.col("block") > F.col("other")).alias("side"))
+
+
+def block_candidates(members: DataFrame, turn: int) -> DataFrame:
+    """candidates() of open_members(): every pair of blocks is a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, n, most, label, side = (table.column(c).to_numpy() for c in ("cid", "n", "most", "label", "side"))
+        (b, c, nb, nc, _), more = _ranked_pairs(np.zeros(len(cid), np.uint64), cid, n, most, label, turn, side)
+        columns = [np.r_[x, np.zeros(more, np.int64)] for x in (b, c, nb, nc)]
+        last = np.arange(len(columns[0])) >= len(b)
+        part = mix(columns[1].astype(np.uint64)) % np.uint64(SALTS)
+        return pa.table([pa.array(x.astype(np.int64), mask=last) for x in (*columns, part)], ["b", "c", "nb", "nc", "part"])
+
+    return members.groupBy("code", "i", "k").applyInArrow(run, PAIRS).distinct()
 
 
 def _partial_overlaps(code, cid, pair_b, pair_c, step: int = 4_000_000) -> np.ndarray:
@@ -447,14 +546,14 @@ def _partial_overlaps(code, cid, pair_b, pair_c, step: int = 4_000_000) -> np.nd
 
 
 def links(sets: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
-    """Those pairs (a, b) of the given (b, c, nb, nc) whose sets link."""
+    """Those pairs (a, b) of the given (b, c, nb, nc, part) whose sets link; a set travels once for each part of its partners."""
     keys = spread_keys(sets.sparkSession, n_parts)
     # As needed() has it.
     need_ = F.ceil(F.lit(PERCENT) * (F.col("nb") + F.col("nc")) / (HUNDRED + PERCENT)).cast("long")
     partner = F.struct(F.col("c").alias("c"), need_.alias("need"))
-    partners = pairs.groupBy(F.col("b").alias("cid")).agg(F.collect_list(partner).alias("partners"))
-    pivots = pairs.select(F.col("c").alias("cid")).distinct().withColumn("partners", F.array().cast("array<struct<c:long,need:long>>"))
-    wanted = partners.unionByName(pivots).groupBy("cid").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    partners = pairs.groupBy(F.col("b").alias("cid"), "part").agg(F.collect_list(partner).alias("partners"))
+    pivots = pairs.select(F.col("c").alias("cid"), F.lit(0).cast("long").alias("part")).distinct().withColumn("partners", F.array().cast("array<struct<c:long,need:long>>"))
+    wanted = partners.unionByName(pivots).groupBy("cid", "part").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     need = sets.join(wanted, "cid").select("cid", "n", "codes", "partners")
 
     def scatter(it):
@@ -532,30 +631,35 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     cut = fragments(spark, sets.agg(F.sum("n")).first()[0] or 0)
     prefix = durable(prefixes(sets, cut), small=True)
     thin = fragments(spark, (prefix.agg(F.sum(F.length("codes"))).first()[0] or 0) // 4)
-    labels, compared, turn = None, None, 0
-    while True:
-        if labels is None:
-            known = prefix.withColumn("label", F.col("cid"))
-        else:
-            known = prefix.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        found = durable(candidates(known, turn, thin), small=True)
-        pairs = found.where("b IS NOT NULL")
-        either = [F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high")]
-        if compared is not None:
-            pairs = pairs.select("*", *either).join(compared, ["low", "high"], "left_anti").select("b", "c", "nb", "nc")
-        if not pairs.isEmpty():
-            new = durable(links(sets, pairs, cut), small=True)
-            if not new.isEmpty():
-                joined = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-                labels = components(joined)
-            this = found.where("b IS NOT NULL").select(*either)
-            compared = this if compared is None else compared.unionByName(this)
-        elif turn == 0:
-            break
-        if turn and found.where("b IS NULL").isEmpty():
-            break
-        turn += 1
-        release(spark)
+    labels = compared = None
+    # Rounds within blocks; then, for the codes of several blocks that are left, rounds within pairs of blocks.
+    for across in (False, True):
+        turn, members = 0, None
+        while True:
+            if labels is None:
+                known = prefix.withColumn("label", F.col("cid"))
+            else:
+                known = prefix.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+            if across:
+                members = durable(open_members(known), small=True)
+                if members.isEmpty():
+                    return described, labels
+            found = durable(block_candidates(members, turn) if across else candidates(known, turn, thin), small=True)
+            pairs = found.where("b IS NOT NULL")
+            either = [F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high")]
+            if compared is not None:
+                pairs = pairs.select("*", *either).join(compared, ["low", "high"], "left_anti").select("b", "c", "nb", "nc", "part")
+            if not pairs.isEmpty():
+                new = durable(links(sets, pairs, cut), small=True)
+                if not new.isEmpty():
+                    joined = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                    labels = components(joined)
+                this = found.where("b IS NOT NULL").select(*either)
+                compared = this if compared is None else compared.unionByName(this)
+            if turn and found.where("b IS NULL").isEmpty():
+                break
+            turn += 1
+            release(spark)
     return described, labels
 
 
@@ -565,7 +669,7 @@ def _membership(described: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
         labelled = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
         least = labelled.groupBy("label").agg(F.min("least").alias("of_label"))
-        linked = labelled.join(least, "label").select("cid", "of_label")
+        linked = looked_up(labelled, least, "label", "cid").select("cid", "of_label")
         classes = classes.join(linked, "cid", "left").select("cid", F.coalesce("of_label", "least").alias("least"))
     # Copies of a text meet their class in SALTS groups.
     salted = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -77,6 +77,60 @@ def test_chains_edges_of_the_threshold_and_odd_rows(spark):
     assert jaccard.similar(docs.where("false")).count() == 0
 
 
+def excerpts_and_copies(seed, words=104, shared=94, size=14, copies=2):
+    """Copies of a passage with ends of their own, and excerpts that tile it, which sort first in every group."""
+    rng = random.Random(seed)
+    passage = [f"p{seed}x{rng.randrange(10**6)}" for _ in range(shared)]
+    rows = [" ".join(passage + [f"e{seed}x{k}x{i}" for i in range(words - shared)]) for k in range(copies)]
+    at = list(range(0, shared - size + 1, size - 4)) + [shared - size]
+    return rows, [" ".join(passage[i : i + size]) for i in at]
+
+
+def test_excerpts_that_lead_every_group_hide_no_link(spark):
+    copies, parts = excerpts_and_copies(1)
+    rows = list(enumerate([*copies, *parts], 1))
+    assert got(jaccard.similar(docs_frame(spark, rows))) == brute(rows)
+    assert [c for d, _, c in brute(rows) if d == 2] == [1]
+    y = [f"y{i}" for i in range(12)]
+    rows = list(enumerate([" ".join(x) for x in (y, [*y[:11], "z"], y[:9], y[2:11])], 1))
+    assert got(jaccard.similar(docs_frame(spark, rows))) == brute(rows)
+
+
+def test_random_excerpts_and_near_copies(spark):
+    rng, texts = random.Random(12), []
+    for seed in range(2, 9):
+        copies, parts = excerpts_and_copies(seed, rng.randint(60, 130), rng.randint(50, 60), rng.randint(6, 30), rng.randint(2, 5))
+        texts += copies + rng.sample(parts, rng.randint(0, len(parts)))
+    rng.shuffle(texts)
+    assert got(jaccard.similar(docs_frame(spark, list(enumerate(texts))))) == brute(list(enumerate(texts)))
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Near copies, and texts that share passages without a link, in groups far larger than a block."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard, "PARTNERS", 3)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 20)
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base = [word() for _ in range(90)]
+    texts = []
+    for _ in range(30):
+        copy = list(base)
+        copy[rng.randrange(90)] = word()
+        texts.append(copy)
+    passages = [[word() for _ in range(30)] for _ in range(6)]
+    for _ in range(30):
+        three = rng.sample(range(6), 3)
+        texts.append([w for k in three for w in passages[k]] + [word() for _ in range(rng.randint(0, 30))])
+    rows, seen = list(enumerate(map(" ".join, texts))), []
+    across = jaccard.block_candidates
+    monkeypatch.setattr(jaccard, "block_candidates", lambda members, turn: seen.append(members.count()) or across(members, turn))
+    want = brute(rows)
+    assert got(jaccard.similar(docs_frame(spark, rows))) == want and len({c for _, _, c in want}) > 5
+    assert seen and min(seen) > 0
+
+
 def test_rounds_compare_all_pairs_that_matter():
     for size in (2, 3, 7, 20, 60, 200):
         cid = np.arange(size)
@@ -94,4 +148,5 @@ def test_rounds_compare_all_pairs_that_matter():
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 120)] + [(7, 7), (300, 200)]
     out = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert components.components(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a long, b long")).collect() == []
     assert all(out[i] == 0 for i in range(21)) and all(out[k] == 100 for k in range(100, 120)) and out[300] == out[200] == 200
