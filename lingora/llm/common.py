@@ -77,13 +77,13 @@ def spread_keys(spark: SparkSession, n: int) -> np.ndarray:
     return np.array([found.get(b, b) for b in range(n)], np.int64)
 
 
-def batches(source: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that the (binary) second column of each has about `limit` bytes at most."""
+def batches(source: Iterable[pa.RecordBatch], limit: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that one column of each, of texts or bytes, has about `limit` bytes at most."""
     for batch in source:
         start = 0
         if batch.num_rows == 0:
             continue
-        ends = np.cumsum(sizes(batch.column(1)))
+        ends = np.cumsum(sizes(batch.column(column)))
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
@@ -92,7 +92,7 @@ def batches(source: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
 
 
 def sizes(column: pa.Array) -> np.ndarray:
-    """Bytes of each binary value."""
+    """Bytes of each value."""
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

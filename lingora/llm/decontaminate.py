@@ -1,8 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared in a normal form: lower case, with each run of ASCII white space and punctuation as one space. Items
-are cut into parts of PART bytes, one every STRIDE bytes (an item that is shorter is one part). A document leaks an item
-if some part of it aligns with a stretch of the document within the part's edit budget k, a sixteenth of its length.
+are cut into parts of PART bytes, one every STRIDE bytes; an item of WHOLE bytes or fewer is a part as a whole too, so
+that edits which stand close together are weighed against all of it. A document leaks an item if some part of it aligns
+with a stretch of the document within the part's edit budget k, a sixteenth of its length. A part that is shorter than a
+q-gram is searched as it is, between word boundaries.
 
 By the q-gram lemma such a stretch shares at least m - q + 1 - k * q of the part's q-grams, and since k edits shift the
 alignment by k places at most, all of them lie within k + 1 neighbouring diagonals (place in the document less place in
@@ -10,28 +12,28 @@ the part). So the shared q-grams are counted in bands of 2 * (k + 1) diagonals,
 band holds all of a true match. Bands that reach the bound are verified by a banded alignment, all of a batch at once.
 The filter loses nothing and the alignment admits nothing false, so the result is that of comparing everything.
 
-Benchmarks go to the executors in blocks of at most BLOCK bytes of normal text; a larger benchmark takes more passes,
-not more memory.
+The benchmark is cut by Spark and dealt into blocks of some BLOCK bytes of parts. Each block is one pass over the
+documents with an index of its own, which is dropped before the next, so a larger benchmark takes more passes, not more
+memory of the driver or of a task. Usual benchmarks are one block, judged in a single pass without any shuffle.
 
-Defined results: null, empty and blank texts leak nothing; items of fewer than LEAST bytes in normal form are no
-evidence and are ignored, as are null ones; a null item_id counts as -1; each row is judged for itself, repeated or
-not; with an empty benchmark nothing leaks; an empty table gives no rows; other columns are ignored by judge() and kept
-by clean().
+Defined results: null, empty and blank texts leak nothing; items without a letter or digit are no evidence, as are null
+ones; a null item_id counts as -1; repeated parts count each; each row is judged for itself, repeated or not; with an
+empty benchmark nothing leaks; an empty table gives no rows; other columns are ignored by judge() and kept by clean().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingora.llm.common import batches, mix
+from lingora.llm.common import batches, durable, mix
 
-Q, PART, STRIDE, LEAST, RATE = 12, 64, 16, 24, 16
+Q, PART, STRIDE, WHOLE, RATE = 12, 64, 16, 200, 16
 BLOCK = 4 << 20
 RESULT = "doc_id long, leaked boolean, item_ids array<long>, n_regions long"
 _FORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -44,12 +46,21 @@ def normal(raw: bytes) -> bytes:
 
 def budget(m: int) -> int:
     """Edits allowed in a part of m bytes; few enough for the lemma's bound to be 1 at least."""
-    return min(m // RATE, (m - Q) // Q)
+    return max(0, min(m // RATE, (m - Q) // Q))
+
+
+def cut(text: bytes) -> list[bytes]:
+    """Parts of an item in normal form."""
+    m = len(text)
+    if m <= PART:
+        return [text] if text else []
+    starts = [*range(0, m - PART, STRIDE), m - PART]
+    return [text[s : s + PART] for s in starts] + [text] * (m <= WHOLE)
 
 
 @dataclass
 class Index:
-    """Parts of a block of items and their q-grams, sorted by code."""
+    """The parts of a block and their q-grams, sorted by code."""
 
     item: np.ndarray  # item of each part
     text: list[bytes]
@@ -60,6 +71,7 @@ class Index:
     part: np.ndarray
     place: np.ndarray
     maybe: np.ndarray  # by the leading bits of a code, whether there may be such a code
+    short: dict[bytes, list[int]] = field(default_factory=dict)  # items by those parts that have no q-gram
 
 
 def codes(data: np.ndarray) -> np.ndarray:
@@ -76,19 +88,19 @@ def codes(data: np.ndarray) -> np.ndarray:
     return mix(low)
 
 
-def index(items: list[tuple[int, bytes]]) -> Index:
-    """items: (item_id, text in normal form)."""
-    owner, text = [], []
-    for item, t in items:
-        if len(t) < LEAST:
-            continue
-        starts = [0] if len(t) <= PART else [*range(0, len(t) - PART, STRIDE), len(t) - PART]
-        owner += [item] * len(starts)
-        text += [t[s : s + PART] for s in starts]
+def index(parts: list[tuple[int, bytes]]) -> Index:
+    """parts: (item_id, part)."""
+    short: dict[bytes, list[int]] = {}
+    for item, t in parts:
+        if len(t) < Q:
+            short.setdefault(t, []).append(item)
+    parts = [x for x in parts if len(x[1]) >= Q]
+    text = [t for _, t in parts]
     each = [codes(np.frombuffer(t, np.uint8)) for t in text]
+    sizes = [len(x) for x in each]
     code = np.concatenate([*each, np.zeros(0, np.uint64)])
-    part = np.repeat(np.arange(len(text)), [len(x) for x in each]).astype(np.int64)
-    place = np.concatenate([*(np.arange(len(x)) for x in each), np.zeros(0, np.int64)]).astype(np.int64)
+    part = np.repeat(np.arange(len(text), dtype=np.int32), sizes)
+    place = np.concatenate([*(np.arange(n, dtype=np.int16) for n in sizes), np.zeros(0, np.int16)])
     order = np.argsort(code, kind="stable")
     code, part, place = code[order], part[order], place[order]
     distinct, first = np.unique(code, return_index=True)
@@ -96,7 +108,7 @@ def index(items: list[tuple[int, bytes]]) -> Index:
     maybe[(distinct >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     k = np.array([budget(len(t)) for t in text], np.int64)
     m = np.array([len(t) for t in text], np.int64)
-    return Index(np.array(owner, np.int64), text, k, m - Q + 1 - k * Q, distinct, np.r_[first, len(code)], part, place, maybe)
+    return Index(np.array([i for i, _ in parts], np.int64), text, k, m - Q + 1 - k * Q, distinct, np.r_[first, len(code)].astype(np.int32), part, place, maybe, short)
 
 
 def _hits(ix: Index, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,9 +119,9 @@ def _hits(ix: Index, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     slot = np.minimum(np.searchsorted(ix.code, code), max(len(ix.code) - 1, 0))
     same = ix.code[slot] == code if len(ix.code) else np.zeros(len(code), bool)
     at, slot = at[same], slot[same]
-    n = ix.first[slot + 1] - ix.first[slot]
+    n = (ix.first[slot + 1] - ix.first[slot]).astype(np.int64)
     entry = np.repeat(ix.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.repeat(at, n), ix.part[entry], ix.place[entry]
+    return np.repeat(at, n), ix.part[entry].astype(np.int64), ix.place[entry].astype(np.int64)
 
 
 def _aligned(ix: Index, data: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -135,6 +147,21 @@ def _aligned(ix: Index, data: np.ndarray, low: np.ndarray, high: np.ndarray, par
 
 def leaks(ix: Index, docs: list[bytes]) -> list[tuple[np.ndarray, int]]:
     """For each text in normal form, the items that it leaks and the number of parts found."""
+    found = _long_leaks(ix, docs)
+    if not ix.short:
+        return found
+    lengths = sorted({t.count(b" ") + 1 for t in ix.short})
+    for d, t in enumerate(docs):
+        words = t.split(b" ")
+        said = {x for k in lengths for x in (b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)) if x in ix.short}
+        if said:
+            more = [i for x in said for i in ix.short[x]]
+            found[d] = np.union1d(found[d][0], np.array(more, np.int64)), found[d][1] + len(more)
+    return found
+
+
+def _long_leaks(ix: Index, docs: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """leaks() by the parts that have q-grams."""
     lengths = np.fromiter(map(len, docs), np.int64, len(docs))
     ends = np.cumsum(lengths + 1)
     begins = ends - lengths - 1
@@ -180,56 +207,90 @@ def leaks(ix: Index, docs: list[bytes]) -> list[tuple[np.ndarray, int]]:
     return found
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in normal form, in blocks of bounded size; reads it partition by partition."""
-    held, size = [], 0
-    for r in benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("i"), "text").toLocalIterator():
-        text = normal(r.text.encode())
-        held.append((r.i, text))
-        size += len(text)
-        if size >= BLOCK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def parts_of(benchmark: DataFrame) -> DataFrame:
+    """(item, part) of all items."""
 
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1 << 20):
+            found = [(item, p) for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in cut(normal(raw))]
+            for i in range(0, len(found), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found[i : i + 20_000]), (pa.int64(), pa.binary()))], ["item", "part"])
 
-def _sent(docs: DataFrame, benchmark: DataFrame):
-    return [docs.sparkSession.sparkContext.broadcast(index(b)) for b in blocks(benchmark)]
+    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item"), F.encode("text", "UTF-8").alias("raw"))
+    return items.mapInArrow(run, "item long, part binary")
 
 
-def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, leaked, item_ids, n_regions) of every document."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw"))
-    sent = _sent(docs, benchmark)
+def blocks(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the benchmark's blocks, one after another; a block's parts are all that the driver ever holds."""
+    parts = durable(parts_of(benchmark), small=True)
+    n = max(1, -(-(parts.agg(F.sum(F.length("part"))).first()[0] or 0) // BLOCK))
+    mine = F.pmod(F.xxhash64("part", "item"), F.lit(n))
+    for b in range(n):
+        yield index([(r.item, bytes(r.part)) for r in parts.where(mine == b).collect()])
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 4 << 20):
-            docs_here = [normal(x) for x in batch.column(1).to_pylist()]
-            found = [leaks(s.value, docs_here) for s in sent]
-            items = [np.unique(np.concatenate([f[i][0] for f in found])) if found else np.zeros(0, np.int64) for i in range(batch.num_rows)]
-            regions = [sum(f[i][1] for f in found) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n > 0 for n in regions], pa.bool_()), pa.array([x.tolist() for x in items], pa.list_(pa.int64())), pa.array(regions, pa.int64())], ["doc_id", "leaked", "item_ids", "n_regions"])
 
-    return raw.mapInArrow(run, RESULT)
+def _judged(it: Iterable[pa.RecordBatch], ix: Index) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, raw, ...) to (doc_id, leaked, item_ids, n_regions) by one block."""
+    for batch in batches(it, 4 << 20):
+        found = leaks(ix, [normal(x) for x in batch.column(1).to_pylist()])
+        regions = [n for _, n in found]
+        columns = [pa.array([n > 0 for n in regions], pa.bool_()), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int64())), pa.array(regions, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", "leaked", "item_ids", "n_regions", *batch.schema.names[2:]])
+
+
+def _raw(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw"))
+
+
+def _hits_by_passes(docs: DataFrame, first: Index, others: Iterable[Index]) -> DataFrame:
+    """(doc_id, digest, item_ids, n_regions) of what leaks, by a pass for each block; each is kept before the next begins."""
+    keyed, hits = _raw(docs).withColumn("digest", F.md5("raw")), None
+    for ix in _chained(first, others):
+        sent = docs.sparkSession.sparkContext.broadcast(ix)
+        found = keyed.mapInArrow(lambda it: _judged(it, sent.value), RESULT + ", digest string").where("leaked")
+        here = durable(found.select("doc_id", "digest", "item_ids", "n_regions").distinct(), small=True)
+        sent.destroy()
+        hits = here if hits is None else hits.unionByName(here)
+    together = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
+    return hits.groupBy("doc_id", "digest").agg(together, F.sum("n_regions").alias("n_regions"))
+
+
+def _chained(first: Index, others: Iterator[Index]) -> Iterator[Index]:
+    yield first
+    yield from others
+
+
+def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, leaked, item_ids, n_regions) of every document."""
+    todo = blocks(benchmark)
+    first, second = next(todo), next(todo, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+        return _raw(docs).mapInArrow(lambda it: _judged(it, sent.value), RESULT)
+    hits = _hits_by_passes(docs, first, _chained(second, todo))
+    rows = _raw(docs).select("doc_id", F.md5("raw").alias("digest")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.digest") == F.col("h.digest"))
+    none = F.array().cast("array<long>")
+    return rows.join(hits.alias("h"), same, "left").select("d.doc_id", F.col("h.digest").isNotNull().alias("leaked"), F.coalesce("h.item_ids", none).alias("item_ids"), F.coalesce("h.n_regions", F.lit(0).cast("long")).alias("n_regions"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that leak nothing; one pass, without a join."""
+    """The documents, all columns, that leak nothing; one pass without a join, if the benchmark is one block."""
+    todo = blocks(benchmark)
+    first, second = next(todo), next(todo, None)
     place = docs.columns.index("text")
-    sent = _sent(docs, benchmark)
-
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                here = [normal(x.encode()) if x else b"" for x in part.column(place).to_pylist()]
-                bad = np.zeros(len(here), bool)
-                for s in sent:
-                    bad |= np.array([n > 0 for _, n in leaks(s.value, here)], bool)
-                yield part.filter(pa.array(~bad))
-
-    return docs.mapInArrow(run, docs.schema)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+
+        def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches(it, 4 << 20, place):
+                found = leaks(sent.value, [normal(x.encode()) if x else b"" for x in part.column(place).to_pylist()])
+                yield part.filter(pa.array([n == 0 for _, n in found], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    hits = _hits_by_passes(docs, first, _chained(second, todo)).select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.md5(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))) == F.col("__digest"))
+    return docs.join(hits, same, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ texts with unlike sets share a class with a chance of 2**-64 for each pair of te
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -383,14 +384,14 @@ def _entries(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [mix(code), cid, n, most, batch.column(5).to_numpy()[row], df]
 
 
-def _blocked(code: np.ndarray, cid: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _blocked(code: np.ndarray, cid: np.ndarray, df: np.ndarray, size: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
     """(entry, group): every entry's block of its code, and the blocks of the levels that it is sampled for."""
     entry, group = np.arange(len(code)), code.copy()
     chance = mix(code ^ mix(cid.view(np.uint64)))
     entries, groups, level = [entry], [group], 0
-    here, of = np.flatnonzero(df > BLOCK), df
+    here, of = np.flatnonzero(df > size), df
     while len(here):
-        blocks = -(-of[here] // BLOCK)
+        blocks = -(-of[here] // size)
         block = block_of(code[here], cid[here], blocks, level)
         named = mix(code[here] + (block + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
         if level == 0:
@@ -400,8 +401,8 @@ def _blocked(code: np.ndarray, cid: np.ndarray, df: np.ndarray) -> tuple[np.ndar
             groups.append(named)
         level += 1
         above = here[blocks > 1]
-        here = above[chance[above] < np.uint64(2**64 // SAMPLED**level)]
-        of = -(-df // SAMPLED**level)
+        here = above[chance[above] < np.uint64(2**64 // sampled**level)]
+        of = -(-df // sampled**level)
     return np.concatenate(entries), np.concatenate(groups)
 
 
@@ -410,14 +411,14 @@ def block_of(code: np.ndarray, cid: np.ndarray, blocks: np.ndarray, level: int =
     return mix(mix(cid.view(np.uint64) + np.uint64(level)) + code) % blocks.astype(np.uint64)
 
 
-def _slices(code: np.ndarray, turn: int) -> Iterator[np.ndarray]:
-    """Entries in parts of whole groups with about AT_ONCE pairs at most, or of one group."""
+def _slices(code: np.ndarray, turn: int, limit: int) -> Iterator[np.ndarray]:
+    """Entries in parts of whole groups with about `limit` pairs at most, or of one group."""
     order = np.argsort(code, kind="stable")
     start, size = runs(code[order])
     cost = size if turn == 0 else np.minimum(size * size, size * (first_rank(turn + 1) - first_rank(turn)) + 8 * size + 120)
     ends, stops, at = np.cumsum(cost), np.r_[start[1:], len(code)], 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
         yield order[start[at] : stops[to - 1]]
         at = to
 
@@ -428,12 +429,13 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
     part numbers the partners of b in portions of PARTNERS.
     """
     keys = spread_keys(prefix.sparkSession, n_parts)
+    size, sampled, at_once, partners = BLOCK, SAMPLED, AT_ONCE, PARTNERS
 
     def scatter(it):
         def pairs():
             for batch in batches(_third_first(it), 8 << 20):
                 code, cid, n, most, label, df = _entries(_third_back(batch))
-                at, code = _blocked(code, cid, df)
+                at, code = _blocked(code, cid, df, size, sampled)
                 for b, (c, d, t, o, k) in packed.deal(packed.bucket_of(code, n_parts), code, cid[at], n[at], most[at], label[at]):
                     yield int(keys[b]), packed.pack_places(d, t, np.zeros(len(d), np.int32), c, o, k)
 
@@ -446,7 +448,7 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
                 return
             cid, n, _, code, most, label = got
             left = False
-            for s in _slices(code, turn):
+            for s in _slices(code, turn, at_once):
                 found, more = _ranked_pairs(code[s], cid[s], n[s].astype(np.int64), most[s], label[s], turn)
                 left |= more
                 for b, parts in packed.deal(packed.chunk_of(found[0], n_parts), *found):
@@ -477,7 +479,7 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
                 first, _ = runs(b[order])
                 b, c, nb, nc = (x[order][first] for x in (b, c, nb, nc))
             at, count = runs(b)
-            part = (np.arange(len(b)) - np.repeat(at, count)) // PARTNERS
+            part = (np.arange(len(b)) - np.repeat(at, count)) // partners
             for i in range(0, len(b), 10000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 10000].astype(np.int64)) for x in (b, c, nb, nc, part)], names)
         if more:
@@ -487,18 +489,18 @@ def candidates(prefix: DataFrame, turn: int, n_parts: int) -> DataFrame:
     return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, PAIRS)
 
 
-def _large(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _large(size: int, it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries (code, cid, n, most, label, blocks, block) of codes that have several blocks."""
     for batch in batches(_third_first(it), 8 << 20):
-        code, cid, n, most, label, df = (x[df_ > BLOCK] for e in [_entries(_third_back(batch))] for df_ in [e[5]] for x in e)
-        blocks = -(-df // BLOCK)
+        code, cid, n, most, label, df = (x[e[5] > size] for e in [_entries(_third_back(batch))] for x in e)
+        blocks = -(-df // size)
         arrays = (code.view(np.int64), cid, n, most, label, blocks, block_of(code, cid, blocks).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["code", "cid", "n", "most", "label", "blocks", "block"])
 
 
 def open_members(prefix: DataFrame) -> DataFrame:
     """Entries of large groups whose members are in several components, in each pair of blocks that they belong to."""
-    entries = prefix.select("cid", "n", "codes", "most", "df", "label").mapInArrow(_large, "code long, cid long, n long, most long, label long, blocks long, block long")
+    entries = prefix.select("cid", "n", "codes", "most", "df", "label").mapInArrow(partial(_large, BLOCK), "code long, cid long, n long, most long, label long, blocks long, block long")
     spread = entries.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("code")
     other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("other")
     pairs = looked_up(entries, spread, "code", "cid").select("*", other)
@@ -511,7 +513,7 @@ def block_candidates(members: DataFrame, turn: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         cid, n, most, label, side = (table.column(c).to_numpy() for c in ("cid", "n", "most", "label", "side"))
         (b, c, nb, nc, _), more = _ranked_pairs(np.zeros(len(cid), np.uint64), cid, n, most, label, turn, side)
-        columns = [np.r_[x, np.zeros(more, np.int64)] for x in (b, c, nb, nc)]
+        columns = [np.r_[x, np.zeros(int(more), np.int64)] for x in (b, c, nb, nc)]
         last = np.arange(len(columns[0])) >= len(b)
         part = mix(columns[1].astype(np.uint64)) % np.uint64(SALTS)
         return pa.table([pa.array(x.astype(np.int64), mask=last) for x in (*columns, part)], ["b", "c", "nb", "nc", "part"])
