@@ -1,15 +1,16 @@
 """Line dedup by site-relative frequency, in DataFrame operations alone.
 
 Pages are grouped by host. For each line of a host, the pages that contain it are divided by the host's pages, and a
-line that exceeds the boilerplate ratio (and is on at least `least` pages, so that a host of a few pages loses nothing)
-is dropped from all pages of the host.
+line that exceeds the boilerplate ratio is dropped from all pages of the host, however few these are: on a host of up to
+1 / ratio pages that is every line. Callers who want small hosts left alone give `least`, the pages that a line must be
+on; it has no effect unless given. The host is a column, or what `host_of` finds in a URL.
 
 Each page's distinct lines are counted by 16-byte keys with partial sums before the shuffle, so a line that a third of
-all pages share arrives as one row from each task. Lines under `least` go before any join. What is left is small: a page
-has L lines on average, so at most L / ratio lines of a host can exceed the ratio, whatever its size. They are kept as
-one array to a host and joined to the pages by host; Spark sends the arrays to all executors if their measured size is
-under spark.sql.autoBroadcastJoinThreshold, and otherwise shuffles by host and a salt, which deals a hot host's pages
-to many tasks.
+all pages share arrives as one row from each task. What exceeds the ratio is small: a page has
+L lines on average, so at most L / ratio lines of a host can exceed the ratio, whatever its size. They are kept as one
+array to a host and joined to the pages by host; Spark sends the arrays to all executors if their measured size is under
+spark.sql.autoBroadcastJoinThreshold, and otherwise shuffles by host and a salt, which deals a hot host's pages to many
+tasks.
 
 Defined results: a line is what lies between line breaks, compared as it is; lines without a word never count and are
 never dropped; a null text stays null; a null host is the host ''; repeated rows are pages of their own; an empty table
@@ -21,12 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RATIO, LEAST = 0.08, 4
+RATIO, LEAST = 0.08, 1
 #: A host's pages meet its lines in this many groups.
 SALTS = 32
 _BLANK = " \t\n\x0b\x0c\r"
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL, in lower case; '' without one."""
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+
+
 def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 

@@ -73,7 +73,7 @@ def test_query_finds_the_items_that_texts_contain(spark):
 
 def test_edits_that_stand_together_are_weighed_against_the_whole_item():
     item = D.normal(b"the quick brown fox jumps over the lazy dog while seven wizards quietly box the jumping quartz of a distant vow")
-    text = item.replace(b"wizards quietly", b"badgers quickly")
+    text = item.replace(b"wizards", b"wombats")
     assert len(item) <= D.WHOLE and D.leaks(D.index([(1, item)]), [b"so " + text + b" it is"])[0][1] == 1
 
 

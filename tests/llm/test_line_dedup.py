@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lingora.llm import line_dedup
 from tests.llm.util import ODD, SF, WORD, docs_frame
 
@@ -43,3 +45,15 @@ def test_hot_and_small_hosts_nulls_ties_and_repeats(spark):
 def test_plan_has_no_python(spark):
     plan = line_dedup.op5_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_line_exceeds_the_ratio_on_a_host_of_few_pages(spark):
+    rows = [(1, "a\nb", "few"), (2, "a\nc", "few"), (3, "d", "one")]
+    assert got(line_dedup.drop_lines(docs_frame(spark, rows))) == [(1, 2, 2, ""), (2, 2, 2, ""), (3, 1, 1, "")]
+    assert got(line_dedup.drop_lines(docs_frame(spark, rows), least=2)) == [(1, 2, 1, "b"), (2, 2, 1, "c"), (3, 1, 0, "d")]
+
+
+def test_hosts_of_urls(spark):
+    urls = ["https://A.example.org:80/x?y", "no url", None]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string").select(line_dedup.host_of(F.col("url")).alias("host"))
+    assert [r.host for r in frame.collect()] == ["a.example.org", "", ""]

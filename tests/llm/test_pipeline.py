@@ -3,6 +3,7 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline module is not there")
 
@@ -26,6 +27,7 @@ def test_stages_equal_brute_force_on_small_tables(spark, tmp_path):
     if os.path.exists(f"{where}/documents.parquet"):
         os.remove(f"{where}/documents.parquet")
     base = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1500")
+    base = base.withColumn("source", F.concat(F.lit("host"), F.pmod("doc_id", F.lit(2))))  # with pages enough for a ratio
     base.unionByName(docs_frame(spark, [*ODD[:3], *ODD[3:6]])).unionByName(base.limit(3)).coalesce(2).write.parquet(f"{where}/documents.parquet")
     docs = spark.read.parquet(f"{where}/documents.parquet")
     columns = docs.columns
