@@ -2,9 +2,9 @@
 
 A log has events (conv_id, seq, message, kind, role, text). They are dealt by conversation and message, sorted by
 sequence, and folded: `start` opens a message with its role and may carry text, `delta` appends streamed text, `edit`
-replaces what there is, `regenerate` empties the message for a new stream, `delete` withdraws it. The folded messages
+replaces what there is, `regenerate` empties the message for a new stream, `delete` withdraws it for good. The folded messages
 are rendered through a template and, for a digest, dealt by conversation and streamed in order, so that memory holds one
-message at a time however long a conversation is. Folding and rendering, which are the work, are spread over messages
+message at a time however long a conversation is (its digest runs over all of it in order, so that is one task's stream). Folding and rendering, which are the work, are spread over messages
 and so over all tasks, even when one conversation has a third of all rows.
 
 The template is <|im_start|>role\\ntext<|im_end|>\\n. Inside roles and texts, each `<`, backslashes, `|` gets one more
@@ -13,7 +13,8 @@ becomes backslash n, and a backslash in a role is doubled first.
 
 Defined results: null texts and roles are empty; a null conv_id or message forms a conversation or message of its own
 and comes first; events with equal seq go by kind (start, edit and regenerate, delta, delete), then by text; repeated
-rows of a conversation's turn stay turns of their own, in order of role and text; an empty log gives no conversation.
+rows of a conversation's turn stay turns of their own, in order of role and text; an event of a null or unknown kind is
+a delta, and the last role that is not null holds; an empty log gives no conversation; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lingora.llm.common import partitions
@@ -143,17 +144,34 @@ def conversations(rendered: DataFrame) -> DataFrame:
 
 
 def events_of(turns: DataFrame) -> DataFrame:
-    """A log for finished turns (conv_id, turn, role, text): each is started, then streamed.
+    """A log as a chat service would write it for turns (conv_id, turn, role, text), with what went wrong on the way.
 
-    Rows that share a turn are told apart by their place in the order of role and text.
+    Every text is streamed in three deltas. By a hash of the turn, a wrong draft comes first and is regenerated, or the
+    first delta is wrong and edited, or a further message is begun and withdrawn. Events arrive last first. Rows that
+    share a turn are told apart by their place in the order of role and text.
     """
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).cast("long")
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("part", place)
-    steps = F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text")),
-    )
-    return rows.select("conv_id", F.col("turn").alias("message"), "part", F.explode(steps).alias("e")).select("conv_id", "message", "part", "e.*")
+    rows = turns.select("conv_id", F.col("turn").alias("message"), F.coalesce("role", F.lit("")).alias("who"), F.coalesce("text", F.lit("")).alias("said"), place.alias("own"))
+    mishap = F.pmod(F.xxhash64("conv_id", "message", "own"), F.lit(4))
+    third = F.ceil(F.length("said") / 3).cast("int")
+    piece = [F.substring(F.col("said"), third * k + 1, third) for k in range(3)]
+    draft = F.concat(F.lit("draft of "), F.col("who"))
+
+    def event(seq: int, kind: str, text: Column, role: Column = F.lit(None), part: Column = F.col("own")) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text"), part.alias("part"))
+
+    steps = [
+        event(0, "start", F.lit(""), F.col("who")),
+        F.when(mishap.isin(1, 2), event(1, "delta", draft)),
+        F.when(mishap == 1, event(2, "regenerate", F.lit(None))),
+        F.when(mishap == 2, event(3, "edit", piece[0])).otherwise(event(3, "delta", piece[0])),
+        event(4, "delta", piece[1]),
+        event(5, "delta", piece[2]),
+        F.when(mishap == 3, event(6, "start", draft, F.lit("assistant"), -F.col("own"))),
+        F.when(mishap == 3, event(7, "delete", F.lit(None), F.lit(None), -F.col("own"))),
+    ]
+    arrived = F.reverse(F.filter(F.array(*steps), lambda e: e.isNotNull()))
+    return rows.select("conv_id", "message", F.explode(arrived).alias("e")).select("conv_id", "message", "e.*")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,21 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     out = chat.messages(events).orderBy("message").collect()
     assert [(r.role, r.text) for r in out] == [("user", "Hi!"), ("assistant", "good")]
     assert chat.loss_text("".join(r.formatted for r in out)) == "good"
+
+
+def test_result_depends_on_every_kind_of_event_and_on_the_sequence(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    log = chat.events_of(turns)
+    right = got(chat.conversations(chat.messages(log)))
+    assert right == want([tuple(r) for r in turns.collect()])
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"start", "delta", "edit", "regenerate", "delete"} and kinds["delta"] > 2 * turns.count()
+    for kind in ("edit", "regenerate", "delete"):
+        assert got(chat.conversations(chat.messages(log.where(f"kind <> '{kind}'")))) != right
+    assert got(chat.conversations(chat.messages(log.withColumn("seq", -log.seq)))) != right
+
+
+def test_unknown_kinds_append_and_deleted_messages_stay_away(spark):
+    log = [(1, 0, 0, "start", "user", "a"), (1, 1, 0, None, None, "b"), (1, 2, 0, "odd", None, "c"), (1, 3, 1, "start", "user", "x"), (1, 4, 1, "delete", None, None), (1, 5, 1, "start", "user", "y")]
+    events = spark.createDataFrame(log, "conv_id long, seq long, message long, kind string, role string, text string")
+    assert [(r.role, r.text) for r in chat.messages(events).collect()] == [("user", "abc")]
