@@ -108,15 +108,25 @@ def by_code(code: np.ndarray, *then: np.ndarray) -> np.ndarray:
     return order
 
 
-#: What a map step finds in a batch: codes with their places, and places that are decided without any exchange.
-Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: What a map step finds in a batch: codes with their places, places that are decided without any exchange, and, if
+#: codes alone are to decide nothing, 32 more bits of each.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray | None]
+
+
+def told_apart(code: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Numbers of codes by their checks: equal where both are, in the order of codes."""
+    order = by_code(code, check)
+    c, k = code[order], check[order]
+    out = np.empty(len(code), np.uint64)
+    out[order] = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (k[1:] != k[:-1])]) if len(c) else 0
+    return out
 
 
 def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[..., np.ndarray], batch_bytes: int = 6 << 20) -> DataFrame:
     """Marks of documents: (doc, tag, marks), marks being the int32 positions that were found to hold.
 
     source: doc, raw, tag and what else `find` needs. find(batch) gives codes with their document, tag and position,
-    and the places that the batch alone decides. judge(codes, docs), which gets all entries of a bucket sorted by code
+    the places that the batch alone decides, and checks of the codes or None. judge(codes, docs), which gets all entries of a bucket sorted by code
     and document, says which hold.
     """
     spark = source.sparkSession
@@ -126,9 +136,9 @@ def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[...,
     def scatter(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             for batch in batches(it, batch_bytes):
-                code, doc, tag, pos, sure = find(batch)
-                for b, (c, d, t, p) in deal(bucket_of(mix(code), n), code, doc, tag, pos):
-                    yield int(keys[b]), b"\0" + pack_places(d, t, p, c)
+                code, doc, tag, pos, sure, check = find(batch)
+                for b, (c, d, t, p, *k) in deal(bucket_of(mix(code), n), code, doc, tag, pos, *([] if check is None else [check])):
+                    yield int(keys[b]), b"\0" + pack_places(d, t, p, c, *k)
                 for b, (d, t, p) in deal(chunk_of(sure[0], n), *sure):
                     yield int(keys[b]), b"\1" + pack_places(d, t, p)
 
@@ -145,8 +155,10 @@ def exchange(source: DataFrame, find: Callable[..., Found], judge: Callable[...,
                         parts.append(unpack_places(blob[1:]))
             if not parts:
                 return
-            doc, tag, pos, code = (np.concatenate(x) for x in zip(*parts))
+            doc, tag, pos, code, *check = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
+            if check:
+                code = told_apart(code, check.pop())
             order = by_code(code, doc)
             holds = np.zeros(len(order), bool)
             holds[order] = judge(code[order], doc[order])

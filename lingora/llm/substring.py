@@ -3,10 +3,13 @@
 A passage of `width` words that also starts in a document with a smaller id is removed. Testing all windows of that
 width at once would ship one code for each word of the corpus. Instead, windows of a short length are tested first, and
 only those that repeat are extended to twice that length (cut at `width`), level by level, until a level has no
-candidates or the width is reached. The first level needs just one short window for each long one: its anchor, the
+candidates, where all later ones are left out, or the width is reached. The first level needs just one short window for each long one: its anchor, the
 window of the short length with the smallest code, which equal long windows share. Anchors are a quarter of all words,
 and one that occurs in a single document ends all long windows that it stands for.
 
+Levels before the last select, so a chance collision of their 64-bit codes costs nothing but work. At the last level, a
+code is compared with 32 more bits of another code of the same words: 96 bits decide.
+
 Defined results: a null text has no words, and a null doc_id counts as later than any other; rows that share a doc_id
 are one document as to who is earlier, each with its own text; documents of fewer than `width` words keep all; an empty
 table gives no rows; other columns of the input are ignored.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lingora.llm import packed
-from lingora.llm.common import WordCodes, batches, covered, rolling, runs
+from lingora.llm.common import WordCodes, batches, covered, durable, rolling, runs
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
@@ -59,24 +62,22 @@ def anchors(codes: np.ndarray, starts: np.ndarray, short: int, width: int) -> tu
 
 
 def _firsts(code: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One entry for each code and document (its first place), sorted by code and document."""
+    """One entry for each code and document (its first place), sorted by code and document, and which it was."""
     order = np.lexsort((pos, tag, doc, code))
     code, doc, tag, pos = code[order], doc[order], tag[order], pos[order]
     new = np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])] if len(code) else np.zeros(0, bool)
-    return code[new], doc[new], tag[new], pos[new]
-
-
-def _by_place(code, doc, tag, pos):
-    order = np.lexsort((pos, tag, doc))
-    return code[order], doc[order], tag[order], pos[order]
+    return code[new], doc[new], tag[new], pos[new], order[new]
 
 
-def _reduced(code, doc, tag, pos, repeated_only: bool) -> packed.Found:
+def _reduced(code, doc, tag, pos, repeated_only: bool, check: np.ndarray | None = None) -> packed.Found:
     """Ships a single document for each code; the others of the batch are decided here.
 
     repeated_only: a code holds for all its documents if it has two (the first level); otherwise for all but the least.
     """
-    code, doc, tag, pos = _firsts(code, doc, tag, pos)
+    own, checks = code, check
+    if check is not None:
+        code = packed.told_apart(own, check)
+    code, doc, tag, pos, at = _firsts(code, doc, tag, pos)
     starts, n = runs(code)
     least = np.repeat(doc[starts], n) if len(code) else doc
     later = doc != least
@@ -93,7 +94,9 @@ def _reduced(code, doc, tag, pos, repeated_only: bool) -> packed.Found:
         sure_out = (doc[sure], tag[sure], pos[sure])
     order = np.lexsort((sure_out[2], sure_out[1], sure_out[0]))
     sure_out = tuple(x[order] for x in sure_out)
-    return *_by_place(code[ship], doc[ship], tag[ship], pos[ship]), sure_out
+    sent = np.flatnonzero(ship)
+    sent = sent[np.lexsort((pos[sent], tag[sent], doc[sent]))]
+    return own[at[sent]], doc[sent], tag[sent], pos[sent], sure_out, None if checks is None else checks[at[sent]]
 
 
 def _in_two(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -152,7 +155,8 @@ def _next_level(memo: WordCodes, short: int, long: int, width: int, last: bool,
         keep = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
         at, row = at[keep], row[keep]
         return _reduced(grams[at], doc[row], tag[row], at - offsets[row], True)
-    return _reduced(rolling(codes, width)[starts], doc[row], tag[row], starts - offsets[row], False)
+    check = (rolling(codes, width, 0xC2B2AE3D27D4EB4F)[starts] >> np.uint64(32)).astype(np.uint32)
+    return _reduced(rolling(codes, width)[starts], doc[row], tag[row], starts - offsets[row], False, check)
 
 
 def _spans(gone: np.ndarray) -> list[dict]:
@@ -197,11 +201,15 @@ def repeated_words(docs: DataFrame, width: int = 13, start: int | None = None) -
     memo = WordCodes()
     if len(steps) == 1:
         steps = [width, width]
-    marks = packed.exchange(source, partial(_first_level, memo, steps[0], width), _in_two)
+    marks = durable(packed.exchange(source, partial(_first_level, memo, steps[0], width), _in_two), small=True)
     for i, (short, long) in enumerate(zip(steps, steps[1:])):
+        if marks.isEmpty():
+            break
         last = i == len(steps) - 2
         alive = packed.with_marks(source, marks, "inner")
         marks = packed.exchange(alive, partial(_next_level, memo, short, long, width, last), _not_least if last else _in_two)
+        if not last:
+            marks = durable(marks, small=True)
     return packed.with_marks(source, marks).mapInArrow(partial(_cut, width), RESULT)
 
 

@@ -96,7 +96,7 @@ def _anchor_level(width: int, gram: int, batch: pa.RecordBatch) -> packed.Found:
     ship[starts] = ship[starts + n - 1] = True
     back = np.lexsort((place, row))
     several, ship, code, row, place = several[back], ship[back], code[back], row[back], place[back]
-    return code[ship], doc[row[ship]], tag[row[ship]], place[ship], (doc[row[several]], tag[row[several]], place[several])
+    return code[ship], doc[row[ship]], tag[row[ship]], place[ship], (doc[row[several]], tag[row[several]], place[several]), None
 
 
 def _twice(code: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import random
 
-from lingora.llm import substring
+import numpy as np
+
+from lingora.llm import packed, substring
 from tests.llm.util import ODD, SF, WORD, docs_frame, sf_rows, sha
 
 
@@ -39,6 +41,21 @@ def test_odd_texts_repeated_rows_and_few_words(spark):
         assert got(substring.repeated_words(docs_frame(spark, rows), width, start)) == brute(rows, width)
 
 
+def test_codes_alone_decide_nothing():
+    code, doc = np.array([5, 5, 5, 9], np.uint64), np.array([3, 1, 2, 1])
+    zero, check = np.zeros(4, np.uint32), np.array([7, 8, 7, 7], np.uint32)
+    sent, d, _, _, sure, k = substring._reduced(code, doc, zero, zero.astype(np.int64), False, check)
+    assert sorted(zip(sent.tolist(), d.tolist(), k.tolist())) == [(5, 1, 8), (5, 2, 7), (9, 1, 7)] and sure[0].tolist() == [3]
+    assert packed.told_apart(code, check).tolist() == [0, 1, 0, 2]
+
+
+def test_later_levels_are_left_out_when_nothing_repeats(spark, monkeypatch):
+    levels, exchange = [], packed.exchange
+    monkeypatch.setattr(packed, "exchange", lambda *a: levels.append(1) or exchange(*a))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(9)]
+    assert got(substring.repeated_words(docs_frame(spark, rows), 40, 5)) == brute(rows, 40) and len(levels) == 1
+
+
 def test_empty_table_and_extra_columns(spark):
     empty = docs_frame(spark, [(1, "x")]).where("false")
     assert substring.repeated_words(empty).collect() == []
