@@ -55,16 +55,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def looked_up(big: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def looked_up(big: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 32) -> DataFrame:
     """big with the columns that table, which has a row for each key, adds to it.
 
-    Rows are dealt into groups by `spread`, each group asks for a key once, and the answers meet the rows by key and
-    group. So a key of very many rows is neither joined in one task nor replicated to rows that do not ask for it.
+    Rows of a key are dealt by `spread` into groups that each meet a copy of the key's row, so that a key of very many
+    rows is not joined in one task. Meant for tables of a few numbers a row.
     """
-    n = partitions(big.sparkSession)
-    dealt = big.withColumn("__group", F.pmod(F.xxhash64(spread), F.lit(n)))
-    told = dealt.select("__group", key).distinct().join(table, key)
-    return dealt.join(told, ["__group", key], how).drop("__group")
+    copies = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def spread_keys(spark: SparkSession, n: int) -> np.ndarray:

@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each pass points every node to its least neighbour, follows the pointers to local minima, and contracts the edges to
     these, which at least halves the nodes that still have edges. Minima are pre-aggregated and pointers are looked up
-    group by group, so neither a node of very many edges nor the root of very many nodes is a hot spot.
+    by salted keys, so neither a node of very many edges nor the root of very many nodes is a hot spot.
 
     Defined results: edges from a node to itself, those with a null end and repeated ones add nothing; other columns are
     ignored; without edges there are no rows.

@@ -673,9 +673,7 @@ def _membership(described: DataFrame, labels: DataFrame | None) -> DataFrame:
         least = labelled.groupBy("label").agg(F.min("least").alias("of_label"))
         linked = looked_up(labelled, least, "label", "cid").select("cid", "of_label")
         classes = classes.join(linked, "cid", "left").select("cid", F.coalesce("of_label", "least").alias("least"))
-    # Copies of a text meet their class in SALTS groups.
-    salted = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = described.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).join(salted, ["cid", "salt"], "left")
+    out = looked_up(described, classes, "cid", "doc", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
     late = F.lit(packed.LAST)
     return out.select(F.nullif("doc", late).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, late).alias("component_id"), F.col("cid").alias("class_id"))
