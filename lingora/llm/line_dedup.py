@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lingora.llm.common import looked_up
+
 RATIO, LEAST = 0.08, 1
 #: A host's pages meet its lines in this many groups.
 SALTS = 32
@@ -50,7 +52,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     distinct = F.transform(F.array_distinct(F.filter(_lines(F.col("text")), _has_word)), _key)
     counts = pages.where(F.col("text").isNotNull()).select("host", F.explode(distinct).alias("key")).groupBy("host", "key").agg(F.count("*").alias("on"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    frequent = counts.where(F.col("on") >= least).join(totals, "host").where(F.col("on") > ratio * F.col("pages"))
+    frequent = looked_up(counts.where(F.col("on") >= least), totals, "host", "key").where(F.col("on") > ratio * F.col("pages"))
     return frequent.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
