@@ -8,13 +8,13 @@ equal windows share; a maximal run of windows with one anchor is a fragment, and
  1. Whole copies of an earlier document are known by a digest, and are removed whole if they have `width` bytes.
  2. Anchors alone are exchanged (packed, reduced in each batch): most occur once, and end all their windows.
  3. Fragments of anchors that repeat go to their shards, each batch shipping a fragment once, whatever its copies.
-    A shard keeps distinct fragments, each with its earliest place, and builds a suffix array over those whose anchor
-    code another fragment has, a few megabytes of whole code groups at a time. Neighbours that agree on `width` bytes are places of one string; its earliest place
-    stays and all others are marked. Shards shrink as spark.sql.shuffle.partitions rises; the sorter's queue goes to
-    disk beyond its memory limit.
+    A shard keeps distinct fragments in a file, each with its earliest place, and sorts the suffixes of all those whose
+    anchor code another fragment has. Induction carries common prefixes along (induced.py), so neighbours of `width`
+    common bytes are known as they leave; they are places of one string, whose earliest place stays and all others are
+    marked. Arrays beyond `memory` bytes are files in the task's own temporary folder, as a task's spills are: a lost
+    executor costs no more than its running tasks. Shards shrink as spark.sql.shuffle.partitions rises.
 
-The common-prefix values of neighbours are measured on the text, up to `width`, when the sorted suffixes leave the
-queue; they are not carried through the induction, since only agreement on `width` bytes matters.
+Fragments are told apart by digests of 128 bits; strings are compared byte by byte.
 
 Defined results: a null text is empty; a null doc_id is later than any other; rows that share a doc_id are one document
 as to what starts earlier, so equal rows leave each other alone; texts under `width` bytes stay; an empty table gives
@@ -24,11 +24,13 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,55 +121,83 @@ def _fragments(batch: pa.RecordBatch, width: int, gram: int):
     return starts[cut], n, row[cut], codes[at[cut]], data, offsets
 
 
-def _joined(text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fragments in a row, a separator after each, as small integers; and where each begins."""
-    lengths = np.fromiter(map(len, text), np.int64, len(text)) + 1
-    begins = np.cumsum(lengths) - lengths
-    flat = np.frombuffer(b"\0".join(text) + b"\0", np.uint8).astype(np.uint16) + 1
-    flat[begins + lengths - 1] = induced.SEPARATOR
-    return flat, begins
-
-
-def repeated_windows(text: list[bytes], doc: np.ndarray, start: np.ndarray, width: int, limit: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(fragment, window) pairs whose string also begins earlier; doc and start are the fragments' earliest places."""
-    none = np.zeros(0, np.int64)
-    if not text:
-        return none, none
-    flat, begins = _joined(text)
-    order = induced.suffix_array(flat, limit)
-    fragment = np.searchsorted(begins, order, "right") - 1
-    within = order - begins[fragment]
-    lengths = np.fromiter(map(len, text), np.int64, len(text))
-    whole = within + width <= lengths[fragment]
-    order, fragment, within = order[whole], fragment[whole], within[whole]
-    if not len(order):
-        return none, none
-    # Agreement of neighbours on `width` bytes, eight at a time, among those that agree so far.
-    raw = np.concatenate([(flat - 1).astype(np.uint8), np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(flat),), "<u8", np.ascontiguousarray(raw), 0, (1,))
-    agree = np.arange(1, len(order))
-    for at in [*range(0, width - 7, 8), width - 8]:
-        agree = agree[eight[order[agree] + at] == eight[order[agree - 1] + at]]
-    head = np.ones(len(order), bool)
-    head[agree] = False
-    group = np.cumsum(head) - 1
-    d, s = doc[fragment], start[fragment] + within
-    by = np.lexsort((s, d, group))
-    first, _ = runs(group[by])
-    least_d, least_s = d[by[first]][group], s[by[first]][group]
-    later = (d > least_d) | ((d == least_d) & (s > least_s))
-    return fragment[later], within[later]
-
-
-def _shards(fragments: np.ndarray, code: np.ndarray, lengths: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Fragments, sorted by code, in parts of about `limit` bytes that keep those of one code together."""
-    ends = np.cumsum(lengths)
-    start = 0
-    while start < len(fragments):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
-        stop = int(np.searchsorted(code[fragments], code[fragments[stop - 1]], "right"))
-        yield fragments[start:stop]
-        start = stop
+class Distinct:
+    """Distinct fragments, numbered, in a file; only their digests are in memory."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.lengths: list[int] = []
+        self.file = tempfile.TemporaryFile(prefix="fragments-")
+
+    def add(self, text: bytes) -> int:
+        import xxhash
+
+        k = self.number.setdefault(xxhash.xxh3_128_digest(text), len(self.lengths))
+        if k == len(self.lengths):
+            self.lengths.append(len(text))
+            self.file.write(text)
+        return k
+
+    def joined(self, wanted: np.ndarray, store: induced.Store) -> tuple[np.ndarray, np.ndarray]:
+        """The wanted ones in a row, a separator after each, as small integers; and where each begins."""
+        self.number.clear()
+        self.file.flush()
+        lengths = np.array(self.lengths, np.int64)
+        raw = np.memmap(self.file, np.uint8, "r")
+        source, size = (np.cumsum(lengths) - lengths)[wanted], lengths[wanted] + 1
+        ends = np.cumsum(size)
+        begins = ends - size
+        wide = max(int(raw[i : i + induced.WAVE].max()) for i in range(0, len(raw), induced.WAVE)) >= 255
+        flat = store.array(int(ends[-1]), np.uint16 if wide else np.uint8)
+        at = 0
+        while at < len(wanted):
+            to = max(at + 1, int(np.searchsorted(ends, begins[at] + induced.WAVE, "right")))
+            n = size[at:to]
+            place = np.arange(begins[at], ends[to - 1])
+            here = raw[np.minimum(place - np.repeat(begins[at:to] - source[at:to], n), len(raw) - 1)].astype(flat.dtype) + 1
+            here[ends[at:to] - 1 - begins[at]] = induced.SEPARATOR
+            flat[begins[at] : ends[to - 1]] = here
+            at = to
+        return flat, begins
+
+
+def repeated_windows(flat: np.ndarray, begins: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int, store: induced.Store) -> np.ndarray:
+    """Which places of the joined fragments begin a string of `width` bytes that also begins earlier.
+
+    doc and start are the fragments' earliest places.
+    """
+    marked = store.array(len(flat), bool)
+
+    def mark(place: np.ndarray, head: np.ndarray) -> None:
+        """Of a part of the order that ends with a whole group."""
+        several = ~head | np.r_[~head[1:], False]
+        place, group = place[several], np.cumsum(head[several])
+        fragment = np.searchsorted(begins, place, "right") - 1
+        d, s = doc[fragment], start[fragment] + place - begins[fragment]
+        by = np.lexsort((s, d, group))
+        first, n = runs(group[by])
+        least_d, least_s = np.repeat(d[by[first]], n), np.repeat(s[by[first]], n)
+        later = (d[by] > least_d) | ((d[by] == least_d) & (s[by] > least_s))
+        marked[place[by[later]]] = True
+
+    held = [np.zeros(0, np.int64), np.zeros(0, bool)]
+    for place, common in induced.suffixes(flat, width, store):
+        held = [np.r_[held[0], place], np.r_[held[1], common < width]]
+        last = int(np.flatnonzero(held[1])[-1]) if held[1].any() else 0
+        mark(held[0][:last], held[1][:last])
+        held = [x[last:] for x in held]
+    mark(*held)
+    return marked
+
+
+def _runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of marked places."""
+    edges = []
+    for i in range(0, len(marked), induced.WAVE):
+        part = marked[i : i + induced.WAVE]
+        edges.append(i + np.flatnonzero(part != np.r_[marked[i - 1] if i else False, part[:-1]]))
+    edge = np.concatenate([*edges, np.zeros(0, np.int64)])
+    return edge[::2], edge[1::2] - edge[::2]
 
 
 def _span_rows(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, count: np.ndarray):
@@ -175,7 +205,7 @@ def _span_rows(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, count: np.nd
     return doc[order], tag[order], first[order], count[order].astype(np.int32)
 
 
-def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, shard: int) -> DataFrame:
+def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, spilled: Accumulator | None = None) -> DataFrame:
     """(doc, tag, marks): runs of repeated windows as int32 pairs (first, number)."""
     spark = docs_with_anchors.sparkSession
     n_parts = partitions(spark)
@@ -216,7 +246,7 @@ def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, sh
 
     def gather(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
-            index: dict[bytes, int] = {}
+            distinct = Distinct()
             parts = []
             for batch in it:
                 for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -225,14 +255,12 @@ def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, sh
                         continue
                     doc, tag, pos, n, code, data = packed.unpack_places(blob[1:])
                     raw, ends = data.tobytes(), np.cumsum(n.astype(np.int64) + width - 1)
-                    which = [index.setdefault(raw[a:b], len(index)) for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+                    which = [distinct.add(raw[a:b]) for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
                     parts.append((doc, tag, pos, n, code, np.array(which, np.int64)))
             if not parts:
                 return
             doc, tag, pos, n, code, which = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
-            texts = list(index)
-            index.clear()
             order = np.lexsort((pos, doc, which))
             first, size = runs(which[order])
             lead = order[first]  # by fragment: its earliest place
@@ -240,26 +268,24 @@ def removed(docs_with_anchors: DataFrame, width: int, gram: int, memory: int, sh
             code_of = code[lead]
             _, back, count = np.unique(code_of, return_inverse=True, return_counts=True)
             shared = np.flatnonzero(count[back] > 1)
-            shared = shared[np.argsort(back[shared], kind="stable")]
-            hits, windows = [], []
-            for part in _shards(shared, back, np.fromiter((len(texts[i]) for i in shared), np.int64, len(shared)), shard):
-                h, w = repeated_windows([texts[i] for i in part], doc[lead[part]], pos[lead[part]], width, memory)
-                hits.append(part[h])
-                windows.append(w)
-            hit, window = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (hits, windows))
-            by = np.lexsort((window, hit))
-            hit, window = hit[by], window[by]
-            begin = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | (window[1:] != window[:-1] + 1)]) if len(hit) else np.zeros(0, np.int64)
-            length = np.diff(np.r_[begin, len(hit)])
+            begin = length = hit = window = np.zeros(0, np.int64)
+            if len(shared):
+                store = induced.Store(memory)
+                flat, begins = distinct.joined(shared, store)
+                begin, length = _runs_of(repeated_windows(flat, begins, doc[lead[shared]], pos[lead[shared]], width, store))
+                at = np.searchsorted(begins, begin, "right") - 1
+                hit, window = shared[at], begin - begins[at]
+                if spilled is not None:
+                    spilled.add(store.spilled)
             # What is marked of a fragment holds for all rows at its earliest place.
             at_lead = np.flatnonzero(~again)
             at_lead = at_lead[np.argsort(which[at_lead], kind="stable")]
-            low, high = np.searchsorted(which[at_lead], hit[begin], "left"), np.searchsorted(which[at_lead], hit[begin], "right")
+            low, high = np.searchsorted(which[at_lead], hit, "left"), np.searchsorted(which[at_lead], hit, "right")
             reps = high - low
             occ = at_lead[np.repeat(low, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)] if len(low) else np.zeros(0, np.int64)
             spans = _span_rows(
                 np.r_[doc[again], doc[occ]], np.r_[tag[again], tag[occ]],
-                np.r_[pos[again], pos[occ] + np.repeat(window[begin], reps)], np.r_[n[again].astype(np.int64), np.repeat(length, reps)],
+                np.r_[pos[again], pos[occ] + np.repeat(window, reps)], np.r_[n[again].astype(np.int64), np.repeat(length, reps)],
             )
             for b, (d, t, p, k) in packed.deal(packed.chunk_of(spans[0], n_parts), *spans):
                 yield int(keys[b]), packed.pack_places(d, t, p, k)
@@ -314,10 +340,13 @@ def _whole(width: int, it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], ["doc", "tag", "marks"])
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = 64 << 20, shard: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans are removed runs of bytes, by place."""
-    if gram % 8 or not 8 <= gram <= width:
-        raise ValueError("gram must be a multiple of 8, and width at least as large")
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory: int = 8 << 20, spilled: Accumulator | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans are removed runs of bytes, by place.
+
+    spilled: gets the bytes of the sorters' arrays that went to files.
+    """
+    if gram % 8 or not 8 <= gram <= width <= 254:
+        raise ValueError("gram must be a multiple of 8, and width at least as large and 254 at most")
     source = packed.keyed(docs)
     described = source.select("doc", "tag", F.md5("raw").alias("digest"), F.length("raw").alias("size")).where(F.col("size") >= width)
     earliest = described.groupBy("digest").agg(F.min("doc").alias("least"))
@@ -326,7 +355,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory
     copies = described.join(salted, ["digest", "salt"]).where("doc > least").select("doc", "tag", "size").distinct()
     anchors = packed.exchange(source, partial(_anchor_level, width, gram), _twice, 3 << 20)
     living = packed.with_marks(source, anchors.join(copies, ["doc", "tag"], "left_anti"), "inner")
-    marks = removed(living, width, gram, memory, shard).unionByName(copies.mapInArrow(partial(_whole, width), packed.MARKED))
+    marks = removed(living, width, gram, memory, spilled).unionByName(copies.mapInArrow(partial(_whole, width), packed.MARKED))
     return packed.with_marks(source, marks).mapInArrow(partial(_cut, width), RESULT)
 
 

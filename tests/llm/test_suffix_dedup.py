@@ -32,6 +32,13 @@ def test_query_equals_brute_force(spark):
     assert got(suffix_dedup.op7_suffix_dedup(spark, SF)) == brute(sf_rows(spark), 100)
 
 
+def test_shards_of_the_query_exceed_the_memory_limit(spark):
+    """At production parameters, what a partition of one megabyte of text sorts is on disk in part."""
+    spilled = spark.sparkContext.accumulator(0)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert suffix_dedup.repeated_bytes(docs, spilled=spilled).agg({"n_removed": "sum"}).first()[0] > 0 and spilled.value > 1 << 20
+
+
 def test_odd_texts_periods_and_repeated_rows(spark):
     rng = random.Random(6)
     pieces = ["".join(rng.choices("ab\0é", k=rng.randint(5, 60))) for _ in range(12)]
@@ -41,5 +48,5 @@ def test_odd_texts_periods_and_repeated_rows(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     docs = docs.selectExpr("*", "1 as doc", "2 as tag", "3 as raw", "4 as marks")
     assert got(suffix_dedup.repeated_bytes(docs, 24, 8)) == brute(rows, 24)
-    assert got(suffix_dedup.repeated_bytes(docs, 16, 16, memory=64, shard=100)) == brute(rows, 16)
+    assert got(suffix_dedup.repeated_bytes(docs, 16, 16, memory=64)) == brute(rows, 16)
     assert suffix_dedup.repeated_bytes(docs.where("false")).count() == 0
