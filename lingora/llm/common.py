@@ -21,13 +21,17 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    A local session that names none, as in tests, gets a temporary one; a cluster has to name one, since a folder of the
+    driver's machine is no place for what other machines write.
+    """
     context = spark.sparkContext
-    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lingora-checkpoint-"))
-    elif named and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named)
+    named, known = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lingora-checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 

@@ -42,6 +42,28 @@ def test_stages_equal_brute_force_on_small_tables(spark, tmp_path):
     assert sorted(rows_of(P.run(spark, where)), key=str) == sorted(rows_of(docs), key=str)
 
 
+def test_empty_tables_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    extra = base.selectExpr("*", "1 AS cid", "'k' AS keys", "2 AS shared", "true AS leaked", "'r' AS raw", "3 AS label", "doc_id AS __doc", "4 AS host", "5 AS n_words")
+    odd = extra.unionByName(docs_frame(spark, ODD), allowMissingColumns=True)
+    for docs, labels, benchmark in ((odd, True, False), (odd, False, True), (odd.where("false"), True, True)):
+        where = str(tmp_path / f"{labels}{benchmark}{docs.count()}")
+        docs.write.parquet(f"{where}/documents.parquet")
+        for name, full in (("labels", labels), ("benchmark", benchmark)):
+            table = spark.read.parquet(f"{SF}/{name}.parquet")
+            (table if full else table.where("false")).write.parquet(f"{where}/{name}.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, where)
+            assert out.columns == docs.columns, name
+            assert out.count() <= docs.count()
+        assert P.run(spark, where).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+        if not docs.count():
+            assert P.run(spark, where).count() == 0
+
+
 def _quality(spark, where, before, after):
     docs = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
     forest = quality_rules.train(docs, spark.read.parquet(f"{where}/labels.parquet"))
