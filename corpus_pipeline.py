@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: quality rules, line dedup, near duplicates, decontamination, encoding."""
+"""A training corpus from raw documents: quality rules, line dedup, near duplicates, decontamination, encoding.
+
+Defined results: a null or blank text fails the base rules of the first stage; a null doc_id counts as later than any
+other where one of a group of copies stays, and is kept; of rows that share both doc_id and text one stays; other columns
+pass through all stages but the last, whatever their names; an empty table of documents gives no rows, empty labels no
+verdict beyond the base rules, and an empty benchmark no leaks. Each stage is defined for all inputs, not just for what
+its predecessor leaves: see the operators.
+"""
 
 from __future__ import annotations
 
@@ -48,17 +55,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each but the last is written to the shared folder, and its predecessor's files go."""
+    """All stages; each but the last is written to the shared folder, and its predecessor's files go.
+
+    The files that the returned rows are read from go when the session's file system is closed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     before = None
     for name, stage in STAGES[:-1]:
         at = f"{home}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
         if before:
-            old = path(before)
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+            files.delete(path(before), True)
         before = at
+    files.deleteOnExit(path(home))
     return STAGES[-1][1](spark, docs, sf_dir)
