@@ -9,6 +9,8 @@ from lingora.sources import dims
 
 #: What counts as blank at the ends of a text.
 BLANK = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same characters, for functions that take a set instead of a pattern.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK_ALL = r"[\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]"
 
 
@@ -17,7 +19,7 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize(lang: Column) -> Column:
@@ -38,8 +40,8 @@ def from_flores(code: Column) -> Column:
 
 def zh_variant(text: Column) -> Column:
     """zh-CN unless the text has more traditional than simplified characters."""
-    simplified = F.regexp_count(text, F.lit(f"[{''.join(dict.fromkeys(dims.SIMPLIFIED))}]"))
-    traditional = F.regexp_count(text, F.lit(f"[{''.join(dict.fromkeys(dims.TRADITIONAL))}]"))
+    count = lambda chars: F.length(text) - F.length(F.translate(text, "".join(dict.fromkeys(chars)), ""))
+    simplified, traditional = count(dims.SIMPLIFIED), count(dims.TRADITIONAL)
     return F.when(simplified >= traditional, "zh-CN").otherwise("zh-TW")
 
 
@@ -63,7 +65,7 @@ def detect(text: Column) -> Column:
 
     def counted(x):
         beyond = x["beyond"]
-        n = lambda low, high: F.regexp_count(beyond, F.lit(_class(low, high)))
+        n = lambda low, high: F.length(beyond) - F.length(F.regexp_replace(beyond, _class(low, high) + "+", ""))
         fields = [n(low, high).alias(f"n_{lang}") for lang, low, high in dims.RANGES]
         variant = F.when(zh_variant(beyond) == "zh-CN", "zh").otherwise("zh-TW")
         return F.struct(x["text"].alias("text"), x["letters"].alias("letters"), (x["letters"] + F.length(beyond)).alias("total"), n(0x4E00, 0x9FFF).alias("cjk"), variant.alias("variant"), *fields)

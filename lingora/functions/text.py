@@ -177,9 +177,10 @@ def escape(text: Column, context: Column, quote: Column) -> Column:
 
 
 def java_hash(text: Column) -> Column:
-    """31-polynomial over characters in 32 bits, as text."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    wrapped = F.aggregate(F.filter(codes, lambda c: c.isNotNull()), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(2**32)))
+    """31-polynomial over UTF-16 units in 32 bits, as text: of a character beyond the basic plane, both surrogates."""
+    hexed = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int")), lambda i: F.conv(F.substr(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    wrapped = F.aggregate(F.filter(units, lambda c: c.isNotNull()), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(2**32)))
     return F.when(wrapped >= 2**31, wrapped - 2**32).otherwise(wrapped).cast("string")
 
 

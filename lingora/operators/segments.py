@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from lingora.functions.lang import BLANK, has_locale_text, locale_length, trim
+from lingora.functions.lang import BLANKS, has_locale_text, locale_length, trim
 from lingora.functions.text import segment_id
 from lingora.sources import dims
 
@@ -24,23 +26,34 @@ FENCE = r"```[\s\S]*?```"
 def lines(docs: DataFrame, path: Column, text: str = "text") -> DataFrame:
     """(path, seg_idx, id, text, start, end, line, column) of non-blank lines; places in code points, from 0 and from 1.
 
-    Offsets come from the lengths of the lines before, inside one row: no window over the exploded lines.
+    Offsets come from the lengths of the lines before, inside one row: no window over the exploded lines. Each line is
+    trimmed once, before it becomes a row.
     """
     parts = F.split(F.col(text), "\n", -1)
-    sizes = F.transform(parts, lambda x: F.length(x) + 1)
-    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    placed = F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), lambda x, b: F.struct(x.alias("raw"), b.alias("begin")))
-    rows = docs.select(path.alias("path"), F.posexplode(placed).alias("at", "l"))
-    raw, begin = F.col("l.raw"), F.col("l.begin")
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, rf"^{BLANK}+", ""))
-    body = trim(raw)
-    out = rows.select("path", "at", body.alias("text"), (begin + lead).alias("start"), (lead + 1).alias("column")).where("text <> ''")
-    return out.select(
-        "path", F.col("at").alias("seg_idx"), segment_id(F.col("text"), F.col("path")).alias("id"), "text", "start",
-        (F.col("start") + F.length("text")).alias("end"), (F.col("at") + 1).alias("line"), "column",
+    begins = running_sums(F.transform(parts, lambda x: F.length(x) + 1))
+    placed = F.zip_with(parts, begins, lambda x, b: F.struct(F.ltrim(x, F.lit(BLANKS)).alias("rest"), F.length(x).alias("size"), b.alias("begin")))
+    bodies = F.transform(placed, lambda p, i: F.struct(i.alias("at"), F.rtrim(p["rest"], F.lit(BLANKS)).alias("text"), (p["size"] - F.length(p["rest"])).alias("lead"), p["begin"].alias("begin")))
+    rows = docs.select(path.alias("path"), F.explode(F.filter(bodies, lambda x: x["text"] != "")).alias("l")).select("path", "l.*")
+    start = F.col("begin") + F.col("lead")
+    return rows.select(
+        "path", F.col("at").alias("seg_idx"), segment_id(F.col("text"), F.col("path")).alias("id"), "text", start.alias("start"),
+        (start + F.length("text")).alias("end"), (F.col("at") + 1).alias("line"), (F.col("lead") + 1).alias("column"),
     )
 
 
+def running_sums(sizes: Column, block: int = 256) -> Column:
+    """For each number of an array, the sum of those before it.
+
+    Sums are built for blocks first and then inside of these, so that what appending to arrays costs stays in proportion.
+    """
+    append = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    totals = F.transform(blocks, lambda part: F.aggregate(part, F.lit(0), lambda acc, n: acc + n))
+    starts = F.aggregate(totals, F.array(F.lit(0)), append)
+    inside = F.transform(blocks, lambda part, b: F.slice(F.aggregate(part, F.array(F.get(starts, b)), append), F.lit(1), F.size(part)))
+    return F.when(F.size(sizes) > 0, F.flatten(inside)).otherwise(F.array().cast("array<int>"))
+
+
 def masked_markdown(text: Column) -> Column:
     """Markdown without the text of code fences: each fence leaves its line breaks."""
     pieces = F.split(text, FENCE, -1)
@@ -115,14 +128,34 @@ def should_translate(text: Column, context: Column, locale: Column, rules: list[
     return has_locale_text(shown, locale) & (forced | ~skipped)
 
 
-def looks_like_code(text: Column) -> Column:
-    return text.rlike(r"</?[a-zA-Z][^>]*>") | text.rlike(r"\b(?:const|let|var|function|return|import|export)\b.*[=({;]") | text.rlike(r"=>|;\s*\z|https?://|\$\{")
+def spliced(content: str, edits: list[tuple[int, int, str]]) -> str:
+    """Edits (start, end, value) in order, made from the last to the first; one that reaches into a later one's value
+    takes of it what its places say."""
+    if any(a[1] > b[0] for a, b in zip(edits, edits[1:])):
+        for start, end, value in reversed(edits):
+            content = content[:start] + value + content[end:]
+        return content
+    out, at = [], 0
+    for start, end, value in edits:
+        out += content[at:start], value
+        at = end
+    return "".join([*out, content[at:]])
+
+
+@F.pandas_udf(StringType())
+def _splice(content: pd.Series, edits: pd.Series) -> pd.Series:
+    def one(text, todo):
+        if text is None or todo is None:
+            return None
+        return spliced(text, [(e["start"], e["end"], e["value"]) for e in sorted(todo, key=lambda e: (e["start"], e["ord"], e["end"], e["value"]))])
+
+    return pd.Series([one(t, e) for t, e in zip(content, edits)])
 
 
 def splice(content: Column, edits: Column) -> Column:
     """Content with edits (start, end, ord, value) made from the last to the first, so that earlier places stay true."""
-    ordered = F.reverse(F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["ord"].alias("ord"), e["end"].alias("end"), e["value"].alias("value")))))
-    return F.aggregate(ordered, content, lambda acc, e: F.concat(F.substr(acc, F.lit(1), e["start"]), e["value"], F.substr(acc, e["end"] + 1)))
+    plain = F.transform(edits, lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["ord"].cast("int").alias("ord"), e["value"].alias("value")))
+    return _splice(content, plain)
 
 
 def line_diff(before: Column, after: Column) -> Column:

@@ -100,7 +100,7 @@ s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM
     "cache_ttl_hits": """
 WITH RECURSIVE o AS (SELECT event_id AS seq, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT seq, user_id, event_type, k, ts AS set_at, false AS hit FROM o WHERE k = 1
-  UNION ALL SELECT o.seq, o.user_id, o.event_type, o.k, CASE WHEN o.ts - set_at < INTERVAL 1 HOUR THEN set_at ELSE o.ts END, o.ts - set_at < INTERVAL 1 HOUR
+  UNION ALL SELECT o.seq, o.user_id, o.event_type, o.k, CASE WHEN o.ts - set_at <= INTERVAL 1 HOUR THEN set_at ELSE o.ts END, o.ts - set_at <= INTERVAL 1 HOUR
   FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.k = r.k + 1)
 SELECT seq, hit FROM r""",
     "echo_suppression": """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,22 +25,31 @@ def incremental(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
 
 
 def ttl_hits(requests: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """requests (keys, ts, seq) with hit: a value set less than `seconds` ago; a hit does not renew it.
+    """requests (keys, ts, seq) with hit: a value set at most `seconds` ago; a hit does not renew it.
 
-    The last set before a request decides, and that depends on all requests before: a fold over each key's requests.
-    Streams keep the time of the last set in state (see Cache).
+    The last set before a request decides, and that depends on all requests before: a fold over each key's requests in
+    order, of which a task holds the time of the last set and one batch. Streams keep that time in state (cached_stream).
     """
-    in_key = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq"))).alias("r"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("set"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s, r):
-        ts = r["ts"].cast("timestamp")
-        hit = F.coalesce(F.unix_micros(ts) - F.unix_micros(s["set"]) < seconds * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, s["set"]).otherwise(ts).alias("set"), F.concat(s["out"], F.array(hit)).alias("out"))
+    number = F.xxhash64(*keys)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = requests.select(*keys, "ts", "seq", micros.alias("__at"), F.struct(*keys).alias("__key"), number.alias("__n"))
+    dealt = rows.repartition(*keys).sortWithinPartitions("__n", "__key", "ts", "seq")
+    schema = requests.select(*keys, "ts", "seq").withColumn("hit", F.lit(True)).schema
+    kept = len(keys) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = held = None
+        for batch in batches:
+            hits = []
+            for at, k in zip(batch.column(kept).to_pylist(), batch.column(kept + 1).to_pylist()):
+                if k != key:
+                    key, held = k, None
+                hit = held is not None and at is not None and at - held <= seconds * 1_000_000
+                held = held if hit else at
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(hits, pa.bool_())], [*batch.schema.names[:kept], "hit"])
 
-    hits = F.aggregate("r", start, step, lambda s: s["out"])
-    rows = in_key.select(*keys, F.explode(F.arrays_zip(F.col("r").alias("r"), hits.alias("hit"))).alias("z"))
-    return rows.select(*keys, "z.r.ts", "z.r.seq", "z.hit")
+    return dealt.drop("__n").mapInArrow(run, schema)
 
 
 def suppressed(changes: DataFrame, writes: DataFrame, key: str, millis: int = 500) -> DataFrame:
@@ -96,7 +106,7 @@ def cached_stream(requests: DataFrame, key: str, seconds: int, watermark: str =
             hits = []
             for ts in frame.sort_values("ts").ts:
                 now = pd.Timestamp(ts).value // 1000
-                hit = held is not None and now - held < seconds * 1_000_000
+                hit = held is not None and now - held <= seconds * 1_000_000
                 held = held if hit else now
                 hits.append((k[0], ts, hit))
             yield pd.DataFrame(hits, columns=[key, "ts", "hit"])

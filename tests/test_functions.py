@@ -80,9 +80,31 @@ def test_extractors(spark):
     assert column(spark, ["a\nb", "a"], lambda c: S.line_diff(c, F.lit("a\nc"))) == [["-b", "+c"], ["+c"]]
     edits = "array(named_struct('start', 0, 'end', 1, 'ord', 0, 'value', 'X'), named_struct('start', 2, 'end', 4, 'ord', 1, 'value', ''))"
     assert column(spark, ["abcdef"], lambda c: S.splice(c, F.expr(edits))) == ["Xbef"]
+    over = "array(named_struct('start', 1, 'end', 4, 'ord', 0, 'value', 'X'), named_struct('start', 3, 'end', 5, 'ord', 1, 'value', 'YZ'))"
+    assert column(spark, ["abcdef", None], lambda c: S.splice(c, F.expr(over))) == ["aXZf", None]
     assert column(spark, ["see https://a.b/c now"], runs.url_parts)[0][1].value == "https://a.b/c"
 
 
+def test_places_of_many_lines(spark):
+    text = "\n".join("\u3000" * (i % 3) + "x" * (i % 7) + " " * (i % 2) for i in range(1500))
+    rows = S.lines(spark.createDataFrame([("p", text), ("q", ""), ("r", None)], "path string, text string"), F.col("path")).orderBy("seg_idx").collect()
+    assert len(rows) == sum(i % 7 > 0 for i in range(1500))
+    assert all(text[r.start : r.end] == r.text and text[: r.start].count("\n") + 1 == r.line and r.start - (text.rfind("\n", 0, r.start) + 1) + 1 == r.column for r in rows)
+    sums = spark.createDataFrame([([1, 2, 3],), ([5],), ([],), ([1] * 5,)], "a array<int>").select(S.running_sums(F.col("a"), 2).alias("s")).collect()
+    assert [r.s for r in sums] == [[0, 1, 3], [0], [], [0, 1, 2, 3, 4]]
+
+
+def test_hash_counts_utf16_units(spark):
+    def units(t):
+        h, raw = 0, t.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h * 31 + int.from_bytes(raw[i : i + 2], "big")) % 2**32
+        return str(h - 2**32 if h >= 2**31 else h)
+
+    texts = ["", "abc", "é漢", "a\U0001F600b", "\U00020000" * 9]
+    assert column(spark, texts, T.java_hash) == [units(t) for t in texts]
+
+
 def test_registered_models_sort_by_priority(spark):
     pairs = spark.createDataFrame([("fr", "de"), ("zh", "en")], "from string, to string")
     out = routing.route(pairs, [("own/fr-de", "opus-mt", [("French", "German")], 0, False), ("own/zh", "opus-mt", [("zh", "en")], 0, False)])

@@ -53,6 +53,14 @@ def test_cached_stream_equals_the_table(spark, tmp_path):
     assert sorted((r.k, r.ts, r.hit) for r in got) == sorted((r.k, r.ts, r.hit) for r in table.collect())
 
 
+def test_a_value_of_the_exact_age_still_hits(spark):
+    rows = [("a", T0 + timedelta(seconds=s), s) for s in (0, 100, 101, 201)] + [(None, T0, 0), (None, T0 + timedelta(seconds=5), 1), ("b", T0, 0)]
+    got = O.ttl_hits(spark.createDataFrame(rows, "k string, ts timestamp, seq int"), ["k"], 100).collect()
+    assert {r.seq: r.hit for r in got if r.k == "a"} == {0: False, 100: True, 101: False, 201: True}
+    assert [r.hit for r in sorted((r for r in got if r.k is None), key=lambda r: r.seq)] == [False, True]
+    assert O.ttl_hits(spark.createDataFrame(rows, "k string, ts timestamp, seq int").where("false"), ["k"], 100).count() == 0
+
+
 def test_stream_drops_repeats_and_debounces(spark, tmp_path):
     rows = [(i, "u", T0 + timedelta(seconds=s)) for i, s in ((1, 0), (1, 0), (2, 10), (3, 5000), (4, 90000))]
     stream = _stream(spark, tmp_path, rows, "event_id long, user_id string, ts timestamp")
