@@ -189,15 +189,23 @@ def without_digits(text: Column) -> Column:
     return F.regexp_replace(text, "[0-9]", "")
 
 
-def namespace_key(path: Column, key: Column, separator: str = ".") -> Column:
-    """A key with its file's path before it: without a leading src, without the extension."""
-    base = F.regexp_replace(F.regexp_replace(path, r"^(?:src|source)/", ""), r"\.[^./]+\z", "")
-    return F.concat_ws(separator, F.array_join(F.split(base, "/"), separator), key)
+def _module(path: Column) -> Column:
+    """A source's path without a leading src and without the extension."""
+    return F.regexp_replace(F.regexp_replace(path, r"^(?:src|source)/", ""), r"\.[^./]+\z", "")
 
 
-def locale_output_path(path: Column, locale: Column, out_dir: str = "locales", kind: str = "json") -> Column:
-    base = F.regexp_replace(F.regexp_replace(path, r"^(?:src|source)/", ""), r"\.[^./]+\z", "")
-    return F.concat_ws("/", F.lit(out_dir), locale, F.concat(base, F.lit(f".{kind}")))
+def namespace_key(path: Column, key: Column, separator: str = ".", namespace: str = "", local: bool = False) -> Column:
+    """A key with the namespace and its file's path before it; local: the key alone."""
+    if local:
+        return key
+    parts = [p.strip() for p in namespace.replace("\\", "/").split("/") if p.strip()]
+    below = F.filter(F.split(_module(path), "/"), lambda p: p != "")
+    return F.concat_ws(separator, *[F.lit(p) for p in parts], F.array_join(below, separator), key)
+
+
+def locale_output_path(path: Column, locale: Column, out_dir: str = "locales", kind: str = "json", namespace: str = "") -> Column:
+    parts = [F.lit(p) for p in namespace.replace("\\", "/").split("/") if p]
+    return F.concat_ws("/", F.lit(out_dir), locale, *parts, F.concat(_module(path), F.lit(f".{kind}")))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

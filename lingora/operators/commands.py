@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lingora.functions import text as T
 from lingora.operators import glossary as G
@@ -95,6 +99,23 @@ def replacement(segment: dict[str, Column], content: Column, key: Column, params
     )
 
 
+# Calls that a component's compiler hoists out of its setup.
+MACROS = ["defineProps", "defineEmits", "defineModel", "defineOptions", "defineSlots", "withDefaults"]
+
+
+@F.pandas_udf(BooleanType())
+def in_call(content: pd.Series, place: pd.Series, names: pd.Series) -> pd.Series:
+    """Whether a place is between the parentheses of a call of one of the names (joined by bars)."""
+
+    def one(text: str, at: int, pattern: str) -> bool:
+        for m in re.finditer(rf"\b(?:{pattern})\s*(?:<[^()]*?>)?\(", text[:at]):
+            if 1 + text.count("(", m.end(), at) - text.count(")", m.end(), at) > 0:
+                return True
+        return False
+
+    return pd.Series([one(t, int(a), n) for t, a, n in zip(content, place, names)], dtype=bool)
+
+
 def _spliced(files: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, content, changed) with the edits (path, e) made."""
     per = edits.groupBy("path").agg(F.collect_list("e").alias("edits"))
@@ -112,9 +133,12 @@ def adapt(files: DataFrame, entries: DataFrame, settings: dict, imports: str | N
     holes = F.array_distinct(T.placeholders(F.col("text")))
     params = F.transform(holes, lambda h: F.regexp_replace(h, r"^(?:\{\{|\$\{)\s*|\s*(?:\}\}|\})\z", ""))
     params = F.transform(params, lambda p: F.concat(F.regexp_replace(p, r"[^\w$]+", "_"), F.lit(": "), p))
-    reference = T.namespace_key(F.col("path"), F.col("key"), settings["separator"])
-    placed = found.withColumn("e", F.when(F.coalesce("key", F.lit("")) != "", replacement({c: F.col(c) for c in ("start", "end", "node_type")}, F.col("content"), reference, params, settings)))
-    reason = F.when(F.coalesce("key", F.lit("")) == "", "missing-key").otherwise("unsupported-context")
+    reference = T.namespace_key(F.col("path"), F.col("key"), settings["separator"], settings.get("namespace", ""), settings.get("mode") == "local")
+    no_key = F.coalesce("key", F.lit("")) == ""
+    macro = F.col("path").endswith(".vue") & in_call(F.col("content"), F.col("start"), F.lit("|".join(settings.get("skip_macros", MACROS))))
+    edit = replacement({c: F.col(c) for c in ("start", "end", "node_type")}, F.col("content"), reference, params, settings)
+    placed = found.withColumn("macro", macro).withColumn("e", F.when(~no_key & ~F.col("macro"), edit))
+    reason = F.when(no_key, "missing-key").when(F.col("macro"), "vue-compiler-macro").otherwise("unsupported-context")
     skipped = placed.where("e IS NULL").select("path", "text", "key", reason.alias("reason"))
     edits = placed.where("e IS NOT NULL").select("path", F.struct("e.start", "e.end", F.col("seg_idx").alias("ord"), "e.value").alias("e"))
     out = _spliced(files, edits)
@@ -126,12 +150,21 @@ def adapt(files: DataFrame, entries: DataFrame, settings: dict, imports: str | N
 
 
 def apply(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """Files with approved translations in place of their texts (path, old, content, changed); old is the backup."""
-    ready = entries.where("approved AND coalesce(translation, '') <> ''").select(F.col("source_path").alias("path"), "text", "translation")
-    found = script_segments(files).join(ready, ["path", "text"]).join(files.select("path", "content"), "path")
+    """Files with approved translations in place of their texts (path, old, content, changed); old is the backup.
+
+    Skipped entries stay as they are. Scripts, data, pages, styles and texts are rewritten, each with its own escapes.
+    """
+    ready = entries.where("approved AND coalesce(translation, '') <> '' AND NOT coalesce(skip, false)").select(F.col("source_path").alias("path"), "text", "translation")
+    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
+    scripts = files.where(kind.isin(*SCRIPTS))
+    coded = script_segments(scripts).join(scripts.select("path", "content"), "path")
     before, after = F.substr("content", F.col("start"), F.lit(1)), F.substr("content", F.col("end") + 1, F.lit(1))
     quote = F.when((before == after) & before.isin("'", '"', "`"), before).otherwise("")
-    edits = found.select("path", F.struct("start", "end", F.col("seg_idx").alias("ord"), T.escape(F.col("translation"), F.col("context"), quote).alias("value")).alias("e"))
+    coded = coded.select("path", "text", "start", "end", "seg_idx", "context", quote.alias("quote"))
+    placed = files.where(~kind.isin(*SCRIPTS)).select("path", F.posexplode(S.places(F.col("content"), kind)).alias("seg_idx", "p"))
+    placed = placed.select("path", "p.text", "p.start", "p.end", "seg_idx", "p.context", "p.quote")
+    found = coded.unionByName(placed).join(ready, ["path", "text"])
+    edits = found.select("path", F.struct("start", "end", F.col("seg_idx").alias("ord"), T.escape(F.col("translation"), F.col("context"), F.col("quote")).alias("value")).alias("e"))
     return _spliced(files, edits)
 
 
@@ -148,14 +181,15 @@ def dry_run(applied: DataFrame) -> DataFrame:
 def convert(entries: DataFrame, locale: str, settings: dict) -> DataFrame:
     """(output, package, sources) of ready entries; fails if two texts claim one key of an output."""
     stated = entries.withColumn("status", M.status({c: F.col(c) for c in entries.columns})).where("status = 'ready'").withColumn("path", F.col("source_path"))
-    rows = stated.withColumn("output", T.locale_output_path(F.col("path"), F.lit(locale), settings["convert"]["out_dir"], settings["convert"]["format"]))
+    c = settings["convert"]
+    rows = stated.withColumn("output", T.locale_output_path(F.col("path"), F.lit(locale), c["out_dir"], c["format"], c.get("namespace", "")))
     clash = M.key_conflicts(rows).limit(1).collect()
     if clash:
         raise ValueError(f"key {clash[0].key!r} of {clash[0].output} has {clash[0].owners} texts")
-    packages = M.packages(stated, F.lit(locale))
-    if settings["convert"]["format"] == "json":
-        return packages
-    return packages.withColumn("output", F.regexp_replace("output", r"\.json\z", f".{settings['convert']['format']}")).withColumn("package", F.concat(F.lit("export default "), F.col("package"), F.lit("\n")))
+    body = M.pretty(F.from_json("package", "map<string,string>"))
+    written = F.concat(F.lit("" if c["format"] == "json" else "export default "), body, F.lit("\n"))
+    packages = M.packages(stated, F.lit(locale), c["out_dir"], c["format"], c.get("namespace", ""))
+    return packages.withColumn("package", written)
 
 
 def translate_package(files: DataFrame, backend, retries: int = 3) -> DataFrame:
@@ -168,6 +202,45 @@ def translate_package(files: DataFrame, backend, retries: int = 3) -> DataFrame:
     return files.join(pairs, "path", "left").select("path", F.when(F.col("pairs").isNull(), F.col("content")).otherwise(filled).alias("content"))
 
 
+def package_paths(path: Column, source_dir: str, source_locale: str, target_locale: str, output_dir: str | None = None) -> Column:
+    """Where the translation of a package's file goes; a folder in the source's own is refused."""
+    source = source_dir.rstrip("/")
+    parent, _, name = source.rpartition("/")
+    same = name.lower().replace("_", "-") == source_locale.lower().replace("_", "-")
+    target = (output_dir or "/".join(x for x in (parent, target_locale if same else f"{name}-{target_locale}") if x)).rstrip("/")
+    if f"{target}/".startswith(f"{source}/"):
+        raise ValueError("a translation's folder must be outside of its source")
+    return F.concat(F.lit(target), F.substr(path, F.lit(len(source) + 1)))
+
+
+def translate_locale(files: DataFrame, existing: DataFrame, backend, source_dir: str, source_locale: str, target_locale: str, output_dir: str | None = None, overwrite: bool = False, retries: int = 3) -> DataFrame:
+    """(source_path, path, content, skipped, changed): packages of a folder in another locale.
+
+    existing: files (path, content) at the targets; these are left alone unless overwrite.
+    """
+    done = translate_package(files, backend, retries).select(F.col("path").alias("source_path"), package_paths(F.col("path"), source_dir, source_locale, target_locale, output_dir).alias("path"), "content")
+    there = done.join(existing.select("path", F.col("content").alias("before")), "path", "left")
+    skipped = F.col("before").isNotNull() & ~F.lit(overwrite)
+    return there.select("source_path", "path", "content", skipped.alias("skipped"), (~skipped & ~F.col("before").eqNullSafe(F.col("content"))).alias("changed"))
+
+
+def init(root: str, settings: dict, overwrite: bool = True) -> dict[str, list[str]]:
+    """Makes a project's folder with its configuration and an empty glossary; what is there stays unless overwrite."""
+    home, made, left = Path(root) / ".tmigrate", [], []
+    for folder in ("maps", "cache", "backups"):
+        (home / folder).mkdir(parents=True, exist_ok=True)
+        made.append(f".tmigrate/{folder}")
+    wanted = {"config.json": (json.dumps(settings, indent=2, ensure_ascii=False) + "\n", overwrite), "glossary.json": ("{}\n", overwrite)}
+    wanted |= {f"{folder}/.gitkeep": ("", False) for folder in ("maps", "cache", "backups")}
+    for name, (text, again) in wanted.items():
+        if (home / name).exists() and not again:
+            left.append(f".tmigrate/{name}")
+        else:
+            (home / name).write_text(text)
+            made.append(f".tmigrate/{name}")
+    return {"created": made, "skipped": left}
+
+
 def adapt_status(entries: DataFrame, refs: DataFrame) -> DataFrame:
     """(source_path, adapted): whether the references id:key of ready entries are those of the last adapt (refs)."""
     now = entries.where("approved AND key IS NOT NULL").groupBy("source_path").agg(F.array_sort(F.collect_list(F.concat("id", F.lit(":"), "key"))).alias("now"))

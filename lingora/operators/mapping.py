@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lingora.functions.text import key_candidates, key_hash, locale_output_path, similarity
+from lingora.operators.backends import dictionary, echo  # noqa: F401
 
 FUZZY = 0.8
 
@@ -152,12 +153,51 @@ def report(files: DataFrame) -> DataFrame:
     return total.select("*", active.alias("active"), done.alias("translated"), (F.col("skipped") + F.col("deprecated")).alias("excluded"), share(F.col("ready"), active).alias("ready_percent"), share(done, active).alias("translated_percent"))
 
 
-def approve(entries: DataFrame, force: bool = False) -> DataFrame:
-    """entries with `eligible` and the three approvals set where they are."""
-    eligible = ~F.coalesce("skip", F.lit(False)) & ~F.coalesce("deprecated", F.lit(False)) & (F.trim(F.coalesce("translation", F.lit(""))) != "") & (F.coalesce("key", F.lit("")) != "")
+def approve(entries: DataFrame, force: bool = False, include_skipped: bool = False, include_deprecated: bool = False, allow_empty: bool = False) -> DataFrame:
+    """entries with `eligible` and the three approvals set where they are.
+
+    Skipped, deprecated and untranslated entries are eligible only if asked for, those without a key never; see derived_keys.
+    """
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    eligible = (F.lit(include_skipped) | no("skip")) & (F.lit(include_deprecated) | no("deprecated")) & (F.lit(allow_empty) | (F.trim(F.coalesce("translation", F.lit(""))) != "")) & (F.coalesce("key", F.lit("")) != "")
     eligible = eligible | F.lit(force)
     done = {c: F.when(F.col("eligible"), True).otherwise(F.coalesce(c, F.lit(False))) for c in ("approved", "translation_approved", "key_approved")}
-    return entries.withColumn("already", F.coalesce("approved", F.lit(False))).withColumn("eligible", eligible).withColumns(done)
+    before = {"already": F.coalesce("approved", F.lit(False)), "was_translation": F.coalesce("translation_approved", F.lit(True)), "was_key": F.coalesce("key_approved", F.lit(True)), "eligible": eligible}
+    return entries.withColumns(before).withColumns(done)
+
+
+def derived_keys(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """entries (text, translation, key, key_source) with the first candidate where a key is missing."""
+    missing = F.coalesce("key", F.lit("")) == ""
+    first = F.try_element_at(key_candidates(F.col("text"), F.col("translation"), F.lit(None).cast("string"), ascii_only), F.lit(1))
+    found = entries.withColumn("__first", first)
+    take = missing & F.col("__first").isNotNull()
+    return found.withColumns({"key": F.when(take, F.col("__first")).otherwise(F.col("key")), "key_source": F.when(take, F.coalesce("key_source", F.lit("generated"))).otherwise(F.col("key_source"))}).drop("__first")
+
+
+def approval_counts(entries: DataFrame) -> DataFrame:
+    """Of approve()d entries (source_path, ...): (source_path, total, approved, already, skipped, changed) of each file."""
+    done = F.col("already") & F.col("was_translation") & F.col("was_key")
+    n = lambda c, name: F.count_if(c).alias(name)
+    counts = entries.groupBy("source_path").agg(F.count("*").alias("total"), n(F.col("eligible") & ~done, "approved"), n(F.col("eligible") & done, "already"), n(~F.col("eligible"), "skipped"))
+    return counts.withColumn("changed", F.col("approved") > 0)
+
+
+def adapt_counts(stats: DataFrame, status: DataFrame, files: DataFrame) -> DataFrame:
+    """file_stats() with adapt_ready, adapted (of adapt_status) and source_exists (of the files that are there)."""
+    out = stats.join(status.select(F.col("source_path").alias("path"), "adapted"), "path", "left").join(files.select("path", F.lit(True).alias("source_exists")).distinct(), "path", "left")
+    no = F.lit(False)
+    return out.withColumns({"adapt_ready": F.col("ready") > 0, "adapted": F.coalesce("adapted", no), "source_exists": F.coalesce("source_exists", no)})
+
+
+def top_orphans(stats: DataFrame, most: int = 5) -> DataFrame:
+    """The maps without a source that have the most entries."""
+    return stats.where("NOT source_exists").orderBy(F.desc("entries"), "path").limit(most)
+
+
+def top_waiting(stats: DataFrame, most: int = 5) -> DataFrame:
+    """The sources that are ready for an adapt and not adapted, those with the most ready entries first."""
+    return stats.where("source_exists AND adapt_ready AND NOT adapted").orderBy(F.desc("ready"), "path").limit(most)
 
 
 def key_conflicts(entries: DataFrame) -> DataFrame:
@@ -165,16 +205,25 @@ def key_conflicts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("output", "key").agg(F.count_distinct("text").alias("owners")).where("owners > 1")
 
 
-def packages(entries: DataFrame, locale: Column) -> DataFrame:
+def pretty(package: Column) -> Column:
+    """A map of strings as JSON, sorted by key, a pair to each line."""
+    text = lambda v: F.substr(F.to_json(F.array(v)), F.lit(2), F.length(F.to_json(F.array(v))) - 2)
+    pairs = F.transform(F.array_sort(F.map_entries(package)), lambda e: F.concat(F.lit("  "), text(e["key"]), F.lit(": "), text(e["value"])))
+    return F.when(F.size(package) > 0, F.concat(F.lit("{\n"), F.array_join(pairs, ",\n"), F.lit("\n}"))).otherwise("{}")
+
+
+def packages(entries: DataFrame, locale: Column, out_dir: str = "locales", kind: str = "json", namespace: str = "") -> DataFrame:
     """(output, package, sources): one map of keys to translations for each output, sorted, and the files that fed it."""
-    rows = entries.withColumn("output", locale_output_path(F.col("path"), locale))
+    rows = entries.withColumn("output", locale_output_path(F.col("path"), locale, out_dir, kind, namespace))
     one = rows.groupBy("output", "key").agg(F.max_by("translation", "ord").alias("translation"), F.collect_set("path").alias("paths"))
     return one.groupBy("output").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "translation"))))).alias("package"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("sources"))
 
 
-def translate(texts: DataFrame, backend, retries: int = 3) -> DataFrame:
+def translate(texts: DataFrame, backend, retries: int = 3, beside: list[str] | None = None) -> DataFrame:
     """(text, translation): distinct texts only, in Arrow batches, each batch tried again and then text by text.
 
+    beside: columns of strings that tell texts apart too, and stay.
+
     backend(list of texts) -> list of translations; it runs in Python workers and is made once for each partition.
     """
 
@@ -194,19 +243,10 @@ def translate(texts: DataFrame, backend, retries: int = 3) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"text": frame.text, "translation": attempt(frame.text.tolist())})
-
-    return texts.select("text").distinct().mapInPandas(run, "text string, translation string")
-
-
-def echo(locale: str):
-    """A deterministic backend: each text behind its target's name."""
-    return lambda texts: [f"[{locale}] {t}" for t in texts]
-
+            yield frame.assign(translation=attempt(frame.text.tolist()))
 
-def dictionary(words: dict[str, str]):
-    """A backend that knows some texts and repeats the others."""
-    return lambda texts: [words.get(t, t) for t in texts]
+    columns = ["text", *(beside or [])]
+    return texts.select(*columns).distinct().mapInPandas(run, ", ".join(f"`{c}` string" for c in [*columns, "translation"]))
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:

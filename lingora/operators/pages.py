@@ -111,6 +111,12 @@ def text_groups(found: DataFrame) -> DataFrame:
     return rows.select("page_id", "group_idx", "block", F.array_join(F.transform("nodes", lambda n: n["text"]), "").alias("text"), fragments.alias("fragments"))
 
 
+def visible_first(groups: DataFrame, page: list[str], order: str, visible: str = "visible") -> DataFrame:
+    """groups with place: those in view before all others of a page, else in their order."""
+    seen = F.coalesce(F.col(visible), F.lit(False))
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy(F.desc(seen), order)) - 1)
+
+
 def languages(groups: DataFrame, target: str) -> DataFrame:
     """Groups with their language, without those in the target's."""
     return groups.withColumn("lang", detect(F.col("text"))["lang"]).where(F.col("lang") != target)

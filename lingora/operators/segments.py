@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lingora.functions.lang import BLANKS, has_locale_text, locale_length, trim
 from lingora.functions.text import segment_id
@@ -99,6 +102,56 @@ def yaml_values(text: Column) -> Column:
     return F.filter(bare, lambda v: trim(v) != "")
 
 
+PLACE = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), *(StructField(c, StringType()) for c in ("text", "context", "quote"))]))
+
+
+def places_in(content: str, kind: str) -> list[tuple[int, int, str, str, str]]:
+    """Where the texts of a source that is not a script stand: (start, end, text, context, quote)."""
+    out = []
+
+    def add(start: int, text: str, context: str, quote: str = "") -> None:
+        body = text.strip(BLANKS)
+        if body:
+            lead = len(text) - len(text.lstrip(BLANKS)) if context != "json-value" else 0
+            body = body if context != "json-value" else text
+            out.append((start + lead, start + lead + len(body), body, context, quote))
+
+    if kind == "json":
+        try:
+            json.loads(content)
+        except ValueError:
+            return []
+        for m in re.finditer(JSON_STRING, content):
+            if not m[2]:
+                add(m.start(1), m[1], "json-value", '"')
+    elif kind == "html":
+        for m in re.finditer(HTML_TEXT, content):
+            add(m.start(1), m[1], "html-text")
+        for m in re.finditer(HTML_ATTR, content):
+            if m[1] in HTML_ATTRS:
+                add(m.start(2), m[2], "html-attr", content[m.start(2) - 1])
+    elif kind in ("css", "scss", "less"):
+        for m in re.finditer(CSS_CONTENT, content):
+            add(m.start(2), m[2], "style", m[1])
+    elif kind in ("yaml", "yml"):
+        for m in re.finditer(r"(?m)^[^:\n]*:([^\n]*)$", content):
+            value = m[1].strip(BLANKS)
+            at = m.start(1) + m[1].find(value)
+            quoted_ = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            add(at + quoted_, value[1:-1] if quoted_ else value, "yaml-value", value[0] if quoted_ else "")
+    elif kind == "md":
+        plain = re.sub(FENCE, lambda m: re.sub(r"[^\n]", " ", m[0]), content)
+        for m in re.finditer(r"[^\n]+", plain):
+            add(m.start(), m[0], "markdown")
+    return out
+
+
+@F.pandas_udf(PLACE)
+def places(content: pd.Series, kind: pd.Series) -> pd.Series:
+    names = ("start", "end", "text", "context", "quote")
+    return pd.Series([[dict(zip(names, x)) for x in places_in(c, k)] if c is not None and k is not None else [] for c, k in zip(content, kind)])
+
+
 def first_spans(segments: DataFrame) -> DataFrame:
     """One segment for each place of a path: the one with the least seg_idx."""
     best = segments.groupBy("path", "start", "end").agg(F.min_by(F.struct(*[c for c in segments.columns if c not in ("path", "start", "end")]), "seg_idx").alias("s"))
