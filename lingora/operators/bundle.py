@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lingora.functions.text import java_hash
@@ -77,18 +81,71 @@ def cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.join(cache.select("to", "hash", "translation"), ["to", "hash"], "left")
 
 
+LEAVES = ArrayType(StructType([StructField("path", StringType()), StructField("text", StringType())]))
+
+
+def leaves_of(value, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], object]]:
+    """(path, value) of all that is not an object or an array, to any depth, in order."""
+    out, todo = [], [(path, value)]
+    while todo:
+        at, here = todo.pop()
+        if isinstance(here, dict):
+            todo += [((*at, k), v) for k, v in reversed(here.items())]
+        elif isinstance(here, list):
+            todo += [((*at, str(i)), v) for i, v in reversed(list(enumerate(here)))]
+        else:
+            out.append((at, here))
+    return out
+
+
+def _parsed(value: str | None):
+    """A JSON object or array; None for anything else."""
+    try:
+        found = json.loads(value) if value is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict | list) else None
+
+
+@F.pandas_udf(LEAVES)
+def object_leaves(value: pd.Series) -> pd.Series:
+    def one(v):
+        found = _parsed(v)
+        shown = lambda x: x if isinstance(x, str) else None if x is None else json.dumps(x)
+        return [] if found is None else [{"path": ".".join(p), "text": shown(x)} for p, x in leaves_of(found)]
+
+    return value.map(one)
+
+
+@F.pandas_udf(StringType())
+def object_filled(value: pd.Series, pairs: pd.Series) -> pd.Series:
+    """JSON with its strings replaced where pairs (text, translation) have them; other values and the order stay."""
+
+    def one(v, known):
+        found = _parsed(v)
+        if found is None or known is None:
+            return v
+        words = {p["text"]: p["translation"] for p in known if p["translation"] is not None}
+        for path, x in leaves_of(found):
+            if isinstance(x, str) and x in words:
+                here = found
+                for k in path[:-1]:
+                    here = here[int(k) if isinstance(here, list) else k]
+                here[int(path[-1]) if isinstance(here, list) else path[-1]] = words[x]
+        return json.dumps(found, ensure_ascii=False)
+
+    return pd.Series([one(v, k) for v, k in zip(value, pairs)])
+
+
 def object_strings(objects: DataFrame) -> DataFrame:
-    """(id, path, text) of the values in JSON objects (id, value), by fields and the fields of these.
+    """(id, path, text) of the values in JSON objects and arrays (id, value), to any depth; null values stay out."""
+    return objects.select("id", F.explode(object_leaves(F.col("value"))).alias("x")).select("id", "x.path", "x.text").where("text IS NOT NULL")
 
-    Objects are read as variants and maps, so any names of fields are walked without a schema.
-    """
-    rows = objects.select("id", F.try_parse_json("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    top = rows.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    flat = top.select("id", F.from_json(F.to_json("v"), "map<string,string>").alias("m")).select("id", F.explode("m").alias("k", "x"))
-    deeper = flat.select("id", "k", "x", F.from_json("x", "map<string,string>").alias("m"))
-    inner = deeper.where(F.col("x").startswith("{")).select("id", "k", F.explode("m").alias("k2", "x2")).select("id", F.concat_ws(".", "k", "k2").alias("path"), F.col("x2").alias("text"))
-    return deeper.where(~F.col("x").startswith("{") & ~F.col("x").startswith("[")).select("id", F.col("k").alias("path"), F.col("x").alias("text")).unionByName(inner.where(~F.col("text").startswith("{") & ~F.col("text").startswith("[")))
+
+def translated_objects(objects: DataFrame, translations: DataFrame) -> DataFrame:
+    """objects (id, value) with their strings translated where translations (text, translation) have them."""
+    pairs = object_strings(objects).select("id", "text").distinct().join(translations, "text").groupBy("id").agg(F.collect_list(F.struct("text", "translation")).alias("pairs"))
+    return objects.join(pairs, "id", "left").select("id", F.when(F.col("pairs").isNull(), F.col("value")).otherwise(object_filled(F.col("value"), F.col("pairs"))).alias("value"))
 
 
 def filled(entries: DataFrame, fresh: DataFrame) -> DataFrame:

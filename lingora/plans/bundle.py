@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lingora.functions import text as T
 from lingora.operators import bundle as B
 from lingora.operators import runs as R
-from lingora.plans.workflow import _ENTRIES, _LINE_ENTRIES, _entries, _line_entries
+from lingora.plans.workflow import _ENTRIES, _entries
 from lingora.plans.language import _values
 from lingora.session import table
 
@@ -60,14 +60,13 @@ def echo_results(spark, sf_dir):
     return c.select("c_custkey", B.without_echo(F.lower("c_mktsegment"), F.concat(F.lit("to "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("x"))).alias("shown"))
 
 
-def locale_fill(spark, sf_dir, entries=_entries):
-    e = entries(spark, sf_dir).select("path", "ord", "text", "translation", "translation_source")
+def locale_fill(spark, sf_dir):
+    e = _entries(spark, sf_dir).select("path", "ord", "text", "translation", "translation_source")
     fresh = e.where("translation = ''").select("text").distinct().select("text", F.concat(F.lit("f "), F.sha1("text")).alias("translation"), F.lit("machine").alias("translation_source"))
     return B.filled(e, fresh).select("path", "ord", "translation", "translation_source")
 
 
-def locale_fill_lines(spark, sf_dir):
-    return locale_fill(spark, sf_dir, _line_entries)
+locale_fill_lines = locale_fill
 
 
 def strided_batches(spark, sf_dir):
@@ -81,6 +80,13 @@ def pool_victims(spark, sf_dir):
     return B.lru_victim(s.select(F.col("s_nationkey").alias("pool"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("last_access"), (F.col("s_suppkey") % 3).alias("ref_count"), (F.col("s_suppkey") % 7 == 0).alias("loading")))
 
 
+def object_translation(spark, sf_dir):
+    """The events' properties within an object of lists, each text put in upper case and written back."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.format_string('{"type": "%s", "all": [{"of": ["%s", 7]}, null]}', "event_type", "user_id").alias("value"))
+    known = e.select(F.explode(B.object_leaves(F.col("value"))).alias("x")).select("x.text").where("text IS NOT NULL").distinct().withColumn("translation", F.upper("text"))
+    return B.translated_objects(e, known)
+
+
 def object_strings(spark, sf_dir):
     """Values of the events' properties."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("value"))
@@ -90,7 +96,7 @@ def object_strings(spark, sf_dir):
 _HASH = "(SELECT CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END FROM (SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split({t}, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h))::VARCHAR"
 QUERIES = {
     "recognize_language": recognize_language, "run_spacing": run_spacing, "node_queue": node_queue, "render_history": render_history, "wildcard_keys": wildcard_keys, "bundle_cache": bundle_cache,
-    "echo_results": echo_results, "locale_fill": locale_fill, "strided_batches": strided_batches, "pool_victims": pool_victims, "object_strings": object_strings, "locale_fill_lines": locale_fill_lines, "recognize_documents": recognize_documents,
+    "echo_results": echo_results, "locale_fill": locale_fill, "strided_batches": strided_batches, "pool_victims": pool_victims, "object_strings": object_strings, "object_translation": object_translation, "locale_fill_lines": locale_fill, "recognize_documents": recognize_documents,
 }
 ORACLES = {
     "recognize_language": "SELECT id, language, chars::BIGINT AS chars FROM " + _values([(1, "english", 11), (2, "french", 19), (3, "japanese", 10), (4, "chinese_simplified", 8), (5, "chinese_traditional", 5), (6, "spanish", 23), (7, "russian", 10), (8, "japanese", 26)], "id, language, chars"),
@@ -102,8 +108,9 @@ UNION ALL SELECT 'back', o_orderstatus, arg_max(o_orderpriority, o_orderkey) FRO
     "bundle_cache": "SELECT t.to, text, CASE WHEN t.to = 'de' AND length(text) % 2 = 0 THEN 'de:' || text END AS translation FROM (SELECT DISTINCT p_type AS text FROM part), (VALUES ('de'), ('fr')) AS t(\"to\")",
     "echo_results": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE 'to x' END AS shown FROM customer",
     "locale_fill": f"WITH {_ENTRIES} SELECT path, ord, CASE WHEN translation = '' THEN 'f ' || sha1(text) ELSE translation END AS translation, CASE WHEN translation = '' THEN 'machine' ELSE translation_source END AS translation_source FROM entries",
-    "locale_fill_lines": f"WITH {_LINE_ENTRIES} SELECT path, ord, CASE WHEN translation = '' THEN 'f ' || sha1(text) ELSE translation END AS translation, CASE WHEN translation = '' THEN 'machine' ELSE translation_source END AS translation_source FROM entries",
+    "locale_fill_lines": f"WITH {_ENTRIES} SELECT path, ord, CASE WHEN translation = '' THEN 'f ' || sha1(text) ELSE translation END AS translation, CASE WHEN translation = '' THEN 'machine' ELSE translation_source END AS translation_source FROM entries",
     "strided_batches": "SELECT conv_id, turn, batch, batch % 3 AS worker FROM (SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2)::INT AS batch FROM conversations)",
     "pool_victims": "SELECT s_nationkey AS pool, arg_min(s_suppkey, {'a': s_acctbal, 'b': s_suppkey}) AS victim FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 7 <> 0 GROUP BY 1",
+    "object_translation": """SELECT event_id AS id, '{"type": "' || upper(event_type) || '", "all": [{"of": ["' || user_id || '", 7]}, null]}' AS value FROM events""",
     "object_strings": """SELECT path, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT unnest(json_keys(props)) AS path, unnest(list_transform(json_keys(props), lambda k: json_extract_string(props, '$."' || k || '"'))) AS text FROM events) GROUP BY 1""",
 }

@@ -45,6 +45,12 @@ def adaptive_batches(spark, sf_dir):
     return P.batches(html_text_segments(spark, sf_dir), ["page_id"], ["idx"]).select("page_id", "idx", "batch_size", "batch")
 
 
+def viewport_order(spark, sf_dir):
+    """Text segments of pages, every third of them in view, in the order in which they are translated."""
+    rows = html_text_segments(spark, sf_dir).withColumn("visible", F.col("idx") % 3 == 1)
+    return P.visible_first(rows, ["page_id"], "idx").select("page_id", "idx", "place")
+
+
 def fragment_split(spark, sf_dir):
     """Groups marked, put in upper case, and split back at the markers and without them."""
     g = _groups(spark, sf_dir)
@@ -79,7 +85,7 @@ def echo_suppression(spark, sf_dir):
 
 QUERIES = {
     "html_text_segments": html_text_segments, "html_attr_segments": html_attr_segments, "page_text_groups": page_text_groups, "page_language_groups": page_language_groups,
-    "page_attributes": page_attributes, "adaptive_batches": adaptive_batches, "fragment_split": fragment_split, "page_urls": page_urls, "event_debounce": event_debounce,
+    "page_attributes": page_attributes, "adaptive_batches": adaptive_batches, "viewport_order": viewport_order, "fragment_split": fragment_split, "page_urls": page_urls, "event_debounce": event_debounce,
     "cache_ttl_hits": cache_ttl_hits, "echo_suppression": echo_suppression,
 }
 _SEGMENTS = f"""x AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '{_TAG}', 1), lambda t: {_TRIM}), lambda t: t <> '') AS ts FROM pages),
@@ -93,6 +99,7 @@ f AS (SELECT page_id, list_filter(list_zip(ns, vs), lambda p: p[1] IN ('title',
 SELECT page_id, unnest(range(len(ps)))::INT AS idx, unnest(list_transform(ps, lambda p: p[1])) AS name, unnest(list_transform(ps, lambda p: p[2])) AS value FROM f""",
     "adaptive_batches": f"""WITH {_SEGMENTS}, z AS (SELECT *, avg(length(text)) OVER (PARTITION BY page_id) AS mean, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS k FROM s),
 b AS (SELECT *, CASE WHEN mean < 20 THEN 20 WHEN mean < 100 THEN 10 ELSE 5 END AS batch_size FROM z) SELECT page_id, idx, batch_size, ((k - 1) // batch_size)::INT AS batch FROM b""",
+    "viewport_order": f"WITH {_SEGMENTS} SELECT page_id, idx, (row_number() OVER (PARTITION BY page_id ORDER BY (idx % 3 = 1) DESC, idx) - 1)::INT AS place FROM s",
     "page_urls": r"""SELECT url, count(*) AS n FROM (SELECT unnest(regexp_extract_all(url || ' ' || html, 'https?://[^\s<>"'']+')) AS url FROM pages) GROUP BY 1""",
     "event_debounce": """
 WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -10,9 +10,9 @@ from lingora.operators import glossary as G
 from lingora.operators import mapping as M
 from lingora.operators import runs as R
 from lingora.operators import segments as S
-from lingora.plans.language import _LINES, _TRIMMED, _path, _values
+from lingora.operators import translation as X
+from lingora.plans.language import _LINES, _TRIMMED, _detect_sql, _path, _values
 from lingora.session import table
-from lingora.sources import dims
 
 GLOSSARY = [
     (0, "Submit", "提交"), (1, "order", "订单"), (2, "views/order/Cancel", "撤销"), (3, "cancel", "取消"), (4, "order/*", "订单页"), (5, "user name", "用户名"), (6, "单", "张"), (7, "empty", ""),
@@ -70,40 +70,6 @@ def glossary_presets(spark, sf_dir):
 
 
 def _entries(spark, sf_dir):
-    """Map entries made of the labelled documents: one for each, in the file of its source.
-
-    The text is a document's first line; quality approves it, toxicity skips it; ids decide the rest by fixed rules.
-    """
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    i = F.col("doc_id")
-    return docs.select(
-        F.concat(F.lit("src/"), "source", F.lit("/page.vue")).alias("path"), i.cast("int").alias("ord"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"),
-        F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("t "), F.split_part("text", F.lit(" "), F.lit(1)))).alias("translation"),
-        F.when(i % 3 == 0, "glossary").when(i % 3 == 1, "machine").otherwise("manual").alias("translation_source"),
-        (F.col("quality") == 1).alias("approved"), F.when(i % 5 > 0, i % 7 > 0).alias("translation_approved"), F.when(i % 4 > 0, True).alias("key_approved"),
-        F.when(i % 13 > 0, F.concat(F.lit("key"), (i % 50).cast("string"))).alias("key"), (F.col("toxic") == 1).alias("skip"), F.when(i % 6 > 0, i % 17 == 0).alias("deprecated"),
-    )
-
-
-_ENTRIES = """entries AS (
-  SELECT 'src/' || source || '/page.vue' AS path, doc_id::INT AS ord, split_part(text, chr(10), 1) AS text, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 't ' || split_part(text, ' ', 1) END AS translation,
-    CASE doc_id % 3 WHEN 0 THEN 'glossary' WHEN 1 THEN 'machine' ELSE 'manual' END AS translation_source, quality = 1 AS approved,
-    CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 > 0 END AS translation_approved, CASE WHEN doc_id % 4 > 0 THEN true END AS key_approved,
-    CASE WHEN doc_id % 13 > 0 THEN 'key' || (doc_id % 50) END AS key, toxic = 1 AS skip, CASE WHEN doc_id % 6 > 0 THEN doc_id % 17 = 0 END AS deprecated
-  FROM documents JOIN labels USING (doc_id)
-), stated AS (
-  SELECT *, CASE WHEN coalesce(deprecated, false) THEN 'deprecated' WHEN skip THEN 'skipped' WHEN trim(translation) = '' THEN 'untranslated'
-    WHEN approved AND coalesce(translation_approved, true) AND coalesce(key_approved, true) AND coalesce(key, '') <> '' THEN 'ready' ELSE 'pending' END AS status FROM entries
-), files AS (
-  SELECT path, count(*) AS entries, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'skipped') AS skipped,
-    count(*) FILTER (status = 'deprecated') AS deprecated, count(*) FILTER (status = 'untranslated') AS untranslated,
-    count(*) FILTER (status IN ('ready', 'pending') AND translation_source = 'glossary') AS by_glossary, count(*) FILTER (status IN ('ready', 'pending') AND translation_source = 'machine') AS by_machine,
-    count(*) FILTER (status IN ('ready', 'pending') AND translation_source = 'manual') AS by_manual
-  FROM stated GROUP BY path
-)"""
-
-
-def _line_entries(spark, sf_dir):
     """Map entries made of every line of every document, a file for each; those without a label are not approved.
 
     Number and document decide what is not in the labels, by fixed rules.
@@ -120,7 +86,7 @@ def _line_entries(spark, sf_dir):
     )
 
 
-_LINE_ENTRIES = """said AS (
+_ENTRIES = """said AS (
   SELECT *, doc_id + ord AS i FROM (SELECT doc_id, source, quality, toxic, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INT AS ord FROM documents LEFT JOIN labels USING (doc_id))
 ), entries AS (
   SELECT 'src/' || source || '/' || doc_id || '.vue' AS path, ord, text, CASE WHEN i % 11 = 0 THEN '' ELSE 't ' || split_part(text, ' ', 1) END AS translation,
@@ -131,11 +97,17 @@ _LINE_ENTRIES = """said AS (
 ), stated AS (
   SELECT *, CASE WHEN coalesce(deprecated, false) THEN 'deprecated' WHEN skip THEN 'skipped' WHEN trim(translation) = '' THEN 'untranslated'
     WHEN approved AND coalesce(translation_approved, true) AND coalesce(key_approved, true) AND coalesce(key, '') <> '' THEN 'ready' ELSE 'pending' END AS status FROM entries
+), files AS (
+  SELECT path, count(*) AS entries, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'skipped') AS skipped,
+    count(*) FILTER (status = 'deprecated') AS deprecated, count(*) FILTER (status = 'untranslated') AS untranslated,
+    count(*) FILTER (status IN ('ready', 'pending') AND translation_source = 'glossary') AS by_glossary, count(*) FILTER (status IN ('ready', 'pending') AND translation_source = 'machine') AS by_machine,
+    count(*) FILTER (status IN ('ready', 'pending') AND translation_source = 'manual') AS by_manual
+  FROM stated GROUP BY path
 )"""
 
 
-def _stated(spark, sf_dir, entries=_entries):
-    e = entries(spark, sf_dir)
+def _stated(spark, sf_dir):
+    e = _entries(spark, sf_dir)
     return e.withColumn("status", M.status({c: F.col(c) for c in e.columns})).withColumn("source", F.col("translation_source"))
 
 
@@ -160,114 +132,90 @@ def focus_files_top5(spark, sf_dir):
     return files.orderBy(F.desc("score"), "path").limit(5).select("path", "score")
 
 
-def approve_entries(spark, sf_dir):
-    done = M.approve(_entries(spark, sf_dir))
-    n = F.count_if
-    return done.groupBy("path").agg(n(F.col("eligible") & ~F.col("already")).alias("newly"), n(F.col("eligible") & F.col("already")).alias("again"), n(~F.col("eligible")).alias("left_out"), n("translation_approved").alias("approved_translations"), F.count("*").alias("total"))
+def _focus(spark, sf_dir):
+    """Files with what an adapt knows of them: every third is adapted, every fourth has lost its source."""
+    stats = M.file_stats(_stated(spark, sf_dir))
+    number = F.regexp_extract("path", r"([0-9]+)\.vue", 1).cast("long")
+    status = stats.select(F.col("path").alias("source_path"), (number % 3 == 0).alias("adapted"))
+    return M.adapt_counts(stats, status, stats.where(number % 4 > 0).select("path"))
 
 
-def key_generation(spark, sf_dir):
-    """Candidates and keys of the first lines of labelled documents whose lines are ASCII, as its SQL; key_generation_lines has all."""
-    e = _entries(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return _keys(e, ascii_only=True)
+def adapt_counters(spark, sf_dir):
+    return _focus(spark, sf_dir).select("path", "adapt_ready", "adapted", "source_exists")
 
 
-def key_generation_lines(spark, sf_dir):
-    """Candidates and keys of all lines of all documents; SQL has no decomposition."""
-    return _keys(_line_entries(spark, sf_dir))
+def orphans_top5(spark, sf_dir):
+    """The five lost files with the most entries: the limit is the report's."""
+    return M.top_orphans(_focus(spark, sf_dir)).select("path", "entries")
 
 
-def _keys(e, ascii_only=False):
-    key = M.base_key(F.col("text"), F.col("translation"), F.lit(None).cast("string"), F.lit(None).cast("string"), ascii_only)
-    return e.select("path", "ord", key.alias("base_key"), T.key_hash(F.col("text")).alias("key_hash"))
+def waiting_top5(spark, sf_dir):
+    """The five files that wait for an adapt with the most ready entries: the limit is the report's."""
+    return M.top_waiting(_focus(spark, sf_dir)).select("path", "ready")
 
 
-_CAMEL = "list_transform(list_filter(list_transform({words}, lambda w: lower(regexp_replace(w, '^[_$]+|[_$]+$', '', 'g'))), lambda w: w <> ''), lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(w[1]) || w[2:] END)"
+def translated_documents(spark, sf_dir):
+    """Every document detected, routed to its model, and translated to Chinese unless it is Chinese."""
+    rows = X.languages(table(spark, sf_dir, "documents").select("doc_id", "text"), "Chinese")
+    out = X.translated(rows, M.echo("zh"), skip_target=True)
+    return out.select("doc_id", "from", "state", "model", F.sha2("translation", 256).alias("translation_sha256"))
 
 
-def _semantic_sql(text: str) -> str:
-    plain = f"list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9_$]+', ' ', 'g')), '\\s+'), lambda w: w <> '')"
-    stops = ", ".join(f"'{w}'" for w in dims.KEY_STOPS)
-    return f"array_to_string({_CAMEL.format(words=f'list_filter({plain}, lambda w: lower(w) NOT IN ({stops}))')}, '')"
+def approve_entries(spark, sf_dir):
+    done = M.approve(_entries(spark, sf_dir))
+    n = F.count_if
+    return done.groupBy("path").agg(n(F.col("eligible") & ~F.col("already")).alias("newly"), n(F.col("eligible") & F.col("already")).alias("again"), n(~F.col("eligible")).alias("left_out"), n("translation_approved").alias("approved_translations"), F.count("*").alias("total"))
 
 
-KEYS_SQL = f"""
-WITH {_ENTRIES}, k AS (SELECT path, ord, text, {_semantic_sql('translation')} AS a, {_semantic_sql('text')} AS b FROM entries WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-SELECT path, ord, coalesce(nullif(lower(a[1]) || a[2:], ''), nullif(b, ''), 'message_' || substr(sha1(text), 1, 8)) AS base_key, substr(sha1(text), 1, 8) AS key_hash FROM k"""
+def key_generation(spark, sf_dir):
+    """Candidates and keys of all lines of all documents; SQL has no decomposition, so tests hold it to a plain version."""
+    return _keys(_entries(spark, sf_dir))
 
 
-def key_uniqueness(spark, sf_dir, entries=_entries):
-    e = entries(spark, sf_dir).where("key IS NOT NULL").select("path", "ord", "text", F.col("key").alias("base_key"))
-    return M.unique_keys(e).select("path", "ord", "base_key", "key")
+def _keys(e, ascii_only=False):
+    key = M.base_key(F.col("text"), F.col("translation"), F.lit(None).cast("string"), F.lit(None).cast("string"), ascii_only)
+    return e.select("path", "ord", key.alias("base_key"), T.key_hash(F.col("text")).alias("key_hash"))
 
 
-def key_uniqueness_lines(spark, sf_dir):
-    return key_uniqueness(spark, sf_dir, _line_entries)
+def key_uniqueness(spark, sf_dir):
+    e = _entries(spark, sf_dir).where("key IS NOT NULL").select("path", "ord", "text", F.col("key").alias("base_key"))
+    return M.unique_keys(e).select("path", "ord", "base_key", "key")
 
 
-def key_conflicts(spark, sf_dir, entries=_entries):
-    e = _stated(spark, sf_dir, entries).where("status = 'ready'").withColumn("output", T.locale_output_path(F.col("path"), F.lit("de")))
+def key_conflicts(spark, sf_dir):
+    e = _stated(spark, sf_dir).where("status = 'ready'").withColumn("output", T.locale_output_path(F.col("path"), F.lit("de")))
     return M.key_conflicts(e)
 
 
-def key_conflicts_lines(spark, sf_dir):
-    return key_conflicts(spark, sf_dir, _line_entries)
-
-
 def locale_package(spark, sf_dir):
     e = _stated(spark, sf_dir).where("status = 'ready'")
     return M.packages(e, F.lit("de")).select("output", "package", F.array_join("sources", ",").alias("sources"))
 
 
-def _two_versions(spark, sf_dir, whole=True):
-    """Turns of conversations as segments, and an earlier map that lacks every fifth and has some text of its own.
-
-    whole: whole turns; without it only their first characters, as the SQL of merge_exact and deprecated_entries has them.
-    """
+def _two_versions(spark, sf_dir):
+    """Turns of conversations as segments, and an earlier map that lacks every fifth and has some text of its own."""
     c = table(spark, sf_dir, "conversations")
-    head = lambda n: F.col("text") if whole else F.substr("text", F.lit(1), F.lit(n))
     path = F.concat(F.lit("chat/"), "conv_id").alias("source_path")
-    seg = c.select(path, head(40).alias("text"), F.col("turn").cast("int").alias("ord"))
+    seg = c.select(path, "text", F.col("turn").cast("int").alias("ord"))
     seg = seg.withColumn("id", T.segment_id(F.col("text"), F.col("source_path")))
-    old = c.where("(conv_id + turn) % 5 > 0").select(path, head(40).alias("text"), F.col("turn").cast("int").alias("ord"), F.col("role").alias("translation"))
-    gone = c.where("turn % 2 = 0").select(path, F.concat(F.lit("old "), head(20)).alias("text"), (F.col("turn") + 1000).cast("int").alias("ord"), F.col("role").alias("translation"))
+    old = c.where("(conv_id + turn) % 5 > 0").select(path, "text", F.col("turn").cast("int").alias("ord"), F.col("role").alias("translation"))
+    gone = c.where("turn % 2 = 0").select(path, F.concat(F.lit("old "), "text").alias("text"), (F.col("turn") + 1000).cast("int").alias("ord"), F.col("role").alias("translation"))
     both = old.unionByName(gone)
     return seg, both.groupBy("source_path", "text").agg(F.min_by("translation", "ord").alias("translation"), F.min("ord").alias("ord"))
 
 
 _VERSIONS = """
-seg AS (SELECT 'chat/' || conv_id AS source_path, substr(text, 1, 40) AS text, turn::INT AS ord, substr(sha256(substr(text, 1, 40) || ':chat/' || conv_id), 1, 8) AS id FROM conversations),
-both_ AS (SELECT 'chat/' || conv_id AS source_path, substr(text, 1, 40) AS text, turn::INT AS ord, role AS translation FROM conversations WHERE (conv_id + turn) % 5 > 0
-  UNION ALL SELECT 'chat/' || conv_id, 'old ' || substr(text, 1, 20), (turn + 1000)::INT, role FROM conversations WHERE turn % 2 = 0),
-prev AS (SELECT source_path, text, arg_min(translation, ord) AS translation, min(ord) AS ord FROM both_ GROUP BY ALL)"""
-
-
-_WHOLE_VERSIONS = """
 seg AS (SELECT 'chat/' || conv_id AS source_path, text, turn::INT AS ord, substr(sha256(text || ':chat/' || conv_id), 1, 8) AS id FROM conversations),
 both_ AS (SELECT 'chat/' || conv_id AS source_path, text, turn::INT AS ord, role AS translation FROM conversations WHERE (conv_id + turn) % 5 > 0
   UNION ALL SELECT 'chat/' || conv_id, 'old ' || text, (turn + 1000)::INT, role FROM conversations WHERE turn % 2 = 0),
 prev AS (SELECT source_path, text, arg_min(translation, ord) AS translation, min(ord) AS ord FROM both_ GROUP BY ALL)"""
 
 
-def _merge_exact(seg, old):
-    return M.merge_exact(seg, old).select("source_path", "text", "id", "ord", F.col("p.translation").alias("translation"))
-
-
 def merge_exact(spark, sf_dir):
-    """By the first 40 characters, as its SQL; merge_exact_whole has whole turns."""
-    return _merge_exact(*_two_versions(spark, sf_dir, whole=False))
-
-
-def merge_exact_whole(spark, sf_dir):
-    return _merge_exact(*_two_versions(spark, sf_dir))
+    return M.merge_exact(*_two_versions(spark, sf_dir)).select("source_path", "text", "id", "ord", F.col("p.translation").alias("translation"))
 
 
 def deprecated_entries(spark, sf_dir):
-    """By the first 40 characters, as its SQL; deprecated_whole has whole turns."""
-    return M.deprecated(*_two_versions(spark, sf_dir, whole=False)).select("source_path", "text", "translation")
-
-
-def deprecated_whole(spark, sf_dir):
     return M.deprecated(*_two_versions(spark, sf_dir)).select("source_path", "text", "translation")
 
 
@@ -310,17 +258,12 @@ def line_diff(spark, sf_dir):
     return docs.select("doc_id", F.explode(S.line_diff(F.col("text"), F.lower("text"))).alias("line"))
 
 
-def translate_texts(spark, sf_dir, entries=_entries):
-    """Distinct first lines through the echo backend, with tokens for what must not change."""
-    e = entries(spark, sf_dir).select(T.protect(F.col("text")).alias("text"))
+def translate_texts(spark, sf_dir):
+    """Distinct lines through the echo backend, with tokens for what must not change."""
+    e = _entries(spark, sf_dir).select(T.protect(F.col("text")).alias("text"))
     return M.translate(e, M.echo("de"))
 
 
-def translate_lines(spark, sf_dir):
-    """Distinct lines of all documents through the echo backend."""
-    return translate_texts(spark, sf_dir, _line_entries)
-
-
 def digit_insensitive_pairs(spark, sf_dir):
     """Customer names that are equal without their digits, counted."""
     return table(spark, sf_dir, "customer").groupBy(T.without_digits(F.col("c_name")).alias("name")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
@@ -379,14 +322,19 @@ def request_packing(spark, sf_dir):
 
 
 _E = f"WITH {_ENTRIES}"
+_FOCUS = """focus AS (SELECT path, entries, ready, ready > 0 AS adapt_ready, regexp_extract(path, '([0-9]+)\\.vue', 1)::BIGINT % 3 = 0 AS adapted,
+  regexp_extract(path, '([0-9]+)\\.vue', 1)::BIGINT % 4 > 0 AS source_exists FROM files)"""
+# All of these have read whole lines, turns and tables since their first form, which cut them, was given up.
+merge_exact_whole, deprecated_whole, key_generation_lines, key_uniqueness_lines, key_conflicts_lines, translate_lines = merge_exact, deprecated_entries, key_generation, key_uniqueness, key_conflicts, translate_texts
 QUERIES = {
     "glossary_match": glossary_match, "glossary_compose": glossary_compose, "glossary_enforce": glossary_enforce, "glossary_seed": glossary_seed, "glossary_presets": glossary_presets,
+    "adapt_counters": adapt_counters, "orphans_top5": orphans_top5, "waiting_top5": waiting_top5, "translated_documents": translated_documents,
     "entry_stats": entry_stats, "bucket_rollup": bucket_rollup, "stats_report": stats_report, "focus_files_top5": focus_files_top5, "approve_entries": approve_entries,
     "key_generation": key_generation, "key_uniqueness": key_uniqueness, "key_conflicts": key_conflicts, "locale_package": locale_package, "merge_exact": merge_exact,
     "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "incremental_changes": incremental_changes, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
-    "nomenclature": nomenclature, "request_packing": request_packing, "merge_exact_whole": merge_exact_whole, "deprecated_whole": deprecated_whole,
-    "key_generation_lines": key_generation_lines, "key_uniqueness_lines": key_uniqueness_lines, "key_conflicts_lines": key_conflicts_lines, "translate_lines": translate_lines,
+    "nomenclature": nomenclature, "request_packing": request_packing, "merge_exact_whole": merge_exact, "deprecated_whole": deprecated_entries,
+    "key_generation_lines": key_generation, "key_uniqueness_lines": key_uniqueness, "key_conflicts_lines": key_conflicts, "translate_lines": translate_texts,
     "turn_similarity": turn_similarity, "glossary_match_lines": glossary_match_lines, "glossary_turns": glossary_turns, "protect_documents": protect_documents,
     "nomenclature_documents": nomenclature_documents,
 }
@@ -400,6 +348,13 @@ SELECT count(*) FILTER (o IS NULL) AS added, 0::BIGINT AS updated, count(*) FILT
     "glossary_presets": """
 WITH m AS (SELECT p_type AS key, arg_max(p_brand, {'a': p_size, 'b': p_partkey}) AS value, arg_min(p_partkey, {'a': p_size, 'b': p_partkey}) AS ord FROM part GROUP BY 1)
 SELECT key, value, false AS inverted FROM m UNION ALL SELECT value, arg_min(key, ord), true FROM m GROUP BY value""",
+    "adapt_counters": f"{_E}, {_FOCUS} SELECT path, adapt_ready, adapted, source_exists FROM focus",
+    "orphans_top5": f"{_E}, {_FOCUS} SELECT path, entries FROM focus WHERE NOT source_exists ORDER BY entries DESC, path LIMIT 5",
+    "waiting_top5": f"{_E}, {_FOCUS} SELECT path, ready FROM focus WHERE source_exists AND adapt_ready AND NOT adapted ORDER BY ready DESC, path LIMIT 5",
+    "translated_documents": f"""
+SELECT d.doc_id, lang_detected AS "from", s.state, CASE WHEN s.state = 'translated' THEN CASE WHEN lang_detected = 'en' THEN 'Xenova/opus-mt-en-zh' ELSE 'Xenova/nllb-200-distilled-600M' END END AS model,
+  CASE WHEN s.state = 'translated' THEN sha256('[zh] ' || text) END AS translation_sha256
+FROM documents d JOIN {_detect_sql('documents')} l ON l.doc_id = d.doc_id, LATERAL (SELECT CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'blank' WHEN lang_detected = 'zh' THEN 'target' ELSE 'translated' END AS state) s""",
     "entry_stats": f"{_E} SELECT * FROM files",
     "bucket_rollup": f"""{_E} SELECT coalesce(CASE WHEN regexp_extract(path, '([0-9]+)', 1)::INT % 2 = 0 THEN 'current' ELSE 'orphaned' END, 'all') AS bucket, count(*) AS map_files,
   sum(entries)::BIGINT AS entries, sum(ready)::BIGINT AS ready, sum(pending)::BIGINT AS pending, sum(skipped)::BIGINT AS skipped, sum(deprecated)::BIGINT AS deprecated, sum(untranslated)::BIGINT AS untranslated
@@ -411,7 +366,6 @@ SELECT *, ready + pending + untranslated AS active, ready + pending AS translate
     "approve_entries": f"""{_E}, a AS (SELECT *, NOT skip AND NOT coalesce(deprecated, false) AND trim(translation) <> '' AND coalesce(key, '') <> '' AS ok FROM entries)
 SELECT path, count(*) FILTER (ok AND NOT approved) AS newly, count(*) FILTER (ok AND approved) AS again, count(*) FILTER (NOT ok) AS left_out,
   count(*) FILTER (ok OR coalesce(translation_approved, false)) AS approved_translations, count(*) AS total FROM a GROUP BY path""",
-    "key_generation": KEYS_SQL,
     "key_uniqueness": f"""{_E} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
     "key_conflicts": f"{_E} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
     "locale_package": f"""{_E}, r AS (SELECT path, key, arg_max(translation, ord) AS t FROM stated WHERE status = 'ready' GROUP BY ALL)
@@ -419,9 +373,9 @@ SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output,
     "merge_exact": f"""WITH {_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
     "deprecated_entries": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
-    "merge_exact_whole": f"""WITH {_WHOLE_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
+    "merge_exact_whole": f"""WITH {_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
-    "deprecated_whole": f"WITH {_WHOLE_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
+    "deprecated_whole": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
     "incremental_changes": """
 WITH d AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, sha256(text) AS hash FROM documents), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE hash END AS old FROM d WHERE doc_id % 13 > 0)
 SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM old""",
@@ -430,10 +384,11 @@ SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM ol
     "line_diff": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, unnest(string_split(lower(text), chr(10))) AS b FROM documents)
 SELECT doc_id, '-' || a AS line FROM l WHERE a <> b UNION ALL SELECT doc_id, '+' || b FROM l WHERE a <> b""",
-    "translate_texts": f"{_E} SELECT DISTINCT text, '[de] ' || text AS translation FROM entries",
-    "key_uniqueness_lines": f"""WITH {_LINE_ENTRIES} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
-    "key_conflicts_lines": f"WITH {_LINE_ENTRIES} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
-    "translate_lines": rf"""WITH {_LINE_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
+    "translate_texts": rf"""WITH {_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
+SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
+    "key_uniqueness_lines": f"""WITH {_ENTRIES} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
+    "key_conflicts_lines": f"WITH {_ENTRIES} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
+    "translate_lines": rf"""WITH {_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
 SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
     "nomenclature_documents": "SELECT doc_id, sha256(replace(replace(replace(replace(text, 'the first', '1st'), 'the', 'THE'), 'und', '&'), 'and', '&')) AS applied FROM documents",
     "digit_insensitive_pairs": "SELECT regexp_replace(c_name, '[0-9]', '', 'g') AS name, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1",
