@@ -702,3 +702,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = rows.join(stay.unionByName(blank), ["__doc", "__tag"])
     nth = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy("__one"))
     return kept.withColumn("__nth", nth).where("__nth = 1 OR NOT __one").select(*docs.columns)
+
+
+#: Components by all pairs that share a shingle; for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+z AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT z.y, r.root FROM r JOIN z ON z.x = r.node AND z.y > r.root)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(root) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id
+"""

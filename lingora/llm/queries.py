@@ -15,7 +15,9 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
+    "op2_ngram_jaccard": jaccard.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
+    "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,
 }

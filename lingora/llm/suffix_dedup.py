@@ -363,4 +363,21 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
+#: All windows of all texts, grouped; for small tables.
+ORACLE_SQL = r"""
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS t FROM documents),
+k AS (SELECT doc_id, unnest(range(0, length(t) // 2 - 99)) AS i, t FROM h),
+s AS (SELECT doc_id, i, substr(t, (2 * i + 1)::BIGINT, 200) AS s FROM k),
+b AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(s) ORDER BY doc_id, i) AS nth FROM s) WHERE nth > 1),
+v AS (SELECT doc_id, i, i - coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) > 100 AS new FROM b),
+g AS (SELECT doc_id, min(i) AS first, max(i) + 100 AS stop FROM (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM v) GROUP BY doc_id, grp),
+q AS (SELECT doc_id, first, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM g),
+a AS (SELECT doc_id, count(*)::BIGINT AS n_spans, sum(stop - first)::BIGINT AS gone, max(stop) AS last FROM g GROUP BY doc_id),
+kept AS (SELECT q.doc_id, string_agg(substr(t, (2 * before + 1)::BIGINT, (2 * (first - before))::BIGINT), '' ORDER BY first) AS head FROM q JOIN h USING (doc_id) GROUP BY q.doc_id)
+SELECT h.doc_id, (length(t) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(t, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM h LEFT JOIN a USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 __all__ = ["op7_suffix_dedup", "repeated_bytes"]
