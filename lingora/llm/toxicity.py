@@ -180,27 +180,28 @@ def windows_of(n: int) -> list[tuple[int, int]]:
 def _layout(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers (0: none) by step and window, and which are words. parts: numbers by document."""
     spans = [(k, a, b) for k, p in enumerate(parts) for a, b in windows_of(len(p))]
-    ids = np.zeros((WINDOW, len(spans)), np.int64)
+    ids = np.zeros((WINDOW, len(spans)), parts[0].dtype if parts else np.int64)
     for j, (k, a, b) in enumerate(spans):
         ids[: b - a, j] = parts[k][a:b]
     return ids, np.fromiter((k for k, _, _ in spans), np.int64, len(spans))
 
 
-def _begin_with_odds(net: Network, said: list[list[bytes]], y: np.ndarray, number: dict[bytes, int], grams: np.ndarray, first: np.ndarray) -> None:
+def _begin_with_odds(net: Network, said: list[np.ndarray], y: np.ndarray, vocabulary: np.ndarray, grams: np.ndarray, first: np.ndarray) -> None:
     """Starts the tables of words and n-grams along one direction by how much more often toxic texts have them.
 
+    said: word numbers by text, from 1; vocabulary: by word, its place among the frequent ones or one past these.
+
     A table of small random vectors would fit each text by the words that it alone has, before the shared ones matter.
     """
     way = _f(np.random.default_rng(9).standard_normal(SIZE))
     way /= np.linalg.norm(way)
     seen = {"words": np.zeros((2, len(net.p["words"]))), "grams": np.zeros((2, GRAMS))}
     for words, kind in zip(said, y):
-        own = set(words)
-        ids = [net.vocabulary[w] for w in own if w in net.vocabulary]
-        seen["words"][int(kind), ids] += 1
-        numbers = [number[w] - 1 for w in own]
-        if numbers:
-            seen["grams"][int(kind), np.unique(np.concatenate([grams[first[k] : first[k + 1]] for k in numbers]))] += 1
+        own = np.unique(words) - 1
+        frequent = vocabulary[own]
+        seen["words"][int(kind), frequent[frequent < len(net.vocabulary)]] += 1
+        if len(own):
+            seen["grams"][int(kind), np.unique(np.concatenate([grams[first[k] : first[k + 1]] for k in own]))] += 1
     texts_by = np.bincount(y.astype(np.int64), minlength=2)
     for name, (clean, toxic) in seen.items():
         odds = np.log((toxic + 1) / (texts_by[1] + 2)) - np.log((clean + 1) / (texts_by[0] + 2))
@@ -209,19 +210,30 @@ def _begin_with_odds(net: Network, said: list[list[bytes]], y: np.ndarray, numbe
     net.p["words"][-1] = 0
 
 
-def learn(docs: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
-    """Fits a network to whole labelled texts."""
+def learn(docs: Iterable[bytes], labels: list[int] | np.ndarray, epochs: int = 7, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network | None:
+    """Fits a network to whole labelled texts; None if they are all of one kind.
+
+    Texts are taken one after another, and only word numbers are kept of them. labels may fill up meanwhile.
+    """
     rng = np.random.default_rng(seed)
-    said = [words_of(x) for x in docs]
-    counts: dict[bytes, int] = {}
+    index: dict[bytes, int] = {}
+    said = [np.array([index.setdefault(w, len(index)) for w in words_of(x)], np.int32) for x in docs]
+    y = np.array(labels, np.int64)
+    if len(np.unique(y)) < 2:
+        return None
+    counts = np.zeros(len(index), np.int64)
     for words in said:
-        for w in set(words):
-            counts[w] = counts.get(w, 0) + 1
-    frequent = sorted((w for w in counts if counts[w] >= 5), key=lambda w: (-counts[w], w))[:VOCABULARY]
+        counts[np.unique(words)] += 1
+    distinct = sorted(index)
+    old = np.fromiter((index[w] for w in distinct), np.int64, len(distinct))
+    number = np.empty(len(distinct), np.int32)
+    number[old] = np.arange(1, len(distinct) + 1)
+    of = dict(zip(distinct, counts[old].tolist()))
+    frequent = sorted((w for w in distinct if of[w] >= 5), key=lambda w: (-of[w], w))[:VOCABULARY]
+    del index, of, old
+    said = [number[words] for words in said]
     net = Network({w: i for i, w in enumerate(frequent)})
-    distinct = sorted(counts)
-    number = {w: i + 1 for i, w in enumerate(distinct)}
-    ids, owner = _layout([np.fromiter((number[w] for w in words), np.int64, len(words)) for words in said])
+    ids, owner = _layout(said)
     grams, sizes = [], [np.zeros(1, np.int64)]
     for i in range(0, len(distinct), AT_ONCE):
         found, whose = gram_ids(distinct[i : i + AT_ONCE])
@@ -230,8 +242,9 @@ def learn(docs: list[bytes], y: np.ndarray, epochs: int = 7, batch: int = 256, r
     grams, first = np.concatenate(grams or [np.zeros(0, np.int32)]), np.cumsum(np.concatenate(sizes))
     vocabulary = np.array([net.vocabulary.get(w, len(frequent)) for w in distinct], np.int64)
     label = y[owner]
-    _begin_with_odds(net, said, y, number, grams, first)
-    starts = np.searchsorted(owner, np.arange(len(docs)))
+    _begin_with_odds(net, said, y, vocabulary, grams, first)
+    starts = np.searchsorted(owner, np.arange(len(said)))
+    del said, distinct
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
 
@@ -347,6 +360,33 @@ class Scorer:
         return _sigmoid(best)
 
 
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
+    """A network from a bounded sample of labelled whole texts, half of it toxic at most; None without both kinds."""
+    toxic = stats.labelled_sample(labels, "toxic", rows // 3, 1)
+    clean = stats.labelled_sample(labels, "toxic", rows - rows // 3, 0)
+    picked = stats.sampled(docs, toxic.unionByName(clean))
+    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    rows_ = picked.select("y", raw.alias("raw"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "raw").limit(rows)
+    y: list[int] = []
+
+    def streamed() -> Iterator[bytes]:
+        for r in rows_.toLocalIterator():
+            y.append(r.y)
+            yield bytes(r.raw)
+
+    return learn(streamed(), y)
+
+
+def score(self, raws: list[bytes]) -> np.ndarray:
+        ids, owner = _layout(self._number([words_of(x) for x in raws]))
+        best = np.full(len(raws), -np.inf)
+        for i in range(0, ids.shape[1], 4096):
+            part = ids[:, i : i + 4096]
+            out = self.net.run({d: t[part] for d, t in self.table.items()}, _f(part > 0))
+            np.maximum.at(best, owner[i : i + 4096], out)
+        return _sigmoid(best)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
     """A network from a bounded sample of labelled whole texts, half of it toxic at most; None without both kinds."""
     toxic = stats.labelled_sample(labels, "toxic", rows // 3, 1)
