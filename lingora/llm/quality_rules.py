@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingora.llm import stats
-from lingora.llm.common import WordCodes
+from lingora.llm.common import WordCodes, batches
 
 ROWS = 12_000
 #: Documents at or above this chance of good quality are kept.
@@ -139,13 +139,11 @@ def keep(docs: DataFrame, forest: Forest | None, threshold: float = THRESHOLD) -
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordCodes()
-        for whole in it:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                found = [stats.measure(raw.as_py().encode() if raw.is_valid else b"", memo) for raw in batch.column(place)]
-                counts = np.array([x[0] for x in found], np.int64).reshape(-1, 5)
-                features = np.array([x[1] for x in found], np.float32).astype(np.float64).reshape(len(found), -1)
-                yield batch.filter(pa.array(_verdicts(counts, features, forest, threshold)[1]))
+        for batch in batches(it, 4 << 20, place):
+            found = [stats.measure(raw.as_py().encode() if raw.is_valid else b"", memo) for raw in batch.column(place)]
+            counts = np.array([x[0] for x in found], np.int64).reshape(-1, 5)
+            features = np.array([x[1] for x in found], np.float32).astype(np.float64).reshape(len(found), -1)
+            yield batch.filter(pa.array(_verdicts(counts, features, forest, threshold)[1]))
 
     return docs.mapInArrow(run, docs.schema)
 
