@@ -65,10 +65,11 @@ def _folded(text: str, tags: _Tags) -> list[tuple[str, str]]:
     return [(tags.NAMES[k - 65], text[i:j]) for k, i, j in zip(own[new].tolist(), at, at[1:])]
 
 
-def language_runs(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def language_runs(texts: DataFrame, key: str = "id", text: str = "text", whole: str | None = None) -> DataFrame:
     """(key, run_idx, lang, text): neighbours of one language; connectors (space, digits, marks) join the run before.
 
-    Each text is folded on its own in Arrow batches; null and empty texts have no runs.
+    Each text is folded on its own in Arrow batches; null and empty texts have no runs. whole: a column that names the
+    language of elements which are translated as one run, whatever is in them; null for the others.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,11 +77,13 @@ def language_runs(texts: DataFrame, key: str = "id", text: str = "text") -> Data
         for frame in frames:
             for i in range(0, len(frame), 500):
                 part = frame.iloc[i : i + 500]
-                rows = [(k, n, lang, t) for k, whole in zip(part[key], part[text]) if whole is not None for n, (lang, t) in enumerate(_folded(whole, tags), 1)]
+                forced = part["__whole"] if whole else [None] * len(part)
+                found = [(k, [(f, t)] if f is not None and t else _folded(t, tags)) for k, t, f in zip(part[key], part[text], forced) if t is not None]
+                rows = [(k, n, lang, t) for k, pairs in found for n, (lang, t) in enumerate(pairs, 1)]
                 yield pd.DataFrame(rows, columns=[key, "run_idx", "lang", "text"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, run_idx long, lang string, text string")
+    return texts.select(key, text, *([F.col(whole).alias("__whole")] if whole else [])).mapInPandas(run, f"`{key}` {kind}, run_idx long, lang string, text string")
 
 
 def romance_scores(text: Column) -> dict[str, Column]:

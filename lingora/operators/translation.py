@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lingora.functions.lang import detect, normalize, trim
@@ -48,6 +48,15 @@ def translated(rows: DataFrame, backend: Backend, cache: DataFrame | None = None
     return done.withColumns({"translation": F.coalesce("__known", "__fresh"), "model": model}).drop("__known", "__fresh", "error")
 
 
+STATES = ("blank", "target", "cached", "translated", "unroutable")
+
+
+def counted(done: DataFrame, name: str = "translation") -> tuple[DataFrame, Observation]:
+    """Rows of translated(), and how many of each state there were, once an action has passed over them."""
+    seen = Observation(name)
+    return done.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES]), seen
+
+
 def stream(changes: DataFrame, to: str, backend: Backend, cache_path: str, out_path: str, checkpoint: str):
     """A started query that translates a stream of changes (id, text) batch by batch.
 

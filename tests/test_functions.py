@@ -156,3 +156,6 @@ def test_language_runs(spark):
     rows = spark.createDataFrame([(1, "Hello 你好, 123 мир")], "id int, text string")
     got = [(r.lang, r.text) for r in runs.language_runs(rows).orderBy("run_idx").collect()]
     assert got == [("english", "Hello "), ("chinese_simplified", "你好, 123 "), ("russian", "мир")]
+    forced = spark.createDataFrame([(1, "Hello 你好", "french"), (2, "Hello 你好", None), (3, "", "french"), (4, None, "french")], "id int, text string, as string")
+    got = [(r.id, r.lang, r.text) for r in runs.language_runs(forced, whole="as").orderBy("id", "run_idx").collect()]
+    assert got == [(1, "french", "Hello 你好"), (2, "english", "Hello "), (2, "chinese_simplified", "你好")]

@@ -55,6 +55,8 @@ def test_translated_rows(spark):
         1: ("translated", "[zh] hello"), 2: ("translated", "[zh] hello"), 3: ("target", None), 4: ("translated", "[zh] Привет"), 5: ("blank", None), 6: ("blank", None), 7: ("cached", "记得"),
     }
     assert out[7].model == "cache" and out[1].model == "Xenova/opus-mt-en-zh" and out[4].model.startswith("Xenova/nllb") and out[1]["from"] == "en"
+    rows_, seen = X.counted(X.translated(X.languages(rows, "Chinese"), B.echo("zh"), cache, True))
+    assert rows_.count() == 7 and seen.get == {"rows": 7, "blank": 2, "target": 1, "cached": 1, "translated": 3, "unroutable": 0}
     odd = X.translated(X.languages(rows.limit(1), "xx", "yy"), B.echo("xx")).first()
     assert (odd.state, odd.translation, odd.confidence) == ("unroutable", None, None)
     batch = spark.createDataFrame([("p", 0, "你好"), ("p", 1, "hello"), ("q", 0, "hello")], "page string, ord int, text string")
