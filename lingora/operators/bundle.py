@@ -53,9 +53,16 @@ def spaced(runs: DataFrame, local: str, target: str, key: str = "id") -> DataFra
 
 
 def node_queue(nodes: DataFrame, target: str) -> DataFrame:
-    """(lang, hash, original, nodes) of nodes (node, lang, text): texts of a language once, with the nodes that show them."""
-    rows = nodes.where(F.col("lang") != target).withColumn("hash", java_hash(F.col("text")))
-    return rows.groupBy("lang", "hash").agg(F.min_by("text", "node").alias("original"), F.array_sort(F.collect_set("node")).alias("nodes"))
+    """(lang, hash, original, n_nodes, first_node) of nodes (node, lang, text): texts of a language once.
+
+    The nodes that show a text stay rows (queued), for a text may be on very many of them.
+    """
+    return queued(nodes, target).groupBy("lang", "hash").agg(F.min_by("text", "node").alias("original"), F.count("*").cast("int").alias("n_nodes"), F.min("node").alias("first_node"))
+
+
+def queued(nodes: DataFrame, target: str) -> DataFrame:
+    """nodes (node, lang, text) that wait for a translation, once each, with the hash of their text."""
+    return nodes.where(F.col("lang") != target).withColumn("hash", java_hash(F.col("text"))).dropDuplicates(["node", "lang", "text"])
 
 
 def without_echo(source: Column, result: Column) -> Column:

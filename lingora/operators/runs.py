@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from lingora.operators.folds import in_order
 from lingora.sources import dims
 
 # Letters that mark romance languages, and the letters and pairs that tell them apart.
@@ -133,17 +135,14 @@ def url_parts(text: Column) -> Column:
 def packed_requests(items: DataFrame, partition: list[str], order: list[str], chars: int = 40_000, most: int = 900) -> DataFrame:
     """Request numbers for texts in order: a request has at most `chars` characters and `most` texts.
 
-    The packing is sequential; it folds the lengths of a partition in one array, so partitions are to be of bounded size
-    (a page, a file). A text beyond the limit is a request of its own.
+    The packing is sequential: a fold over a partition's texts in order. A text beyond the limit is a request of its own.
     """
-    rows = items.groupBy(*partition).agg(F.array_sort(F.collect_list(F.struct(*order, F.length("text").alias("n")))).alias("r"))
-    state = F.struct(F.lit(0).alias("request"), F.lit(0).alias("used"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, r):
-        full = (s["count"] > 0) & ((s["used"] + r["n"] > chars) | (s["count"] >= most))
-        number = s["request"] + full.cast("int")
-        return F.struct(number.alias("request"), F.when(full, r["n"]).otherwise(s["used"] + r["n"]).alias("used"), F.when(full, 1).otherwise(s["count"] + 1).alias("count"), F.concat(s["out"], F.array(number)).alias("out"))
+    def step(state, n):
+        request, used, count = state or (0, 0, 0)
+        if count and (used + n > chars or count >= most):
+            request, used, count = request + 1, 0, 0
+        return (request, used + n, count + 1), request
 
-    numbers = F.aggregate("r", state, step, lambda s: s["out"])
-    placed = rows.select(*partition, F.explode(F.arrays_zip(F.col("r").alias("r"), numbers.alias("request"))).alias("z"))
-    return placed.select(*partition, *[F.col(f"z.r.{c}").alias(c) for c in order], F.col("z.request").alias("request"))
+    rows = items.select(*partition, *order, F.coalesce(F.length("text"), F.lit(0)).alias("__n"))
+    return in_order(rows, partition, order, [F.col("__n")], "request", IntegerType(), step).drop("__n")

@@ -32,8 +32,7 @@ def run_spacing(spark, sf_dir):
 def node_queue(spark, sf_dir):
     """Parts as nodes: their types are texts, brands the languages."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("lang"), F.col("p_type").alias("text"))
-    q = B.node_queue(nodes, "Brand#11")
-    return q.select("lang", "hash", "original", F.size("nodes").alias("n_nodes"), F.element_at("nodes", 1).alias("first_node"))
+    return B.node_queue(nodes, "Brand#11")
 
 
 def render_history(spark, sf_dir):

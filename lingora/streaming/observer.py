@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
+from lingora.operators.folds import in_order
+
 
 def debounce(events: DataFrame, keys: list[str], gap: str, watermark: str | None = None) -> DataFrame:
     """(keys, start, last, n): bursts that `gap` without an event ends; for tables and, with a watermark, for streams."""
@@ -30,26 +32,14 @@ def ttl_hits(requests: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     The last set before a request decides, and that depends on all requests before: a fold over each key's requests in
     order, of which a task holds the time of the last set and one batch. Streams keep that time in state (cached_stream).
     """
-    number = F.xxhash64(*keys)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = requests.select(*keys, "ts", "seq", micros.alias("__at"), F.struct(*keys).alias("__key"), number.alias("__n"))
-    dealt = rows.repartition(*keys).sortWithinPartitions("__n", "__key", "ts", "seq")
-    schema = requests.select(*keys, "ts", "seq").withColumn("hit", F.lit(True)).schema
-    kept = len(keys) + 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held = None
-        for batch in batches:
-            hits = []
-            for at, k in zip(batch.column(kept).to_pylist(), batch.column(kept + 1).to_pylist()):
-                if k != key:
-                    key, held = k, None
-                hit = held is not None and at is not None and at - held <= seconds * 1_000_000
-                held = held if hit else at
-                hits.append(hit)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(hits, pa.bool_())], [*batch.schema.names[:kept], "hit"])
-
-    return dealt.drop("__n").mapInArrow(run, schema)
+    limit = seconds * 1_000_000
+
+    def step(held, at):
+        hit = held is not None and at is not None and at - held <= limit
+        return (held if hit else at), hit
+
+    rows = requests.select(*keys, "ts", "seq")
+    return in_order(rows, keys, ["ts", "seq"], [F.unix_micros(F.col("ts").cast("timestamp"))], "hit", BooleanType(), step)
 
 
 def suppressed(changes: DataFrame, writes: DataFrame, key: str, millis: int = 500) -> DataFrame:
