@@ -220,7 +220,10 @@ def fragments(spark: SparkSession, codes: int) -> int:
 
 
 def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
-    """(cid, n, codes, most, df): prefixes in the order of frequency, with it; most: the codes that others have too."""
+    """(cid, n, codes, most, df, largest): prefixes in the order of frequency, with it and its greatest.
+
+    most: the codes of the set that others have too.
+    """
     keys = spread_keys(sets.sparkSession, n_parts)
 
     def scatter(it):
@@ -263,13 +266,13 @@ def prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
         starts, shared = runs(cid)
         size = n[starts]
         take = size - least_overlap(size) + 1 - (size - shared)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-        out = [(int(cid[s]), int(m), code[s : s + t].tobytes(), int(k), df[s : s + t].tobytes()) for s, k, m, t in zip(starts, shared, size, take) if t > 0]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+        out = [(int(cid[s]), int(m), code[s : s + t].tobytes(), int(k), df[s : s + t].tobytes(), int(df[s + t - 1])) for s, k, m, t in zip(starts, shared, size, take) if t > 0]
         for i in range(0, len(out), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out[i : i + 2000]), kinds)], ["cid", "n", "codes", "most", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out[i : i + 2000]), kinds)], ["cid", "n", "codes", "most", "df", "largest"])
 
     dealt = sets.select("cid", "n", "codes").mapInArrow(scatter, packed.PACKED).repartition(n_parts, "key")
-    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "cid long, n long, codes binary, most long, df binary")
+    return dealt.mapInArrow(gather, packed.PACKED).repartition(n_parts, "key").mapInArrow(settle, "cid long, n long, codes binary, most long, df binary, largest long")
 
 
 def _third_first(it):
@@ -632,10 +635,11 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     sets = durable(source.join(left, ["doc", "tag"]).select("doc", "raw", "cid").mapInArrow(_sets, "cid long, n long, codes binary"))
     cut = fragments(spark, sets.agg(F.sum("n")).first()[0] or 0)
     prefix = durable(prefixes(sets, cut), small=True)
-    thin = fragments(spark, (prefix.agg(F.sum(F.length("codes"))).first()[0] or 0) // 4)
+    size, largest = prefix.agg(F.sum(F.length("codes")), F.max("largest")).first()
+    thin = fragments(spark, (size or 0) // 4)
     labels = compared = None
     # Rounds within blocks; then, for the codes of several blocks that are left, rounds within pairs of blocks.
-    for across in (False, True):
+    for across in (False, True) if (largest or 0) > BLOCK else (False,):
         turn, members = 0, None
         while True:
             if labels is None:
