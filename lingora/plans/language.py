@@ -42,8 +42,8 @@ def _detect_sql(source: str, key: str = "doc_id") -> str:
 
 
 def detect_language_docs(spark, sf_dir):
-    found = F.inline(F.array(L.detect(F.col("text")))).alias("lang_detected", "confidence")
-    return table(spark, sf_dir, "documents").select("doc_id", found)
+    found = table(spark, sf_dir, "documents").select("doc_id", L.detect(F.col("text")).alias("d"))
+    return found.select("doc_id", F.col("d.lang").alias("lang_detected"), "d.confidence")
 
 
 FIXTURE = [
@@ -63,8 +63,8 @@ def detect_language_fixture(spark, sf_dir):
 
 
 def lang_confidence_summary(spark, sf_dir):
-    found = F.inline(F.array(L.detect(F.col("text")))).alias("from", "confidence")  # a generator is evaluated once for both columns
-    docs = table(spark, sf_dir, "documents").select("lang", found).withColumn("to", F.lit("zh"))
+    found = table(spark, sf_dir, "documents").select("lang", L.detect(F.col("text")).alias("d"))
+    docs = found.select("lang", F.col("d.lang").alias("from"), "d.confidence", F.lit("zh").alias("to"))
     small = docs.groupBy("lang", "from", "to").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
     routed = routing.route(small)
     return routed.select("lang", F.col("from").alias("lang_detected"), "model", "n", "avg_confidence")
