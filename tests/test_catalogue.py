@@ -48,3 +48,21 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queries_without_sql_keep_what_they_are_given(spark):
+    split = catalogue.QUERIES["fragment_split"](spark, SF).collect()
+    assert split and all(r.same and r.whole for r in split)
+    texts, groups = (catalogue.QUERIES[n](spark, SF).toPandas() for n in ("page_text_groups", "page_language_groups"))
+    by_page = texts.groupby("page_id").text.agg(["size", lambda t: t.str.len().sum()])
+    found = groups.groupby("page_id")[["groups", "chars"]].sum()
+    assert (found.groups <= by_page["size"].reindex(found.index)).all() and found.groups.sum() > 0 and "zh" not in set(groups.lang)
+    runs, spaced = (catalogue.QUERIES[n](spark, SF).toPandas() for n in ("language_runs", "run_spacing"))
+    assert len(runs) == len(spaced)
+    key = next(c for c in runs.columns if c in ("id", "doc_id"))
+    ordered = runs.sort_values([key, "run_idx"])
+    whole = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    joined = ordered.groupby(key).text.agg("".join)
+    assert all(joined.get(d, "") == (t or "") for d, t in whole.items())
+    same = (ordered[key] == ordered[key].shift()) & (ordered.lang == ordered.lang.shift())
+    assert not same.any()
