@@ -88,6 +88,14 @@ def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], owners[order]
 
 
+def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each index below n."""
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for k in range(rows.shape[1]):
+        out[:, k] = np.bincount(index, rows[:, k], n)
+    return out
+
+
 class Network:
     """Parameters by name; all float32."""
 
@@ -300,13 +308,9 @@ def learn(docs: Iterable[bytes], labels: list[int] | np.ndarray, epochs: int = 7
                 continue
             v[real], g, who, n = vectors(used[real] - 1)
             grads, d_x, _ = net.gradients(v[back], _f(part > 0), _f(label[columns]), np.ones(len(columns), np.float32))
-            d_v = np.zeros_like(v)
-            np.add.at(d_v, back.ravel(), d_x.reshape(-1, SIZE))
-            d_v = d_v[real]
-            grads["grams"] = np.zeros_like(net.p["grams"])
-            np.add.at(grads["grams"], g, (d_v / n[:, None])[who])
-            grads["words"] = np.zeros_like(net.p["words"])
-            np.add.at(grads["words"], vocabulary[used[real] - 1], d_v)
+            d_v = _summed(back.ravel(), d_x.reshape(-1, SIZE), len(v))[real]
+            grads["grams"] = _summed(g, (d_v / n[:, None])[who], GRAMS)
+            grads["words"] = _summed(vocabulary[used[real] - 1], d_v, len(net.p["words"]))
             grads["words"][-1] = 0
             step += 1
             for k, w in net.p.items():
