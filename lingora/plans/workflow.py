@@ -11,7 +11,7 @@ from lingora.operators import mapping as M
 from lingora.operators import runs as R
 from lingora.operators import segments as S
 from lingora.operators import translation as X
-from lingora.plans.language import _LINES, _TRIMMED, _detect_sql, _path, _values
+from lingora.plans.language import _detect_sql, _path, _values
 from lingora.session import table
 
 GLOSSARY = [
