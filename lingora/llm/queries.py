@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, decontaminate, jaccard, line_dedup, piece_bpe, pu_quality, quality_rules, substring, suffix_dedup, toxicity
+from lingora.llm import bpe, chat, decontaminate, jaccard, line_dedup, piece_bpe, pu_quality, quality_rules, substring, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_pu_quality": pu_quality.op1_pu_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_piece_bpe": piece_bpe.op11_piece_bpe,
+    "op13_whitening": whitening.op13_whitening,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
