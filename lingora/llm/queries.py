@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage, for the registry of the repository's entry module."""
 
-from lingora.llm import bpe, chat, decontaminate, jaccard, line_dedup, piece_bpe, pu_quality, quality_rules, substring, suffix_dedup, toxicity, whitening
+from lingora.llm import bpe, chat, decontaminate, hard_negatives, jaccard, line_dedup, piece_bpe, pu_quality, quality_rules, substring, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_pu_quality": pu_quality.op1_pu_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_piece_bpe": piece_bpe.op11_piece_bpe,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_whitening": whitening.op13_whitening,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_byte_bpe": bpe.op3_byte_bpe,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 ORACLES = {
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     "op2_ngram_jaccard": jaccard.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,

@@ -10,7 +10,7 @@ from tests.llm.util import SF
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "conversations", "labels", "benchmark"):
+    for t in ("documents", "conversations", "labels", "benchmark", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(queries.ORACLES[name]).df()
