@@ -7,8 +7,8 @@ scores the window. Windows overlap by half, every window of the whole text is sc
 its worst window. A word is what stands between ASCII white space; longer ones enter the windows as overlapping pieces.
 
 Training sees only document labels. All windows of clean documents are clean; of a toxic document, the window that the
-network now finds worst is toxic. The network learns from at most `rows` labelled documents outside the held-out fold (a
-documented bound).
+network now finds worst is toxic. The network learns from at most `rows` labelled documents outside the held-out fold, of BYTES in all and LONGEST each (documented
+bounds).
 
 When scoring, what the two inputs contribute to the gates is worked out once for each distinct word of a batch and
 remembered for frequent ones, so that a step of the recurrence is one small matrix product for thousands of windows.
@@ -30,6 +30,8 @@ from lingora.llm import stats
 from lingora.llm.common import batches, texts
 
 ROWS = 6_000
+#: Bytes of text that training reads in all, and of the longest text that it reads.
+BYTES, LONGEST = 96 << 20, 1 << 20
 WINDOW, STRIDE = 32, 16
 GRAMS, SIZE, HIDDEN = 1 << 15, 12, 8
 VOCABULARY = 4096
@@ -364,46 +366,30 @@ class Scorer:
         return _sigmoid(best)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
-    """A network from a bounded sample of labelled whole texts, half of it toxic at most; None without both kinds."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = BYTES) -> Network | None:
+    """A network from a bounded sample of labelled whole texts, half of it toxic at most; None without both kinds.
+
+    The sample reaches the driver a sorted partition at a time and ends at `rows` texts or `size` bytes; of each text only
+    word numbers are kept. Texts over LONGEST bytes are not learned from.
+    """
     toxic = stats.labelled_sample(labels, "toxic", rows // 3, 1)
     clean = stats.labelled_sample(labels, "toxic", rows - rows // 3, 0)
-    picked = stats.sampled(docs, toxic.unionByName(clean))
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows_ = picked.select("y", raw.alias("raw"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "raw").limit(rows)
+    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw")
+    picked = stats.sampled(docs, toxic.unionByName(clean)).select("y", raw, "doc_id").where(F.length("raw") <= LONGEST)
     y: list[int] = []
 
     def streamed() -> Iterator[bytes]:
-        for r in rows_.toLocalIterator():
+        left = size
+        for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "raw").toLocalIterator():
+            left -= len(r.raw)
+            if left < 0 or len(y) == rows:
+                return
             y.append(r.y)
             yield bytes(r.raw)
 
     return learn(streamed(), y)
 
 
-def score(self, raws: list[bytes]) -> np.ndarray:
-        ids, owner = _layout(self._number([words_of(x) for x in raws]))
-        best = np.full(len(raws), -np.inf)
-        for i in range(0, ids.shape[1], 4096):
-            part = ids[:, i : i + 4096]
-            out = self.net.run({d: t[part] for d, t in self.table.items()}, _f(part > 0))
-            np.maximum.at(best, owner[i : i + 4096], out)
-        return _sigmoid(best)
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
-    """A network from a bounded sample of labelled whole texts, half of it toxic at most; None without both kinds."""
-    toxic = stats.labelled_sample(labels, "toxic", rows // 3, 1)
-    clean = stats.labelled_sample(labels, "toxic", rows - rows // 3, 0)
-    picked = stats.sampled(docs, toxic.unionByName(clean))
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    got = picked.select("y", raw.alias("raw"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "raw").limit(rows).collect()
-    y = np.array([r.y for r in got], np.int64)
-    if len(np.unique(y)) < 2:
-        return None
-    return learn([bytes(r.raw) for r in got], y)
-
-
 def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(net)

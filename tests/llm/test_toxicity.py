@@ -1,6 +1,9 @@
+import ast
+import inspect
 import zlib
 
 import numpy as np
+import pytest
 
 from lingora.llm import toxicity as T
 from tests.llm.util import ODD, docs_frame
@@ -102,3 +105,27 @@ def test_words_at_once(monkeypatch):
     monkeypatch.setattr(T, "AT_ONCE", 7)
     b = T.learn(raws, y, epochs=3)
     assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p) and np.allclose(T.Scorer(b).score(raws), s, atol=1e-6)
+
+
+def test_training_neither_collects_nor_exceeds_its_bounds(spark, monkeypatch):
+    docs = docs_frame(spark, [(i, f"{'vile moron' if i % 2 else 'kind friend'} number {i} " * 20) for i in range(60)])
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    whole = type(docs)
+    learned = []
+    with monkeypatch.context() as m:
+        m.setattr(T, "learn", lambda texts, y: learned.append((list(texts), list(y))))
+        for name in ("collect", "toPandas", "take", "head"):
+            m.setattr(whole, name, lambda *a, **k: pytest.fail("the sample is collected"))
+        T.train(docs, labels)
+        T.train(docs, labels, size=2000)
+        m.setattr(T, "LONGEST", 10)
+        T.train(docs, labels)
+    (texts_, y), (few, _), (none, _) = learned
+    assert len(texts_) == len(y) > 40 and all((b"moron" in t) == bool(k) for t, k in zip(texts_, y))
+    assert few == texts_[: len(few)] and 0 < sum(map(len, few)) <= 2000 and none == []
+
+
+def test_each_name_is_defined_once():
+    for module in (T,):
+        names = [n.name for n in ast.parse(inspect.getsource(module)).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names))
