@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lingora.functions.text import key_candidates, key_hash, locale_output_path, similarity
+from lingora.functions.text import key_candidates, key_hash, locale_output_path
 from lingora.operators.backends import dictionary, echo  # noqa: F401
-
-FUZZY = 0.8
+from lingora.operators.fuzzy import FUZZY, merge_fuzzy  # noqa: F401
 
 
 def merge_exact(segments: DataFrame, previous: DataFrame) -> DataFrame:
@@ -28,38 +27,6 @@ def deprecated(segments: DataFrame, previous: DataFrame) -> DataFrame:
     return previous.join(segments.select("source_path", "text").distinct(), ["source_path", "text"], "left_anti")
 
 
-def _claim(frame: pd.DataFrame) -> pd.DataFrame:
-    """For one path: new texts in order claim the most similar earlier text that is free, the first of equals."""
-    old = frame[frame.old].sort_values("ord").text.tolist()
-    have, used, out = set(old), set(), []
-    for text in frame[~frame.old].sort_values("ord").text:
-        best = None
-        if text in have:
-            best = (1.0, text)
-        else:
-            for candidate in old:
-                short, long = sorted((len(text), len(candidate)))
-                if candidate in used or 3 * short < 2 * long:
-                    continue
-                score = similarity(text, candidate)
-                if score >= FUZZY and (best is None or score > best[0]):
-                    best = (score, candidate)
-        if best:
-            used.add(best[1])
-        out.append((frame.source_path.iloc[0], text, best and best[1], best[0] if best else 0.0))
-    return pd.DataFrame(out, columns=["source_path", "text", "previous_text", "score"])
-
-
-def merge_fuzzy(segments: DataFrame, previous: DataFrame) -> DataFrame:
-    """(source_path, text, previous_text, score): each claim depends on those before it in the file.
-
-    A path is one source file, the unit of the claim order; candidates are cut by the length bound of the similarity.
-    """
-    new = segments.select("source_path", "text", "ord", F.lit(False).alias("old"))
-    both = new.unionByName(previous.select("source_path", "text", "ord", F.lit(True).alias("old")))
-    return both.groupBy("source_path").applyInPandas(_claim, "source_path string, text string, previous_text string, score double")
-
-
 def merged_entry(previous: Column, new: Column, fuzzy: Column) -> Column:
     """The entry that stays of an earlier and a new one, with its flags; either may be null."""
     glossary = F.coalesce(new["translation_source"] == "glossary", F.lit(False))

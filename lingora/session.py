@@ -1,6 +1,8 @@
 """One place for the session settings that the engine relies on."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lingora", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -22,3 +24,17 @@ def session(app: str = "lingora", cores: int | str = "*", partitions: int = 8) -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A table of the test data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df computed now and kept in the folder of spark.checkpoint.dir, which all machines of a cluster have to share.
+
+    A local session that names no folder gets a temporary one.
+    """
+    spark = df.sparkSession
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lingora-checkpoint-"))
+    return df.checkpoint(eager=True)
