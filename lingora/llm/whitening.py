@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingora.llm.common import durable
+from lingora.llm.common import durable, partitions
 
 LIMB = 12
 EDGE = 2.0**61
@@ -77,48 +78,55 @@ def add_products(total: dict[int, np.ndarray], z: np.ndarray) -> None:
             total[a + b] = total[a + b] + (left.T @ right).astype(np.int64)
 
 
-def _cells(df: DataFrame, run, kind: str) -> list:
-    """Sums by cell over all tasks; the driver gets as many rows as there are cells."""
-    made = df.select("x").mapInArrow(run, f"i int, j int, w int, s {kind}")
-    return made.groupBy("i", "j", "w").agg(F.sum(F.col("s").cast("decimal(38,0)" if kind == "long" else kind)).alias("s")).collect()
+def summed(df: DataFrame, make, kind: type) -> dict[int, np.ndarray]:
+    """Sums by weight of the arrays that make(batches) returns of each task, as whole numbers or doubles.
 
+    Tasks are dealt to as many lanes as the root of their number, and a lane's arrays are added in one task; so
+    neither such a task nor the driver gets more than that many arrays of each weight.
+    """
+    lanes = max(1, round(partitions(df.sparkSession) ** 0.5))
 
-def _table(i: np.ndarray, j: np.ndarray, w: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(s)], ["i", "j", "w", "s"])
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane = TaskContext.get().partitionId() % lanes
+        for w, part in make(it).items():
+            yield pa.RecordBatch.from_pydict({"lane": pa.array([lane], pa.int32()), "w": pa.array([w], pa.int32()), "s": pa.array([part.astype(kind).tobytes()])})
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_py(), kind) for s in rows.column("s"))
+        return pa.table({"w": rows.column("w").slice(0, 1), "s": pa.array([total.tobytes()])})
+
+    got = df.select("x").mapInArrow(run, "lane int, w int, s binary").groupBy("lane", "w").applyInArrow(add, "w int, s binary").collect()
+    out: dict[int, np.ndarray] = {}
+    for r in got:
+        part = np.frombuffer(r.s, kind)
+        out[r.w] = out.get(r.w, 0) + (part.astype(object) if kind is np.int64 else part)
+    return out
 
 
 def column_sums(fit: DataFrame, d: int) -> list[int]:
     """Exact sums of all dimensions."""
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(it: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(d, np.int64))
         for batch in it:
             for w, part in enumerate(limbs(matrix(batch.column(0), d))):
                 total[w] += part.sum(0).astype(np.int64)
-        for w, s in total.items():
-            yield _table(np.arange(d), np.zeros(d), np.full(d, w), s)
+        return total
 
-    out = [0] * d
-    for r in _cells(fit, run, "long"):
-        out[r.i] += int(r.s) << LIMB * r.w
-    return out
+    return [int(v) for v in sum(s << LIMB * w for w, s in summed(fit, make, np.int64).items())]
 
 
-def products(fit: DataFrame, d: int, pivot: list[int]) -> list[list[int]]:
-    """Exact sums of (x - pivot)(x - pivot)' over the list; the upper triangle."""
-    at, rows, columns = np.array(pivot, np.int64), *np.triu_indices(d)
+def products(fit: DataFrame, d: int, pivot: list[int]) -> np.ndarray:
+    """Exact sums of (x - pivot)(x - pivot)' over the list, as big integers."""
+    at = np.array(pivot, np.int64)
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(it: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((d, d), np.int64))
         for batch in it:
             add_products(total, matrix(batch.column(0), d) - at)
-        for w, s in total.items():
-            yield _table(rows, columns, np.full(len(rows), w), s[rows, columns])
+        return total
 
-    out = [[0] * d for _ in range(d)]
-    for r in _cells(fit, run, "long"):
-        out[r.i][r.j] += int(r.s) << LIMB * r.w
-    return out
+    return sum(s << LIMB * w for w, s in summed(fit, make, np.int64).items()).reshape(d, d)
 
 
 @dataclass
@@ -153,7 +161,7 @@ class Whitening:
         return [v if v < 2**63 else None for v in exact]
 
 
-def decompose(n: int, sums: list[int], gram: list[list[int]], pivot: list[int], components: int) -> Whitening:
+def decompose(n: int, sums: list[int], gram: np.ndarray, pivot: list[int], components: int) -> Whitening:
     """Components of the covariance gram / n - rest rest' / n**2, of which each entry is rounded once."""
     d, rest = len(sums), [s - n * k for s, k in zip(sums, pivot)]
     cov = np.zeros((d, d))
@@ -180,19 +188,18 @@ def fit_whitening(xs: DataFrame, components: int) -> tuple[Whitening | None, int
     pivot = [s // n for s in sums]
     model = decompose(n, sums, products(fit, d, pivot), pivot, components)
     k = len(model.values)
-    rows, columns = np.triu_indices(k)
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first = np.zeros((k, k)), np.zeros(k)
+    def make(it: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total = np.zeros((k + 1, k))
         for batch in it:
             w = np.nan_to_num(model.whitened(matrix(batch.column(0), d)))
-            total += w.T @ w
-            first += w.sum(0)
-        yield _table(np.r_[rows, np.full(k, -1)], np.r_[columns, np.arange(k)], np.zeros(len(rows) + k), np.r_[total[rows, columns], first])
+            total[:k] += w.T @ w
+            total[k] += w.sum(0)
+        return {0: total}
 
-    found = {(r.i, r.j): r.s / n for r in _cells(fit, run, "double")}
-    off = [abs(found[i, j] - found[-1, i] * found[-1, j] - (i == j)) for i, j in zip(rows.tolist(), columns.tolist()) if model.values[i] > 0 and model.values[j] > 0]
-    model.identity_error = max(off, default=None)
+    found = summed(fit, make, np.float64)[0].reshape(k + 1, k) / n
+    off = np.abs(found[:k] - np.outer(found[k], found[k]) - np.eye(k))[np.ix_(model.values > 0, model.values > 0)]
+    model.identity_error = float(off.max()) if off.size else None
     return model, d
 
 
