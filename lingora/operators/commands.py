@@ -15,6 +15,7 @@ from lingora.functions import text as T
 from lingora.operators import glossary as G
 from lingora.operators import mapping as M
 from lingora.operators import segments as S
+from lingora.operators import terms as W
 from lingora.operators.script import script_segments
 from lingora.sources import files as S_files
 
@@ -44,13 +45,13 @@ def scan(files: DataFrame, known: DataFrame, glossary: DataFrame, settings: dict
     segments = all_segments(files.join(changed.select("path"), "path", "left_semi"))
     wanted = segments.where(S.should_translate(F.col("text"), F.col("context"), F.lit(settings["source_locale"]), settings["rules"]))
     matched = G.match(wanted, glossary)
-    terms = [(r.key, r.value) for r in glossary.orderBy("ord").collect()]  # a configured list, sent with the function
-    composed = matched.withColumn("known", F.coalesce("glossary_value", G.compose_column(terms)(F.col("text"))))
+    placed = W.occurrences(matched.withColumn("key", F.struct("path", "context", "seg_idx")), glossary).drop("key")
+    composed = placed.withColumn("known", F.coalesce("glossary_value", W.composed("text", "found")))
     left = composed.where("known IS NULL").select(T.protect(F.col("text")).alias("text"))
     machine = M.translate(left, backend, settings["translator"]["retries"]).withColumnRenamed("text", "shielded")
     done = composed.withColumn("shielded", T.protect(F.col("text"))).join(machine, "shielded", "left")
     plain = T.restore(F.col("translation"), T.placeholders(F.col("text")))
-    put_right = G.enforce(F.col("text"), plain, terms)
+    put_right = W.enforced(plain, F.col("found"))
     one = done.select("path", "text", "seg_idx", F.coalesce("known", put_right).alias("translation"), F.when(F.col("known").isNotNull(), "glossary").otherwise("machine").alias("translation_source"), "glossary_value")
     first = one.groupBy("path", "text").agg(F.min_by(F.struct("seg_idx", "translation", "translation_source", "glossary_value"), "seg_idx").alias("s")).select("path", "text", F.col("s.seg_idx").alias("ord"), "s.translation", "s.translation_source", "s.glossary_value")
     approved = F.col("translation_source") == "glossary"

@@ -1,20 +1,10 @@
-"""Glossaries: presets, lookup by context, composition of a translation from terms, enforcement of terms."""
+"""Glossaries: presets, lookup by context, seeds; terms inside of texts are in operators/terms.py."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingora.sources import dims
-
-_CJK = re.compile("[\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]")
-_PUNCTUATION = re.compile(r"[,.;:!?()\[\]{}\"'`-]+")
-_HOLE = re.compile(r"\{\{[\s\S]*?\}\}|\$\{[\s\S]*?\}")
-_TERM_WORDS = re.compile(r"[a-z][a-z\s-]*", re.I)
-
 
 def merge_presets(fragments: DataFrame) -> DataFrame:
     """(key, value, ord) of fragments (preset_ord, key, value, ord): a later fragment overrides an earlier one."""
@@ -58,87 +48,6 @@ def match(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     return texts.join(best, ["path", "text"], "left")
 
 
-def _boundary(text: str, at: int) -> bool:
-    return not (0 <= at < len(text)) or not re.match(r"[a-z0-9]", text[at], re.I)
-
-
-def _plural(term: str) -> str | None:
-    if not _TERM_WORDS.fullmatch(term) or not (last := re.search(r"[a-z]+$", term, re.I)):
-        return None
-    w = last[0]
-    return term[: -len(w)] + (w[:-1] + "ies" if w.endswith("y") else w + "es" if re.search(r"(?:[sxz]|ch|sh)$", w, re.I) else w + "s")
-
-
-def term_length(text: str, at: int, term: str) -> int:
-    """How much of the text the term or its plural takes at a place; 0 for no match."""
-    for v in sorted({term, _plural(term) or term}, key=len, reverse=True):
-        if v and text[at : at + len(v)].lower() == v.lower() and _boundary(text, at - 1) and _boundary(text, at + len(v)):
-            return len(v)
-    return 0
-
-
-def composable(terms: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Terms for composition, the longest first: no wildcards, no single ideographs."""
-    keep = [(k, v) for k, v in terms if k and not k.endswith("*") and not (len(k) == 1 and _CJK.match(k))]
-    return sorted(keep, key=lambda t: -len(t[0]))
-
-
-def compose(text: str, terms: list[tuple[str, str]]) -> str | None:
-    """A translation made of glossary terms alone; None if some part of the text has none."""
-    text, at, out = text.strip(), 0, ""
-    while at < len(text):
-        if text[at].isspace():
-            at += 1
-            continue
-        piece, size = None, 0
-        if hole := _HOLE.match(text, at):
-            piece, size = hole[0], len(hole[0])
-        elif mark := _PUNCTUATION.match(text, at):
-            piece, size = mark[0], len(mark[0])
-        else:
-            for term, value in terms:
-                if size := term_length(text, at, term):
-                    piece = value
-                    break
-            else:
-                word = re.match(r"[a-z]+", text[at:], re.I)
-                if not word or word[0].lower() not in dims.DROPPED:
-                    return None
-                size = len(word[0])
-        at += size
-        if piece is not None:
-            tight = not out or _PUNCTUATION.fullmatch(piece) or _CJK.search(out) or _CJK.search(piece)
-            out += piece if tight else f" {piece}"
-    return out
-
-
-def compose_column(terms: list[tuple[str, str]]):
-    """A vectorised function of texts; the terms are a configured list, sent with the function."""
-    ready = composable(terms)
-
-    @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else compose(t, ready))
-
-    return run
-
-
-def enforce(source: Column, translation: Column, terms: list[tuple[str, str]]) -> Column:
-    """The translation, with known mistranslations of the terms that its source has put right."""
-    out = translation
-    for term, value in composable(terms):
-        bad = dims.MISTRANSLATIONS.get(value)
-        if not bad:
-            continue
-        forms = {re.escape(f) for f in (term, _plural(term) or term)}
-        has = source.rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(sorted(forms))})(?![a-z0-9])")
-        fixed = F.lit(None).cast("string")
-        for b in reversed(bad):
-            fixed = F.when(F.contains(out, F.lit(b)), F.replace(out, F.lit(b), F.lit(value))).otherwise(fixed)
-        out = F.when(has & ~F.contains(out, F.lit(value)) & fixed.isNotNull(), fixed).otherwise(out)
-    return out
-
-
 def seed_counts(seed: DataFrame, current: DataFrame, overwrite: bool = False) -> DataFrame:
     """(added, updated, unchanged, skipped) of putting a seed (key, value) into a glossary."""
     both = seed.select("key", F.col("value").alias("new")).join(current.select("key", F.col("value").alias("old")), "key", "full")

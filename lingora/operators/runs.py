@@ -118,11 +118,6 @@ def nomenclature(text: Column) -> Column:
     return F.transform(F.array_sort(last), lambda r: F.struct(r["key"].alias("key"), r["value"].alias("value")))
 
 
-def apply_terms(text: Column, terms: Column) -> Column:
-    """Text with all terms replaced, the longest key first."""
-    return F.aggregate(terms, text, lambda acc, t: F.replace(acc, t["key"], t["value"]))
-
-
 def url_parts(text: Column) -> Column:
     """struct(kind, value): addresses and what is between them."""
     pattern = r"https?://[^\s<>\"']+"

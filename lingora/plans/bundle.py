@@ -65,7 +65,6 @@ def locale_fill(spark, sf_dir):
     return B.filled(e, fresh).select("path", "ord", "translation", "translation_source")
 
 
-locale_fill_lines = locale_fill
 
 
 def strided_batches(spark, sf_dir):
@@ -95,7 +94,7 @@ def object_strings(spark, sf_dir):
 _HASH = "(SELECT CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END FROM (SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split({t}, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h))::VARCHAR"
 QUERIES = {
     "recognize_language": recognize_language, "run_spacing": run_spacing, "node_queue": node_queue, "render_history": render_history, "wildcard_keys": wildcard_keys, "bundle_cache": bundle_cache,
-    "echo_results": echo_results, "locale_fill": locale_fill, "strided_batches": strided_batches, "pool_victims": pool_victims, "object_strings": object_strings, "object_translation": object_translation, "locale_fill_lines": locale_fill, "recognize_documents": recognize_documents,
+    "echo_results": echo_results, "locale_fill": locale_fill, "strided_batches": strided_batches, "pool_victims": pool_victims, "object_strings": object_strings, "object_translation": object_translation, "recognize_documents": recognize_documents,
 }
 ORACLES = {
     "recognize_language": "SELECT id, language, chars::BIGINT AS chars FROM " + _values([(1, "english", 11), (2, "french", 19), (3, "japanese", 10), (4, "chinese_simplified", 8), (5, "chinese_traditional", 5), (6, "spanish", 23), (7, "russian", 10), (8, "japanese", 26)], "id, language, chars"),
@@ -107,7 +106,6 @@ UNION ALL SELECT 'back', o_orderstatus, arg_max(o_orderpriority, o_orderkey) FRO
     "bundle_cache": "SELECT t.to, text, CASE WHEN t.to = 'de' AND length(text) % 2 = 0 THEN 'de:' || text END AS translation FROM (SELECT DISTINCT p_type AS text FROM part), (VALUES ('de'), ('fr')) AS t(\"to\")",
     "echo_results": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE 'to x' END AS shown FROM customer",
     "locale_fill": f"WITH {_ENTRIES} SELECT path, ord, CASE WHEN translation = '' THEN 'f ' || sha1(text) ELSE translation END AS translation, CASE WHEN translation = '' THEN 'machine' ELSE translation_source END AS translation_source FROM entries",
-    "locale_fill_lines": f"WITH {_ENTRIES} SELECT path, ord, CASE WHEN translation = '' THEN 'f ' || sha1(text) ELSE translation END AS translation, CASE WHEN translation = '' THEN 'machine' ELSE translation_source END AS translation_source FROM entries",
     "strided_batches": "SELECT conv_id, turn, batch, batch % 3 AS worker FROM (SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2)::INT AS batch FROM conversations)",
     "pool_victims": "SELECT s_nationkey AS pool, arg_min(s_suppkey, {'a': s_acctbal, 'b': s_suppkey}) AS victim FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 7 <> 0 GROUP BY 1",
     "object_translation": """SELECT event_id AS id, '{"type": "' || upper(event_type) || '", "all": [{"of": ["' || user_id || '", 7]}, null]}' AS value FROM events""",

@@ -10,6 +10,7 @@ from lingora.operators import glossary as G
 from lingora.operators import mapping as M
 from lingora.operators import runs as R
 from lingora.operators import segments as S
+from lingora.operators import terms as W
 from lingora.operators import translation as X
 from lingora.plans.language import _detect_sql, _path, _values
 from lingora.session import table
@@ -45,13 +46,28 @@ SELECT a.path, a.text, (SELECT arg_min(value, o) FROM h WHERE h.path = a.path AN
 
 
 def glossary_compose(spark, sf_dir):
-    rows = spark.createDataFrame(COMPOSED, "id int, text string")
-    return rows.select("id", "text", G.compose_column([(k, v) for _, k, v in GLOSSARY])(F.col("text")).alias("composed"))
+    rows = spark.createDataFrame(COMPOSED, "key int, text string")
+    return W.occurrences(rows, _glossary(spark)).select(F.col("key").alias("id"), "text", W.composed("text", "found").alias("composed"))
 
 
 def glossary_enforce(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "cancel the order", "取消命令"), (2, "orders", "顺序列表"), (3, "border", "命令"), (4, "order", "订单命令")], "id int, source string, translation string")
-    return rows.select("id", G.enforce(F.col("source"), F.col("translation"), [(k, v) for _, k, v in GLOSSARY]).alias("enforced"))
+    rows = spark.createDataFrame([(1, "cancel the order", "取消命令"), (2, "orders", "顺序列表"), (3, "border", "命令"), (4, "order", "订单命令")], "key int, text string, translation string")
+    return W.occurrences(rows, _glossary(spark)).select(F.col("key").alias("id"), W.enforced(F.col("translation"), F.col("found")).alias("enforced"))
+
+
+def _benchmark_terms(spark, sf_dir):
+    """First words, and pairs of first words, of the benchmark's items as a glossary."""
+    w = F.split(F.lower(F.trim("text")), r"\s+")
+    one, two = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    keys = table(spark, sf_dir, "benchmark").select(F.explode(F.array(one, F.when(one != two, F.concat_ws(" ", one, two)))).alias("key"))
+    return keys.where("key <> ''").distinct().select(F.hash("key").alias("ord"), "key", F.col("key").alias("value"))
+
+
+def term_places(spark, sf_dir):
+    """Places of the benchmark's first words and their plurals in every whole document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    each = W.occurrences(docs, _benchmark_terms(spark, sf_dir)).select(F.col("key").alias("doc_id"), F.explode("found").alias("p"))
+    return each.groupBy("doc_id", F.col("p.value").alias("term")).agg(F.count("*").alias("n"), F.min("p.start").alias("first_start"), F.max("p.end").alias("last_end"), F.sum("p.start").alias("starts"))
 
 
 def glossary_seed(spark, sf_dir):
@@ -168,7 +184,7 @@ def approve_entries(spark, sf_dir):
 
 
 def key_generation(spark, sf_dir):
-    """Candidates and keys of all lines of all documents; SQL has no decomposition, so tests hold it to a plain version."""
+    """Candidates and keys of all lines of all documents."""
     return _keys(_entries(spark, sf_dir))
 
 
@@ -204,6 +220,38 @@ def _two_versions(spark, sf_dir):
     return seg, both.groupBy("source_path", "text").agg(F.min_by("translation", "ord").alias("translation"), F.min("ord").alias("ord"))
 
 
+_NAMES = """
+seg AS (SELECT c_nationkey || '/' || c_mktsegment AS source_path, c_name AS text, c_custkey::INT AS ord FROM customer),
+prev AS (SELECT source_path, CASE WHEN ord % 5 = 0 THEN text ELSE replace(text, '#', ' no ') END AS text, min(ord) AS ord FROM seg WHERE ord % 2 = 0 GROUP BY ALL)"""
+# Common subsequences by rows of their table, then the wishes of each file one after another.
+_FUZZY = """
+WITH RECURSIVE {versions},
+own AS (SELECT DISTINCT source_path, text, ord FROM seg),
+exact AS (SELECT o.source_path, o.text, min(o.ord) AS first FROM own o JOIN prev p USING (source_path, text) GROUP BY ALL),
+pairs AS (
+  SELECT n.source_path, n.ord, n.text AS a, p.text AS b, p.ord AS old_ord, length(n.text) AS la, length(p.text) AS lb, row_number() OVER () AS id
+  FROM own n JOIN prev p USING (source_path) LEFT JOIN exact e ON e.source_path = p.source_path AND e.text = p.text
+  WHERE (n.source_path, n.text) NOT IN (SELECT (source_path, text) FROM prev) AND 3 * least(length(n.text), length(p.text)) >= 2 * greatest(length(n.text), length(p.text))
+    AND length(n.text) > 0 AND (e.first IS NULL OR n.ord < e.first)
+),
+letters AS (SELECT id, unnest(string_split(b, '')) AS c, unnest(range(1, lb + 1)) AS j FROM pairs),
+cells(i, id, j, c, v) USING KEY (id, j) AS (
+  SELECT 0 AS i, id, j, c, 0 AS v FROM letters
+  UNION ALL
+  SELECT i, id, j, c, max(v) OVER (PARTITION BY id ORDER BY j) AS v FROM (
+    SELECT cells.i + 1 AS i, cells.id, j, c, CASE WHEN c = substr(p.a, cells.i + 1, 1) THEN coalesce(lag(v) OVER (PARTITION BY cells.id ORDER BY j), 0) + 1 ELSE v END AS v
+    FROM cells JOIN pairs p ON p.id = cells.id WHERE cells.i < p.la)
+),
+scored AS (SELECT p.source_path, p.ord, p.b, p.old_ord, 2 * c.v / (la + lb) AS score FROM pairs p JOIN cells c ON c.id = p.id AND c.i = p.la AND c.j = p.lb WHERE 5 * c.v >= 2 * (la + lb)),
+wishes AS (SELECT source_path, ord, list({{'b': b, 'score': score}} ORDER BY score DESC, old_ord) AS w, row_number() OVER (PARTITION BY source_path ORDER BY ord) AS k FROM scored GROUP BY source_path, ord),
+turns AS (
+  SELECT source_path, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::INT AS ord, NULL::STRUCT(b VARCHAR, score DOUBLE) AS got FROM wishes WHERE k = 1
+  UNION ALL
+  SELECT t.source_path, w.k, CASE WHEN g IS NULL THEN used ELSE list_append(used, g.b) END, w.ord, g
+  FROM turns t JOIN wishes w ON w.source_path = t.source_path AND w.k = t.k + 1, LATERAL (SELECT list_filter(w.w, lambda x: NOT list_contains(t.used, x.b))[1] AS g) s
+)
+SELECT o.source_path, o.text, CASE WHEN e.text IS NOT NULL THEN o.text ELSE t.got.b END AS previous_text, CASE WHEN e.text IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(t.got.score, 0)::DOUBLE END AS score
+FROM own o LEFT JOIN exact e USING (source_path, text) LEFT JOIN turns t ON t.source_path = o.source_path AND t.ord = o.ord"""
 _VERSIONS = """
 seg AS (SELECT 'chat/' || conv_id AS source_path, text, turn::INT AS ord, substr(sha256(text || ':chat/' || conv_id), 1, 8) AS id FROM conversations),
 both_ AS (SELECT 'chat/' || conv_id AS source_path, text, turn::INT AS ord, role AS translation FROM conversations WHERE (conv_id + turn) % 5 > 0
@@ -224,6 +272,13 @@ def merge_fuzzy(spark, sf_dir):
     return M.merge_fuzzy(seg, old)
 
 
+def merge_fuzzy_names(spark, sf_dir):
+    """Customers' names, a file for each nation and segment, against every second of them in another spelling; every fifth is spelt as before."""
+    c = table(spark, sf_dir, "customer").select(F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("source_path"), F.col("c_name").alias("text"), F.col("c_custkey").cast("int").alias("ord"))
+    old = c.where("ord % 2 = 0").withColumn("text", F.when(F.col("ord") % 5 == 0, F.col("text")).otherwise(F.replace("text", F.lit("#"), F.lit(" no "))))
+    return M.merge_fuzzy(c, old)
+
+
 def incremental_changes(spark, sf_dir):
     """Documents as files: every seventh has another hash in the last scan, every thirteenth was not there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), F.sha2("text", 256).alias("hash"))
@@ -293,8 +348,8 @@ def glossary_match_lines(spark, sf_dir):
 
 def glossary_turns(spark, sf_dir):
     """Whole turns composed of the glossary's terms, and with its terms enforced on their echo."""
-    c, terms = table(spark, sf_dir, "conversations"), [(k, v) for _, k, v in GLOSSARY]
-    return c.select("conv_id", "turn", G.compose_column(terms)(F.col("text")).alias("composed"), G.enforce(F.col("text"), F.col("text"), terms).alias("enforced"))
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return W.occurrences(c, _glossary(spark)).select("key.*", W.composed("text", "found").alias("composed"), W.enforced(F.col("text"), F.col("found")).alias("enforced"))
 
 
 def protect_documents(spark, sf_dir):
@@ -306,13 +361,20 @@ def protect_documents(spark, sf_dir):
 def nomenclature_documents(spark, sf_dir):
     """Whole documents with terms replaced, the longest first."""
     parsed = R.nomenclature(F.lit("the=THE\nthe first=1st\nbad\nund=&\nand=&"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(R.apply_terms(F.col("text"), parsed), 256).alias("applied"))
+    return W.replaced(table(spark, sf_dir, "documents").select("doc_id", "text", parsed.alias("terms"))).select("doc_id", F.sha2("result", 256).alias("applied"))
+
+
+def nomenclature_leftovers(spark, sf_dir):
+    """What two terms leave of whole documents: the distinct parts between their places."""
+    parsed = R.nomenclature(F.lit("the=THE\nund=&"))
+    done = W.replaced(table(spark, sf_dir, "documents").select("doc_id", "text", parsed.alias("terms"))).select("doc_id", F.array_sort("rest").alias("rest"))
+    return done.select("doc_id", F.size("rest").alias("parts"), F.sha2(F.array_join("rest", "|"), 256).alias("rest_sha256"))
 
 
 def nomenclature(spark, sf_dir):
     terms = "a=1\nabc=2\nbad\nx=y=z\nab=3\na=4\n =5"
     parsed = R.nomenclature(F.lit(terms))
-    return spark.range(1).select(R.apply_terms(F.lit("abc ab a"), parsed).alias("applied"), F.array_join(F.transform(parsed, lambda t: F.concat(t["key"], F.lit("="), t["value"])), ";").alias("terms"))
+    return W.replaced(spark.createDataFrame([("abc ab a",)], "text string").select("text", parsed.alias("terms"))).select(F.col("result").alias("applied"), F.array_join(F.transform("terms", lambda t: F.concat(t["key"], F.lit("="), t["value"])), ";").alias("terms"))
 
 
 def request_packing(spark, sf_dir):
@@ -322,21 +384,41 @@ def request_packing(spark, sf_dir):
 
 
 _E = f"WITH {_ENTRIES}"
+
+
+def _semantic_sql(column: str) -> str:
+    """Words without accents, placeholders and stop words; the library decomposes compatibility forms too, which lines of the tables do not have."""
+    shielded = rf"array_to_string(list_transform(string_split_regex({column}, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '')"
+    return f"list_filter({_plain_sql(f'strip_accents({shielded})')}, lambda w: NOT list_contains({T.dims.KEY_STOPS!r}, lower(w)) AND NOT regexp_full_match(w, '(?i)_*tm_*\\d+_*'))"
+
+
+def _plain_sql(value: str) -> str:
+    return rf"list_filter(string_split_regex(trim(regexp_replace(regexp_replace({value}, '([a-z\d])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9_$]+', ' ', 'g')), '\s+'), lambda w: w <> '')"
+
+
+def _camel_sql(words: str) -> str:
+    clean = f"list_filter(list_transform({words}, lambda w: lower(regexp_replace(w, '^[_$]+|[_$]+$', '', 'g'))), lambda w: w <> '')"
+    return f"nullif(array_to_string(list_transform({clean}, lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(left(w, 1)) || substr(w, 2) END), ''), '')"
+
+
+_IDEOGRAPHS = rf"regexp_replace(regexp_replace(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}', '', 'g'), '[^\x{{4E00}}-\x{{9FFF}}]', '', 'g')"
+_KEYS_SQL = f"""compact AS (SELECT *, {_IDEOGRAPHS} AS ideographs FROM entries),
+named AS (SELECT *, (SELECT any_value(v) FROM {_values(list(T.dims.KEY_TEXTS.items()), 'k, v')} WHERE k = ideographs) AS whole,
+  (SELECT list(v ORDER BY i) FROM {_values([(i, k, v) for i, (k, v) in enumerate(T.dims.KEY_TERMS.items())], 'i, k, v')} WHERE contains(ideographs, k)) AS parts FROM compact),
+raw AS (SELECT *, coalesce(whole, {_camel_sql('parts')}) AS chinese, {_camel_sql(_semantic_sql('translation'))} AS translated, {_camel_sql(_semantic_sql('text'))} AS plain FROM named)
+SELECT path, ord, coalesce({_camel_sql(_plain_sql('chinese'))}, {_camel_sql(_plain_sql('translated'))}, {_camel_sql(_plain_sql('plain'))}, 'message_' || substr(sha1(text), 1, 8)) AS base_key, substr(sha1(text), 1, 8) AS key_hash FROM raw"""
 _FOCUS = """focus AS (SELECT path, entries, ready, ready > 0 AS adapt_ready, regexp_extract(path, '([0-9]+)\\.vue', 1)::BIGINT % 3 = 0 AS adapted,
   regexp_extract(path, '([0-9]+)\\.vue', 1)::BIGINT % 4 > 0 AS source_exists FROM files)"""
-# All of these have read whole lines, turns and tables since their first form, which cut them, was given up.
-merge_exact_whole, deprecated_whole, key_generation_lines, key_uniqueness_lines, key_conflicts_lines, translate_lines = merge_exact, deprecated_entries, key_generation, key_uniqueness, key_conflicts, translate_texts
 QUERIES = {
     "glossary_match": glossary_match, "glossary_compose": glossary_compose, "glossary_enforce": glossary_enforce, "glossary_seed": glossary_seed, "glossary_presets": glossary_presets,
     "adapt_counters": adapt_counters, "orphans_top5": orphans_top5, "waiting_top5": waiting_top5, "translated_documents": translated_documents,
     "entry_stats": entry_stats, "bucket_rollup": bucket_rollup, "stats_report": stats_report, "focus_files_top5": focus_files_top5, "approve_entries": approve_entries,
     "key_generation": key_generation, "key_uniqueness": key_uniqueness, "key_conflicts": key_conflicts, "locale_package": locale_package, "merge_exact": merge_exact,
-    "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "incremental_changes": incremental_changes, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
+    "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "merge_fuzzy_names": merge_fuzzy_names, "incremental_changes": incremental_changes, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
-    "nomenclature": nomenclature, "request_packing": request_packing, "merge_exact_whole": merge_exact, "deprecated_whole": deprecated_entries,
-    "key_generation_lines": key_generation, "key_uniqueness_lines": key_uniqueness, "key_conflicts_lines": key_conflicts, "translate_lines": translate_texts,
+    "nomenclature": nomenclature, "request_packing": request_packing,
     "turn_similarity": turn_similarity, "glossary_match_lines": glossary_match_lines, "glossary_turns": glossary_turns, "protect_documents": protect_documents,
-    "nomenclature_documents": nomenclature_documents,
+    "nomenclature_documents": nomenclature_documents, "nomenclature_leftovers": nomenclature_leftovers, "term_places": term_places,
 }
 ORACLES = {
     "glossary_match": GLOSSARY_SQL,
@@ -366,6 +448,7 @@ SELECT *, ready + pending + untranslated AS active, ready + pending AS translate
     "approve_entries": f"""{_E}, a AS (SELECT *, NOT skip AND NOT coalesce(deprecated, false) AND trim(translation) <> '' AND coalesce(key, '') <> '' AS ok FROM entries)
 SELECT path, count(*) FILTER (ok AND NOT approved) AS newly, count(*) FILTER (ok AND approved) AS again, count(*) FILTER (NOT ok) AS left_out,
   count(*) FILTER (ok OR coalesce(translation_approved, false)) AS approved_translations, count(*) AS total FROM a GROUP BY path""",
+    "key_generation": f"""WITH {_ENTRIES}, {_KEYS_SQL}""",
     "key_uniqueness": f"""{_E} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
     "key_conflicts": f"{_E} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
     "locale_package": f"""{_E}, r AS (SELECT path, key, arg_max(translation, ord) AS t FROM stated WHERE status = 'ready' GROUP BY ALL)
@@ -373,9 +456,7 @@ SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output,
     "merge_exact": f"""WITH {_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
     "deprecated_entries": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
-    "merge_exact_whole": f"""WITH {_VERSIONS}, s AS (SELECT source_path, text, max(ord) AS ord, arg_max(id, ord) AS id FROM seg GROUP BY ALL)
-SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
-    "deprecated_whole": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
+    "merge_fuzzy_names": _FUZZY.format(versions=_NAMES),
     "incremental_changes": """
 WITH d AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, sha256(text) AS hash FROM documents), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE hash END AS old FROM d WHERE doc_id % 13 > 0)
 SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM old""",
@@ -385,12 +466,27 @@ SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM ol
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, unnest(string_split(lower(text), chr(10))) AS b FROM documents)
 SELECT doc_id, '-' || a AS line FROM l WHERE a <> b UNION ALL SELECT doc_id, '+' || b FROM l WHERE a <> b""",
     "translate_texts": rf"""WITH {_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
-SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
-    "key_uniqueness_lines": f"""WITH {_ENTRIES} SELECT path, ord, key AS base_key, CASE WHEN row_number() OVER (PARTITION BY path, key ORDER BY ord) > 1 THEN key || '_' || substr(sha1(text), 1, 8) ELSE key END AS key FROM entries WHERE key IS NOT NULL""",
-    "key_conflicts_lines": f"WITH {_ENTRIES} SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output, key, count(DISTINCT text) AS owners FROM stated WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT text) > 1",
-    "translate_lines": rf"""WITH {_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
 SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
     "nomenclature_documents": "SELECT doc_id, sha256(replace(replace(replace(replace(text, 'the first', '1st'), 'the', 'THE'), 'und', '&'), 'and', '&')) AS applied FROM documents",
+    "nomenclature_leftovers": """
+WITH p AS (SELECT doc_id, list_sort(list_distinct(list_filter(flatten(list_transform(list_filter(string_split(text, 'the'), lambda x: x <> ''), lambda x: string_split(x, 'und'))), lambda x: x <> ''))) AS rest FROM documents)
+SELECT doc_id, len(rest)::INT AS parts, sha256(array_to_string(rest, '|')) AS rest_sha256 FROM p""",
+    "term_places": r"""
+WITH w AS (SELECT string_split_regex(lower(trim(text)), '\s+') AS ws FROM benchmark),
+keys AS (SELECT ws[1] AS term FROM w WHERE ws[1] <> '' UNION SELECT ws[1] || ' ' || ws[2] FROM w WHERE ws[1] <> ws[2]),
+tails AS (SELECT term, regexp_extract(term, '[A-Za-z]+$') AS tail FROM keys),
+variants AS (SELECT term, term AS v FROM keys UNION SELECT term, left(term, length(term) - length(tail)) ||
+    CASE WHEN tail LIKE '%y' THEN left(tail, length(tail) - 1) || 'ies' WHEN regexp_matches(tail, '([sxz]|ch|sh)$') THEN tail || 'es' ELSE tail || 's' END
+  FROM tails WHERE tail <> '' AND regexp_full_match(term, '[A-Za-z][A-Za-z\s-]*')),
+docs AS (SELECT doc_id, CASE WHEN length(lower(text)) = length(text) THEN lower(text) ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS low FROM documents),
+hits AS (SELECT doc_id, term, v, string_split(low, v) AS parts FROM docs JOIN variants ON contains(low, v)),
+rows AS (SELECT doc_id, term, v, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM hits),
+placed AS (SELECT doc_id, term, v, i, length(v) AS k, sum(length(part)) OVER before + i * length(v) AS start, CASE WHEN part = '' AND i > 0 THEN right(v, 1) ELSE right(part, 1) END AS last,
+    lead(part) OVER after AS next, lead(i, 2) OVER after AS more FROM rows
+  WINDOW before AS (PARTITION BY doc_id, term, v ORDER BY i ROWS UNBOUNDED PRECEDING), after AS (PARTITION BY doc_id, term, v ORDER BY i))
+SELECT doc_id, term, count(*) AS n, min(start)::INT AS first_start, max(start + k)::INT AS last_end, sum(start)::BIGINT AS starts FROM placed
+WHERE next IS NOT NULL AND NOT regexp_matches(last, '[a-z0-9]') AND NOT regexp_matches(CASE WHEN next = '' AND more IS NOT NULL THEN left(v, 1) ELSE left(next, 1) END, '[a-z0-9]')
+GROUP BY ALL""",
     "digit_insensitive_pairs": "SELECT regexp_replace(c_name, '[0-9]', '', 'g') AS name, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1",
     "romance_score": """
 WITH l AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT *, list_transform(range(1, length(t)), lambda i: t[i:i + 1]) AS two FROM l),

@@ -32,11 +32,12 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES | catalogue.FIXTURES))
 def test_query(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF).toPandas()
-    if name in catalogue.ORACLES:
-        want = duck.execute(catalogue.ORACLES[name]).df()
+    sql = (catalogue.ORACLES | catalogue.FIXTURE_ORACLES).get(name)
+    got = (catalogue.QUERIES | catalogue.FIXTURES)[name](spark, SF).toPandas()
+    if sql:
+        want = duck.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
@@ -50,6 +51,10 @@ def test_entry_and_registry(spark):
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_no_query_is_registered_twice():
+    assert len(set(catalogue.QUERIES.values())) == len(catalogue.QUERIES)
+
+
 def test_queries_without_sql_keep_what_they_are_given(spark):
     split = catalogue.QUERIES["fragment_split"](spark, SF).collect()
     assert split and all(r.same and r.whole for r in split)

@@ -111,10 +111,8 @@ def test_registered_models_sort_by_priority(spark):
     assert {(r["from"], r.model) for r in out.collect()} == {("fr", "own/fr-de"), ("zh", "own/zh")}
 
 
-def test_contexts_and_composition(spark):
+def test_contexts(spark):
     assert column(spark, ["src/views/order/List.vue", "a.ts", "x"], G.contexts) == [["views/order", "src/views", "src"], [], ["x"]]
-    terms = G.composable([("order", "订单"), ("list", "列表"), ("单", "x"), ("a/*", "y")])
-    assert G.compose("the orders list!", terms) == "订单列表!" and G.compose("other", terms) is None and G.compose("border", terms) is None
 
 
 def test_similarity_and_claims(spark):

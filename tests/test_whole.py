@@ -59,8 +59,8 @@ def test_merges_see_whole_turns(spark, tmp_path):
         want |= {(f"chat/{c}", *x) for x in claimed(new, list(old))}
     got = {tuple(r) for r in W.merge_fuzzy(spark, str(tmp_path)).collect()}
     assert got == want
-    assert W.merge_exact_whole(spark, str(tmp_path)).count() == len({(c, t) for c, _, _, t in rows})
-    assert all(r.text in ("old ", "old " + head + "one") or len(r.text) > 80 for r in W.deprecated_whole(spark, str(tmp_path)).collect())
+    assert W.merge_exact(spark, str(tmp_path)).count() == len({(c, t) for c, _, _, t in rows})
+    assert all(r.text in ("old ", "old " + head + "one") or len(r.text) > 80 for r in W.deprecated_entries(spark, str(tmp_path)).collect())
 
 
 def plain(t):
@@ -106,15 +106,15 @@ def test_keys_of_all_lines(spark, lined):
         for i, line in enumerate(t.split("\n")):
             translation = "" if (d + i) % 11 == 0 else "t " + line.split(" ")[0]
             want.add((f"src/s{d % 2}/{d}.vue", i, key_of(line, translation), hashlib.sha1(line.encode()).hexdigest()[:8]))
-    rows = W.key_generation_lines(spark, lined).collect()
+    rows = W.key_generation(spark, lined).collect()
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
 def test_entries_of_all_lines(spark, lined):
     every = [line for t in LINES.values() for line in t.split("\n")]
-    assert bundle.locale_fill_lines(spark, lined).count() == len(every)
-    assert W.key_uniqueness_lines(spark, lined).count() == sum((d + i) % 13 > 0 for d, t in LINES.items() for i, _ in enumerate(t.split("\n")))
-    assert {r.text for r in W.translate_lines(spark, lined).collect()} == {re.sub(T.PLACEHOLDER, "__TM_0__", x) for x in every}
+    assert bundle.locale_fill(spark, lined).count() == len(every)
+    assert W.key_uniqueness(spark, lined).count() == sum((d + i) % 13 > 0 for d, t in LINES.items() for i, _ in enumerate(t.split("\n")))
+    assert {r.text for r in W.translate_texts(spark, lined).collect()} == {re.sub(T.PLACEHOLDER, "__TM_0__", x) for x in every}
 
 
 RUNS = [(1, "Hello 你好 world"), (2, "123 abc"), (3, "ひらがなと漢字"), (4, "привет, 世界!"), (5, "國家 and 国家"), (6, "..."), (7, "école"), (8, ""), (9, None), (10, "a😀b\u00a0ж\u000b한")]
