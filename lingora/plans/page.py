@@ -9,6 +9,7 @@ from lingora.operators import segments as S
 from lingora.operators.runs import url_parts
 from lingora.session import table
 from lingora.streaming import observer as O
+from lingora.streaming import timers
 
 _TAG = r"""<[^''">]*(?:''[^'']*''[^''">]*|"[^"]*"[^''">]*)*>([^<]*)"""
 _TRIM = r"regexp_replace(t, '^[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')"
@@ -71,6 +72,12 @@ def event_debounce(spark, sf_dir):
     return O.debounce(table(spark, sf_dir, "events"), ["user_id"], "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
+def event_bursts(spark, sf_dir):
+    """Bursts of events of a user with the kinds that wait in them, ended by 30 minutes of quiet."""
+    got = timers.bursts(table(spark, sf_dir, "events"), "user_id", "event_type", 1_800_000)
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n", F.array_join("items", ",").alias("items"))
+
+
 def cache_ttl_hits(spark, sf_dir):
     """Events as requests of (user, type) to a cache whose values live for an hour from their set."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", F.col("event_id").alias("seq"))
@@ -85,7 +92,7 @@ def echo_suppression(spark, sf_dir):
 
 QUERIES = {
     "html_text_segments": html_text_segments, "html_attr_segments": html_attr_segments, "page_text_groups": page_text_groups, "page_language_groups": page_language_groups,
-    "page_attributes": page_attributes, "adaptive_batches": adaptive_batches, "viewport_order": viewport_order, "fragment_split": fragment_split, "page_urls": page_urls, "event_debounce": event_debounce,
+    "page_attributes": page_attributes, "adaptive_batches": adaptive_batches, "viewport_order": viewport_order, "fragment_split": fragment_split, "page_urls": page_urls, "event_debounce": event_debounce, "event_bursts": event_bursts,
     "cache_ttl_hits": cache_ttl_hits, "echo_suppression": echo_suppression,
 }
 _SEGMENTS = f"""x AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '{_TAG}', 1), lambda t: {_TRIM}), lambda t: t <> '') AS ts FROM pages),
@@ -104,6 +111,10 @@ b AS (SELECT *, CASE WHEN mean < 20 THEN 20 WHEN mean < 100 THEN 10 ELSE 5 END A
     "event_debounce": """
 WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k""",
+    "event_bursts": """
+WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items FROM s GROUP BY user_id, k""",
     "cache_ttl_hits": """
 WITH RECURSIVE o AS (SELECT event_id AS seq, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT seq, user_id, event_type, k, ts AS set_at, false AS hit FROM o WHERE k = 1
