@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,81 +19,130 @@ BLOCKS = [
 ATTRIBUTES = {"*": ["title"], "input": ["placeholder"], "textarea": ["placeholder"], "img": ["alt"], "area": ["alt"], "abbr": ["title"], "a": ["title"], "button": ["title"]}
 META_NAMES, META_PROPERTIES = ["keywords", "description", "sharetitle"], ["og:title", "og:description", "og:site_name"]
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NODES = "page_id long, pos int, kind string, name string, block string, boundary int, text string"
-
-
-class _Walker(HTMLParser):
-    """Text nodes with their nearest block and whether a block begins or ends before them; attributes and meta texts."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
-        self.nodes: list[tuple] = []
-        self.serial, self.edge, self.run = 0, True, ""
-
-    def _flush(self) -> None:
-        text, self.run = self.run, ""
-        if text.strip() and not any(off for _, off, _ in self.open):
-            block = next((f"{t}#{i}" for t, _, i in reversed(self.open) if t in BLOCKS), "body#0")
-            self.nodes.append(("text", "", block, int(self.edge), text))
-            self.edge = False
-
-    def handle_starttag(self, tag, attrs):
-        self._flush()
-        self.serial += 1
-        values = dict(attrs)
-        if tag in BLOCKS:
-            self.edge = True
-        off = tag in IGNORED or "data-no-translate" in values or values.get("translate") == "no"
-        if not off and not any(o for _, o, _ in self.open):
-            for name in dict.fromkeys([*ATTRIBUTES["*"], *ATTRIBUTES.get(tag, [])]):
-                if (values.get(name) or "").strip():
-                    self.nodes.append(("attribute", name, f"{tag}#{self.serial}", 1, values[name]))
-            if tag == "meta" and (values.get("content") or "").strip() and (values.get("name") in META_NAMES or values.get("property") in META_PROPERTIES):
-                self.nodes.append(("meta", values.get("name") or values.get("property"), f"meta#{self.serial}", 1, values["content"]))
-        if tag not in _VOID:
-            self.open.append((tag, off, self.serial))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self._flush()
-        if tag in BLOCKS:
-            self.edge = True
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_comment(self, data):
-        self._flush()
-
-    def handle_data(self, data):
-        self.run += data
-
-    def close(self):
-        super().close()
-        self._flush()
-
-
-def nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, name, block, boundary, text): a parser is needed, so pages go to Python in Arrow batches."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, html in zip(frame.page_id, frame.html):
-                walker = _Walker()
-                walker.feed(html or "")
-                walker.close()
-                out += [(page, i, *n) for i, n in enumerate(walker.nodes)]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "kind", "name", "block", "boundary", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
+# Elements without content; names of characters, the ampersand last.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00A0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "mdash": "—", "ndash": "–",
+    "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "times": "×", "euro": "€", "deg": "°", "sect": "§", "amp": "&",
+}
+
+#: Comments, whole scripts and style sheets, tags with quoted values, declarations, and what is between them.
+TOKEN = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</?[a-z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|<[!?][^>]*>"
+    r"|[^<]+(?:<[^a-z/!?<][^<]*)*|<[^a-z/!?<][^<]*|<"
+)
+_ATTRIBUTE = r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
+
+
+def unescaped(text: Column) -> Column:
+    """Numbered characters and the named ones of ENTITIES as themselves."""
+    code = lambda p: F.regexp_extract(p, "^(?i)(x[0-9a-f]{1,5}|[0-9]{1,6});", 1)
+    digits = lambda p: F.when(F.lower(code(p)).startswith("x"), F.substr(code(p), F.lit(2))).otherwise(F.conv(code(p), 10, 16))
+    letter = lambda p: F.concat(F.decode(F.unhex(F.lpad(digits(p), 8, "0")), "UTF-32"), F.substr(p, F.length(code(p)) + 2))
+    parts = F.transform(F.split(text, "&#", -1), lambda p, i: F.when(i == 0, p).when(code(p) == "", F.concat(F.lit("&#"), p)).otherwise(letter(p)))
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    for name, letter_ in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter_))
+    return out
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """(page_id, at, token, kind, name): the markup of each page in order; kind is open, close, raw, other or text, names are in lower case."""
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), 0)).alias("at", "token"))
+    t = F.col("token")
+    raw = F.lower(F.substr(t, F.lit(1), F.lit(8))).rlike(r"^<(script|style)\b") & t.rlike(r"(?i)</(script|style)\s*>\z")
+    kind = F.when(raw, "raw").when(t.rlike("^</[A-Za-z]"), "close").when(t.rlike("^<[A-Za-z]") & t.endswith(">"), "open").when(t.rlike("^<[!?/]"), "other").otherwise("text")
+    return rows.select("page_id", "at", "token", kind.alias("kind")).withColumn("name", F.when(F.col("kind").isin("open", "close", "raw"), F.lower(F.regexp_extract(t, r"^</?([^\s/>]+)", 1))))
+
+
+def _last(name: str, values: Column) -> Column:
+    """The value of an attribute, the last one that is given; empty without a value, null without the attribute."""
+    return F.try_element_at(F.filter(values, lambda v: v["name"] == name), F.lit(-1))["value"]
+
+
+def attributes(token: Column) -> Column:
+    """array<struct<name, value>> of a tag."""
+    inside = F.regexp_replace(token, r"^<[^\s/>]+|/?>\z", "")
+    names, values = (F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), k) for k in (1, 2))
+    return F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), unescaped(F.regexp_replace(v, "^[\"']|[\"']\\z", "")).alias("value")))
+
+
+def nested(pages: DataFrame, ignored_classes: list[str] | None = None, ignored_ids: list[str] | None = None) -> DataFrame:
+    """tokens() with `off` (ignored subtrees around it), `block` (the nearest block element), `edges` (tags of blocks so far), `serial` and `given` (attributes).
+
+    A closing tag belongs to the nearest element of its name that is open: both have the same depth among the tags of
+    the name, closers without an opener left out. An element that is never closed ends with the one around it, one that
+    is closed after that has ended keeps its own closer, also if an outer element of its name is left without one. Then the
+    beginnings and ends of ignored elements and of blocks are summed over the page, and a text's block is the last
+    one that began at the text's own depth.
+    """
+    in_page = Window.partitionBy("page_id").orderBy("at")
+    upto = in_page.rowsBetween(Window.unboundedPreceding, 0)
+    is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
+    rows = tokens(pages).repartition("page_id").withColumn("given", F.when(is_open, attributes(F.col("token"))))
+    void = F.col("name").isin(VOID) | F.col("token").endswith("/>")
+    classes = F.split(F.trim(F.coalesce(_last("class", F.col("given")), F.lit(""))), r"\s+")
+    marked_off = F.col("name").isin(IGNORED) | F.exists("given", lambda a: a["name"] == "data-no-translate") | (_last("translate", F.col("given")) == "no")
+    marked_off = marked_off | F.arrays_overlap(classes, F.array(*map(F.lit, ignored_classes or []), F.lit(None).cast("string"))) | _last("id", F.col("given")).isin(ignored_ids or [])
+    begun = F.count_if(F.col("kind").isin("open", "raw")).over(upto)
+    rows = rows.withColumns({"begins": is_open & ~void, "self_off": is_open & F.coalesce(marked_off, F.lit(False)), "is_block": F.coalesce(F.col("name").isin(BLOCKS), F.lit(False)), "serial": begun})
+
+    step = F.when(F.col("begins"), 1).when(is_close, -1).otherwise(0)
+    named = Window.partitionBy("page_id", "name").orderBy("at")
+    rows = rows.withColumn("sum", F.sum(step).over(named.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("low", F.least(F.lit(0), F.min("sum").over(named.rowsBetween(Window.unboundedPreceding, 0))))
+    stray = is_close & (F.col("low") < F.coalesce(F.lag("low").over(named), F.lit(0)))
+    depth = F.col("sum") - F.col("low")
+    level = F.when(F.col("begins"), depth).when(is_close & ~F.col("stray"), depth + 1)
+    rows = rows.withColumn("stray", stray).withColumn("level", level)
+    after = F.lead("at").over(Window.partitionBy("page_id", "name", "level").orderBy("at"))
+    rows = rows.withColumn("end", F.when(F.col("begins"), after))
+
+    paired = F.when(F.col("end").isNotNull(), 1).when(is_close & ~F.col("stray"), -1).otherwise(0)
+    rows = rows.withColumn("around", F.sum(paired).over(upto))
+    outer = F.last("end", ignorenulls=True).over(Window.partitionBy("page_id", F.when(F.col("begins"), F.col("around"))).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end", F.when(F.col("begins"), F.coalesce("end", F.when(F.col("around") > 0, outer))))
+
+    counts = F.col("begins") & (F.col("is_block") | F.col("self_off"))
+    change = lambda sign: F.struct(F.when(F.lit(sign < 0), F.col("end")).otherwise(F.col("at")).alias("at"), F.lit(sign).alias("phase"))
+    both = F.explode(F.when(counts & F.col("end").isNotNull(), F.array(change(1), change(-1))).otherwise(F.array(change(1))))
+    rows = rows.withColumn("when", both)
+    begins, ends = F.col("when.phase") == 1, F.col("when.phase") == -1
+    ordered = Window.partitionBy("page_id").orderBy("when.at", "when.phase").rowsBetween(Window.unboundedPreceding, 0)
+    sign = lambda flag: F.sum(F.when(F.col("begins") & F.col(flag), F.col("when.phase")).otherwise(0)).over(ordered)
+    rows = rows.withColumns({
+        "off": sign("self_off"), "depth": sign("is_block"),
+        "edges": F.count_if(begins & F.col("is_block") & (is_open | is_close)).over(ordered),
+    })
+    inner = Window.partitionBy("page_id", "depth").orderBy("when.at", "when.phase").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(begins & F.col("begins") & F.col("is_block"), F.concat_ws("#", "name", "serial")), ignorenulls=True).over(inner)
+    rows = rows.withColumn("block", F.when(F.col("depth") > 0, own).otherwise("body#0"))
+    return rows.where(~ends).select("page_id", "at", "kind", "name", "token", "given", "self_off", "off", "block", "edges", "serial")
+
+
+def nodes(pages: DataFrame, rules: dict[str, list[str]] | None = None, ignored_classes: list[str] | None = None, ignored_ids: list[str] | None = None) -> DataFrame:
+    """(page_id, pos, kind, name, block, boundary, text): texts that count with their blocks, and texts in attributes and meta elements.
+
+    rules: attributes with text for each element or `*`. Pages are rows of markup from the first step to the last.
+    """
+    rules = ATTRIBUTES if rules is None else rules
+    rows = nested(pages, ignored_classes, ignored_ids)
+    in_page = Window.partitionBy("page_id").orderBy("at")
+    said = rows.where((F.col("kind") == "text") & (F.col("off") == 0)).withColumn("text", unescaped(F.col("token"))).where(F.col("text").rlike(r"[^\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"))
+    boundary = (F.col("edges") > F.coalesce(F.lag("edges").over(in_page), F.lit(-1))).cast("int")
+    texts = said.select("page_id", "at", F.lit(0).alias("nth"), F.lit("text").alias("kind"), F.lit("").alias("name"), "block", boundary.alias("boundary"), "text")
+    by_tag = F.create_map(*[x for tag, names in rules.items() for x in (F.lit(tag), F.array(*map(F.lit, names)))]) if rules else F.lit(None).cast("map<string,array<string>>")
+    none = F.array().cast("array<string>")
+    wanted = F.array_distinct(F.concat(F.coalesce(F.try_element_at(by_tag, F.lit("*")), none), F.coalesce(F.try_element_at(by_tag, F.col("name")), none)))
+    tags = rows.where((F.col("kind") == "open") & (F.col("off") == 0) & ~F.col("self_off"))
+    value = lambda name: F.try_element_at(F.filter("given", lambda g: g["name"] == name), F.lit(-1))["value"]
+    found = F.transform(wanted, lambda w: F.struct(F.lit("attribute").alias("kind"), w.alias("name"), value(w).alias("text")))
+    meta_name = F.when(value("name").isin(META_NAMES), value("name")).when(value("property").isin(META_PROPERTIES), F.coalesce(F.nullif(value("name"), F.lit("")), value("property")))
+    meta = F.when((F.col("name") == "meta") & meta_name.isNotNull(), F.array(F.struct(F.lit("meta").alias("kind"), meta_name.alias("name"), value("content").alias("text")))).otherwise(F.array().cast("array<struct<kind:string,name:string,text:string>>"))
+    given = tags.select("page_id", "at", F.concat_ws("#", "name", "serial").alias("block"), F.posexplode(F.concat(found, meta)).alias("nth", "a")).where(F.trim(F.coalesce("a.text", F.lit(""))) != "")
+    given = given.select("page_id", "at", "nth", "a.kind", "a.name", "block", F.lit(1).alias("boundary"), "a.text")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("at", "nth")) - 1
+    return texts.unionByName(given).select("page_id", place.alias("pos"), "kind", "name", "block", "boundary", "text")
 
 
 def text_groups(found: DataFrame) -> DataFrame:
