@@ -27,6 +27,8 @@ from lingora.session import durable
 FUZZY = 0.8
 #: Pairs of one path that a single task folds.
 FOLD = 100_000
+#: Pairs of texts of a path, new times old, that are compared without a filter: fewer than a filter's keys would be.
+DIRECT = 1_000
 SHORT = 3
 
 
@@ -56,12 +58,19 @@ def _prefix(grams: DataFrame, rarity: DataFrame, name: str) -> DataFrame:
 
 def similar_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
     """(source_path, who, what, score) of the similar ones of new (source_path, who, text) and old (source_path, what, text)."""
+    counts = new.groupBy("source_path").agg(F.count("*").alias("a")).join(old.groupBy("source_path").agg(F.count("*").alias("b")), "source_path")
+    counts = counts.select("source_path", (F.col("a") * F.col("b") <= DIRECT).alias("few"))
+    new, old = (df.join(counts, "source_path") for df in (new, old))
+    near = lambda a, b: 3 * F.least(a, b) >= 2 * F.greatest(a, b)
+    plain = new.where("few").select("source_path", "who", F.col("text").alias("a")).join(old.where("few").select("source_path", "what", F.col("text").alias("b")), "source_path").where(near(F.length("a"), F.length("b")))
+
+    new, old = (df.where("NOT few").drop("few") for df in (new, old))
     a, b = keyed(new, "who"), keyed(old, "what")
     rarity = a.select("source_path", "gram", "nth").unionAll(b.select("source_path", "gram", "nth")).groupBy("source_path", "gram", "nth").agg(F.count("*").alias("n"))
-    near = (3 * F.least("who_size", "what_size") >= 2 * F.greatest("who_size", "what_size"))
-    met = _prefix(a, rarity, "who").join(_prefix(b, rarity, "what"), ["source_path", "gram", "nth"]).where(near).select("source_path", "who", "what").distinct()
+    met = _prefix(a, rarity, "who").join(_prefix(b, rarity, "what"), ["source_path", "gram", "nth"]).where(near(F.col("who_size"), F.col("what_size"))).select("source_path", "who", "what").distinct()
     beside = met.join(new.withColumnRenamed("text", "a"), ["source_path", "who"]).join(old.withColumnRenamed("text", "b"), ["source_path", "what"])
-    return beside.select("source_path", "who", "what", similarity_of("a", "b").alias("score")).where(F.col("score") >= FUZZY)
+    both = plain.unionByName(beside.select(plain.columns))
+    return both.select("source_path", "who", "what", similarity_of("a", "b").alias("score")).where(F.col("score") >= FUZZY)
 
 
 def _fold(pairs: pd.DataFrame) -> pd.DataFrame:

@@ -40,10 +40,9 @@ def unescaped(text: Column) -> Column:
     digits = lambda p: F.when(F.lower(code(p)).startswith("x"), F.substr(code(p), F.lit(2))).otherwise(F.conv(code(p), 10, 16))
     letter = lambda p: F.concat(F.decode(F.unhex(F.lpad(digits(p), 8, "0")), "UTF-32"), F.substr(p, F.length(code(p)) + 2))
     parts = F.transform(F.split(text, "&#", -1), lambda p, i: F.when(i == 0, p).when(code(p) == "", F.concat(F.lit("&#"), p)).otherwise(letter(p)))
-    out = F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
-    for name, letter_ in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter_))
-    return out
+    numbered = F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    named = F.array(*[F.struct(F.lit(f"&{k};").alias("name"), F.lit(v).alias("letter")) for k, v in ENTITIES.items()])
+    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.aggregate(named, numbered, lambda t, e: F.replace(t, e["name"], e["letter"])))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -79,7 +78,8 @@ def nested(pages: DataFrame, ignored_classes: list[str] | None = None, ignored_i
     in_page = Window.partitionBy("page_id").orderBy("at")
     upto = in_page.rowsBetween(Window.unboundedPreceding, 0)
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
-    rows = tokens(pages).repartition("page_id").withColumn("given", F.when(is_open, attributes(F.col("token"))))
+    given = tokens(pages).withColumn("given", F.when(is_open, attributes(F.col("token"))))
+    rows = given.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     void = F.col("name").isin(VOID) | F.col("token").endswith("/>")
     classes = F.split(F.trim(F.coalesce(_last("class", F.col("given")), F.lit(""))), r"\s+")
     marked_off = F.col("name").isin(IGNORED) | F.exists("given", lambda a: a["name"] == "data-no-translate") | (_last("translate", F.col("given")) == "no")
@@ -127,22 +127,26 @@ def nodes(pages: DataFrame, rules: dict[str, list[str]] | None = None, ignored_c
     """
     rules = ATTRIBUTES if rules is None else rules
     rows = nested(pages, ignored_classes, ignored_ids)
-    in_page = Window.partitionBy("page_id").orderBy("at")
-    said = rows.where((F.col("kind") == "text") & (F.col("off") == 0)).withColumn("text", unescaped(F.col("token"))).where(F.col("text").rlike(r"[^\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"))
-    boundary = (F.col("edges") > F.coalesce(F.lag("edges").over(in_page), F.lit(-1))).cast("int")
-    texts = said.select("page_id", "at", F.lit(0).alias("nth"), F.lit("text").alias("kind"), F.lit("").alias("name"), "block", boundary.alias("boundary"), "text")
+    before = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blank = r"^[\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*\z"
+    rows = rows.where(((F.col("kind") == "text") | (F.col("kind") == "open")) & (F.col("off") == 0) & ~F.col("self_off"))
+    rows = rows.withColumn("text", F.when(F.col("kind") == "text", unescaped(F.col("token")))).withColumn("kept", (F.col("kind") == "text") & ~F.col("text").rlike(blank))
+    edge = F.col("edges") > F.coalesce(F.last(F.when(F.col("kept"), F.col("edges")), ignorenulls=True).over(before), F.lit(-1))
+    node = lambda kind, name, text: F.struct(kind.alias("kind"), name.alias("name"), text.alias("text"))
     by_tag = F.create_map(*[x for tag, names in rules.items() for x in (F.lit(tag), F.array(*map(F.lit, names)))]) if rules else F.lit(None).cast("map<string,array<string>>")
     none = F.array().cast("array<string>")
     wanted = F.array_distinct(F.concat(F.coalesce(F.try_element_at(by_tag, F.lit("*")), none), F.coalesce(F.try_element_at(by_tag, F.col("name")), none)))
-    tags = rows.where((F.col("kind") == "open") & (F.col("off") == 0) & ~F.col("self_off"))
     value = lambda name: F.try_element_at(F.filter("given", lambda g: g["name"] == name), F.lit(-1))["value"]
-    found = F.transform(wanted, lambda w: F.struct(F.lit("attribute").alias("kind"), w.alias("name"), value(w).alias("text")))
+    found = F.transform(wanted, lambda w: node(F.lit("attribute"), w, value(w)))
     meta_name = F.when(value("name").isin(META_NAMES), value("name")).when(value("property").isin(META_PROPERTIES), F.coalesce(F.nullif(value("name"), F.lit("")), value("property")))
-    meta = F.when((F.col("name") == "meta") & meta_name.isNotNull(), F.array(F.struct(F.lit("meta").alias("kind"), meta_name.alias("name"), value("content").alias("text")))).otherwise(F.array().cast("array<struct<kind:string,name:string,text:string>>"))
-    given = tags.select("page_id", "at", F.concat_ws("#", "name", "serial").alias("block"), F.posexplode(F.concat(found, meta)).alias("nth", "a")).where(F.trim(F.coalesce("a.text", F.lit(""))) != "")
-    given = given.select("page_id", "at", "nth", "a.kind", "a.name", "block", F.lit(1).alias("boundary"), "a.text")
+    meta = F.when((F.col("name") == "meta") & meta_name.isNotNull(), F.array(node(F.lit("meta"), meta_name, value("content")))).otherwise(F.array().cast("array<struct<kind:string,name:string,text:string>>"))
+    given = F.filter(F.concat(found, meta), lambda a: F.trim(F.coalesce(a["text"], F.lit(""))) != "")
+    all_ = F.when(F.col("kept"), F.array(node(F.lit("text"), F.lit(""), F.col("text")))).when(F.col("kind") == "open", given)
+    block = F.when(F.col("kind") == "text", F.col("block")).otherwise(F.concat_ws("#", "name", "serial"))
+    boundary = F.when(F.col("kind") == "text", edge.cast("int")).otherwise(1)
+    each = rows.select("page_id", "at", block.alias("block"), boundary.alias("boundary"), F.posexplode(all_).alias("nth", "a"))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("at", "nth")) - 1
-    return texts.unionByName(given).select("page_id", place.alias("pos"), "kind", "name", "block", "boundary", "text")
+    return each.select("page_id", place.alias("pos"), "a.kind", "a.name", "block", "boundary", "a.text")
 
 
 def text_groups(found: DataFrame) -> DataFrame:

@@ -36,9 +36,10 @@ def text(rng, alphabet, least=1, most=14):
     return "".join(rng.choices(alphabet, k=rng.randint(least, most)))
 
 
-@pytest.mark.parametrize("fold", [0, 5, fuzzy.FOLD])
-def test_random_texts_with_ties_equal_one_after_another(spark, monkeypatch, fold):
+@pytest.mark.parametrize(("fold", "direct"), [(0, 0), (5, 300), (fuzzy.FOLD, 10_000)])
+def test_random_texts_with_ties_equal_one_after_another(spark, monkeypatch, fold, direct):
     monkeypatch.setattr(fuzzy, "FOLD", fold)
+    monkeypatch.setattr(fuzzy, "DIRECT", direct)
     rng = random.Random(11)
     paths = {}
     for p in range(6):
@@ -65,7 +66,8 @@ def test_odd_texts(spark):
     assert [tuple(r) for r in fuzzy.merge_fuzzy(some, nothing).collect()] == [("p", "x", None, 0.0)]
 
 
-def test_all_similar_pairs_share_a_key(spark):
+def test_all_similar_pairs_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "DIRECT", 0)
     rng = random.Random(3)
     texts = [text(rng, rng.choice(["ab", "abcd", "abcdefghij"]), 1, 12) for _ in range(120)]
     new = spark.createDataFrame([("p", t, i) for i, t in enumerate(texts)], SCHEMA).selectExpr("source_path", "struct(cast(ord as long) as ord, 0L as hash) as who", "text")
