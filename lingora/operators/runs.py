@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lingora.operators.folds import in_order
+from lingora.operators.folds import in_order, running_sum
+from lingora.session import durable
 from lingora.sources import dims
 
 # Letters that mark romance languages, and the letters and pairs that tell them apart.
@@ -127,17 +128,60 @@ def url_parts(text: Column) -> Column:
     return F.filter(woven, lambda p: p["value"].isNotNull() & (p["value"] != ""))
 
 
+#: Texts of one key that a single task packs one after another.
+FOLD = 200_000
+
+
+def json_length(text: Column) -> Column:
+    """Characters of a text as a JSON string; a null text is an empty one."""
+    return F.length(F.to_json(F.array(F.coalesce(text, F.lit(""))))) - 2
+
+
 def packed_requests(items: DataFrame, partition: list[str], order: list[str], chars: int = 40_000, most: int = 900) -> DataFrame:
-    """Request numbers for texts in order: a request has at most `chars` characters and `most` texts.
+    """Request numbers for texts in order: the JSON list of a request has at most `chars` characters and `most` texts.
 
-    The packing is sequential: a fold over a partition's texts in order. A text beyond the limit is a request of its own.
+    A text beyond the limit is a request of its own. order tells the rows of a key apart. The texts of a usual key are
+    packed one after another in a task; those of a key with more than FOLD by jumps, see jumped().
     """
+    key = F.to_json(F.struct(*partition)).alias("__k")
+    rows = items.select(*partition, *order, key, (json_length(F.col("text")) + 1).alias("__n"))
+    counts = rows.groupBy("__k").agg(F.count("*").alias("__count")).where(F.col("__count") > FOLD).select("__k")
+    small, large = rows.join(counts, "__k", "left_anti"), rows.join(counts, "__k", "left_semi")
 
     def step(state, n):
         request, used, count = state or (0, 0, 0)
-        if count and (used + n > chars or count >= most):
+        if count and (used + n > chars - 1 or count >= most):
             request, used, count = request + 1, 0, 0
         return (request, used + n, count + 1), request
 
-    rows = items.select(*partition, *order, F.coalesce(F.length("text"), F.lit(0)).alias("__n"))
-    return in_order(rows, partition, order, [F.col("__n")], "request", IntegerType(), step).drop("__n")
+    out = in_order(small, partition, order, [F.col("__n")], "request", IntegerType(), step).drop("__n", "__k")
+    return out.unionByName(jumped(large, partition, order, chars, most)) if counts.limit(1).count() else out
+
+
+def jumped(rows: DataFrame, partition: list[str], order: list[str], chars: int, most: int) -> DataFrame:
+    """packed_requests() of (partition, order, __k, __n) with each key __k spread over all tasks.
+
+    Prefix sums tell where a request that begins at a row would end: with the last row whose sum is within the
+    limit, found by one sort of sums and limits. Rows that do begin one are marked by doubling: from the first row one
+    jump, then two, four and so on, so that there are as many rounds as the logarithm of the number of requests.
+    """
+    key = ["__k"]
+    placed = running_sum(rows, key, order, F.lit(1), "__at")
+    placed = durable(running_sum(placed, key, order, F.col("__n"), "__sum"))
+    asked = placed.select("__k", "__at", (F.col("__sum") - F.col("__n") + chars - 1).alias("__v"), F.lit(1).alias("__ask"))
+    given = placed.select("__k", "__at", F.col("__sum").alias("__v"), F.lit(0).alias("__ask"))
+    within = running_sum(asked.unionByName(given), key, ["__v", "__ask", "__at"], 1 - F.col("__ask"), "__fit").where("__ask = 1")
+    after = F.greatest(F.col("__at") + 1, F.least(F.col("__at") + most, F.col("__fit") + 1))
+    inside = placed.select("__k", F.col("__at").alias("__to"))
+    jump = durable(within.select("__k", "__at", after.alias("__to")).join(inside, ["__k", "__to"], "left_semi"))
+    begin, found, now = durable(placed.where("__at = 1").select("__k", "__at")), -1, 0
+    while now > found:
+        then = jump.select("__k", F.col("__at").alias("__to"), F.col("__to").alias("__next"))
+        further = begin.join(jump, ["__k", "__at"]).select("__k", F.col("__to").alias("__at"))
+        begin = durable(begin.unionByName(further).distinct())
+        jump = durable(jump.join(then, ["__k", "__to"]).select("__k", "__at", F.col("__next").alias("__to")))
+        found, now = now, begin.count()
+    marked = placed.select("__k", *partition, *order, "__at", F.lit(0).alias("__mark")).unionByName(begin.withColumn("__mark", F.lit(1)), allowMissingColumns=True)
+    marks = durable(marked.groupBy("__k", "__at").agg(*[F.max(c).alias(c) for c in (*partition, *order, "__mark")]))
+    numbered = running_sum(marks, key, ["__at"], F.col("__mark"), "__request")
+    return numbered.select(*partition, *order, (F.col("__request") - 1).cast("int").alias("request"))

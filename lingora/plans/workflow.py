@@ -378,7 +378,7 @@ def nomenclature(spark, sf_dir):
 
 
 def request_packing(spark, sf_dir):
-    """Turns packed into requests of at most 2000 characters and 4 texts for each conversation."""
+    """Turns packed into requests whose JSON has at most 2000 characters and 4 texts, for each conversation."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return R.packed_requests(c, ["conv_id"], ["turn"], 2000, 4)
 
@@ -495,9 +495,9 @@ s AS (SELECT doc_id, length(regexp_replace(t, '[^éèêàçœ]', '', 'g')) AS fr
 SELECT doc_id, french::INT AS french, spanish::INT AS spanish, italian::INT AS italian, portuguese::INT AS portuguese, CASE greatest(french, spanish, italian, portuguese) WHEN french THEN 'french' WHEN spanish THEN 'spanish' WHEN italian THEN 'italian' ELSE 'portuguese' END AS romance FROM s""",
     "nomenclature": "SELECT '2 3 4' AS applied, 'abc=2;ab=3;a=4' AS terms",
     "request_packing": """
-WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+WITH RECURSIVE o AS (SELECT conv_id, turn, length(to_json(coalesce(text, ''))::VARCHAR) + 1 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 r AS (SELECT conv_id, turn, k, n AS used, 1 AS c, 0 AS request FROM o WHERE k = 1
-  UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN used + n > 2000 OR c >= 4 THEN n ELSE used + n END, CASE WHEN used + n > 2000 OR c >= 4 THEN 1 ELSE c + 1 END, request + (used + n > 2000 OR c >= 4)::INT
+  UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN used + n > 1999 OR c >= 4 THEN n ELSE used + n END, CASE WHEN used + n > 1999 OR c >= 4 THEN 1 ELSE c + 1 END, request + (used + n > 1999 OR c >= 4)::INT
   FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1)
 SELECT conv_id, turn, request FROM r""",
 }

@@ -73,4 +73,4 @@ def test_stream_drops_repeats_and_debounces(spark, tmp_path):
 
 def test_requests_and_terms(spark):
     items = spark.createDataFrame([("p", i, "x" * n) for i, n in enumerate((5, 5, 5, 30, 1))], "page string, ord int, text string")
-    assert [r.request for r in runs.packed_requests(items, ["page"], ["ord"], 12, 2).orderBy("ord").collect()] == [0, 0, 1, 2, 3]
+    assert [r.request for r in runs.packed_requests(items, ["page"], ["ord"], 17, 2).orderBy("ord").collect()] == [0, 0, 1, 2, 3]
