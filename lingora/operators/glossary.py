@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingora.operators.folds import running_sum
+
 
 def merge_presets(fragments: DataFrame) -> DataFrame:
     """(key, value, ord) of fragments (preset_ord, key, value, ord): a later fragment overrides an earlier one."""
@@ -56,3 +58,28 @@ def seed_counts(seed: DataFrame, current: DataFrame, overwrite: bool = False) ->
         F.count_if(F.col("old").isNull()).alias("added"), F.count_if(differ & F.lit(overwrite)).alias("updated"),
         F.count_if(F.col("old") == F.col("new")).alias("unchanged"), F.count_if(differ & ~F.lit(overwrite)).alias("skipped"),
     )
+
+
+def in_locale_order(text: Column) -> Column:
+    """What sorts texts as readers of a language would, accents and case after letters; equal ones need the text itself as well."""
+    return F.collate(text, "UNICODE")
+
+
+def seeded(seed: DataFrame, current: DataFrame, overwrite: bool = False) -> DataFrame:
+    """(key, value, state, place): a glossary with a seed put in, in the order in which it is written.
+
+    Entries that are there stay, work by hand among them, unless overwrite; state is added, updated, unchanged or skipped
+    for keys of the seed, as seed_counts() counts them, and kept for others.
+    """
+    both = seed.select("key", F.col("value").alias("new"), F.lit(True).alias("asked")).join(current.select("key", F.col("value").alias("old"), F.lit(True).alias("there")), "key", "full")
+    asked, there = (F.coalesce(c, F.lit(False)) for c in ("asked", "there"))
+    same = F.col("old").eqNullSafe(F.col("new"))
+    state = F.when(~asked, "kept").when(~there, "added").when(same, "unchanged").otherwise("updated" if overwrite else "skipped")
+    value = F.when(state.isin("added", "updated"), F.col("new")).otherwise(F.col("old"))
+    return ordered(both.select("key", value.alias("value"), state.alias("state")), "key", "place")
+
+
+def ordered(rows: DataFrame, key: str, name: str, within: list[str] | None = None) -> DataFrame:
+    """rows with their place, from 1, by the key in a locale's order; within other columns, or over all: a sum over sorted ranges, no single task."""
+    o = rows.withColumns({"__in": F.to_json(F.struct(*(within or [F.lit(0).alias("all")]))), "__order": in_locale_order(F.col(key))})
+    return running_sum(o, ["__in"], ["__order", key], F.lit(1), name).drop("__in", "__order")

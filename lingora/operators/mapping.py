@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lingora.functions.text import key_candidates, key_hash, locale_output_path
 from lingora.operators.backends import dictionary, echo  # noqa: F401
 from lingora.operators.fuzzy import FUZZY, merge_fuzzy  # noqa: F401
+from lingora.operators.glossary import in_locale_order
 
 
 def merge_exact(segments: DataFrame, previous: DataFrame) -> DataFrame:
@@ -173,17 +174,18 @@ def key_conflicts(entries: DataFrame) -> DataFrame:
 
 
 def pretty(package: Column) -> Column:
-    """A map of strings as JSON, sorted by key, a pair to each line."""
+    """A map of strings as JSON, sorted by key in a locale's order, a pair to each line."""
     text = lambda v: F.substr(F.to_json(F.array(v)), F.lit(2), F.length(F.to_json(F.array(v))) - 2)
-    pairs = F.transform(F.array_sort(F.map_entries(package)), lambda e: F.concat(F.lit("  "), text(e["key"]), F.lit(": "), text(e["value"])))
+    placed = F.array_sort(F.transform(F.map_entries(package), lambda e: F.struct(in_locale_order(e["key"]).alias("order"), e["key"].alias("key"), e["value"].alias("value"))))
+    pairs = F.transform(placed, lambda e: F.concat(F.lit("  "), text(e["key"]), F.lit(": "), text(e["value"])))
     return F.when(F.size(package) > 0, F.concat(F.lit("{\n"), F.array_join(pairs, ",\n"), F.lit("\n}"))).otherwise("{}")
 
 
 def packages(entries: DataFrame, locale: Column, out_dir: str = "locales", kind: str = "json", namespace: str = "") -> DataFrame:
-    """(output, package, sources): one map of keys to translations for each output, sorted, and the files that fed it."""
+    """(output, package, sources): one map of keys to translations for each output, in a locale's order, and the files that fed it."""
     rows = entries.withColumn("output", locale_output_path(F.col("path"), locale, out_dir, kind, namespace))
     one = rows.groupBy("output", "key").agg(F.max_by("translation", "ord").alias("translation"), F.collect_set("path").alias("paths"))
-    return one.groupBy("output").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "translation"))))).alias("package"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("sources"))
+    return one.groupBy("output").agg(F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(in_locale_order(F.col("key")).alias("order"), "key", "translation"))), lambda e: F.struct(e["key"], e["translation"])))).alias("package"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("sources"))
 
 
 def translate(texts: DataFrame, backend, retries: int = 3, beside: list[str] | None = None) -> DataFrame:

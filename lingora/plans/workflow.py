@@ -78,6 +78,20 @@ def glossary_seed(spark, sf_dir):
     return G.seed_counts(seed, current)
 
 
+def glossary_init(spark, sf_dir):
+    """The same seed put into the same glossary, as it is written: brands and types, in a locale's order."""
+    part = table(spark, sf_dir, "part")
+    key = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.lower("p_type"))
+    first = lambda rows: rows.groupBy(key.alias("key")).agg(F.min_by("p_name", "p_partkey").alias("value"))
+    return G.seeded(first(part.where("p_size > 5")), first(part.where("p_size <= 10"))).withColumn("place", F.col("place").cast("int"))
+
+
+def locale_order(spark, sf_dir):
+    """First words of all lines of the documents, with accents and in either case, in the order of their readers."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", F.regexp_extract("line", "([A-Za-zÀ-ÿ]+)", 1).alias("word"))
+    return G.ordered(words.where("word <> ''").distinct(), "word", "place", ["lang"])
+
+
 def glossary_presets(spark, sf_dir):
     """Fragments of part names by type, merged in order of size, and the merged list inverted."""
     part = table(spark, sf_dir, "part").select(F.col("p_size").alias("preset_ord"), F.col("p_type").alias("key"), F.col("p_brand").alias("value"), F.col("p_partkey").cast("int").alias("ord"))
@@ -411,6 +425,7 @@ _FOCUS = """focus AS (SELECT path, entries, ready, ready > 0 AS adapt_ready, reg
   regexp_extract(path, '([0-9]+)\\.vue', 1)::BIGINT % 4 > 0 AS source_exists FROM files)"""
 QUERIES = {
     "glossary_match": glossary_match, "glossary_compose": glossary_compose, "glossary_enforce": glossary_enforce, "glossary_seed": glossary_seed, "glossary_presets": glossary_presets,
+    "glossary_init": glossary_init, "locale_order": locale_order,
     "adapt_counters": adapt_counters, "orphans_top5": orphans_top5, "waiting_top5": waiting_top5, "translated_documents": translated_documents,
     "entry_stats": entry_stats, "bucket_rollup": bucket_rollup, "stats_report": stats_report, "focus_files_top5": focus_files_top5, "approve_entries": approve_entries,
     "key_generation": key_generation, "key_uniqueness": key_uniqueness, "key_conflicts": key_conflicts, "locale_package": locale_package, "merge_exact": merge_exact,
@@ -427,6 +442,14 @@ ORACLES = {
     "glossary_seed": """
 WITH s AS (SELECT p_brand AS key, arg_min(p_name, p_partkey) AS v FROM part GROUP BY 1), c AS (SELECT p_brand AS key, arg_min(p_name, p_partkey) AS o FROM part WHERE p_size <= 10 GROUP BY 1)
 SELECT count(*) FILTER (o IS NULL) AS added, 0::BIGINT AS updated, count(*) FILTER (o = v) AS unchanged, count(*) FILTER (o <> v) AS skipped FROM s FULL JOIN c USING (key)""",
+    "glossary_init": """
+WITH p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE lower(p_type) END AS key FROM part),
+s AS (SELECT key, arg_min(p_name, p_partkey) AS new FROM p WHERE p_size > 5 GROUP BY 1), c AS (SELECT key, arg_min(p_name, p_partkey) AS old FROM p WHERE p_size <= 10 GROUP BY 1),
+b AS (SELECT key, coalesce(old, new) AS value, CASE WHEN new IS NULL THEN 'kept' WHEN old IS NULL THEN 'added' WHEN old = new THEN 'unchanged' ELSE 'skipped' END AS state FROM s FULL JOIN c USING (key))
+SELECT key, value, state, (row_number() OVER (ORDER BY icu_sort_key(key, 'en'), key))::INT AS place FROM b""",
+    "locale_order": """
+WITH w AS (SELECT DISTINCT lang, regexp_extract(line, '([A-Za-zÀ-ÿ]+)', 1) AS word FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents))
+SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY icu_sort_key(word, 'en'), word) AS place FROM w WHERE word <> ''""",
     "glossary_presets": """
 WITH m AS (SELECT p_type AS key, arg_max(p_brand, {'a': p_size, 'b': p_partkey}) AS value, arg_min(p_partkey, {'a': p_size, 'b': p_partkey}) AS ord FROM part GROUP BY 1)
 SELECT key, value, false AS inverted FROM m UNION ALL SELECT value, arg_min(key, ord), true FROM m GROUP BY value""",
