@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lingora.functions.text import java_hash
 from lingora.operators import runs as R
+from lingora.session import durable
 
 # Languages whose words have no spaces between them; those that a page may declare for romance text.
 UNSPACED = ["chinese_simplified", "chinese_traditional", "korean", "japanese"]
@@ -88,71 +85,54 @@ def cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.join(cache.select("to", "hash", "translation"), ["to", "hash"], "left")
 
 
-LEAVES = ArrayType(StructType([StructField("path", StringType()), StructField("text", StringType())]))
-
-
-def leaves_of(value, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], object]]:
-    """(path, value) of all that is not an object or an array, to any depth, in order."""
-    out, todo = [], [(path, value)]
-    while todo:
-        at, here = todo.pop()
-        if isinstance(here, dict):
-            todo += [((*at, k), v) for k, v in reversed(here.items())]
-        elif isinstance(here, list):
-            todo += [((*at, str(i)), v) for i, v in reversed(list(enumerate(here)))]
-        else:
-            out.append((at, here))
-    return out
-
-
-def _parsed(value: str | None):
-    """A JSON object or array; None for anything else."""
-    try:
-        found = json.loads(value) if value is not None else None
-    except (ValueError, RecursionError):
-        return None
-    return found if isinstance(found, dict | list) else None
-
-
-@F.pandas_udf(LEAVES)
-def object_leaves(value: pd.Series) -> pd.Series:
-    def one(v):
-        found = _parsed(v)
-        shown = lambda x: x if isinstance(x, str) else None if x is None else json.dumps(x)
-        return [] if found is None else [{"path": ".".join(p), "text": shown(x)} for p, x in leaves_of(found)]
+_STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
 
-    return value.map(one)
 
-
-@F.pandas_udf(StringType())
-def object_filled(value: pd.Series, pairs: pd.Series) -> pd.Series:
-    """JSON with its strings replaced where pairs (text, translation) have them; other values and the order stay."""
-
-    def one(v, known):
-        found = _parsed(v)
-        if found is None or known is None:
-            return v
-        words = {p["text"]: p["translation"] for p in known if p["translation"] is not None}
-        for path, x in leaves_of(found):
-            if isinstance(x, str) and x in words:
-                here = found
-                for k in path[:-1]:
-                    here = here[int(k) if isinstance(here, list) else k]
-                here[int(path[-1]) if isinstance(here, list) else path[-1]] = words[x]
-        return json.dumps(found, ensure_ascii=False)
-
-    return pd.Series([one(v, k) for v, k in zip(value, pairs)])
+def objects_of(objects: DataFrame) -> DataFrame:
+    """Those of (id, value) that are JSON objects or arrays, with `v`, the value as a variant."""
+    return objects.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
 
 
 def object_strings(objects: DataFrame) -> DataFrame:
-    """(id, path, text) of the values in JSON objects and arrays (id, value), to any depth; null values stay out."""
-    return objects.select("id", F.explode(object_leaves(F.col("value"))).alias("x")).select("id", "x.path", "x.text").where("text IS NOT NULL")
+    """(id, path, text) of the values in JSON objects and arrays (id, value), to any depth; null values stay out.
+
+    Variants are opened level by level, until a level has nothing nested in it.
+    """
+    spark = objects.sparkSession
+    level = objects_of(objects).select("id", F.array().cast("array<string>").alias("at"), "v")
+    out = None
+    while True:
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "item")).select("id", F.array_append("at", F.coalesce("key", F.col("pos").cast("string"))).alias("at"), F.col("item").alias("v"))
+        rows = durable(inside.withColumn("kind", F.schema_of_variant("v")).withColumn("nested", F.col("kind").rlike("^(OBJECT|ARRAY)")))
+        text = F.when(F.col("kind") == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v"))
+        leaves = rows.where("NOT nested AND kind <> 'VOID'").select("id", F.array_join("at", ".").alias("path"), text.alias("text"))
+        out = leaves if out is None else out.unionByName(leaves)
+        level = rows.where("nested").select("id", "at", "v")
+        if level.isEmpty():
+            return out
+
+
+def object_tokens(objects: DataFrame) -> DataFrame:
+    """(id, pos, token, text) of JSON objects and arrays: their characters in order, with the text of those tokens that are string values."""
+    pieces = F.regexp_extract_all("value", F.lit(rf'(?s)({_STRING}\s*:?|[^"]+)'), 1)
+    rows = objects_of(objects).select("id", F.posexplode(pieces).alias("pos", "token"))
+    value = F.col("token").startswith('"') & ~F.col("token").endswith(":")
+    return rows.withColumn("text", F.when(value, F.get(F.from_json(F.concat(F.lit("["), F.trim("token"), F.lit("]")), "array<string>"), F.lit(0))))
 
 
 def translated_objects(objects: DataFrame, translations: DataFrame) -> DataFrame:
-    """objects (id, value) with their strings translated where translations (text, translation) have them."""
-    pairs = object_strings(objects).select("id", "text").distinct().join(translations, "text").groupBy("id").agg(F.collect_list(F.struct("text", "translation")).alias("pairs"))
-    return objects.join(pairs, "id", "left").select("id", F.when(F.col("pairs").isNull(), F.col("value")).otherwise(object_filled(F.col("value"), F.col("pairs"))).alias("value"))
+    """objects (id, value) with their strings translated where translations (text, translation) have them.
+
+    Each string value is put back in its place, so keys, other values, their order and the spaces between them stay. id tells
+    objects apart; what is no object or array stays as it is.
+    """
+    known = translations.where("translation IS NOT NULL")
+    tokens = object_tokens(objects).join(known, "text", "left")
+    put = F.to_json(F.array("translation"))
+    token = F.when(F.col("translation").isNull(), F.col("token")).otherwise(F.concat(F.substr(put, F.lit(2), F.length(put) - 2), F.regexp_extract("token", r"(\s*)\z", 1)))
+    whole = tokens.select("id", "pos", token.alias("token")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("all"))
+    done = whole.select("id", F.array_join(F.transform("all", lambda t: t["token"]), "").alias("__done"))
+    return objects.join(done, "id", "left").select("id", F.coalesce("__done", "value").alias("value"))
 
 
 def filled(entries: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def pool_victims(spark, sf_dir):
 
 def object_translation(spark, sf_dir):
     """The events' properties within an object of lists, each text put in upper case and written back."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.format_string('{"type": "%s", "all": [{"of": ["%s", 7]}, null]}', "event_type", "user_id").alias("value"))
-    known = e.select(F.explode(B.object_leaves(F.col("value"))).alias("x")).select("x.text").where("text IS NOT NULL").distinct().withColumn("translation", F.upper("text"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.format_string('{"type": "%s", "all": [{"of": [{"is": "%s"}, 7]}, null]}', "event_type", "user_id").alias("value"))
+    known = B.object_tokens(e).select("text").where("text IS NOT NULL").distinct().withColumn("translation", F.upper("text"))
     return B.translated_objects(e, known)
 
 
@@ -108,6 +108,6 @@ UNION ALL SELECT 'back', o_orderstatus, arg_max(o_orderpriority, o_orderkey) FRO
     "locale_fill": f"WITH {_ENTRIES} SELECT path, ord, CASE WHEN translation = '' THEN 'f ' || sha1(text) ELSE translation END AS translation, CASE WHEN translation = '' THEN 'machine' ELSE translation_source END AS translation_source FROM entries",
     "strided_batches": "SELECT conv_id, turn, batch, batch % 3 AS worker FROM (SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2)::INT AS batch FROM conversations)",
     "pool_victims": "SELECT s_nationkey AS pool, arg_min(s_suppkey, {'a': s_acctbal, 'b': s_suppkey}) AS victim FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 7 <> 0 GROUP BY 1",
-    "object_translation": """SELECT event_id AS id, '{"type": "' || upper(event_type) || '", "all": [{"of": ["' || user_id || '", 7]}, null]}' AS value FROM events""",
+    "object_translation": """SELECT event_id AS id, '{"type": "' || upper(event_type) || '", "all": [{"of": [{"is": "' || user_id || '"}, 7]}, null]}' AS value FROM events""",
     "object_strings": """SELECT path, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT unnest(json_keys(props)) AS path, unnest(list_transform(json_keys(props), lambda k: json_extract_string(props, '$."' || k || '"'))) AS text FROM events) GROUP BY 1""",
 }
