@@ -170,7 +170,7 @@ def apply(files: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def restore(applied: DataFrame) -> DataFrame:
-    """(path, content) as it was before."""
+    """(path, content) as it was before this one apply; operators/versions.py keeps all of them, by batch."""
     return applied.select("path", F.col("old").alias("content"))
 
 

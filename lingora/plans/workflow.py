@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +14,7 @@ from lingora.operators import runs as R
 from lingora.operators import segments as S
 from lingora.operators import terms as W
 from lingora.operators import translation as X
+from lingora.operators import versions as V
 from lingora.plans.language import _detect_sql, _path, _values
 from lingora.session import table
 
@@ -293,6 +296,16 @@ def merge_fuzzy_names(spark, sf_dir):
     return M.merge_fuzzy(c, old)
 
 
+def versions_restored(spark, sf_dir):
+    """Documents backed up three times, every third and every fifth of them changed in between, as of the second batch."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
+    of = lambda rows, content: rows.select("path", content.alias("content"))
+    batches = [of(docs, F.col("text")), of(docs.where("doc_id % 3 = 0"), F.concat(F.lit("two "), "text")), of(docs.where("doc_id % 5 = 0"), F.concat(F.lit("three "), "text"))]
+    versions = reduce(lambda a, b: a.unionByName(b), [V.taken(f, F.lit(i), F.lit(f"2024-01-0{i}")) for i, f in enumerate(batches, 1)])
+    contents = V.new_contents(reduce(lambda a, b: a.unionByName(b), batches), spark.createDataFrame([], "hash string, content string"))
+    return V.restored(versions, contents, "src/", 2).select("path", "batch", F.sha2("content", 256).alias("sha256"))
+
+
 def incremental_changes(spark, sf_dir):
     """Documents as files: every seventh has another hash in the last scan, every thirteenth was not there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), F.sha2("text", 256).alias("hash"))
@@ -429,7 +442,7 @@ QUERIES = {
     "adapt_counters": adapt_counters, "orphans_top5": orphans_top5, "waiting_top5": waiting_top5, "translated_documents": translated_documents,
     "entry_stats": entry_stats, "bucket_rollup": bucket_rollup, "stats_report": stats_report, "focus_files_top5": focus_files_top5, "approve_entries": approve_entries,
     "key_generation": key_generation, "key_uniqueness": key_uniqueness, "key_conflicts": key_conflicts, "locale_package": locale_package, "merge_exact": merge_exact,
-    "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "merge_fuzzy_names": merge_fuzzy_names, "incremental_changes": incremental_changes, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
+    "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "merge_fuzzy_names": merge_fuzzy_names, "incremental_changes": incremental_changes, "versions_restored": versions_restored, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
     "nomenclature": nomenclature, "request_packing": request_packing,
     "turn_similarity": turn_similarity, "glossary_match_lines": glossary_match_lines, "glossary_turns": glossary_turns, "protect_documents": protect_documents,
@@ -480,6 +493,7 @@ SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output,
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
     "deprecated_entries": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
     "merge_fuzzy_names": _FUZZY.format(versions=_NAMES),
+    "versions_restored": """SELECT 'src/' || source || '/' || doc_id AS path, (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS batch, sha256(CASE WHEN doc_id % 3 = 0 THEN 'two ' || text ELSE text END) AS sha256 FROM documents""",
     "incremental_changes": """
 WITH d AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, sha256(text) AS hash FROM documents), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE hash END AS old FROM d WHERE doc_id % 13 > 0)
 SELECT path, hash FROM d LEFT JOIN b USING (path) WHERE hash IS DISTINCT FROM old""",
