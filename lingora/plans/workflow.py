@@ -15,7 +15,7 @@ from lingora.operators import segments as S
 from lingora.operators import terms as W
 from lingora.operators import translation as X
 from lingora.operators import versions as V
-from lingora.plans.language import _detect_sql, _path, _values
+from lingora.plans.language import EXTRACT_SQL, _detect_sql, _path, _values
 from lingora.session import table
 
 GLOSSARY = [
@@ -38,14 +38,19 @@ def glossary_match(spark, sf_dir):
     return G.match(asked, _glossary(spark)).select("path", "text", "glossary_value")
 
 
-GLOSSARY_SQL = f"""
-WITH g AS (SELECT * FROM {_values(GLOSSARY, 'ord, key, value')}), a AS (SELECT * FROM {_values(ASKED, 'path, text')}),
+def _match_sql(asked: str) -> str:
+    """Terms by rank of every (path, text) of a relation."""
+    return f"""
+WITH g AS (SELECT * FROM {_values(GLOSSARY, 'ord, key, value')}), a AS (SELECT DISTINCT path, text FROM {asked}),
 f AS (SELECT path, text, CASE WHEN contains(p[-1], '.') THEN p[:-2] ELSE p END AS d FROM (SELECT *, string_split(path, '/') AS p FROM a)),
 c AS (SELECT path, text, list_distinct(list_transform(range(len(d), 0, -1), lambda e: array_to_string(d[greatest(e - 1, 1):e], '/'))) AS ds,
     list_transform(range(len(d), 0, -1), lambda e: array_to_string(d[greatest(e - 1, 1):e], '/')) AS cs FROM f),
 k AS (SELECT path, text, unnest(list_concat(list_transform(cs, lambda x: x || '/' || text), [text], list_transform(cs, lambda x: x || '/*'))) AS asked, unnest(range(2 * len(cs) + 1)) AS rank FROM c),
-h AS (SELECT k.path, k.text, value, {{'r': rank, 'i': asked <> key, 'o': ord}} AS o FROM k JOIN g ON lower(asked) = lower(key) WHERE value <> '' AND (asked = key OR (regexp_matches(asked, '[A-Za-z]') AND NOT asked LIKE '%/*')))
-SELECT a.path, a.text, (SELECT arg_min(value, o) FROM h WHERE h.path = a.path AND h.text = a.text) AS glossary_value FROM a"""
+h AS (SELECT k.path, k.text, value, {{'r': rank, 'i': asked <> key, 'o': ord}} AS o FROM k JOIN g ON lower(asked) = lower(key) WHERE value <> '' AND (asked = key OR (regexp_matches(asked, '[A-Za-z]') AND NOT asked LIKE '%/*'))),
+best AS (SELECT path, text, arg_min(value, o) AS glossary_value FROM h GROUP BY ALL)"""
+
+
+GLOSSARY_SQL = f"{_match_sql(_values(ASKED, 'path, text'))} SELECT path, text, glossary_value FROM a LEFT JOIN best USING (path, text)"
 
 
 def glossary_compose(spark, sf_dir):
@@ -452,6 +457,7 @@ ORACLES = {
     "glossary_match": GLOSSARY_SQL,
     "glossary_compose": "SELECT * FROM " + _values([(1, "Submit the order", "提交订单"), (2, "Total orders: {{ n }}", "总计订单:{{ n }}"), (3, "the user name", "用户名"), (4, "Submit now", None), (5, "categories, total", "分类,总计"), (6, "  ", ""), (7, "${x} order!", "${x}订单!")], "id, text, composed"),
     "glossary_enforce": "SELECT * FROM " + _values([(1, "取消订单"), (2, "订单列表"), (3, "命令"), (4, "订单命令")], "id, enforced"),
+    "glossary_match_lines": f"{_match_sql(f'({EXTRACT_SQL}) l')} SELECT path, seg_idx, glossary_value FROM ({EXTRACT_SQL}) l LEFT JOIN best USING (path, text)",
     "glossary_seed": """
 WITH s AS (SELECT p_brand AS key, arg_min(p_name, p_partkey) AS v FROM part GROUP BY 1), c AS (SELECT p_brand AS key, arg_min(p_name, p_partkey) AS o FROM part WHERE p_size <= 10 GROUP BY 1)
 SELECT count(*) FILTER (o IS NULL) AS added, 0::BIGINT AS updated, count(*) FILTER (o = v) AS unchanged, count(*) FILTER (o <> v) AS skipped FROM s FULL JOIN c USING (key)""",
