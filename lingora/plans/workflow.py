@@ -17,6 +17,7 @@ from lingora.operators import translation as X
 from lingora.operators import versions as V
 from lingora.plans.language import EXTRACT_SQL, _detect_sql, _path, _values
 from lingora.session import table
+from lingora.sources import files as FS
 
 GLOSSARY = [
     (0, "Submit", "提交"), (1, "order", "订单"), (2, "views/order/Cancel", "撤销"), (3, "cancel", "取消"), (4, "order/*", "订单页"), (5, "user name", "用户名"), (6, "单", "张"), (7, "empty", ""),
@@ -301,6 +302,29 @@ def merge_fuzzy_names(spark, sf_dir):
     return M.merge_fuzzy(c, old)
 
 
+def _maps(spark, sf_dir):
+    """A map file for each document, of its first line; every seventh is cut short, every eleventh is no map."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".vue")).alias("source_path"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    entry = F.struct(F.lit("t").alias("translation"), (F.col("doc_id") % 2 == 0).alias("approved"))
+    whole = F.to_json(F.struct(F.lit(2).alias("version"), F.create_map("text", entry).alias("entries")))
+    content = F.when(F.col("doc_id") % 7 == 0, F.expr("substr(whole, 1, length(whole) - 3)")).when(F.col("doc_id") % 11 == 0, "[]").otherwise(F.col("whole"))
+    return docs.withColumn("whole", whole).select("doc_id", FS.map_path(F.col("source_path")).alias("path"), content.alias("content"))
+
+
+def map_entries(spark, sf_dir):
+    """Entries of the maps that can be read, with whether their source is still there: every fourth document is gone."""
+    files = _maps(spark, sf_dir)
+    entries, _ = FS.maps(files, "src/")
+    there = files.where("doc_id % 4 > 0").select(FS.source_of_map(F.col("path")).alias("path"))
+    lost = FS.orphaned(entries, there).withColumn("orphan", F.lit(True))
+    return entries.join(lost, "source_path", "left").select("source_path", "ord", "text", "translation", "approved", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+def invalid_maps_top5(spark, sf_dir):
+    """The first five maps that cannot be read, and the number of others: the limit is the report's."""
+    return FS.first_invalid(FS.maps(_maps(spark, sf_dir))[1]).select("path", "others")
+
+
 def versions_restored(spark, sf_dir):
     """Documents backed up three times, every third and every fifth of them changed in between, as of the second batch."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
@@ -447,7 +471,7 @@ QUERIES = {
     "adapt_counters": adapt_counters, "orphans_top5": orphans_top5, "waiting_top5": waiting_top5, "translated_documents": translated_documents,
     "entry_stats": entry_stats, "bucket_rollup": bucket_rollup, "stats_report": stats_report, "focus_files_top5": focus_files_top5, "approve_entries": approve_entries,
     "key_generation": key_generation, "key_uniqueness": key_uniqueness, "key_conflicts": key_conflicts, "locale_package": locale_package, "merge_exact": merge_exact,
-    "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "merge_fuzzy_names": merge_fuzzy_names, "incremental_changes": incremental_changes, "versions_restored": versions_restored, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
+    "deprecated_entries": deprecated_entries, "merge_fuzzy": merge_fuzzy, "merge_fuzzy_names": merge_fuzzy_names, "incremental_changes": incremental_changes, "versions_restored": versions_restored, "map_entries": map_entries, "invalid_maps_top5": invalid_maps_top5, "lcs_similarity": lcs_similarity, "splice_apply": splice_apply,
     "line_diff": line_diff, "translate_texts": translate_texts, "digit_insensitive_pairs": digit_insensitive_pairs, "romance_score": romance_score, "language_runs": language_runs,
     "nomenclature": nomenclature, "request_packing": request_packing,
     "turn_similarity": turn_similarity, "glossary_match_lines": glossary_match_lines, "glossary_turns": glossary_turns, "protect_documents": protect_documents,
@@ -499,6 +523,10 @@ SELECT 'locales/de/' || substr(path, 5, length(path) - 8) || '.json' AS output,
 SELECT source_path, text, id, s.ord, translation FROM s LEFT JOIN prev USING (source_path, text)""",
     "deprecated_entries": f"WITH {_VERSIONS} SELECT source_path, text, translation FROM prev ANTI JOIN seg USING (source_path, text)",
     "merge_fuzzy_names": _FUZZY.format(versions=_NAMES),
+    "map_entries": """SELECT 'src/' || source || '/' || doc_id || '.vue' AS source_path, 0::INT AS ord, split_part(text, chr(10), 1) AS text, 't' AS translation, doc_id % 2 = 0 AS approved, doc_id % 4 = 0 AS orphan
+FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0""",
+    "invalid_maps_top5": """WITH b AS (SELECT '.tmigrate/maps/src/' || source || '/' || doc_id || '.vue.json' AS path FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0)
+SELECT path, (SELECT greatest(count(*) - 5, 0) FROM b) AS others FROM b ORDER BY path LIMIT 5""",
     "versions_restored": """SELECT 'src/' || source || '/' || doc_id AS path, (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS batch, sha256(CASE WHEN doc_id % 3 = 0 THEN 'two ' || text ELSE text END) AS sha256 FROM documents""",
     "incremental_changes": """
 WITH d AS (SELECT doc_id, 'doc/' || doc_id || '.md' AS path, sha256(text) AS hash FROM documents), b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE hash END AS old FROM d WHERE doc_id % 13 > 0)

@@ -92,13 +92,31 @@ def source_of_map(path: Column) -> Column:
     return F.when(ok, inner).otherwise(F.raise_error(F.concat(F.lit("not a map file: "), path)))
 
 
-def maps(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def of_target(files: DataFrame, target: str | None) -> DataFrame:
+    """Map files (path, content) of a source file, or of those in a folder."""
+    wanted = (target or "").replace("\\", "/").rstrip("/")
+    source = source_of_map(F.col("path"))
+    return files.where((source == wanted) | source.startswith(f"{wanted}/")) if wanted else files
+
+
+def maps(files: DataFrame, target: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Map files (path, content) as entries (source_path, text, entry fields), and those that do not parse (path, error)."""
-    parsed = files.withColumn("map", F.from_json("content", MAP)).withColumn("ok", F.try_parse_json("content").isNotNull() & F.col("map.entries").isNotNull())
+    parsed = of_target(files, target).withColumn("map", F.from_json("content", MAP)).withColumn("ok", F.try_parse_json("content").isNotNull() & F.col("map.entries").isNotNull())
     entries = parsed.where("ok").select(source_of_map(F.col("path")).alias("source_path"), F.posexplode("map.entries").alias("ord", "text", "e")).select("source_path", "ord", "text", "e.*")
     return entries, parsed.where("NOT ok").select("path", F.lit("not a translation map").alias("error"))
 
 
+def first_invalid(invalid: DataFrame, most: int = 5) -> DataFrame:
+    """The first of the map files that do not parse, and how many there are besides."""
+    return invalid.orderBy("path").limit(most).join(invalid.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("others")))
+
+
+def package_files(spark: SparkSession, root: str, settings: dict) -> DataFrame:
+    """(path, content, hash) of the locale packages of a folder, in a locale's order."""
+    found = source_files(spark, root, settings | {"include": ["**/*.{json,js,ts}"], "exclude": []})
+    return found.orderBy(F.collate("path", "UNICODE"), "path")
+
+
 def orphaned(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Source paths of maps whose file is gone."""
     return entries.select("source_path").distinct().join(files.select(F.col("path").alias("source_path")), "source_path", "left_anti")

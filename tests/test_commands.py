@@ -86,11 +86,20 @@ def test_maps_round_trip_and_corruption(spark):
     good, bad = S.maps(files)
     assert [(r.source_path, r.text, r.translation, r.approved) for r in good.collect()] == [("src/a.ts", "文", "t", True)]
     assert [r.path for r in bad.collect()] == [".tmigrate/maps/src/b.ts.json"]
+    assert S.maps(files, "src/a.ts/")[0].count() == 1 and S.maps(files, "src")[1].count() == 1 and S.maps(files, "sr")[0].count() == 0
+    assert [tuple(r) for r in S.first_invalid(bad).select("path", "others").collect()] == [(".tmigrate/maps/src/b.ts.json", 0)] and S.first_invalid(bad, 0).count() == 0
     assert S.orphaned(good, spark.createDataFrame([("src/z.ts",)], "path string")).count() == 1
     with pytest.raises(Exception, match="not a map file"):
         files.select(S.source_of_map(F.lit("x.json"))).collect()
 
 
+def test_packages_are_found_in_a_locales_order(spark, tmp_path):
+    for name in ("b.json", "a.ts", "B.js", "c.css", "sub/é.json", "sub/f.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    assert [r.path for r in S.package_files(spark, str(tmp_path), S.config()).collect()] == ["a.ts", "B.js", "b.json", "sub/é.json", "sub/f.json"]
+
+
 def test_packages_are_translated_in_place(spark):
     files = spark.createDataFrame([("en.json", '{\n  "a": "x $1",\n  "x $1": ["y", "x"]\n}'), ("e.json", "{}")], "path string, content string")
     out = {r.path: r.content for r in C.translate_package(files, lambda ts: [t.upper() for t in ts]).collect()}
