@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 
@@ -53,6 +54,20 @@ def _post(url: str, body: bytes, headers: dict[str, str], seconds: float) -> byt
         return answer.read()
 
 
+#: Characters of a refusal's body that an error repeats.
+SHOWN = 200
+
+
+def refusal(error: urllib.error.HTTPError) -> str:
+    """Status and reason of a service's refusal, and the beginning of what it says, on one line."""
+    try:
+        said = " ".join(error.read().decode("utf-8", "replace").split())
+    except Exception:
+        said = ""
+    told = f"{error.code} {error.reason} ({error.url})"
+    return f"{told}: {said[:SHOWN]}{'...' if len(said) > SHOWN else ''}" if said else told
+
+
 def service(endpoint: str | None, source: str, target: str, glossary: dict[str, str] | None = None, key: str | None = None, timeout: int = 30000, post=_post) -> Callable[[list[str]], list[dict]]:
     """A service that is sent texts and locales as JSON; without an endpoint, texts stay as they are, with confidence 0."""
 
@@ -63,6 +78,8 @@ def service(endpoint: str | None, source: str, target: str, glossary: dict[str,
         body = json.dumps({"texts": texts, "sourceLocale": source, "targetLocale": target, "glossary": glossary or {}}).encode()
         try:
             raw = post(endpoint, body, headers, timeout / 1000)
+        except urllib.error.HTTPError as error:
+            raise RuntimeError(f"the service refused {len(texts)} text(s): {refusal(error)}") from error
         except Exception as error:
             raise RuntimeError(f"no answer from {endpoint} to {len(texts)} text(s) within {timeout} ms") from error
         try:

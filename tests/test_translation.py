@@ -1,6 +1,8 @@
 """Backends, translation end to end, and what a project's commands gained with them."""
 
+import io
 import json
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,16 @@ def test_service_answers():
     assert B.error_chain("plain") == "plain" and B.error_chain(Exception()) == "Unknown error"
 
 
+@pytest.mark.parametrize(("body", "shown"), [(b" over\n  quota ", ": over quota"), (b"", ""), (b"x" * 300, ": " + "x" * 200 + "...")])
+def test_a_refusal_is_told_with_its_status_and_body(body, shown):
+    def refuse(url, *_):
+        raise urllib.error.HTTPError(url, 429, "Too Many Requests", {}, io.BytesIO(body))
+
+    with pytest.raises(RuntimeError) as caught:
+        B.service("http://s", "zh", "en", post=refuse)(["a"])
+    assert str(caught.value) == f"the service refused 1 text(s): 429 Too Many Requests (http://s){shown}"
+
+
 def test_backend_of_settings():
     local = B.echo("en")
     settings = files_.config({"translator": {"name": "api"}})
