@@ -89,7 +89,27 @@ def test_stream_uses_and_fills_the_cache(spark, tmp_path):
     arrive([(3, "hello"), (4, "bye")])
     got = {r.id: (r.translation, r.state) for r in spark.read.parquet(place["out"]).collect()}
     assert got == {1: ("[zh] hello", "translated"), 3: ("[zh] hello", "cached"), 4: ("[zh] bye", "translated")}
-    assert sorted(r.text for r in spark.read.parquet(place["cache"]).collect()) == ["bye", "hello"]
+    assert sorted(r.text for r in X.StreamCache(spark, place["cache"]).read(9).collect()) == ["bye", "hello"]
+
+
+def test_a_cache_stays_small_and_a_batch_run_again_sees_what_it_saw(spark, tmp_path):
+    at = str(tmp_path / "cache")
+    store = X.StreamCache(spark, at, every=3)
+    frame = lambda *texts: spark.createDataFrame([(t, "en", "zh", f"{t}!") for t in texts], X.CACHE)
+    seen = {}
+    for n in range(11):
+        assert {r.text for r in store.read(n).collect()} == {"a", *(f"t{i}" for i in range(n))} - ({"a"} if n == 0 else set())
+        gen, batches = store.parts(n)
+        seen[n] = len(batches)
+        store.add(n, frame("a", f"t{n}"))
+        again = {r.text for r in store.read(n).collect()}
+        store.add(n, frame("a", f"t{n}"))
+        assert {r.text for r in store.read(n).collect()} == again and f"t{n}" not in again
+    assert max(seen.values()) <= 3 and store.parts(11)[0] == 9
+    assert len(store._numbers("batch")) <= 6 and len(store._numbers("gen")) <= 2
+    asked = spark.createDataFrame([("t3",)], "text string")
+    assert "t3" in {r.text for r in store.read(11, asked).collect()} and store.read(11, asked).count() < store.read(11).count()
+    assert X.StreamCache(spark, at, ttl=-5).read(11).count() == 0 and X.StreamCache(spark, str(tmp_path / "none")).read(0).count() == 0
 
 
 def test_apply_rewrites_all_kinds_of_files_and_leaves_skipped_entries(spark):
