@@ -153,6 +153,7 @@ a AS (SELECT page_id, regexp_extract_all(html, '\s([\w-]+)=["'']([^"'']*)["'']',
 f AS (SELECT page_id, list_filter(list_zip(ns, vs), lambda p: p[1] IN ('title', 'alt', 'placeholder', 'aria-label', 'label', 'tab') AND trim(p[2]) <> '') AS ps FROM a)
 SELECT page_id, unnest(range(len(ps)))::INT AS idx, unnest(list_transform(ps, lambda p: p[1])) AS name, unnest(list_transform(ps, lambda p: p[2])) AS value FROM f""",
     "page_text_groups": f"WITH {_NODES} SELECT page_id, group_idx, block, text, n_fragments FROM groups",
+    "fragment_split": f"WITH {_NODES} SELECT page_id, group_idx, true AS same, true AS whole, n_fragments AS parts FROM groups",
     "page_attributes": f"WITH {_NODES} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY \"at\", nth) - 1)::INT AS pos, kind, name, text FROM listed QUALIFY kind <> 'text'",
     "page_language_groups": f"""WITH {_NODES}, keyed AS (SELECT *, page_id || '/' || group_idx AS id FROM groups)
 SELECT page_id, lang_detected AS lang, count(*) AS "groups", sum(length(text))::BIGINT AS chars FROM keyed JOIN {_detect_sql('keyed', 'id')} d ON d.id = keyed.id WHERE lang_detected <> 'zh' GROUP BY ALL""",

@@ -538,6 +538,8 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, unnest(strin
 SELECT doc_id, '-' || a AS line FROM l WHERE a <> b UNION ALL SELECT doc_id, '+' || b FROM l WHERE a <> b""",
     "translate_texts": rf"""WITH {_ENTRIES}, p AS (SELECT array_to_string(list_transform(string_split_regex(text, '\{{\{{[\s\S]*?\}}\}}|\$\{{[\s\S]*?\}}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '') AS text FROM entries)
 SELECT DISTINCT text, '[de] ' || text AS translation FROM p""",
+    "protect_documents": r"""SELECT doc_id, sha256(array_to_string(list_transform(string_split_regex(text, '\{\{[\s\S]*?\}\}|\$\{[\s\S]*?\}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '__TM_' || (i - 2) || '__' || x END), '')) AS protected,
+  len(regexp_extract_all(text, '\{\{[\s\S]*?\}\}|\$\{[\s\S]*?\}'))::INT AS holes, true AS same FROM documents""",
     "nomenclature_documents": "SELECT doc_id, sha256(replace(replace(replace(replace(text, 'the first', '1st'), 'the', 'THE'), 'und', '&'), 'and', '&')) AS applied FROM documents",
     "nomenclature_leftovers": """
 WITH p AS (SELECT doc_id, list_sort(list_distinct(list_filter(flatten(list_transform(list_filter(string_split(text, 'the'), lambda x: x <> ''), lambda x: string_split(x, 'und'))), lambda x: x <> ''))) AS rest FROM documents)
