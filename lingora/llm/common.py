@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lingora.session import as_leaf
+
 #: Documents with these columns flow through the pipeline.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,7 +43,7 @@ def durable(df: DataFrame, small: bool = False) -> DataFrame:
     small: few bytes in many partitions are likely; they are put together as their measured size allows.
     """
     checkpoint_dir(df.sparkSession)
-    return (df.hint("rebalance") if small else df).checkpoint(eager=True)
+    return as_leaf((df.hint("rebalance") if small else df).checkpoint(eager=True))
 
 
 def release(spark: SparkSession) -> None:

@@ -26,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_leaf(df: DataFrame) -> DataFrame:
+    """The rows of a checkpointed df, without the estimates and constraints of the plan that made them.
+
+    A checkpoint keeps these, and a join multiplies estimates: in loops over checkpoints the digits of the estimated size
+    double with every join, until the numbers alone fill the driver. Row by row, so nothing is computed or sent here.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df computed now and kept in the folder of spark.checkpoint.dir, which all machines of a cluster have to share.
 
@@ -37,4 +47,4 @@ def durable(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lingora-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return as_leaf(df.checkpoint(eager=True))

@@ -150,3 +150,20 @@ def test_components_of_paths_and_stars(spark):
     out = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert components.components(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a long, b long")).collect() == []
     assert all(out[i] == 0 for i in range(21)) and all(out[k] == 100 for k in range(100, 120)) and out[300] == out[200] == 200
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """A chain takes many passes; the estimated size of what each leaves is one number of a fixed length."""
+    seen, durable = [], components.durable
+
+    def noted(df, small=False):
+        out = durable(df, small)
+        seen.append(int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length())
+        return out
+
+    monkeypatch.setattr(components, "durable", noted)
+    order = list(range(40))
+    random.Random(5).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {r.label for r in components.components(edges).collect()} == {0}
+    assert len(seen) > 4 and max(seen) <= 64
