@@ -85,6 +85,8 @@ def cached(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.join(cache.select("to", "hash", "translation"), ["to", "hash"], "left")
 
 
+#: Copies of a translation that the objects with its text are dealt over.
+SALTS = 8
 _STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
 
 
@@ -120,14 +122,25 @@ def object_tokens(objects: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(value, F.get(F.from_json(F.concat(F.lit("["), F.trim("token"), F.lit("]")), "array<string>"), F.lit(0))))
 
 
+def looked_up(tokens: DataFrame, translations: DataFrame) -> DataFrame:
+    """tokens with the translation of their text, if any.
+
+    Most tokens have no text to look up, and some texts are in very many objects: neither goes to one task.
+    """
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    known = translations.where("translation IS NOT NULL").select("*", copies)
+    own = F.xxhash64("id", "pos")
+    salted = tokens.withColumn("salt", F.when(F.col("text").isNull(), own).otherwise(F.pmod(own, F.lit(SALTS))))
+    return salted.join(known, ["text", "salt"], "left").drop("salt")
+
+
 def translated_objects(objects: DataFrame, translations: DataFrame) -> DataFrame:
     """objects (id, value) with their strings translated where translations (text, translation) have them.
 
     Each string value is put back in its place, so keys, other values, their order and the spaces between them stay. id tells
     objects apart; what is no object or array stays as it is.
     """
-    known = translations.where("translation IS NOT NULL")
-    tokens = object_tokens(objects).join(known, "text", "left")
+    tokens = looked_up(object_tokens(objects), translations)
     put = F.to_json(F.array("translation"))
     token = F.when(F.col("translation").isNull(), F.col("token")).otherwise(F.concat(F.substr(put, F.lit(2), F.length(put) - 2), F.regexp_extract("token", r"(\s*)\z", 1)))
     whole = tokens.select("id", "pos", token.alias("token")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("all"))

@@ -44,3 +44,21 @@ def test_objects_written_back(spark):
             assert not v.startswith("{") or list(json.loads(got[i])) == list(json.loads(v))
     assert got[8] == '[ "new \\"x\\"" ,\n "é\\\\"]'
     assert "Python" not in done._jdf.queryExecution().toString() and "MapIn" not in done._jdf.queryExecution().toString()
+
+
+def test_tokens_of_one_kind_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    tokens = spark.range(400).select("id", F.lit(0).alias("pos"), F.lit("t").alias("token"), F.when(F.col("id") % 2 == 0, "same").alias("text"))
+    known = spark.createDataFrame([("same", "SAME")], "text string, translation string")
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        rows = B.looked_up(tokens, known).select("text", "translation", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 400 and {(r.text, r.translation) for r in rows} == {(None, None), ("same", "SAME")}
+    assert all(len({r.task for r in rows if r.text == text}) > 1 for text in (None, "same"))
