@@ -74,8 +74,8 @@ def _unaccented(text: pd.Series) -> pd.Series:
 
 
 def unaccented(text: Column, ascii_only: bool = False) -> Column:
-    """Compatibility decomposition without combining marks; the identity on ASCII, which stays in the JVM."""
-    return text if ascii_only else _unaccented(text)
+    """Compatibility decomposition without combining marks; the identity on ASCII, so that texts of it stay in the JVM."""
+    return text if ascii_only else F.coalesce(_unaccented(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def camel(words: Column) -> Column:
@@ -99,10 +99,19 @@ def chinese_candidate(text: Column) -> Column:
     return F.when(compact != "", F.coalesce(lookup(dims.KEY_TEXTS, compact), F.nullif(camel(found), F.lit(""))))
 
 
+def _candidates(text: Column, translation: Column, glossary_value: Column, ascii_only: bool) -> list[Column]:
+    raw = [semantic_candidate(glossary_value, ascii_only), chinese_candidate(text), semantic_candidate(translation, ascii_only), semantic_candidate(text, ascii_only)]
+    return [F.nullif(camel(_plain(k)), F.lit("")) for k in raw]
+
+
 def key_candidates(text: Column, translation: Column, glossary_value: Column, ascii_only: bool = False) -> Column:
     """Distinct keys in order of preference."""
-    raw = F.array(semantic_candidate(glossary_value, ascii_only), chinese_candidate(text), semantic_candidate(translation, ascii_only), semantic_candidate(text, ascii_only))
-    return F.array_distinct(F.array_compact(F.transform(raw, lambda k: F.nullif(camel(_plain(k)), F.lit("")))))
+    return F.array_distinct(F.array_compact(F.array(*_candidates(text, translation, glossary_value, ascii_only))))
+
+
+def first_candidate(text: Column, translation: Column, glossary_value: Column, ascii_only: bool = False) -> Column:
+    """The first of key_candidates(), if any; those after it are not worked out."""
+    return F.coalesce(*_candidates(text, translation, glossary_value, ascii_only))
 
 
 _PARAM = r"[a-z_$][\w$]*(?:\.[a-z_$][\w$]*|\[[^\]]+\])*"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lingora.functions.text import key_candidates, key_hash, locale_output_path
+from lingora.functions.text import first_candidate, key_candidates, key_hash, locale_output_path
 from lingora.operators.backends import dictionary, echo  # noqa: F401
 from lingora.operators.fuzzy import FUZZY, merge_fuzzy  # noqa: F401
 from lingora.operators.glossary import in_locale_order
@@ -85,8 +85,7 @@ def merge_maps(new: DataFrame, previous: DataFrame, clean_deprecated: bool = Fal
 
 
 def base_key(text: Column, translation: Column, glossary_value: Column, existing: Column, ascii_only: bool = False) -> Column:
-    candidates = key_candidates(text, translation, glossary_value, ascii_only)
-    return F.coalesce(existing, F.try_element_at(candidates, F.lit(1)), F.concat(F.lit("message_"), key_hash(text)))
+    return F.coalesce(existing, first_candidate(text, translation, glossary_value, ascii_only), F.concat(F.lit("message_"), key_hash(text)))
 
 
 def unique_keys(entries: DataFrame) -> DataFrame:
@@ -137,7 +136,7 @@ def approve(entries: DataFrame, force: bool = False, include_skipped: bool = Fal
 def derived_keys(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
     """entries (text, translation, key, key_source) with the first candidate where a key is missing."""
     missing = F.coalesce("key", F.lit("")) == ""
-    first = F.try_element_at(key_candidates(F.col("text"), F.col("translation"), F.lit(None).cast("string"), ascii_only), F.lit(1))
+    first = first_candidate(F.col("text"), F.col("translation"), F.lit(None).cast("string"), ascii_only)
     found = entries.withColumn("__first", first)
     take = missing & F.col("__first").isNotNull()
     return found.withColumns({"key": F.when(take, F.col("__first")).otherwise(F.col("key")), "key_source": F.when(take, F.coalesce("key_source", F.lit("generated"))).otherwise(F.col("key_source"))}).drop("__first")
