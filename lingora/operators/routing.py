@@ -13,6 +13,7 @@ def route(pairs: DataFrame, extra: list[tuple] = ()) -> DataFrame:
     """pairs (from, to, ...) with model, src_lang, tgt_lang and error: a model of just this pair, else a tagged one.
 
     The model table is a few rows by construction, so its broadcast needs no check; distinct pairs are routed, not rows.
+    Pairs of languages are few too: they are sent to the rows, since the rows of a pair, dealt by it, would be one task's.
     """
     spark = pairs.sparkSession
     models = dims.models(spark, list(extra))
@@ -29,4 +30,4 @@ def route(pairs: DataFrame, extra: list[tuple] = ()) -> DataFrame:
         "from", "to", F.coalesce("exact", F.when(able, F.col("tagged"))).alias("model"), F.when(use_tags, F.col("src")).alias("src_lang"),
         F.when(use_tags, F.col("tgt")).alias("tgt_lang"), (F.col("exact").isNull() & ~able).alias("error"),
     )
-    return pairs.join(routed, ["from", "to"], "left")
+    return pairs.join(F.broadcast(routed), ["from", "to"], "left")

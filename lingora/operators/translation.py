@@ -42,8 +42,11 @@ def translated(rows: DataFrame, backend: Backend, cache: DataFrame | None = None
     blank = trim(F.coalesce("text", F.lit(""))) == ""
     state = F.when(blank, "blank").when(F.lit(skip_target) & (F.col("from") == F.col("to")), "target").when(F.col("__known").isNotNull(), "cached").when(F.col("error"), "unroutable").otherwise("translated")
     stated = seen.withColumn("state", state)
-    fresh = mapping.translate(stated.where("state = 'translated'").select("text", "from", "to"), backend, retries, ["from", "to"]).withColumnRenamed("translation", "__fresh")
-    done = stated.join(fresh, ["text", "from", "to"], "left")
+    fresh = mapping.translate(stated.where("state = 'translated'").select("text", "from", "to"), backend, retries, ["from", "to"])
+    # Rows meet their translation by a digest, so whole texts are neither dealt nor sorted with every row that has them.
+    digest = F.sha2("text", 256).alias("__digest")
+    fresh = fresh.select(digest, "from", "to", F.col("translation").alias("__fresh"))
+    done = stated.select("*", digest).join(fresh, ["__digest", "from", "to"], "left").select(*stated.columns, "__fresh")
     model: Column = F.when(F.col("state") == "cached", "cache").when(F.col("state") == "translated", F.col("model"))
     return done.withColumns({"translation": F.coalesce("__known", "__fresh"), "model": model}).drop("__known", "__fresh", "error")
 
