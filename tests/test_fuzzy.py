@@ -85,3 +85,27 @@ def test_one_path_of_many_texts_is_spread(spark, monkeypatch):
     frame = lambda xs: spark.createDataFrame([("p", t, i) for i, t in enumerate(xs)], SCHEMA).repartition(4)
     got = {r.text: r.previous_text for r in fuzzy.merge_fuzzy(frame(new), frame(old)).collect()}
     assert all(got[n] == o for n, o in zip(new, old))
+
+
+@pytest.mark.parametrize(("block", "most", "meetings", "fold"), [(7, 2, 1 << 30, 0), (64, 1, 1 << 30, 40), (0, 2, 0, 5), (0, 2, 1 << 30, 5), (64, 64, 1 << 30, fuzzy.FOLD)])
+def test_lists_that_are_cut_and_blocks_equal_one_after_another(spark, monkeypatch, block, most, meetings, fold):
+    for name, value in {"BLOCK": block, "LIST": most, "MEETINGS": meetings, "FOLD": fold, "DIRECT": 0}.items():
+        monkeypatch.setattr(fuzzy, name, value)
+    rng = random.Random(5)
+    paths = {}
+    for p, alphabet in enumerate(["ab", "abcdefg", "请输入用户名字ab"]):
+        old = list(dict.fromkeys(text(rng, alphabet) for _ in range(25)))
+        new = [rng.choice(old) if rng.random() < 0.25 else text(rng, alphabet) for _ in range(25)]
+        paths[f"p{p}"] = ([(t, o) for o, t in enumerate(new)], [(t, o) for o, t in enumerate(old)])
+    old = [f"the number {i:03d}" + " of all of them in this very long list of items that we keep" * (i % 3 == 0) for i in range(24)]
+    paths["q"] = ([(t.replace("number", "nummer") if i % 4 else t, i) for i, t in enumerate(old + old[:9])], [(t, i) for i, t in enumerate(old)])
+    check(spark, paths)
+
+
+def test_names_all_alike_make_no_pairs_of_all(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "DIRECT", 0)
+    listed, plain = [], fuzzy._lists
+    monkeypatch.setattr(fuzzy, "_lists", lambda *a: listed.append(plain(*a)) or listed[-1])
+    new = [(f"Customer#{i:09d}", i) for i in range(1, 400)]
+    check(spark, {"p": (new, [(t, i) for t, i in new if i % 10 == 0])})
+    assert sum(x.count() for x in listed) <= 3 * fuzzy.LIST * len(new)
