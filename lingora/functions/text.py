@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column
@@ -236,6 +237,10 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the table in the bits of one integer: each 0 is a step up."""
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     at: dict[str, int] = {}
     for j, y in enumerate(b):
         at[y] = at.get(y, 0) | 1 << j
@@ -244,7 +249,7 @@ def lcs(a: str, b: str) -> int:
     for x in a:
         hit = row & at.get(x, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
+    return head + tail + len(b) - row.bit_count()
 
 
 def similarity(a: str, b: str) -> float:
