@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -32,6 +33,8 @@ from lingora.sources import dims
 #: Characters of all patterns that may go through the driver, and cells of the automaton's table that tasks may be sent.
 CHARACTERS, CELLS = 200_000, 16_000_000
 LANE, LANES = 256, 8192
+#: Bytes of texts that are worked on at once: what Python makes of them is many times that.
+PIECE = 1 << 20
 FOUND = "array<struct<start:int,end:int,less:int,ord:int,value:string>>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ASCII = str.maketrans(_UPPER, _UPPER.lower())
@@ -159,6 +162,17 @@ def small_automaton(terms: DataFrame) -> tuple[Automaton, list[list[tuple]]] | N
     return automaton(list(named)), list(named.values())
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, cut where the texts of a column have PIECE bytes; a longer text stays whole."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def occurrences(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """texts with `found`: the places of all terms of a glossary (key, value, ord), by start and rank.
 
@@ -173,7 +187,7 @@ def occurrences(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("less", pa.int32()), ("ord", pa.int32()), ("value", pa.string())]))
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _pieces(it, at):
             asked = batch.column(at).to_pylist()
             found: list[list | None] = [None if t is None else [] for t in asked]
             for row, start, end, pattern in zip(*(x.tolist() for x in machine.places([t or "" for t in asked]))):
@@ -286,7 +300,7 @@ def replaced(texts: DataFrame) -> DataFrame:
     columns, text, terms = texts.columns, texts.columns.index("text"), texts.columns.index("terms")
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _pieces(it, text):
             results, rests = [], []
             for t, pairs in zip(batch.column(text).to_pylist(), batch.column(terms).to_pylist()):
                 result, rest = t, None if t is None else [t]

@@ -126,3 +126,13 @@ def test_replacement_takes_overlaps_from_the_right(spark):
     frame = spark.createDataFrame([("你好吗我好", [("好", "x"), ("我", "y")]), ("aaa", [("aa", "b")]), (None, [("a", "b")]), ("same", [])], "text string, terms array<struct<key:string,value:string>>")
     got = [(r.result, r.rest) for r in W.replaced(frame).collect()]
     assert got == [("你x吗yx", ["你", "吗"]), slow_replace("aaa", "aa", "b"), (None, None), ("same", ["same"])]
+
+
+def test_pieces_of_batches_are_bounded_by_their_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(W, "PIECE", 10)
+    texts = ["abc", None, "defg", "x" * 25, "", "é" * 5, "y", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["key", "text"])
+    pieces = [p.column(1).to_pylist() for p in W._pieces([batch, batch.slice(0, 0)], 1)]
+    assert pieces == [["abc", None, "defg"], ["x" * 25], ["", "é" * 5], ["y", "z"]]
