@@ -295,7 +295,7 @@ def _replaced(text: str, key: str, value: str) -> tuple[str, list[str]]:
 def replaced(texts: DataFrame) -> DataFrame:
     """texts with `result` and `rest`: its `terms` (key, value) put into `text` one after another, and the distinct parts of the text that none of them took.
 
-    A null text or list of terms changes nothing and leaves nothing out.
+    A null text or list of terms changes nothing and leaves nothing out; of an empty text there are no parts.
     """
     columns, text, terms = texts.columns, texts.columns.index("text"), texts.columns.index("terms")
 
@@ -303,7 +303,7 @@ def replaced(texts: DataFrame) -> DataFrame:
         for batch in _pieces(it, text):
             results, rests = [], []
             for t, pairs in zip(batch.column(text).to_pylist(), batch.column(terms).to_pylist()):
-                result, rest = t, None if t is None else [t]
+                result, rest = t, None if t is None else [t] if t else []
                 for p in pairs or [] if t is not None else []:
                     result = _replaced(result, p["key"], p["value"])[0]
                     rest = list(dict.fromkeys(x for part in rest for x in _replaced(part, p["key"], p["value"])[1]))

@@ -136,3 +136,24 @@ def test_pieces_of_batches_are_bounded_by_their_texts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["key", "text"])
     pieces = [p.column(1).to_pylist() for p in W._pieces([batch, batch.slice(0, 0)], 1)]
     assert pieces == [["abc", None, "defg"], ["x" * 25], ["", "é" * 5], ["y", "z"]]
+
+
+def test_leftovers_of_empty_and_null_texts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lingora.plans import workflow
+
+    texts = ["", None, "the", "theund", "und the end", " ", "unthed"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = duck.execute(f"SELECT doc_id, parts, rest_sha256 FROM ({workflow.ORACLES['nomenclature_leftovers']}) ORDER BY doc_id").fetchall()
+    given = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            got = [tuple(r) for r in workflow.QUERIES["nomenclature_leftovers"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", given)
+    assert [r[1] for r in want] == [0, None, 0, 0, 2, 1, 2]
