@@ -19,6 +19,8 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -173,15 +175,34 @@ def _pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Recor
             start = stop
 
 
-def occurrences(texts: DataFrame, glossary: DataFrame) -> DataFrame:
+@lru_cache(1 << 16)
+def _overlaps_itself(form: str) -> bool:
+    return any(form.startswith(form[i:]) for i in range(1, len(form)))
+
+
+def _apart(text: str, places: Iterable[tuple]) -> list[bool]:
+    """Whether a search from left to right comes to a place (start, end, ...): it goes on from the end of each occurrence, also of one that does not stand alone."""
+    low, met = folded(text), {}
+    out = []
+    for start, end, *_ in places:
+        form = low[start:end]
+        free = not _overlaps_itself(form) or low.find(form, max(0, start - len(form) + 1), end - 1) < 0
+        if not free and form not in met:
+            met[form] = {m.start() for m in re.finditer(re.escape(form), low)}
+        out.append(free or start in met[form])
+    return out
+
+
+def occurrences(texts: DataFrame, glossary: DataFrame, apart: bool = False) -> DataFrame:
     """texts with `found`: the places of all terms of a glossary (key, value, ord), by start and rank.
 
-    texts has a column `text` and a column `key` that tells its rows apart.
+    texts has a column `text` and a column `key` that tells its rows apart. Places of a form, which is a term or its plural, may
+    overlap. With apart they do not: a text is searched for each form from left to right, as if it were split at it.
     """
     terms = patterns(glossary)
     small = small_automaton(terms)
     if small is None:
-        return _joined(texts, terms)
+        return _searched(_joined(texts, terms)) if apart else _joined(texts, terms)
     machine, named = small
     at, columns = texts.columns.index("text"), texts.columns
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("less", pa.int32()), ("ord", pa.int32()), ("value", pa.string())]))
@@ -192,9 +213,11 @@ def occurrences(texts: DataFrame, glossary: DataFrame) -> DataFrame:
             found: list[list | None] = [None if t is None else [] for t in asked]
             for row, start, end, pattern in zip(*(x.tolist() for x in machine.places([t or "" for t in asked]))):
                 found[row] += [(start, end, *term) for term in named[pattern]]
-            for f in found:
+            for t, f in zip(asked, found):
                 if f:
                     f.sort(key=lambda p: (p[0], p[2], p[3], -p[1]))
+                    if apart:
+                        f[:] = compress(f, _apart(t, f))
             rows = [None if f is None else [dict(zip(("start", "end", "less", "ord", "value"), p)) for p in f] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*columns, "found"])
 
@@ -222,6 +245,19 @@ def _joined(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.join(found, "key", "left").withColumn("found", F.when(F.col("text").isNotNull(), F.coalesce("found", F.array().cast(FOUND)))).select(*texts.columns, "found")
 
 
+def _searched(texts: DataFrame) -> DataFrame:
+    """texts whose `found` keeps the places apart."""
+    text, found = texts.columns.index("text"), texts.columns.index("found")
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(it, text):
+            rows = batch.column(found).to_pylist()
+            kept = [f and list(compress(f, _apart(t, [(p["start"], p["end"]) for p in f]))) for t, f in zip(batch.column(text).to_pylist(), rows)]
+            yield batch.set_column(found, "found", pa.array(kept, batch.schema.field(found).type))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _in_text():
     from pyspark.sql.window import Window
 

@@ -157,3 +157,44 @@ def test_leftovers_of_empty_and_null_texts_are_those_of_the_sql(spark, tmp_path)
     finally:
         spark.conf.set("spark.sql.ansi.enabled", given)
     assert [r[1] for r in want] == [0, None, 0, 0, 2, 1, 2]
+
+
+def searched(text, terms):
+    low, out = W.folded(text), []
+    for ord_, key, value in terms:
+        for v in {key, plural(key) or key}:
+            for m in re.finditer(re.escape(v.lower()), low):
+                if not any(0 <= i < len(low) and re.match("[a-z0-9]", low[i]) for i in (m.start() - 1, m.end())):
+                    out.append((m.start(), m.end(), -len(key), ord_, value))
+    return sorted(out, key=lambda p: (p[0], p[2], p[3], -p[1]))
+
+
+@pytest.mark.parametrize("bound", [W.CHARACTERS, 3])
+def test_places_apart_are_those_of_a_search_from_left_to_right(spark, monkeypatch, bound):
+    monkeypatch.setattr(W, "CHARACTERS", bound)
+    rng = random.Random(9)
+    terms = [(0, "as a", "A"), (1, "a-a", "B"), (2, "aa", "C"), (3, "was", "D"), (4, "é é", "E")]
+    texts = ["Was as a", "as as as", "As a as a", "a-a-a-a", "", *("".join(rng.choices(["as", "a", "w", "é", " ", " ", "-", "As a "], k=rng.randint(0, 25))) for _ in range(200))]
+    frame = spark.createDataFrame([*enumerate(texts), (999, None)], "key long, text string").repartition(3)
+    glossary = spark.createDataFrame(terms, GLOSSARY)
+    got, whole = ({r.key: r.found and [tuple(p) for p in r.found] for r in W.occurrences(frame, glossary, apart).collect()} for apart in (True, False))
+    assert got.pop(999) is None and got == {i: searched(t, terms) for i, t in enumerate(texts)}
+    assert whole.pop(999) is None and whole == {i: places(t, terms) for i, t in enumerate(texts)}
+    assert got[0] == [(0, 3, -3, 3, "D")] and len(got[1]) == 1 and len(whole[1]) == 2
+
+
+def test_places_of_terms_that_overlap_themselves_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lingora.plans import workflow
+
+    texts = ["Was as a", "As as as as", "x as a as a", "theİ the", "ΑΣ ΒΣ", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "As a rule"), (1, "the the"), (2, "ΑΣ ΒΣ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = "doc_id, term, n, first_start, last_end, starts"
+    with duckdb.connect() as duck:
+        for t in ("documents", "benchmark"):
+            duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        want = duck.execute(f"SELECT {columns} FROM ({workflow.ORACLES['term_places']})").fetchall()
+    got = [tuple(r) for r in workflow.QUERIES["term_places"](spark, str(tmp_path)).select(*columns.split(", ")).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 6
